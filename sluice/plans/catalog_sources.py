@@ -1 +1,35 @@
-"""Source and drill queries (registered on import)."""
+"""Source-side queries: payload drill and landed-page round trips."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources.payloads import drill
+from .catalog import register, table
+
+# Records per landed page.  Pages are cut from consecutive row ids inside
+# one task, so no page can hold more than this many records.
+PAGE_RECORDS = 100
+
+
+def event_pages(spark, sf_dir):
+    """The events table landed as JSON pages ``{"data": {"items": [...]}}``."""
+    ev = table(spark, sf_dir, "events")
+    rec = F.struct("event_id", "user_id", "event_type", "value")
+    paged = ev.select(F.floor(F.monotonically_increasing_id() / PAGE_RECORDS).alias("page"), rec.alias("rec"))
+    pages = paged.groupBy("page").agg(F.collect_list("rec").alias("items"))
+    return pages.select("page", F.to_json(F.struct(F.struct("items").alias("data"))).alias("body"))
+
+
+register("records_drill", "SELECT event_id, user_id, event_type, value FROM events")(
+    lambda spark, d: drill(event_pages(spark, d), "body", "data.items")
+)
+
+register(
+    "records_drill_props",
+    """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""",
+)(
+    lambda spark, d: table(spark, d, "events").select(
+        "event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k")
+    )
+)

@@ -26,6 +26,7 @@ def build_session(master: str | None = None, app: str = "sluice", **conf) -> Spa
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", conf.pop("driver_memory", "8g"))
     )
     for k, v in conf.items():
