@@ -3,8 +3,9 @@ load, all-or-nothing commit through a staging table, optional index.
 
 Executors write partitions in parallel over JDBC with ``batchsize`` rows per
 round trip.  Spark commits per partition, so an all-or-nothing load writes a
-staging table first and moves it into the target with one
-``INSERT ... SELECT`` inside a single database transaction.
+staging table first; one database transaction then renames it into place
+(new or replaced table) or moves its rows with ``INSERT ... SELECT``
+(append).
 """
 
 from __future__ import annotations
@@ -25,6 +26,15 @@ class LoadError(RuntimeError):
     pass
 
 
+# --- fixed values: identifier quote character per dialect ------------------
+QUOTE = {"postgresql": '"', "mysql": "`", "sqlite": '"', "derby": '"'}
+
+
+def quote(name: str, dialect: str) -> str:
+    q = QUOTE[dialect]
+    return q + name.replace(q, q + q) + q
+
+
 # --- fixed values: table rename statement per dialect ----------------------
 RENAME_SQL = {
     "postgresql": "ALTER TABLE {old} RENAME TO {new}",
@@ -114,7 +124,7 @@ def load_table(
         write(clean, staging, "error")
         rename = RENAME_SQL[conn.dialect].format(old=staging, new=dest.table_name)
         if exists and dest.if_exists == "append":
-            cols = ", ".join(df.columns)
+            cols = ", ".join(quote(c, conn.dialect) for c in df.columns)
             stmts = [f"INSERT INTO {dest.table_name} ({cols}) SELECT {cols} FROM {staging}", f"DROP TABLE {staging}"]
         elif exists:
             stmts = [f"DROP TABLE {dest.table_name}", rename]
@@ -137,7 +147,8 @@ def create_index(df: DataFrame, dest: DatabaseDestination) -> bool:
     cols = list(dest.index_columns or ())
     name = f"idx_{dest.table_name}_{'_'.join(cols)}"[:120]
     try:
-        execute(df.sparkSession, dest.connection, [f"CREATE INDEX {name} ON {dest.table_name} ({', '.join(cols)})"])
+        quoted = ", ".join(quote(c, dest.connection.dialect) for c in cols)
+        execute(df.sparkSession, dest.connection, [f"CREATE INDEX {name} ON {dest.table_name} ({quoted})"])
         return True
     except Exception:
         return False

@@ -22,6 +22,7 @@ import urllib.parse
 import urllib.request
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..specs import ApiSource
@@ -63,7 +64,9 @@ def page_url(base: str, params: dict) -> str:
     the file ``page_<n>.json`` inside the directory."""
     if base.startswith("file://"):
         page = params.get("page")
-        return base.rstrip("/") + f"/page_{page}.json" if page is not None else base
+        if page is None or base.endswith(".json"):
+            return base
+        return base.rstrip("/") + f"/page_{page}.json"
     if not params:
         return base
     sep = "&" if "?" in base else "?"
@@ -127,6 +130,9 @@ class RestPagesReader(DataSourceReader):
             data = json.loads(body)
             records = _drill(data, self.records_key)
             if not isinstance(records, list) or not records:
+                if partition.last is not None:
+                    # marks where paging ends; later ranges are cut off there
+                    yield (page, target, None)
                 return
             yield (page if page is not None else -1, target, body)
             if self.next_url_key:
@@ -171,7 +177,18 @@ def read_pages(spark: SparkSession, source: ApiSource, transport: str | None = N
     }
     for k, v in opts.items():
         reader = reader.option(k, v)
-    return reader.load()
+    pages = reader.load()
+    if source.next_url_key or not source.page_param or source.max_pages is None:
+        return pages
+    # Ranges are fetched in parallel; paging stops at the first empty page,
+    # so pages after it (fetched by later ranges) are dropped.  The fetched
+    # pages are landed once in the checkpoint folder so the API is not
+    # called again by the two uses below.
+    from ..session import materialize
+
+    landed = materialize(pages)
+    first_empty = landed.filter(F.col("body").isNull()).agg(F.min("page")).scalar()
+    return landed.filter(F.col("body").isNotNull() & (F.col("page") < F.coalesce(first_empty, F.lit(2**62))))
 
 
 def read_api(spark: SparkSession, source: ApiSource, transport: str | None = None, infer_types: bool = True):
