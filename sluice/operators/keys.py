@@ -19,9 +19,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import SMALL_INPUT_ROWS, at_most
+
 # A key is hot when it holds more than 1/HOT_SHARE of the rows; at most
 # HOT_SHARE - 1 keys can be hot, which bounds the broadcast side.
 HOT_SHARE = 1024
@@ -32,13 +34,20 @@ def _eq_all(left: DataFrame, right: DataFrame, lkeys, rkeys) -> Column:
     return reduce(lambda a, b: a & b, conds)
 
 
-def first_in_group(df: DataFrame, keys, order_col: str, out_col: str) -> DataFrame:
+def first_in_group(df: DataFrame, keys, order_col: str, out_col: str, small_input: bool | None = None) -> DataFrame:
     """``df`` plus ``out_col`` = min(order_col) over rows with equal keys.
 
     Null key values form one group, as duplicate detection treats missing
-    values as equal.
+    values as equal.  Inputs of at most ``SMALL_INPUT_ROWS`` rows (checked
+    with a bounded limit) use one window per key, which no group can
+    overload; larger inputs use the hot/cold split below.
     """
     keys = list(keys)
+    if small_input is None:
+        small_input = at_most(df, SMALL_INPUT_ROWS)
+    if small_input:
+        w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys])
+        return df.withColumn(out_col, F.min(F.col(f"`{order_col}`")).over(w))
     spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     stats = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
         F.min(F.col(f"`{order_col}`")).alias("_first"), F.count(F.lit(1)).alias("_n")

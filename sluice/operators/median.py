@@ -2,7 +2,9 @@
 
 The built-in ``median`` keeps every distinct value of a group in one
 aggregation buffer, so a group holding a third of 100 TB - or a whole-column
-median - would sit in one task.  Here the median is found by rank instead:
+median - would sit in one task.  A per-group sort is used only when the whole input has at
+most ``SMALL_INPUT_ROWS`` rows (checked with a bounded limit), which bounds
+every group, so each group may be sorted in one task.  Otherwise:
 
 1. range-partition the (group, value) pairs and sort inside partitions, so
    a large group is spread over many partitions in global order;
@@ -21,10 +23,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import SMALL_INPUT_ROWS, at_most, materialize
 
 
-def exact_median(df: DataFrame, value: str, group_by=(), alias: str = "median") -> DataFrame:
+def exact_median(df: DataFrame, value: str, group_by=(), alias: str = "median",
+                 small_input: bool | None = None) -> DataFrame:
     keys = [f"`{k}`" for k in group_by]
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -32,10 +35,26 @@ def exact_median(df: DataFrame, value: str, group_by=(), alias: str = "median")
     data = df.select(*[F.col(k) for k in keys], v.alias("_v")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
+    key_cols = [F.col(k) for k in keys]
+    if small_input is None:
+        small_input = at_most(data, SMALL_INPUT_ROWS)
+    if small_input:
+        # no group can exceed the bound, so sorting each group in one task is
+        # safe: rank the values and average the middle one or two
+        whole = Window.partitionBy(*key_cols)
+        ranked = data.withColumn("_r", F.row_number().over(whole.orderBy("_v")) - 1).withColumn(
+            "_n", F.count(F.lit(1)).over(whole)
+        )
+        mid = ranked.filter(
+            (F.col("_r") == F.floor((F.col("_n") - 1) / 2)) | (F.col("_r") == F.floor(F.col("_n") / 2))
+        )
+        if keys:
+            return mid.groupBy(*key_cols).agg(F.avg("_v").alias(alias))
+        return mid.agg(F.avg("_v").alias(alias))
+
     ordered = data.repartitionByRange(parts, *keys, "_v").sortWithinPartitions(*keys, "_v")
     ordered = materialize(ordered.withColumn("_id", F.monotonically_increasing_id()))
 
-    key_cols = [F.col(k) for k in keys]
     chunks = ordered.groupBy(F.shiftright("_id", 33).alias("_p"), *key_cols).agg(
         F.min("_id").alias("_start"), F.count(F.lit(1)).alias("_cnt")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,11 +54,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and cut its lineage.
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    read it back, cutting the lineage.
 
     Used where one intermediate feeds two consumers that must see identical
-    rows (ids assigned after a range sort).  Survives executor loss, unlike a
-    cache or a local checkpoint.
+    rows (ids assigned after a range sort), or where a side effect (an API
+    call) must not run twice.  The data is computed exactly once (unlike an
+    RDD checkpoint, which recomputes an unpersisted input to save it), and
+    survives executor loss, unlike a cache or a local checkpoint.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/sluice-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
+
+
+# Inputs of at most this many rows may use single-task group buffers (a
+# window per key, the built-in exact median): no group can be larger.
+SMALL_INPUT_ROWS = 2_000_000
+
+
+def at_most(df: DataFrame, rows: int = SMALL_INPUT_ROWS) -> bool:
+    """True when ``df`` has at most ``rows`` rows.  Reads at most rows + 1
+    rows (a bounded limit), not the whole input."""
+    return df.limit(rows + 1).count() <= rows

@@ -2,9 +2,9 @@
 
 The key path is a JSONPath handed to ``get_json_object``; the record array
 is parsed as ``array<map<string,string>>`` (nested values stay as JSON
-text) and exploded, all JVM-side.  The record fields become columns - the
-distinct field names are a small aggregate - and their types are inferred
-in one pass like CSV cells.
+text) and exploded, all JVM-side.  The record fields become columns; their
+names and types (decided like CSV cells) come from one aggregate grouped by
+field name, whose result has one row per distinct field.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import constants as C
+from ..functions.casts import INFINITY_SHAPE, NUMBER_SHAPE
 from . import inference
 
 
@@ -21,16 +23,49 @@ def json_path(records_key: str | None) -> str:
     return "$" + "".join(f"['{part}']" for part in records_key.split("."))
 
 
+_ROWS = "\u0000records"  # marker entry: one per record, counts the records
+
+
 def drill(pages: DataFrame, body_col: str, records_key: str | None, infer_types: bool = True,
           fields: list[str] | None = None) -> DataFrame:
-    """Explode the records under ``records_key`` of every JSON body."""
+    """Explode the records under ``records_key`` of every JSON body.
+
+    Field names and their types come from one aggregate over the record
+    entries (grouped by field name, partially aggregated per task); the
+    rows themselves are produced by one more pass.
+    """
     raw = F.get_json_object(F.col(body_col), json_path(records_key))
     recs = pages.select(F.explode(F.from_json(raw, "array<map<string,string>>")).alias("rec"))
-    if fields is None:
-        keys = recs.select(F.explode(F.map_keys("rec")).alias("k")).distinct().orderBy("k")
-        fields = [r["k"] for r in keys.collect()]
+    types: dict[str, str] = {}
+    if fields is None or infer_types:
+        entries = recs.select(
+            F.explode(F.map_concat("rec", F.create_map(F.lit(_ROWS), F.lit("1")))).alias("field", "value")
+        )
+        v = F.trim(F.col("value"))
+        present = F.col("value").isNotNull()
+        stats = entries.groupBy("field").agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.count_if(present).alias("present"),
+            F.count_if(present & ~v.rlike(inference.INT_SHAPE)).alias("not_int"),
+            F.count_if(present & ~(v.rlike(NUMBER_SHAPE) | v.rlike(INFINITY_SHAPE))).alias("not_num"),
+            F.count_if(present & ~F.col("value").isin(*C.CSV_TRUE_TOKENS, *C.CSV_FALSE_TOKENS)).alias("not_bool"),
+        ).collect()  # one row per distinct field name
+        total = next((r["rows"] for r in stats if r["field"] == _ROWS), 0)
+        found = sorted(r["field"] for r in stats if r["field"] != _ROWS)
+        fields = fields if fields is not None else found
+        for r in stats:
+            missing = total - r["present"]
+            if r["present"] == 0:
+                types[r["field"]] = "double"
+            elif r["not_int"] == 0:
+                types[r["field"]] = "bigint" if missing == 0 else "double"
+            elif r["not_num"] == 0:
+                types[r["field"]] = "double"
+            elif r["not_bool"] == 0 and missing == 0:
+                types[r["field"]] = "boolean"
+            else:
+                types[r["field"]] = "string"
     flat = recs.select(*[F.col("rec")[f].alias(f) for f in fields])
     if not infer_types:
         return flat
-    typed, _ = inference.infer_and_cast(flat)
-    return typed
+    return inference.cast_inferred(flat, {f: types.get(f, "double") for f in fields})

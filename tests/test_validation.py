@@ -87,7 +87,8 @@ def test_unique_with_a_hot_key_matches_brute_force(spark):
     n = 3000
     data = [(i, "hot" if i % 3 == 0 else (None if i % 7 == 0 else f"v{i % 50}")) for i in range(n)]
     df = spark.createDataFrame(data, "k long, v string")
-    got = first_in_group(df, ["v"], "k", "first").collect()
+    got = first_in_group(df, ["v"], "k", "first", small_input=False).collect()
+    assert sorted(r["first"] for r in first_in_group(df, ["v"], "k", "first", small_input=True).collect()) == sorted(r["first"] for r in got)
     first = {}
     for k, v in data:
         first.setdefault(v, k)
