@@ -1,8 +1,9 @@
 """Row validation: one ``errors`` array per row, then valid / invalid split.
 
 Each rule is a never-null ``bad`` predicate plus an error struct; all rules
-of the stage fuse into a single projection
-``errors = filter(array(when(bad_i, struct_i) ...), e -> e is not null)``.
+of the stage fuse into a single projection: ``_invalid = bad_1 OR ...`` for
+the split and ``_errors = concat(when(bad_i, array(struct_i)) ...)`` for the
+reasons, both inside whole-stage codegen.
 Only ``unique`` needs data from other rows; it uses the skew-safe
 first-occurrence lookup in ``keys``.
 """
@@ -10,6 +11,7 @@ first-occurrence lookup in ``keys``.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ from ..specs import ValidationRule
 from .keys import first_in_group
 
 ERRORS = "_errors"
+BAD = "_invalid"
 ROW_ID = "_row_id"
 
 ERROR_TYPE = T.StructType(
@@ -37,7 +40,7 @@ ERROR_TYPE = T.StructType(
 
 @dataclass
 class ValidationResult:
-    annotated: DataFrame  # input columns + _errors array
+    annotated: DataFrame  # input columns + _errors array + _invalid flag
     valid: DataFrame
     invalid: DataFrame
     errors: DataFrame  # one row per failure: row id, column, rule, value, message
@@ -118,7 +121,8 @@ def validate(df: DataFrame, rules, order_by: str | None = None) -> ValidationRes
             work = first_in_group(work, [r.column], order_col, name)
             dup_cols[r.column] = name
 
-    structs = []
+    bads, structs = [], []
+    empty = F.array().cast(T.ArrayType(ERROR_TYPE))
     for r in rules:
         bad = bad_predicate(work, r, dup_cols.get(r.column), order_col)
         if bad is None:
@@ -130,17 +134,18 @@ def validate(df: DataFrame, rules, order_by: str | None = None) -> ValidationRes
             _text(_q(r.column), dtype).alias("value"),
             F.lit(r.message).alias("message"),
         )
-        structs.append(F.when(bad, err))
+        bads.append(bad)
+        structs.append(F.when(bad, F.array(err)).otherwise(empty))
 
-    if structs:
-        errors = F.filter(F.array(*structs), lambda e: e.isNotNull())
-    else:
-        errors = F.array().cast(T.ArrayType(ERROR_TYPE))
+    # The split uses a plain OR of the rule predicates (whole-stage codegen);
+    # the error list is a concat of one-element arrays, no lambda functions.
+    any_bad = reduce(lambda a, b: a | b, bads) if bads else F.lit(False)
+    errors = F.concat(*structs) if structs else empty
     keep_cols = [_q(c) for c in base.columns]
-    annotated = work.select(*keep_cols, errors.alias(ERRORS))
+    annotated = work.select(*keep_cols, errors.alias(ERRORS), any_bad.alias(BAD))
     user_cols = [_q(c) for c in df.columns]
-    valid = annotated.filter(F.size(ERRORS) == 0).select(*user_cols)
-    invalid = annotated.filter(F.size(ERRORS) > 0)
+    valid = annotated.filter(~F.col(BAD)).select(*user_cols)
+    invalid = annotated.filter(F.col(BAD))
     error_rows = invalid.select(
         _q(order_col).alias("row_id"), F.explode(ERRORS).alias("e")
     ).select("row_id", "e.column", "e.rule", "e.value", "e.message")

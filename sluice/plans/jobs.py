@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..operators.aggregate import aggregate
 from ..operators.filters import apply_filters
 from ..operators.mapping import apply_mappings, auto_mappings, merge_mappings
-from ..operators.validation import ERRORS, error_text, validate
+from ..operators.validation import BAD, error_text, validate
 from ..sinks.files import write_file, write_log
 from ..sinks.jdbc import load_table
 from ..sinks.rest import send_batches, send_summary
@@ -135,14 +135,14 @@ def run_job(
             annotated = res.annotated.persist(StorageLevel.MEMORY_AND_DISK)
             cached.append(annotated)
             counts = annotated.agg(
-                F.count_if(F.size(ERRORS) == 0).alias("valid"), F.count_if(F.size(ERRORS) > 0).alias("invalid")
+                F.count_if(~F.col(BAD)).alias("valid"), F.count_if(F.col(BAD)).alias("invalid")
             ).first()
             failed_rows = int(counts["invalid"])
             jl.info(f"Validation: {counts['valid']} valid, {failed_rows} invalid", invalid_count=failed_rows)
             user_cols = [F.col(f"`{c}`") for c in df.columns]
-            df = annotated.filter(F.size(ERRORS) == 0).select(*user_cols)
+            df = annotated.filter(~F.col(BAD)).select(*user_cols)
             if failed_rows and spec.quarantine_path:
-                bad = annotated.filter(F.size(ERRORS) > 0).select(
+                bad = annotated.filter(F.col(BAD)).select(
                     *user_cols, error_text().alias("_validation_errors")
                 )
                 invalid_file = write_file(bad, replace_file(spec.quarantine_path))["output_path"]

