@@ -16,9 +16,11 @@ from .. import constants as C
 from . import dates
 
 # Text that reads as a finite decimal number: sign, digits, optional
-# fraction and exponent.  Spark alone would also accept '1d' and '5f'.
+# fraction and exponent.  Spark's cast alone would also accept '1d' and
+# '5f'.  The shape test also guards every text cast: a failed try-cast
+# costs an exception inside Spark, a regular-expression miss does not.
 NUMBER_SHAPE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-INFINITY_SHAPE = r"^[+-]?(?i:inf|infinity)$"
+INFINITIES = ("inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
 
 NUMERIC_TYPES = (
     T.ByteType,
@@ -47,10 +49,26 @@ def clean_number_text(c: Column) -> Column:
     return F.trim(F.translate(c.cast("string"), ",$", ""))
 
 
+def no_fraction(s: Column) -> Column:
+    # no fraction and no exponent (the text already has a number's shape)
+    return (F.instr(s, ".") == 0) & (F.instr(s, "e") == 0) & (F.instr(s, "E") == 0)
+
+
+def is_number_text(s: Column) -> Column:
+    """Trimmed text with the shape of a number (infinities included).
+    One regular expression; case folding only for the rare misses."""
+    return F.when(s.rlike(NUMBER_SHAPE), F.lit(True)).otherwise(F.lower(s).isin(*INFINITIES))
+
+
+def plain_integer(s: Column, is_number: Column) -> Column:
+    """A number-shaped text with no fraction or exponent, as bigint (null
+    when out of range)."""
+    return F.when(is_number & s.rlike(NUMBER_SHAPE) & no_fraction(s), s.try_cast("bigint"))
+
+
 def text_to_double(s: Column) -> Column:
     """Number text -> double; anything else (including 'nan') -> null."""
-    finite = F.when(s.rlike(NUMBER_SHAPE), s.try_cast("double"))
-    return F.when(s.rlike(INFINITY_SHAPE), s.try_cast("double")).otherwise(finite)
+    return F.when(is_number_text(s), s.try_cast("double"))
 
 
 def to_double(c: Column, dtype: T.DataType, clean: bool = True) -> Column:
@@ -80,8 +98,7 @@ def to_integer_parts(c: Column, dtype: T.DataType) -> tuple[Column, Column | Non
     d = to_double(c, dtype)
     if is_string(dtype):
         s = clean_number_text(c)
-        exact = F.when(s.rlike(r"^[+-]?[0-9]+$"), s.try_cast("bigint"))
-        value = F.coalesce(exact, F.when(d == F.floor(d), d.try_cast("bigint")))
+        value = F.coalesce(plain_integer(s, d.isNotNull()), F.when(d == F.floor(d), d.try_cast("bigint")))
     else:
         value = F.when(d == F.floor(d), d.try_cast("bigint"))
     bad = d.isNotNull() & ((d != F.floor(d)) | value.isNull())

@@ -61,7 +61,7 @@ def read_csv(
             if bad:
                 return read_csv(spark, path, "ISO-8859-1", multi_line, False)
             return df
-        typed, row = inference.infer_and_cast(df, [bad_expr.alias("_bad")])
+        typed, row = inference.infer_and_cast(df, check_text=REPLACEMENT_CHAR)
         if header_bad or row["_bad"] > 0:
             return read_csv(spark, path, "ISO-8859-1", multi_line, infer_types)
         return typed

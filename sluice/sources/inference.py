@@ -13,9 +13,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.casts import INFINITY_SHAPE, NUMBER_SHAPE
-
-INT_SHAPE = r"^[+-]?[0-9]+$"
+from ..functions.casts import INFINITIES, NUMBER_SHAPE, no_fraction, text_to_double
+
+
+def cell_kind(c: Column) -> Column:
+    """One code per cell, computed once: n(ull) i(nteger) f(loat) b(oolean)
+    s(tring).  One regular expression per cell; the bigint cast runs only
+    on integer-shaped text, so it never fails (a failed try-cast is costly)."""
+    v = F.trim(c)
+    number = v.rlike(NUMBER_SHAPE)
+    integer = F.when(no_fraction(v) & v.try_cast("bigint").isNotNull(), F.lit("i")).otherwise(F.lit("f"))
+    return (
+        F.when(c.isNull(), F.lit("n"))
+        .when(number, integer)
+        .when(F.lower(v).isin(*INFINITIES), F.lit("f"))
+        .when(c.isin(*C.CSV_TRUE_TOKENS, *C.CSV_FALSE_TOKENS), F.lit("b"))
+        .otherwise(F.lit("s"))
+    )
 
 
 def _q(name: str) -> Column:
@@ -34,35 +48,29 @@ def null_tokens(df: DataFrame, columns=None) -> DataFrame:
 
 
 def inference_aggregates(columns) -> list[Column]:
-    aggs = []
-    for i, c in enumerate(columns):
-        v = F.trim(_q(c))
-        present = _q(c).isNotNull()
-        aggs += [
-            F.count_if(present & ~v.rlike(INT_SHAPE)).alias(f"ni{i}"),
-            F.count_if(present & ~(v.rlike(NUMBER_SHAPE) | v.rlike(INFINITY_SHAPE))).alias(f"nf{i}"),
-            F.count_if(present & ~_q(c).isin(*C.CSV_TRUE_TOKENS, *C.CSV_FALSE_TOKENS)).alias(f"nb{i}"),
-            F.count_if(~present).alias(f"nn{i}"),
-            F.count(F.lit(1)).alias(f"rows{i}"),
-        ]
-    return aggs
+    """One aggregate per column: the set of cell kinds seen (at most five
+    codes, so the buffer is bounded).  Each kind column is referenced once,
+    which keeps the optimized plan small."""
+    return [F.collect_set(_q(c)).alias(f"k{i}") for i, c in enumerate(columns)]
+
+
+def decide_kinds(kinds) -> str:
+    """Spark type for a column from the set of its cell kinds."""
+    seen = set(kinds or ())
+    values = seen - {"n"}
+    if not values:
+        return "double"  # an all-missing column reads as float NaN
+    if values == {"i"}:
+        return "bigint" if "n" not in seen else "double"
+    if values <= {"i", "f"}:
+        return "double"
+    if values == {"b"} and "n" not in seen:
+        return "boolean"
+    return "string"
 
 
 def decide_types(row, columns) -> dict[str, str]:
-    out = {}
-    for i, c in enumerate(columns):
-        nulls, rows = row[f"nn{i}"], row[f"rows{i}"]
-        if rows and nulls == rows:
-            out[c] = "double"  # an all-missing column reads as float NaN
-        elif row[f"ni{i}"] == 0:
-            out[c] = "bigint" if nulls == 0 else "double"
-        elif row[f"nf{i}"] == 0:
-            out[c] = "double"
-        elif row[f"nb{i}"] == 0 and nulls == 0:
-            out[c] = "boolean"
-        else:
-            out[c] = "string"
-    return out
+    return {c: decide_kinds(row[f"k{i}"]) for i, c in enumerate(columns)}
 
 
 def cast_inferred(df: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -73,7 +81,7 @@ def cast_inferred(df: DataFrame, types: dict[str, str]) -> DataFrame:
         if t == "bigint":
             cols.append(v.try_cast("bigint").alias(c))
         elif t == "double":
-            cols.append(v.try_cast("double").alias(c))
+            cols.append(text_to_double(v).alias(c))
         elif t == "boolean":
             cols.append(_q(c).isin(*C.CSV_TRUE_TOKENS).alias(c))
         else:
@@ -81,9 +89,19 @@ def cast_inferred(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.select(*cols)
 
 
-def infer_and_cast(df: DataFrame, extra_aggs=()) -> tuple[DataFrame, object]:
-    """Infer every string column's type in one pass and cast; the pass can
-    carry extra aggregates (the encoding check) so nothing is read twice."""
+def infer_and_cast(df: DataFrame, check_text: str | None = None) -> tuple[DataFrame, object]:
+    """Infer every string column's type in one pass and cast.
+
+    With ``check_text`` the same pass also reports (as ``_bad`` > 0) whether
+    any cell contains that text - the encoding check - so nothing is read
+    twice."""
     columns = list(df.columns)
-    row = df.agg(*inference_aggregates(columns), *extra_aggs).first()
+    extra, extra_aggs = [], []
+    if check_text:
+        marks = [F.coalesce(F.instr(_q(c), check_text), F.lit(0)) for c in columns]
+        mark = F.greatest(*marks) if len(marks) > 1 else (marks[0] if marks else F.lit(0))
+        extra = [mark.alias("__mark")]
+        extra_aggs = [F.coalesce(F.max("__mark"), F.lit(0)).alias("_bad")]
+    staged = df.select(*[cell_kind(_q(c)).alias(c) for c in columns], *extra)
+    row = staged.agg(*inference_aggregates(columns), *extra_aggs).first()
     return cast_inferred(df, decide_types(row, columns)), row

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.casts import INFINITY_SHAPE, NUMBER_SHAPE
 from . import inference
 
 
@@ -41,30 +40,18 @@ def drill(pages: DataFrame, body_col: str, records_key: str | None, infer_types:
         entries = recs.select(
             F.explode(F.map_concat("rec", F.create_map(F.lit(_ROWS), F.lit("1")))).alias("field", "value")
         )
-        v = F.trim(F.col("value"))
-        present = F.col("value").isNotNull()
-        stats = entries.groupBy("field").agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.count_if(present).alias("present"),
-            F.count_if(present & ~v.rlike(inference.INT_SHAPE)).alias("not_int"),
-            F.count_if(present & ~(v.rlike(NUMBER_SHAPE) | v.rlike(INFINITY_SHAPE))).alias("not_num"),
-            F.count_if(present & ~F.col("value").isin(*C.CSV_TRUE_TOKENS, *C.CSV_FALSE_TOKENS)).alias("not_bool"),
-        ).collect()  # one row per distinct field name
+        kind = inference.cell_kind(F.col("value"))
+        stats = entries.select("field", kind.alias("k")).groupBy("field").agg(
+            F.count(F.lit(1)).alias("rows"), F.collect_set("k").alias("kinds")
+        ).collect()  # one row per distinct field name; at most five kinds each
         total = next((r["rows"] for r in stats if r["field"] == _ROWS), 0)
         found = sorted(r["field"] for r in stats if r["field"] != _ROWS)
         fields = fields if fields is not None else found
         for r in stats:
-            missing = total - r["present"]
-            if r["present"] == 0:
-                types[r["field"]] = "double"
-            elif r["not_int"] == 0:
-                types[r["field"]] = "bigint" if missing == 0 else "double"
-            elif r["not_num"] == 0:
-                types[r["field"]] = "double"
-            elif r["not_bool"] == 0 and missing == 0:
-                types[r["field"]] = "boolean"
-            else:
-                types[r["field"]] = "string"
+            kinds = set(r["kinds"])
+            if r["rows"] < total:
+                kinds.add("n")  # records without the field read as missing
+            types[r["field"]] = inference.decide_kinds(kinds)
     flat = recs.select(*[F.col("rec")[f].alias(f) for f in fields])
     if not infer_types:
         return flat
