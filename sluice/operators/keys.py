@@ -61,7 +61,9 @@ def first_in_group(df: DataFrame, keys, order_col: str, out_col: str, small_inpu
     cold = stats.filter(F.col("_n") * HOT_SHARE <= total).select(
         *[F.col(f"`{k}`").alias(c) for k, c in zip(keys, ck)],
         F.col("_first").alias("_cold_first"),
-        F.lit(0).alias("_csalt"),
+        # salt 0, computed from a column: a literal would be constant-folded
+        # out of the join keys and the shuffle would again be by key alone
+        (F.col("_n") - F.col("_n")).alias("_csalt"),
     )
 
     hot_b = F.broadcast(hot)
@@ -69,7 +71,7 @@ def first_in_group(df: DataFrame, keys, order_col: str, out_col: str, small_inpu
     tagged = tagged.withColumn(
         "_salt",
         F.when(F.col("_hot_first").isNull(), F.lit(0)).otherwise(
-            1 + F.pmod(F.xxhash64(F.col(f"`{order_col}`")), F.lit(spread))
+            1 + F.pmod(F.xxhash64(F.col(f"`{order_col}`")), F.lit(spread).cast("long"))
         ),
     )
     cond = _eq_all(tagged, cold, keys, ck) & (tagged["_salt"] == cold["_csalt"])

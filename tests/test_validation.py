@@ -99,3 +99,16 @@ def test_unique_with_a_hot_key_matches_brute_force(spark):
     res = validate(df, [ValidationRule("v", "unique")], order_by="k")
     expected = sorted(k for k, v in data if first[v] != k)
     assert sorted(r["row_id"] for r in res.errors.collect()) == expected
+
+
+def test_cold_join_shuffles_on_key_and_salt(spark):
+    # the salt must survive optimization as a join key, or a hot key's rows
+    # would all be shuffled into one partition
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(i, f"v{i % 5}") for i in range(50)], "k long, v string")
+        plan = first_in_group(df, ["v"], "k", "first", small_input=False)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    smj = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert smj and "_salt" in smj[0] and "_csalt" in smj[0]
