@@ -14,8 +14,10 @@ every group, so each group may be sorted in one task.  Otherwise:
 3. a small table of chunks - one row per (partition, group), at most
    partitions + groups rows - gives each chunk's offset inside its group and
    the group size n, hence the ids of ranks floor((n-1)/2) and floor(n/2);
-4. those ids are joined back and averaged: the mean of the middle pair for
-   even n, the middle value for odd n.  NaN and null values are skipped.
+4. those ids are joined back - broadcast when a bounded count shows at most
+   ``BROADCAST_TARGET_ROWS`` of them, else a join on the unique id - and
+   averaged: the mean of the middle pair for even n, the middle value for
+   odd n.  NaN and null values are skipped.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ from pyspark.sql import functions as F
 
 from ..session import SMALL_INPUT_ROWS, at_most, materialize
 
+# Target-id tables up to this many rows (8 bytes each) are broadcast.
+BROADCAST_TARGET_ROWS = 1_000_000
+
 
 def exact_median(df: DataFrame, value: str, group_by=(), alias: str = "median",
                  small_input: bool | None = None) -> DataFrame:
@@ -69,7 +74,12 @@ def exact_median(df: DataFrame, value: str, group_by=(), alias: str = "median",
         .filter((F.col("_t") >= F.col("_off")) & (F.col("_t") < F.col("_off") + F.col("_cnt")))
         .select((F.col("_start") + F.col("_t") - F.col("_off")).alias("_id"))
     )
-    picked = ordered.join(targets, "_id")
+    # at most two target ids per group: broadcast them when a bounded count
+    # proves the table small, otherwise join by id (ids are unique: no skew)
+    if at_most(targets, BROADCAST_TARGET_ROWS):
+        picked = ordered.join(F.broadcast(targets), "_id")
+    else:
+        picked = ordered.join(targets, "_id")
     if keys:
         return picked.groupBy(*key_cols).agg(F.avg("_v").alias(alias))
     return picked.agg(F.avg("_v").alias(alias))
