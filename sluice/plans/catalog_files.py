@@ -124,3 +124,78 @@ def sink_quarantine_file(spark, sf_dir):
     bad = quarantine_rows(validate(customer_n(spark, sf_dir), _MULTI_RULES, order_by="c_custkey"))
     rep = write_quarantine(bad, scratch(spark, "quarantine"))
     return read_csv(spark, rep["output_path"])
+
+
+# ---------------------------------------------------------------------------
+# whole jobs (J1) and the streaming folder job over files derived from orders
+
+_JOB_SQL = f"""WITH {ORDERS_N},
+f AS (SELECT * FROM orders_n WHERE coalesce(o_totalprice > 100000, false)),
+m AS (SELECT o_orderkey, round_even(o_totalprice * 100, 0) / 100 AS amount, o_orderpriority FROM f)
+SELECT o_orderkey, amount, o_orderpriority FROM m WHERE NOT coalesce(amount > 400000, false)"""
+
+_JOB_MAPPINGS = [
+    {"column_name": "o_orderkey", "target_dtype": "bigint"},
+    {"column_name": "o_totalprice", "target_dtype": "decimal", "rename_to": "amount"},
+    {"column_name": "o_orderpriority", "target_dtype": "string"},
+]
+_JOB_FILTERS = [{"column": "o_totalprice", "operator": "gt", "value": 100000}]
+_JOB_RULES = [{"column": "amount", "rule_type": "max_value", "params": {"max": 400000}}]
+
+
+def _orders_csv(spark, sf_dir, name, records_per_file=None):
+    src = orders_n(spark, sf_dir).select("o_orderkey", "o_totalprice", "o_orderpriority")
+    w = src.write.mode("error").option("header", True).option("escape", '"')
+    if records_per_file:
+        w = w.option("maxRecordsPerFile", records_per_file)
+    path = scratch(spark, name)
+    w.csv(path)
+    return path
+
+
+@register("job_file_pipeline", _JOB_SQL)
+def job_file_pipeline(spark, sf_dir):
+    from ..specs import JobSpec
+    from .jobs import run_job
+
+    src = _orders_csv(spark, sf_dir, "orders-in.csv")
+    out = scratch(spark, "orders-out")
+    spec = JobSpec(
+        file_source={"path": src},
+        filters=_JOB_FILTERS,
+        column_mappings=_JOB_MAPPINGS,
+        validation_rules=_JOB_RULES,
+        order_by="o_orderkey",
+        file_destination={"format": "parquet", "output_path": out},
+        quarantine_path=scratch(spark, "orders-rejected"),
+    )
+    result = run_job(spark, spec)
+    if not result["success"]:
+        raise RuntimeError(result["message"])
+    return read_parquet(spark, out).select("o_orderkey", "amount", "o_orderpriority")
+
+
+@register("stream_folder_pipeline", _JOB_SQL)
+def stream_folder_pipeline(spark, sf_dir):
+    from ..specs import JobSpec
+    from ..streaming.folder import read_outputs, watch_folder
+
+    # about eight files, one micro-batch (= one job) each; the stages are row-local,
+    # so the union of the per-file outputs equals the whole-table result
+    rows = table(spark, sf_dir, "orders").count()  # from file metadata
+    inbox = _orders_csv(spark, sf_dir, "orders-inbox", records_per_file=max(1000, -(-rows // 8)))
+    out = scratch(spark, "orders-stream-out")
+    spec = JobSpec(
+        table_source="inbox",
+        filters=_JOB_FILTERS,
+        column_mappings=_JOB_MAPPINGS,
+        validation_rules=_JOB_RULES,
+        order_by="o_orderkey",
+        file_destination={"format": "parquet", "output_path": out},
+    )
+    query = watch_folder(spark, inbox, ["o_orderkey", "o_totalprice", "o_orderpriority"], spec, out,
+                         scratch(spark, "orders-stream-ckpt"))
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+    return read_outputs(spark, out).select("o_orderkey", "amount", "o_orderpriority")
