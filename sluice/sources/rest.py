@@ -1,10 +1,10 @@
 """Paged REST source (page-number or next-URL paging) as a Python data
 source, plus the transports it and the REST sink use.
 
-Page-number paging with ``max_pages`` splits the page range over several
-input partitions, so pages are fetched in parallel; open-ended paging (stop
-at the first empty page) and next-URL paging are sequential by nature and
-run as one partition.  Each row is one page: (page, url, body).  Records are
+Page-number paging is fetched in parallel: a bounded range (``max_pages``)
+is split over partitions, an open-ended one runs in rounds of parallel
+ranges until a round meets an empty page.  Next-URL paging is sequential by
+nature (each URL comes from the previous page) and runs as one partition.  Each row is one page: (page, url, body).  Records are
 then drilled out of the bodies by ``payloads.drill``.
 
 Transports are plain functions.  ``file://`` URLs replay landed pages
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import importlib
 import json
+from functools import reduce
 import os
 import urllib.parse
 import urllib.request
@@ -36,6 +37,8 @@ def default_transport(method: str, url: str, body: str | None = None, headers: d
     if url.startswith("file://"):
         path = url[len("file://"):]
         if method == "GET":
+            if not os.path.exists(path):
+                return None  # past the last landed page: an empty page
             with open(path, encoding="utf-8") as fh:
                 return fh.read()
         os.makedirs(path, exist_ok=True)
@@ -127,8 +130,8 @@ class RestPagesReader(DataSourceReader):
         while url:
             target = page_url(url, self._params(page)) if page is not None else url
             body = fetch("GET", target, None, self.headers)
-            data = json.loads(body)
-            records = _drill(data, self.records_key)
+            data = json.loads(body) if body is not None else {}
+            records = _drill(data, self.records_key) if body is not None else None
             if not isinstance(records, list) or not records:
                 if partition.last is not None:
                     # marks where paging ends; later ranges are cut off there
@@ -158,9 +161,7 @@ class RestPagesSource(DataSource):
         return RestPagesReader(self.options)
 
 
-def read_pages(spark: SparkSession, source: ApiSource, transport: str | None = None,
-               pages_per_partition: int = 8) -> DataFrame:
-    """One row per fetched page: (page, url, body)."""
+def _reader(spark: SparkSession, source: ApiSource, transport: str | None, pages_per_partition: int):
     spark.dataSource.register(RestPagesSource)
     reader = spark.read.format("sluice_rest").option("url", source.url)
     opts = {
@@ -177,20 +178,50 @@ def read_pages(spark: SparkSession, source: ApiSource, transport: str | None = N
     }
     for k, v in opts.items():
         reader = reader.option(k, v)
-    pages = reader.load()
-    if source.next_url_key or not source.page_param or source.max_pages is None:
-        return pages
-    # Ranges are fetched in parallel; paging stops at the first empty page,
-    # so pages after it (fetched by later ranges) are dropped.  The fetched
-    # pages are landed once in the checkpoint folder so the API is not
-    # called again by the two uses below.
-    from ..session import materialize
+    return reader.load()
+
 
-    landed = materialize(pages)
+def _cut_at_first_empty(landed: DataFrame) -> DataFrame:
     first_empty = landed.filter(F.col("body").isNull()).agg(F.min("page")).scalar()
     return landed.filter(F.col("body").isNotNull() & (F.col("page") < F.coalesce(first_empty, F.lit(2**62))))
 
 
+def read_pages(spark: SparkSession, source: ApiSource, transport: str | None = None,
+               pages_per_partition: int = 8, max_rounds: int | None = None) -> DataFrame:
+    """One row per fetched page: (page, url, body).
+
+    * next-URL paging: one sequential partition (each URL comes from the
+      previous page);
+    * page numbers with ``max_pages``: the range is split over partitions
+      and fetched in parallel;
+    * page numbers without a bound: rounds of parallel ranges, each round
+      landed in the checkpoint folder, until a round holds an empty page.
+
+    Pages after the first empty page are dropped, as sequential paging
+    would never fetch them.  Landing the pages once means the API is not
+    called again by later uses of the frame.
+    """
+    from dataclasses import replace
+
+    from ..session import materialize
+
+    if source.next_url_key or not source.page_param:
+        return _reader(spark, source, transport, pages_per_partition)
+    if source.max_pages is not None:
+        return _cut_at_first_empty(materialize(_reader(spark, source, transport, pages_per_partition)))
+    per_round = pages_per_partition * max(1, spark.sparkContext.defaultParallelism)
+    rounds = []
+    start = source.start_page
+    while max_rounds is None or len(rounds) < max_rounds:
+        chunk = replace(source, start_page=start, max_pages=per_round)
+        landed = materialize(_reader(spark, chunk, transport, pages_per_partition))
+        rounds.append(landed)
+        if landed.filter(F.col("body").isNull()).limit(1).count():
+            break
+        start += per_round
+    return _cut_at_first_empty(reduce(lambda a, b: a.unionByName(b), rounds))
+
+
 def read_api(spark: SparkSession, source: ApiSource, transport: str | None = None, infer_types: bool = True):
     """Records of a paged REST API as rows (one per record)."""
     from .payloads import drill

@@ -127,9 +127,11 @@ def test_rest_page_number_paging_parallel(spark):
     df = rest.read_api(spark, src)
     assert df.count() == 15
     assert df.schema["id"].dataType.simpleString() == "bigint"
-    # open-ended paging stops at the first empty page
+    # open-ended paging runs in parallel rounds and stops at the first empty page
     df2 = rest.read_api(spark, ApiSource(url=f"file://{d}", records_key="results"))
     assert df2.count() == 15
+    rounds = rest.read_pages(spark, ApiSource(url=f"file://{d}", records_key="results"), pages_per_partition=1)
+    assert sorted(r["page"] for r in rounds.collect()) == [1, 2, 3, 4, 5]
 
 
 def test_rest_parallel_ranges_stop_at_first_empty_page(spark):
