@@ -11,7 +11,6 @@ from __future__ import annotations
 import datetime as _dt
 import logging
 import uuid
-from dataclasses import replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -28,7 +27,7 @@ from ..session import materialize
 from ..sources.files import scan
 from ..sources.jdbc import read_db
 from ..sources.rest import read_api
-from ..specs import DatabaseDestination, DatabaseSource, JobSpec
+from ..specs import DatabaseDestination, DatabaseSource, FileDestination, JobSpec
 from . import ledger
 
 log = logging.getLogger("sluice.jobs")
@@ -145,7 +144,7 @@ def run_job(
                 bad = annotated.filter(F.col(BAD)).select(
                     *user_cols, error_text().alias("_validation_errors")
                 )
-                invalid_file = write_file(bad, replace_file(spec.quarantine_path))["output_path"]
+                invalid_file = write_file(bad, FileDestination("csv", spec.quarantine_path))["output_path"]
                 jl.info(f"Saved {failed_rows} invalid row(s) to {invalid_file}")
 
         if spec.aggregations:
@@ -203,12 +202,6 @@ def run_job(
     return result
 
 
-def replace_file(path: str):
-    from ..specs import FileDestination
-
-    return FileDestination("csv", path)
-
-
 def submit(spark: SparkSession, spec: JobSpec, ledger_path: str, **kwargs) -> dict:
     """Idempotent submission: an identical request seen within the ledger
     window returns the earlier job instead of running again."""
@@ -232,7 +225,3 @@ def upload_file(spark: SparkSession, path: str, destination: DatabaseDestination
     mapped = apply_mappings(df, mappings, on_error="fail")
     report = load_table(mapped.df, destination, mappings, batch_size)
     return {"success": True, "table_name": destination.table_name, **report}
-
-
-def with_destination(spec: JobSpec, **changes) -> JobSpec:
-    return replace(spec, **changes)
