@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.casts import FLOATING_TYPES
 from ..specs import AggregationRule
 from .median import exact_median
 
@@ -23,8 +24,10 @@ def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def agg_expression(function: str, column: str, order_col: str | None) -> Column:
+def agg_expression(function: str, column: str, order_col: str | None, floating: bool = False) -> Column:
     c = _q(column)
+    if floating:
+        c = F.when(~F.isnan(c), c)  # NaN is a missing value, skipped like null
     if function == "sum":
         # an all-null group sums to 0
         return F.coalesce(F.sum(c), F.lit(0))
@@ -62,7 +65,9 @@ def aggregate(df: DataFrame, rule, order_by: str | None = None) -> DataFrame:
     missing = [k for k in keys if k not in df.columns]
     if missing:
         raise ValueError(f"group_by columns not found: {missing}")
-    base = df.filter(reduce(lambda a, b: a & b, [_q(k).isNotNull() for k in keys]))
+    floating = {f.name for f in df.schema.fields if isinstance(f.dataType, FLOATING_TYPES)}
+    present = [(_q(k).isNotNull() & ~F.isnan(_q(k))) if k in floating else _q(k).isNotNull() for k in keys]
+    base = df.filter(reduce(lambda a, b: a & b, present))
     order_col = order_by
     if order_col is None and any(a.function in ("first", "last") for a in rule.aggregations):
         order_col = ROW_ID
@@ -72,7 +77,7 @@ def aggregate(df: DataFrame, rule, order_by: str | None = None) -> DataFrame:
     medians = [a for a in rule.aggregations if a.function == "median"]
     key_cols = [_q(k) for k in keys]
 
-    exprs = [agg_expression(a.function, a.column, order_col).alias(a.name) for a in plain]
+    exprs = [agg_expression(a.function, a.column, order_col, a.column in floating).alias(a.name) for a in plain]
     out = base.groupBy(*key_cols).agg(*(exprs or [F.count(F.lit(1)).alias("_size")]))
     for a in medians:
         # groups whose values are all null get a null median, not a lost row

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.casts import FLOATING_TYPES
 from ..functions.literals import LiteralTypeError, typed_literal, typed_values
 from ..specs import FilterRule
 
@@ -41,16 +42,25 @@ def rule_predicate(df: DataFrame, rule: FilterRule) -> tuple[Column, Column] | N
     c = F.col(f"`{rule.column}`")
     dtype = df.schema[rule.column].dataType
     op = rule.operator
+    # NaN is a missing value; the extra term stays outside the pushed-down
+    # comparison, so the scan still receives the plain predicate
+    nan = F.isnan(c) if isinstance(dtype, FLOATING_TYPES) else None
+
+    def present(p: Column) -> Column:
+        return p if nan is None else p & ~nan
+
+    def or_missing(p: Column) -> Column:
+        return p if nan is None else p | nan
 
     if op == "is_null":
-        p = c.isNull()
+        p = or_missing(c.isNull())
         return p, p
     if op == "is_not_null":
-        p = c.isNotNull()
+        p = present(c.isNotNull())
         return p, p
     if op in ("eq", "neq"):
         lit = typed_literal(dtype, rule.value)
-        eq = c.eqNullSafe(lit) if lit is not None else F.lit(False)
+        eq = present(c.eqNullSafe(lit)) if lit is not None else F.lit(False)
         p = eq if op == "eq" else ~eq
         return p, p
     if op in _ORDERING:
@@ -60,17 +70,17 @@ def rule_predicate(df: DataFrame, rule: FilterRule) -> tuple[Column, Column] | N
                 f"cannot compare column '{rule.column}' ({dtype.simpleString()}) "
                 f"with {rule.value!r} using '{op}'"
             )
-        plain = _ORDERING[op](c, lit)
+        plain = present(_ORDERING[op](c, lit))
         return plain, F.coalesce(plain, F.lit(False))
     if op in ("contains", "not_contains"):
-        plain = _contains(c, rule.value)
+        plain = present(_contains(c, rule.value))
         total = F.coalesce(plain, F.lit(False))
         if op == "contains":
             return plain, total
         return ~total, ~total
     if op in ("in", "not_in"):
         vals = typed_values(dtype, rule.values)
-        plain = c.isin(*vals) if vals else F.lit(False)
+        plain = present(c.isin(*vals)) if vals else F.lit(False)
         total = F.coalesce(plain, F.lit(False))
         if op == "in":
             return plain, total

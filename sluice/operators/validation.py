@@ -67,7 +67,7 @@ def bad_predicate(df: DataFrame, rule: ValidationRule, dup_col: str | None, orde
     params = rule.params or {}
     kind = rule.rule_type
     if kind == "not_null":
-        return c.isNull()
+        return (c.isNull() | F.isnan(c)) if isinstance(dtype, casts.FLOATING_TYPES) else c.isNull()
     if kind == "unique":
         return _never_null(_q(order_col) > _q(dup_col))
     if kind in ("min_value", "max_value"):

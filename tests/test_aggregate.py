@@ -81,3 +81,12 @@ def test_rule_checks():
         AggregationRule([], [{"column": "a", "function": "sum"}])
     with pytest.raises(SpecError):
         AggregationRule(["k"], [{"column": "a", "function": "mode"}])
+
+
+def test_nan_is_skipped_like_null(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("a", 3.0), (None, 1.0)], "k string, v double")
+    out = agg(df, {"column": "v", "function": "sum"}, {"column": "v", "function": "max"},
+              {"column": "v", "function": "count"}, {"column": "v", "function": "mean"}, keys=("k",))
+    assert out == [{"k": "a", "sum_v": 4.0, "max_v": 3.0, "count_v": 2, "mean_v": 2.0}]
+    keyed = spark.createDataFrame([(float("nan"), 1), (1.0, 2)], "k double, v int")
+    assert [r["k"] for r in aggregate(keyed, {"group_by": ["k"], "aggregations": [{"column": "v", "function": "sum"}]}).collect()] == [1.0]

@@ -100,3 +100,17 @@ def test_kept_side_pushes_into_parquet_scan(spark):
     kept, _ = apply_filters(df, [FilterRule("o_totalprice", "gt", 1000), FilterRule("o_orderstatus", "eq", "F")])
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,1000.0)" in plan
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, float("nan")), (3, None), (4, 5.0)], "k int, v double")
+
+    def ks(rule):
+        kept, dropped = apply_filters(df, [FilterRule(**rule)])
+        assert kept.count() + dropped.count() == 4
+        return sorted(r["k"] for r in kept.collect())
+
+    assert ks({"column": "v", "operator": "gt", "value": 2}) == [4]
+    assert ks({"column": "v", "operator": "is_null"}) == [2, 3]
+    assert ks({"column": "v", "operator": "neq", "value": 1.0}) == [2, 3, 4]
+    assert ks({"column": "v", "operator": "not_in", "values": [5.0]}) == [1, 2, 3]
