@@ -158,3 +158,49 @@ register(
 register("profile_preview", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5")(
     lambda spark, d: P.preview(table(spark, d, "orders"), "o_orderkey", 5)
 )
+
+
+def _pick(sql: str, cols: str) -> str:
+    return f"SELECT {cols} FROM ({sql}) AS p"
+
+
+register(
+    "profile_missing",
+    f"WITH {CUSTOMER_N} " + _pick(_profile_sql("customer_n", "c_custkey", _CUSTOMER_COLS), "column_name, missing_count"),
+)(lambda spark, d: P.column_profile(customer_n(spark, d), order_by="c_custkey").select("column_name", "missing_count"))
+
+_CONVERSATION_COLS = [
+    ("conv_id", "bigint", "int"),
+    ("turn", "bigint", "int"),
+    ("role", "string", "string"),
+    ("text", "string", "string"),
+]
+_ORDER_COLS = [
+    ("o_orderkey", "bigint", "int"),
+    ("o_custkey", "bigint", "int"),
+    ("o_orderstatus", "string", "string"),
+    ("o_totalprice", "double", "double"),
+    ("o_orderdate", "timestamp_ntz", "timestamp"),
+    ("o_orderpriority", "string", "string"),
+]
+
+register(
+    "profile_suggest",
+    " UNION ALL ".join(
+        [
+            _pick(_profile_sql("conversations", "conv_id, turn", _CONVERSATION_COLS), "'conversations' AS table_name, column_name, suggested_type"),
+            _pick(_profile_sql("orders", "o_orderkey", _ORDER_COLS), "'orders' AS table_name, column_name, suggested_type"),
+        ]
+    ),
+)(
+    lambda spark, d: P.column_profile(
+        table(spark, d, "conversations").withColumn("_order", F.struct("conv_id", "turn")), order_by="_order"
+    )
+    .filter(F.col("column_name") != "_order")
+    .select(F.lit("conversations").alias("table_name"), "column_name", "suggested_type")
+    .unionByName(
+        P.column_profile(table(spark, d, "orders"), order_by="o_orderkey").select(
+            F.lit("orders").alias("table_name"), "column_name", "suggested_type"
+        )
+    )
+)
