@@ -123,3 +123,37 @@ def test_validation_matches_model_and_split_is_total(spark, rows, rules):
     invalid = {i for i, _, _ in expect_errors}
     assert sorted(r["i"] for r in res.invalid.collect()) == sorted(invalid)
     assert sorted(r["i"] for r in res.valid.collect()) == sorted(i for i, *_ in data if i not in invalid)
+
+
+NUM_RE = re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?")
+
+
+def model_float(text):
+    if text is None:
+        return None
+    s = text.replace(",", "").replace("$", "").strip()
+    if NUM_RE.fullmatch(s) or s.lower() in ("inf", "+inf", "-inf", "infinity", "+infinity", "-infinity"):
+        return float(s)
+    return None
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(texts=st.lists(st.one_of(st.none(), st.text(alphabet="0123456789+-.eE $,dfnaiy", max_size=8)),
+                      min_size=1, max_size=25))
+def test_float_and_integer_casts_match_model(spark, texts):
+    from sluice.operators.mapping import apply_mappings
+    from sluice.specs import ColumnMapping
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string")
+    got = [r["v"] for r in apply_mappings(df, [ColumnMapping("v", "float")]).df.orderBy("i").collect()]
+    want = [model_float(t) for t in texts]
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert (g is None and w is None) or g == w
+    res = apply_mappings(df, [ColumnMapping("v", "integer")], on_error="report")
+    whole = all(w is None or (w == w and abs(w) != float("inf") and w == int(w) and abs(w) < 2**63) for w in want)
+    if whole:
+        ints = [r["v"] for r in res.df.orderBy("i").collect()]
+        assert ints == [None if w is None else int(w) for w in want]
+    else:
+        assert res.errors and "not whole numbers" in res.errors[0]["error"]
