@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import SMALL_INPUT_ROWS, at_most
+from ..session import at_most
 
 # A key is hot when it holds more than 1/HOT_SHARE of the rows; at most
 # HOT_SHARE - 1 keys can be hot, which bounds the broadcast side.
@@ -44,7 +44,7 @@ def first_in_group(df: DataFrame, keys, order_col: str, out_col: str, small_inpu
     """
     keys = list(keys)
     if small_input is None:
-        small_input = at_most(df, SMALL_INPUT_ROWS)
+        small_input = at_most(df)
     if small_input:
         w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys])
         return df.withColumn(out_col, F.min(F.col(f"`{order_col}`")).over(w))

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import SMALL_INPUT_ROWS, at_most, materialize
+from ..session import at_most, materialize
 
 # Target-id tables up to this many rows (8 bytes each) are broadcast.
 BROADCAST_TARGET_ROWS = 1_000_000
@@ -42,7 +42,7 @@ def exact_median(df: DataFrame, value: str, group_by=(), alias: str = "median",
     )
     key_cols = [F.col(k) for k in keys]
     if small_input is None:
-        small_input = at_most(data, SMALL_INPUT_ROWS)
+        small_input = at_most(data)
     if small_input:
         # no group can exceed the bound, so sorting each group in one task is
         # safe: rank the values and average the middle one or two

@@ -74,7 +74,17 @@ def materialize(df: DataFrame) -> DataFrame:
 SMALL_INPUT_ROWS = 2_000_000
 
 
-def at_most(df: DataFrame, rows: int = SMALL_INPUT_ROWS) -> bool:
-    """True when ``df`` has at most ``rows`` rows.  Reads at most rows + 1
-    rows (a bounded limit), not the whole input."""
+def small_input_rows(spark: SparkSession) -> int:
+    """The small-input bound; ``spark.sluice.smallInputRows`` overrides it
+    (0 forces the large-input paths everywhere, e.g. to test them)."""
+    return int(spark.conf.get("spark.sluice.smallInputRows", str(SMALL_INPUT_ROWS)))
+
+
+def at_most(df: DataFrame, rows: int | None = None) -> bool:
+    """True when ``df`` has at most ``rows`` rows (default: the session's
+    small-input bound).  Reads at most rows + 1 rows, not the whole input."""
+    if rows is None:
+        rows = small_input_rows(df.sparkSession)
+    if rows <= 0:
+        return False
     return df.limit(rows + 1).count() <= rows
