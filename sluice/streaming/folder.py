@@ -52,14 +52,18 @@ def watch_folder(
     checkpoint: str,
     quarantine_dir: str | None = None,
     once: bool = True,
+    files_per_trigger: int = 1,
 ):
-    """Start the folder job; with ``once`` it drains what is there and stops."""
+    """Start the folder job; with ``once`` it drains what is there and stops.
+
+    ``files_per_trigger`` > 1 groups several small files into one job (the
+    group then shares first-occurrence and aggregation scope)."""
     stream = (
         spark.readStream.schema(text_schema(columns))
         .option("header", True)
         .option("multiLine", True)
         .option("escape", '"')
-        .option("maxFilesPerTrigger", 1)
+        .option("maxFilesPerTrigger", files_per_trigger)
         .csv(folder)
     )
     writer = (

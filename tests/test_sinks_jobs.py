@@ -155,7 +155,7 @@ def test_idempotent_submit_and_expiry(spark):
     first = jobs.submit(spark, spec, led)
     second = jobs.submit(spark, spec, led)
     assert second["duplicate"] and second["job_id"] == first["job_id"]
-    later = dt.datetime.utcnow() + dt.timedelta(hours=25)
+    later = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) + dt.timedelta(hours=25)
     assert ledger.find_job(spark, led, ledger.request_hash(spec), now=later) is None
     reqs = spark.createDataFrame([(ledger.request_hash(spec),), ("other",)], "request_hash string")
     assert [r[0] for r in ledger.pending_requests(reqs, spark, led).collect()] == ["other"]
