@@ -104,7 +104,8 @@ def validate(df: DataFrame, rules, order_by: str | None = None) -> ValidationRes
 
     ``order_by`` names the row-order column (first occurrence for ``unique``
     and the ``row_id`` of error records).  Without one, file order from
-    ``monotonically_increasing_id`` right after the scan is used.
+    ``monotonically_increasing_id`` right after the scan is used; that is
+    stable for a direct file scan - pass a column for shuffled inputs.
     """
     rules = [r if isinstance(r, ValidationRule) else ValidationRule(**r) for r in rules or ()]
     base = df
