@@ -88,3 +88,23 @@ def at_most(df: DataFrame, rows: int | None = None) -> bool:
     if rows <= 0:
         return False
     return df.limit(rows + 1).count() <= rows
+
+
+def cluster_settings(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Spark settings for a cluster run over ``input_bytes`` of input.
+
+    Shuffle partitions are sized so one partition holds about
+    ``target_partition_bytes``; AQE then coalesces small ones and splits
+    skewed ones at run time.  File splits match the same size.  The shared
+    checkpoint folder (``spark.checkpoint.dir``) is the cluster's to set.
+    """
+    partitions = max(200, min(200_000, -(-input_bytes // target_partition_bytes)))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.session.timeZone": "UTC",
+    }
