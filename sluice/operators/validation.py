@@ -5,7 +5,8 @@ of the stage fuse into a single projection: ``_invalid = bad_1 OR ...`` for
 the split and ``_errors = concat(when(bad_i, array(struct_i)) ...)`` for the
 reasons, both inside whole-stage codegen.
 Only ``unique`` needs data from other rows; it uses the skew-safe
-first-occurrence lookup in ``keys``.
+first-occurrence lookup in ``keys``.  Text keys are grouped by their SHA-256
+digest, so the shuffles move 32 bytes per key instead of the whole text.
 """
 
 from __future__ import annotations
@@ -119,7 +120,14 @@ def validate(df: DataFrame, rules, order_by: str | None = None) -> ValidationRes
     for r in rules:
         if r.rule_type == "unique" and r.column in df.columns and r.column not in dup_cols:
             name = f"_first_{len(dup_cols)}"
-            work = first_in_group(work, [r.column], order_col, name)
+            key = r.column
+            dtype = df.schema[r.column].dataType
+            if casts.is_string(dtype) or isinstance(dtype, T.BinaryType):
+                # group and join long values by a 32-byte digest instead of
+                # the value itself (nulls stay null, so they still group)
+                key = f"_digest_{len(dup_cols)}"
+                work = work.withColumn(key, F.sha2(_q(r.column).cast("binary"), 256))
+            work = first_in_group(work, [key], order_col, name)
             dup_cols[r.column] = name
 
     bads, structs = [], []
