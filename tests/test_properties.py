@@ -157,3 +157,44 @@ def test_float_and_integer_casts_match_model(spark, texts):
         assert ints == [None if w is None else int(w) for w in want]
     else:
         assert res.errors and "not whole numbers" in res.errors[0]["error"]
+
+
+# named format -> strptime form (the parse the mapping reproduces)
+STRPTIME = {
+    "YYYY-MM-DD": "%Y-%m-%d", "YY-MM-DD": "%y-%m-%d", "DD-MM-YYYY": "%d-%m-%Y", "DD-MM-YY": "%d-%m-%y",
+    "YYYY/MM/DD": "%Y/%m/%d", "YY/MM/DD": "%y/%m/%d", "DD/MM/YYYY": "%d/%m/%Y", "DD/MM/YY": "%d/%m/%y",
+    "MMM DD, YYYY": "%b %d, %Y", "MMMM DD, YYYY": "%B %d, %Y",
+}
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    fmt=st.sampled_from(sorted(STRPTIME)),
+    dates=st.lists(st.dates(min_value=__import__("datetime").date(1950, 1, 1),
+                            max_value=__import__("datetime").date(2060, 12, 31)), min_size=1, max_size=12),
+    unpad=st.booleans(),
+    upper=st.booleans(),
+)
+def test_named_date_formats_match_strptime(spark, fmt, dates, unpad, upper):
+    import datetime as dt
+
+    from sluice.operators.mapping import apply_mappings
+    from sluice.specs import ColumnMapping
+
+    texts = []
+    for d in dates:
+        t = d.strftime(STRPTIME[fmt])
+        if unpad:  # one-digit day and month are accepted too
+            t = re.sub(r"(?<![0-9])0([1-9])(?![0-9])", r"\1", t)
+        texts.append(t.upper() if upper else t)
+    texts.append("not-a-date")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string")
+    got = [r["v"] for r in apply_mappings(df, [ColumnMapping("v", "date", date_format=fmt)]).df.orderBy("i").collect()]
+
+    def model(t):
+        try:
+            return dt.datetime.strptime(t, STRPTIME[fmt]).date()
+        except ValueError:
+            return None
+
+    assert got == [model(t) for t in texts]
