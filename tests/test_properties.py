@@ -198,3 +198,44 @@ def test_named_date_formats_match_strptime(spark, fmt, dates, unpad, upper):
             return None
 
     assert got == [model(t) for t in texts]
+
+
+DT_STRPTIME = {
+    "YYYY-MM-DD HH:MM:SS": "%Y-%m-%d %H:%M:%S",
+    "DD-MM-YYYY HH:MM:SS": "%d-%m-%Y %H:%M:%S",
+    "MM-DD-YYYY HH:MM:SS": "%m-%d-%Y %H:%M:%S",
+    "YYYY-MM-DDTHH:MM:SS": "%Y-%m-%dT%H:%M:%S",
+    "ISO8601": "%Y-%m-%dT%H:%M:%SZ",
+}
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    fmt=st.sampled_from(sorted(DT_STRPTIME)),
+    stamps=st.lists(st.datetimes(min_value=__import__("datetime").datetime(1970, 1, 1),
+                                 max_value=__import__("datetime").datetime(2050, 12, 31)), min_size=1, max_size=10),
+    unpad=st.booleans(),
+)
+def test_named_datetime_formats_match_strptime(spark, fmt, stamps, unpad):
+    import datetime as dt
+
+    from sluice.operators.mapping import apply_mappings
+    from sluice.specs import ColumnMapping
+
+    texts = []
+    for s_ in stamps:
+        t = s_.replace(microsecond=0).strftime(DT_STRPTIME[fmt])
+        if unpad:
+            t = re.sub(r"(?<![0-9])0([0-9])(?![0-9])", r"\1", t)
+        texts.append(t)
+    texts.append("2024-13-45 99:99:99")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string")
+    got = [r["v"] for r in apply_mappings(df, [ColumnMapping("v", "datetime", datetime_format=fmt)]).df.orderBy("i").collect()]
+
+    def model(t):
+        try:
+            return dt.datetime.strptime(t, DT_STRPTIME[fmt])
+        except ValueError:
+            return None
+
+    assert got == [model(t) for t in texts]
