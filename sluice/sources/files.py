@@ -107,7 +107,9 @@ def read_excel(spark: SparkSession, path: str) -> DataFrame:
         for pdf in batches:
             for content in pdf["content"]:
                 book = pd.read_excel(io.BytesIO(content), dtype=str)
-                yield book.reindex(columns=[f.name for f in schema.fields])
+                book = book.reindex(columns=[f.name for f in schema.fields])
+                # empty cells come back as float NaN; text columns need None
+                yield book.astype(object).where(book.notna(), None)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     df = files.mapInPandas(read, schema)
