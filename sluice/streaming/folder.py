@@ -10,6 +10,7 @@ processed exactly once even across restarts and lost executors.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,22 +26,28 @@ def text_schema(columns) -> T.StructType:
 
 def process_batch(batch: DataFrame, batch_id: int, spec, output_dir: str, quarantine_dir: str | None,
                   infer: bool = True) -> None:
-    df = inference.null_tokens(batch)
-    if infer:
-        df, _ = inference.infer_and_cast(df)
-    res = run_stages(
-        df,
-        filters=spec.filters,
-        mappings=spec.column_mappings,
-        rules=spec.validation_rules,
-        aggregation=spec.aggregations,
-        order_by=spec.order_by,
-        on_error=spec.on_error,
-    )
-    res.output.write.mode("overwrite").parquet(f"{output_dir}/batch={batch_id}")
-    if quarantine_dir and res.validation is not None:
-        bad = res.validation.invalid.withColumn("_validation_errors", error_text()).drop(ERRORS)
-        bad.write.mode("overwrite").option("header", True).csv(f"{quarantine_dir}/batch={batch_id}")
+    # the micro-batch (one file) feeds the inference pass and every write:
+    # keep it for the batch's lifetime instead of parsing the file again
+    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        df = inference.null_tokens(batch)
+        if infer:
+            df, _ = inference.infer_and_cast(df)
+        res = run_stages(
+            df,
+            filters=spec.filters,
+            mappings=spec.column_mappings,
+            rules=spec.validation_rules,
+            aggregation=spec.aggregations,
+            order_by=spec.order_by,
+            on_error=spec.on_error,
+        )
+        res.output.write.mode("overwrite").parquet(f"{output_dir}/batch={batch_id}")
+        if quarantine_dir and res.validation is not None:
+            bad = res.validation.invalid.withColumn("_validation_errors", error_text()).drop(ERRORS)
+            bad.write.mode("overwrite").option("header", True).csv(f"{quarantine_dir}/batch={batch_id}")
+    finally:
+        batch.unpersist()
 
 
 def watch_folder(
