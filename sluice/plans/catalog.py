@@ -695,9 +695,9 @@ register(
 
 
 # ---------------------------------------------------------------------------
-# the full pipeline (J1): filter -> map -> validate -> aggregate
+# the full job (J1): filter -> map -> validate -> aggregate
 
-PIPELINE_SQL = """
+ETL_FULL_SQL = """
 WITH f AS (SELECT * FROM orders WHERE o_orderstatus IS NOT DISTINCT FROM 'F'),
 m AS (SELECT o_orderkey, round_even(o_totalprice * 100, 0) / 100 AS amount, o_orderpriority FROM f),
 v AS (SELECT * FROM m WHERE NOT coalesce(amount < 1000, false))
@@ -709,8 +709,8 @@ FROM v WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority
 """
 
 
-@register("pipeline_full", PIPELINE_SQL)
-def pipeline_full(spark, sf_dir):
+@register("etl_full", ETL_FULL_SQL)
+def etl_full(spark, sf_dir):
     res = run_stages(
         table(spark, sf_dir, "orders"),
         filters=[FilterRule("o_orderstatus", "eq", "F")],

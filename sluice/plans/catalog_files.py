@@ -153,8 +153,8 @@ def _orders_csv(spark, sf_dir, name, records_per_file=None):
     return path
 
 
-@register("job_file_pipeline", _JOB_SQL)
-def job_file_pipeline(spark, sf_dir):
+@register("job_file_run", _JOB_SQL)
+def job_file_run(spark, sf_dir):
     from ..specs import JobSpec
     from .jobs import run_job
 
@@ -175,8 +175,8 @@ def job_file_pipeline(spark, sf_dir):
     return read_parquet(spark, out).select("o_orderkey", "amount", "o_orderpriority")
 
 
-@register("stream_folder_pipeline", _JOB_SQL)
-def stream_folder_pipeline(spark, sf_dir):
+@register("stream_folder_run", _JOB_SQL)
+def stream_folder_run(spark, sf_dir):
     from ..specs import JobSpec
     from ..streaming.folder import read_outputs, watch_folder
 
