@@ -199,3 +199,12 @@ def stream_folder_run(spark, sf_dir):
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
     return read_outputs(spark, out).select("o_orderkey", "amount", "o_orderpriority")
+
+
+@register("sink_write_report", "SELECT count(*) AS rows_written, count(*) > 0 AS has_bytes FROM lineitem")
+def sink_write_report(spark, sf_dir):
+    # the whole table is written; the row count comes from the write itself
+    rep = write_file(table(spark, sf_dir, "lineitem"), FileDestination("parquet", scratch(spark, "lineitem-out")))
+    return spark.createDataFrame(
+        [(rep["rows_written"], rep["file_size_bytes"] > 0)], "rows_written bigint, has_bytes boolean"
+    )
