@@ -239,3 +239,52 @@ def test_named_datetime_formats_match_strptime(spark, fmt, stamps, unpad):
             return None
 
     assert got == [model(t) for t in texts]
+
+
+CELLS = ["1", "-7", "+3", "2.5", "1e3", ".5", "True", "False", "true", "abc", "x y", "", "NA", "null", "N/A",
+         "nan", "None", "inf", "5d"]
+
+
+def model_column(cells):
+    """Type and values a pandas-style CSV read gives one column."""
+    from sluice import constants as C
+
+    vals = [None if c in C.CSV_NULL_TOKENS else c for c in cells]
+    present = [v for v in vals if v is not None]
+    is_int = all(re.fullmatch(r"[+-]?[0-9]+", v.strip()) for v in present)
+    is_num = all(NUM_RE.fullmatch(v.strip()) or v.strip().lower() in ("inf", "+inf", "-inf") for v in present)
+    is_bool = all(v in ("True", "TRUE", "true", "False", "FALSE", "false") for v in present)
+    if not present:
+        return "double", [None] * len(vals)
+    if is_int:
+        if len(present) == len(vals):
+            return "bigint", [int(v) for v in vals]
+        return "double", [None if v is None else float(v) for v in vals]
+    if is_num:
+        return "double", [None if v is None else float(v) for v in vals]
+    if is_bool and len(present) == len(vals):
+        return "boolean", [v in ("True", "TRUE", "true") for v in vals]
+    return "string", vals
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(cols=st.lists(st.lists(st.sampled_from(CELLS), min_size=3, max_size=3), min_size=1, max_size=4))
+def test_csv_inference_matches_model(spark, cols):
+    import os
+    import tempfile
+
+    from sluice.sources.files import read_csv
+
+    d = tempfile.mkdtemp(prefix="sluice-test-")
+    path = os.path.join(d, "t.csv")
+    names = [f"c{i}" for i in range(len(cols))]
+    with open(path, "w") as fh:
+        fh.write(",".join(["k"] + names) + "\n")
+        for r in range(3):
+            fh.write(",".join([str(r)] + [f'"{col[r]}"' if col[r] else "" for col in cols]) + "\n")
+    df = read_csv(spark, path)
+    rows = sorted(df.collect(), key=lambda r: r["k"])
+    for name, col in zip(names, cols):
+        kind, values = model_column(col)
+        assert df.schema[name].dataType.simpleString() == kind, (name, col)
+        assert [r[name] for r in rows] == values, (name, col)
