@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as C
 from ..functions.casts import INFINITIES, NUMBER_SHAPE, no_fraction, text_to_double
@@ -37,8 +38,10 @@ def _q(name: str) -> Column:
 
 
 def null_tokens(df: DataFrame, columns=None) -> DataFrame:
-    """Cells holding a missing-value token become null."""
-    columns = set(columns or df.columns)
+    """Text cells holding a missing-value token become null (typed columns
+    are left alone: the tokens are text)."""
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    columns = set(columns or df.columns) & text
     return df.select(
         *[
             F.when(_q(c).isin(*C.CSV_NULL_TOKENS), F.lit(None)).otherwise(_q(c)).alias(c) if c in columns else _q(c)

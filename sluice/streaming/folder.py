@@ -1,6 +1,6 @@
 """Incremental jobs over an upload folder with Structured Streaming.
 
-Each new CSV file in the folder is one job: the stream reads one file per
+Each new CSV (or Parquet) file in the folder is one job: the stream reads one file per
 micro-batch (``maxFilesPerTrigger=1``), and ``foreachBatch`` runs the same
 batch stages on it - filter, map, validate, aggregate - writing valid rows
 and quarantined rows under the batch id.  A re-run batch overwrites its own
@@ -26,13 +26,14 @@ def text_schema(columns) -> T.StructType:
 
 def process_batch(batch: DataFrame, batch_id: int, spec, output_dir: str, quarantine_dir: str | None,
                   infer: bool = True) -> None:
+    """Run the job's stages on one micro-batch (one new file)."""
     # the micro-batch (one file) feeds the inference pass and every write:
     # keep it for the batch's lifetime instead of parsing the file again
     batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        df = inference.null_tokens(batch)
+        df = batch
         if infer:
-            df, _ = inference.infer_and_cast(df)
+            df, _ = inference.infer_and_cast(inference.null_tokens(df))
         res = run_stages(
             df,
             filters=spec.filters,
@@ -60,22 +61,32 @@ def watch_folder(
     quarantine_dir: str | None = None,
     once: bool = True,
     files_per_trigger: int = 1,
+    fmt: str = "csv",
 ):
     """Start the folder job; with ``once`` it drains what is there and stops.
 
     ``files_per_trigger`` > 1 groups several small files into one job (the
     group then shares first-occurrence and aggregation scope)."""
-    stream = (
-        spark.readStream.schema(text_schema(columns))
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .csv(folder)
-    )
+    if fmt == "csv":
+        stream = (
+            spark.readStream.schema(text_schema(columns))
+            .option("header", True)
+            .option("multiLine", True)
+            .option("escape", '"')
+            .option("maxFilesPerTrigger", files_per_trigger)
+            .csv(folder)
+        )
+        infer = True
+    elif fmt == "parquet":
+        # typed files: the schema comes from the files already present
+        schema = spark.read.parquet(folder).schema
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+        infer = False
+    else:
+        raise ValueError(f"unsupported folder format {fmt}")
     writer = (
         stream.writeStream.foreachBatch(
-            lambda b, i: process_batch(b, i, spec, output_dir, quarantine_dir)
+            lambda b, i: process_batch(b, i, spec, output_dir, quarantine_dir, infer)
         )
         .option("checkpointLocation", checkpoint)
     )

@@ -222,3 +222,15 @@ def test_ddl_types_and_key_checks_without_a_database(spark, users):
     with pytest.raises(LoadError) as err:
         check_keys(nulls, [ColumnMapping("id", "integer", is_primary_key=True)])
     assert "1 null value(s)" in str(err.value) and "1 duplicate value(s)" in str(err.value)
+
+
+def test_folder_stream_of_parquet_files(spark):
+    d = tmpdir()
+    inbox = os.path.join(d, "inbox")
+    spark.createDataFrame([(1, 90.0), (2, 40.0), (3, 70.0)], "id long, score double").coalesce(1) \
+        .write.parquet(inbox)
+    spec = JobSpec(table_source="unused", file_destination=FileDestination("parquet", os.path.join(d, "x")),
+                   filters=[{"column": "score", "operator": "gte", "value": 50}])
+    q = watch_folder(spark, inbox, None, spec, os.path.join(d, "out"), os.path.join(d, "ckpt"), fmt="parquet")
+    q.awaitTermination(120)
+    assert sorted(r["id"] for r in read_outputs(spark, os.path.join(d, "out")).collect()) == [1, 3]
