@@ -234,3 +234,12 @@ def test_folder_stream_of_parquet_files(spark):
     q = watch_folder(spark, inbox, None, spec, os.path.join(d, "out"), os.path.join(d, "ckpt"), fmt="parquet")
     q.awaitTermination(120)
     assert sorted(r["id"] for r in read_outputs(spark, os.path.join(d, "out")).collect()) == [1, 3]
+
+
+def test_text_key_check_uses_digest_but_stays_exact(spark):
+    from sluice.sinks.jdbc import check_keys
+
+    df = spark.createDataFrame([("a" * 500,), ("a" * 499 + "b",), ("a" * 500,)], "k string")
+    with pytest.raises(LoadError) as err:
+        check_keys(df, [ColumnMapping("k", "text", is_unique=True)])
+    assert "1 duplicate value(s)" in str(err.value)
