@@ -88,9 +88,52 @@ def table_exists(spark: SparkSession, conn: DatabaseConnection, table_name: str)
     return bool(names.limit(1).count())
 
 
+def _connect(spark: SparkSession, conn: DatabaseConnection):
+    jvm = spark._jvm
+    props = jvm.java.util.Properties()
+    for k, v in conn.options().items():
+        if k not in ("url", "driver"):
+            props.setProperty(k, str(v))
+    if conn.driver:
+        jvm.java.lang.Class.forName(conn.driver)
+    return jvm.java.sql.DriverManager.getConnection(conn.url, props)
+
+
+def describe_table(spark: SparkSession, conn: DatabaseConnection, table_name: str) -> list[dict]:
+    """Columns of a table from the driver's catalogue metadata: name, type,
+    nullable, default, primary_key.  Metadata only; no rows are read."""
+    jconn = _connect(spark, conn)
+    try:
+        meta = jconn.getMetaData()
+        name = _fold(table_name, conn.dialect)
+        keys = set()
+        rs = meta.getPrimaryKeys(None, None, name)
+        while rs.next():
+            keys.add(rs.getString("COLUMN_NAME"))
+        rs.close()
+        cols = []
+        rs = meta.getColumns(None, None, name, None)
+        while rs.next():
+            col = rs.getString("COLUMN_NAME")
+            cols.append(
+                {
+                    "name": col,
+                    "type": rs.getString("TYPE_NAME"),
+                    "nullable": rs.getInt("NULLABLE") != 0,
+                    "default": rs.getString("COLUMN_DEF"),
+                    "primary_key": col in keys,
+                }
+            )
+        rs.close()
+        return cols
+    finally:
+        jconn.close()
+
+
 def summarize(spark: SparkSession, conn: DatabaseConnection, preview_rows: int = 5) -> list[dict]:
-    """Per table: name, row count, columns (name, type, nullable) and the
-    first rows.  Counts run inside the database as ``COUNT(*)`` queries."""
+    """Per table: name, row count, columns (name, type, nullable, default,
+    primary key) and the first rows.  Counts run inside the database as
+    ``COUNT(*)`` queries; column facts come from catalogue metadata."""
     tables = [r["table_name"] for r in list_tables(spark, conn).collect()]
     out = []
     for name in tables:
@@ -100,9 +143,7 @@ def summarize(spark: SparkSession, conn: DatabaseConnection, preview_rows: int =
         info = {
             "table_name": name,
             "row_count": int(count),
-            "columns": [
-                {"name": f.name, "type": f.dataType.simpleString(), "nullable": f.nullable} for f in df.schema.fields
-            ],
+            "columns": describe_table(spark, conn, name),
         }
         if preview_rows:
             info["preview"] = [r.asDict() for r in df.limit(preview_rows).collect()]
@@ -113,14 +154,7 @@ def summarize(spark: SparkSession, conn: DatabaseConnection, preview_rows: int =
 def execute(spark: SparkSession, conn: DatabaseConnection, statements) -> None:
     """Run DDL/DML statements in one database transaction from the driver
     (staging swaps, index creation).  Data never passes through here."""
-    jvm = spark._jvm
-    props = jvm.java.util.Properties()
-    for k, v in conn.options().items():
-        if k not in ("url", "driver"):
-            props.setProperty(k, str(v))
-    if conn.driver:
-        jvm.java.lang.Class.forName(conn.driver)
-    jconn = jvm.java.sql.DriverManager.getConnection(conn.url, props)
+    jconn = _connect(spark, conn)
     try:
         jconn.setAutoCommit(False)
         stmt = jconn.createStatement()

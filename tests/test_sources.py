@@ -109,6 +109,7 @@ def test_jdbc_table_query_columns_and_catalogue(spark, derby):
     assert preview == {"order_id": "bigint", "customer": "text", "amount": "float", "status": "text"}
     summary = jdbc.summarize(spark, derby, preview_rows=2)
     assert summary[0]["row_count"] == 5 and len(summary[0]["preview"]) == 2
+    assert {c["name"] for c in summary[0]["columns"]} == {"order_id", "customer", "amount", "status"}
 
 
 def land_pages(d, pages, key="results"):
