@@ -22,8 +22,8 @@ class UnsupportedFileError(ValueError):
 
 
 def _reader(spark: SparkSession, encoding: str, multi_line: bool):
-    # multiLine keeps quoted newlines inside one record; it reads each file
-    # in one task, so many moderate files parallelise, one huge file does not.
+    # multiLine keeps quoted newlines inside one record but reads each file
+    # in one task; read_csv turns it on only for files that need it.
     return (
         spark.read.option("header", True)
         .option("multiLine", multi_line)
@@ -33,21 +33,38 @@ def _reader(spark: SparkSession, encoding: str, multi_line: bool):
     )
 
 
+def has_multiline_records(spark: SparkSession, path: str) -> bool:
+    """True when some record spans lines: only then does a physical line
+    hold an odd number of quote characters (an escaped quote is a pair).
+
+    A splittable, parallel scan of the raw lines that stops at the first
+    such line."""
+    lines = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    return bool(lines.filter(quotes % 2 == 1).limit(1).count())
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
     encoding: str | None = None,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
     infer_types: bool = True,
     schema: T.StructType | str | None = None,
 ) -> DataFrame:
     """CSV with a header row.
 
+    ``multi_line=None`` decides per read: files whose records never span
+    lines are read split into many tasks; only when a quoted field holds a
+    line break is each file parsed whole (``multiLine``).
+
     Without an explicit ``encoding`` the file is read as UTF-8; bad bytes
     come back as U+FFFD, and if any cell or header holds one the file is
     read again as ISO-8859-1 (which decodes any byte).  The check rides on
     the type-inference pass, so a clean UTF-8 file is scanned once.
     """
+    if multi_line is None:
+        multi_line = has_multiline_records(spark, path)
     if schema is not None:
         return _reader(spark, encoding or "UTF-8", multi_line).schema(schema).csv(path)
     raw = _reader(spark, encoding or "UTF-8", multi_line).csv(path)

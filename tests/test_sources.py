@@ -158,3 +158,13 @@ def test_drill_nested_key(spark):
     pages = spark.createDataFrame([('{"a": {"b": [{"x": 1, "y": "p"}, {"x": 2, "y": null}]}}',)], "body string")
     out = drill(pages, "body", "a.b").orderBy("x").collect()
     assert [(r["x"], r["y"]) for r in out] == [(1, "p"), (2, None)]
+
+
+def test_multiline_detection(spark):
+    d = tmpdir()
+    plain = write(os.path.join(d, "plain.csv"), b'a,b\n1,"x ""q"" y"\n2,z\n')
+    spans = write(os.path.join(d, "spans.csv"), b'a,b\n1,"two\nlines"\n2,z\n')
+    assert not files.has_multiline_records(spark, plain)
+    assert files.has_multiline_records(spark, spans)
+    assert [r["b"] for r in files.read_csv(spark, plain).orderBy("a").collect()] == ['x "q" y', "z"]
+    assert [r["b"] for r in files.read_csv(spark, spans).orderBy("a").collect()] == ["two\nlines", "z"]
