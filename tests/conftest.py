@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,7 +13,9 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[4]", app="sluice-tests")
+    # managed tables (bucketed layouts) go to a private warehouse folder
+    s = build_session("local[4]", app="sluice-tests",
+                      **{"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="sluice-wh-")})
     yield s
     s.stop()
 

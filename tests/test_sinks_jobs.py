@@ -243,3 +243,21 @@ def test_text_key_check_uses_digest_but_stays_exact(spark):
     with pytest.raises(LoadError) as err:
         check_keys(df, [ColumnMapping("k", "text", is_unique=True)])
     assert "1 duplicate value(s)" in str(err.value)
+
+
+def test_clustered_tables_join_without_a_shuffle(spark):
+    from sluice.sinks.jdbc import write_clustered_table
+
+    suffix = uuid.uuid4().hex[:8]
+    left = spark.range(0, 1000).selectExpr("id AS k", "id * 2 AS v")
+    right = spark.range(0, 1000).selectExpr("id AS k", "id * 3 AS w")
+    write_clustered_table(left, f"l_{suffix}", ["k"], 8)
+    write_clustered_table(right, f"r_{suffix}", ["k"], 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table(f"l_{suffix}").join(spark.table(f"r_{suffix}"), "k")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
