@@ -23,6 +23,7 @@ from ..functions import casts
 from ..functions.dates import strptime_to_java
 from ..functions.literals import typed_values
 from ..specs import ValidationRule
+from ..session import at_most
 from .keys import first_in_group
 
 ERRORS = "_errors"
@@ -117,6 +118,7 @@ def validate(df: DataFrame, rules, order_by: str | None = None) -> ValidationRes
 
     work = base
     dup_cols: dict[str, str] = {}
+    small = None  # the bounded size check runs once, for the first unique rule
     for r in rules:
         if r.rule_type == "unique" and r.column in df.columns and r.column not in dup_cols:
             name = f"_first_{len(dup_cols)}"
@@ -127,7 +129,9 @@ def validate(df: DataFrame, rules, order_by: str | None = None) -> ValidationRes
                 # the value itself (nulls stay null, so they still group)
                 key = f"_digest_{len(dup_cols)}"
                 work = work.withColumn(key, F.sha2(_q(r.column).cast("binary"), 256))
-            work = first_in_group(work, [key], order_col, name)
+            if small is None:
+                small = at_most(base)
+            work = first_in_group(work, [key], order_col, name, small_input=small)
             dup_cols[r.column] = name
 
     bads, structs = [], []
