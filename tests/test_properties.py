@@ -288,3 +288,39 @@ def test_csv_inference_matches_model(spark, cols):
         kind, values = model_column(col)
         assert df.schema[name].dataType.simpleString() == kind, (name, col)
         assert [r[name] for r in rows] == values, (name, col)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=st.lists(st.tuples(st.one_of(st.none(), st.sampled_from(["a", "b", "c"])),
+                               st.one_of(st.none(), st.integers(-20, 20))), min_size=0, max_size=15))
+def test_aggregation_matches_model(spark, rows):
+    import statistics
+
+    from sluice.operators.aggregate import aggregate
+
+    data = [(i, k, v) for i, (k, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "o int, k string, v int")
+    aggs = [{"column": "v", "function": f} for f in ("sum", "count", "mean", "min", "max", "median", "first", "last",
+                                                     "nunique", "size")]
+    out = [r.asDict() for r in aggregate(df, {"group_by": ["k"], "aggregations": aggs}, order_by="o").collect()]
+    groups = {}
+    for o, k, v in data:
+        if k is not None:
+            groups.setdefault(k, []).append(v)
+    expect = []
+    for k in sorted(groups):
+        vs = [v for v in groups[k] if v is not None]
+        expect.append({
+            "k": k, "sum_v": sum(vs), "count_v": len(vs), "mean_v": (sum(vs) / len(vs)) if vs else None,
+            "min_v": min(vs) if vs else None, "max_v": max(vs) if vs else None,
+            "median_v": float(statistics.median(vs)) if vs else None,
+            "first_v": vs[0] if vs else None, "last_v": vs[-1] if vs else None,
+            "nunique_v": len(set(vs)), "size_v": len(groups[k]),
+        })
+    assert len(out) == len(expect)
+    for got, want in zip(out, expect):  # ordered by key, like the model
+        for name, value in want.items():
+            if isinstance(value, float):
+                assert abs(got[name] - value) < 1e-9, (name, got, want)
+            else:
+                assert got[name] == value, (name, got, want)
