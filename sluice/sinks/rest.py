@@ -75,7 +75,9 @@ def send_batches(
         if pending:
             yield pd.DataFrame([flush(pending)], columns=["batch_id", "records", "ok", "error"])
 
-    records = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("rec"))
+    # every record carries all its keys; missing values are JSON null
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    records = df.select(F.to_json(row, {"ignoreNullFields": "false"}).alias("rec"))
     return records.mapInPandas(send, REPORT_SCHEMA)
 
 

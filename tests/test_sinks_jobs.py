@@ -261,3 +261,11 @@ def test_clustered_tables_join_without_a_shuffle(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_rest_sink_keeps_null_fields(spark):
+    d = tmpdir()
+    df = spark.createDataFrame([(1, None)], "id int, name string")
+    send_summary(send_batches(df, ApiDestination(url=f"file://{d}", batch_size=5)))
+    body = json.load(open(glob.glob(os.path.join(d, "batch-*.json"))[0]))
+    assert body == [{"id": 1, "name": None}]
