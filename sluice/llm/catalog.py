@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import line_dedup, ngram_join, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op4_ngram_join": ngram_join.op4_ngram_join,
         "op9_quality_rules": quality_rules.op9_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": line_dedup.OP3_SQL}
