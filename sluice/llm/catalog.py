@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup, ngram_join, quality_rules
+from . import byte_bpe, decontaminate, line_dedup, ngram_join, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op2_byte_bpe": byte_bpe.op2_byte_bpe,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_ngram_join": ngram_join.op4_ngram_join,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
