@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, line_dedup, ngram_join, quality_rules
+from . import byte_bpe, decontaminate, line_dedup, ngram_join, quality_rules, secret_scan, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_secret_scan": secret_scan.op1_secret_scan,
         "op2_byte_bpe": byte_bpe.op2_byte_bpe,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_ngram_join": ngram_join.op4_ngram_join,
+        "op7_token_counts": token_counts.op7_token_counts,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
