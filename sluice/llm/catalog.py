@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, line_dedup, ngram_join, quality_rules, secret_scan, token_counts
+from . import (
+    byte_bpe,
+    decontaminate,
+    language_id,
+    line_dedup,
+    ngram_join,
+    quality_model,
+    quality_rules,
+    secret_scan,
+    token_counts,
+    warc,
+)
 
 
 def queries() -> dict:
@@ -11,11 +22,14 @@ def queries() -> dict:
         "op2_byte_bpe": byte_bpe.op2_byte_bpe,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_ngram_join": ngram_join.op4_ngram_join,
+        "op5_warc": warc.op5_warc,
+        "op6_quality_model": quality_model.op6_quality_model,
         "op7_token_counts": token_counts.op7_token_counts,
+        "op8_language_id": language_id.op8_language_id,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.OP3_SQL}
+    return {"op3_line_dedup": line_dedup.OP3_SQL, "op5_warc": warc.OP5_SQL}
