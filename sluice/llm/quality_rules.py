@@ -149,7 +149,8 @@ def _estimates(moments: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["g", "mean", "inv"])
 
 
-_MOMENTS = [F.count(F.lit(1)).alias("n"), *(F.sum(s).alias(f"s{i}") for i, s in enumerate(STATS)),
+def _moments() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), *(F.sum(s).alias(f"s{i}") for i, s in enumerate(STATS)),
             *(F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"s{i}_{j}") for i in range(P) for j in range(i, P))]
 
 
@@ -194,7 +195,7 @@ def fit_mcd(rows: DataFrame) -> DataFrame:
     for _ in range(C_STEPS):
         near = _binned(rows, estimates)
         inner = near.join(_nearest(near), "g").filter(F.col("bin") <= F.col("edge"))
-        moments = inner.groupBy("g").agg(*_MOMENTS)
+        moments = inner.groupBy("g").agg(*_moments())
         estimates = materialize(moments.mapInPandas(
             lambda parts: (_estimates(p) for p in parts), "g string, mean array<double>, inv array<double>"))
     edges = _nearest(_binned(rows, estimates))
