@@ -1,82 +1,45 @@
-"""Skew-safe per-key lookups.
-
-``first_in_group`` attaches to every row the smallest order value of its
-key group (its first occurrence).  A plain window partitioned by the key
-would pull a hot key - one value may hold a third of all rows, nulls
-included - into a single task.  Instead:
-
-1. per-key statistics (first order value, row count) are aggregated with a
-   map-side partial aggregate, so a hot key costs one partial row per task;
-2. keys holding more than 1/HOT_SHARE of all rows are *hot*.  There are
-   fewer than HOT_SHARE of them by construction, so they are broadcast
-   (a proven size bound) and matched without moving the big side;
-3. the remaining cold keys are joined by a shuffle on (key, salt).  Rows of
-   hot keys carry a spread salt that never matches, so they are scattered
-   evenly instead of landing in one partition.
+"""Repeats of a key: which rows are not the first occurrence of their key.
+
+A window partitioned by the key would pull a hot key - one value may hold a
+third of all rows, nulls included - into a single task, and so would a join
+on the key.  Instead:
+
+1. rows are counted for each (key, order value), then the first one of each
+   key is taken; both are aggregated map-side, so a hot key costs one
+   partial row per task and order value;
+2. rows are joined to these firsts on *(key, order value)*.  A hot key's
+   rows differ in their order value, so they spread over all partitions like
+   any others: no salt, no broadcast and no switch on sizes.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import at_most
-
-# A key is hot when it holds more than 1/HOT_SHARE of the rows; at most
-# HOT_SHARE - 1 keys can be hot, which bounds the broadcast side.
-HOT_SHARE = 1024
-
 
-def _eq_all(left: DataFrame, right: DataFrame, lkeys, rkeys) -> Column:
-    conds = [left[lk].eqNullSafe(right[rk]) for lk, rk in zip(lkeys, rkeys)]
-    return reduce(lambda a, b: a & b, conds)
+def mark_repeats(df: DataFrame, keys, order_col: str, out_col: str) -> DataFrame:
+    """``df`` plus ``out_col``: true for every row but the first of its key.
 
-
-def first_in_group(df: DataFrame, keys, order_col: str, out_col: str, small_input: bool | None = None) -> DataFrame:
-    """``df`` plus ``out_col`` = min(order_col) over rows with equal keys.
-
-    Null key values form one group, as duplicate detection treats missing
-    values as equal.  Inputs of at most ``SMALL_INPUT_ROWS`` rows (checked
-    with a bounded limit) use one window per key, which no group can
-    overload; larger inputs use the hot/cold split below.
+    Null key values are one key, as duplicate detection treats missing
+    values as equal.  Where rows of one key tie in ``order_col``, the first
+    in the frame's own order (``monotonically_increasing_id``) counts as the
+    first; that needs a frame whose rows come in the same order each time it
+    is read, such as a file scan.  Without ties the frame's order is not used.
     """
     keys = list(keys)
-    if small_input is None:
-        small_input = at_most(df)
-    if small_input:
-        w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys])
-        return df.withColumn(out_col, F.min(F.col(f"`{order_col}`")).over(w))
-    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    stats = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
-        F.min(F.col(f"`{order_col}`")).alias("_first"), F.count(F.lit(1)).alias("_n")
-    )
-    total = stats.agg(F.sum("_n")).scalar()
-    hk = [f"_hk{i}" for i in range(len(keys))]
-    ck = [f"_ck{i}" for i in range(len(keys))]
-    hot = stats.filter(F.col("_n") * HOT_SHARE > total).select(
-        *[F.col(f"`{k}`").alias(h) for k, h in zip(keys, hk)], F.col("_first").alias("_hot_first")
-    )
-    cold = stats.filter(F.col("_n") * HOT_SHARE <= total).select(
-        *[F.col(f"`{k}`").alias(c) for k, c in zip(keys, ck)],
-        F.col("_first").alias("_cold_first"),
-        # salt 0, computed from a column: a literal would be constant-folded
-        # out of the join keys and the shuffle would again be by key alone
-        (F.col("_n") - F.col("_n")).alias("_csalt"),
-    )
-
-    hot_b = F.broadcast(hot)
-    tagged = df.join(hot_b, _eq_all(df, hot_b, keys, hk), "left")
-    tagged = tagged.withColumn(
-        "_salt",
-        F.when(F.col("_hot_first").isNull(), F.lit(0)).otherwise(
-            1 + F.pmod(F.xxhash64(F.col(f"`{order_col}`")), F.lit(spread).cast("long"))
-        ),
-    )
-    cond = _eq_all(tagged, cold, keys, ck) & (tagged["_salt"] == cold["_csalt"])
-    joined = tagged.join(cold, cond, "left")
-    return joined.select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        F.coalesce(F.col("_hot_first"), F.col("_cold_first")).alias(out_col),
-    )
+    rid = out_col + "_rid"
+    rows = df.withColumn(rid, F.monotonically_increasing_id())
+    names = [f"_k{i}" for i in range(len(keys))]
+    places = rows.groupBy(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)],
+                          F.col(f"`{order_col}`").alias("_order")).agg(
+        F.count(F.lit(1)).alias("_ties"), F.min(rid).alias("_rid"))
+    firsts = places.groupBy(*names).agg(F.min(F.struct("_order", "_ties", "_rid")).alias("_first")).select(
+        *names, "_first.*")
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    same.append(F.col(f"`{order_col}`").eqNullSafe(F.col("_order")))
+    joined = rows.join(firsts, reduce(lambda a, b: a & b, same), "left")
+    repeat = F.col("_ties").isNull() | ((F.col("_ties") > 1) & (F.col(rid) != F.col("_rid")))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], repeat.alias(out_col))

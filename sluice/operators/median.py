@@ -1,85 +1,60 @@
-"""Exact median per group, safe for hot groups and for one global group.
+"""Exact median per group, safe for hot groups, hot values and one global group.
 
 The built-in ``median`` keeps every distinct value of a group in one
 aggregation buffer, so a group holding a third of 100 TB - or a whole-column
-median - would sit in one task.  A per-group sort is used only when the whole input has at
-most ``SMALL_INPUT_ROWS`` rows (checked with a bounded limit), which bounds
-every group, so each group may be sorted in one task.  Otherwise:
+median - would sit in one task.  Instead the values become a histogram:
 
-1. range-partition the (group, value) pairs and sort inside partitions, so
-   a large group is spread over many partitions in global order;
-2. number rows with ``monotonically_increasing_id`` (partition index in the
-   high bits, position in the low bits) and materialize that numbering to
-   the checkpoint folder so both consumers below see the same ids;
+1. equal (group, value) pairs are counted, with a map-side partial
+   aggregate, so a value that holds a third of all rows is one row from here;
+2. the distinct pairs are range-partitioned by (group, value) and written
+   once with their partition number, so every reader sees the same parts;
 3. a small table of chunks - one row per (partition, group), at most
    partitions + groups rows - gives each chunk's offset inside its group and
-   the group size n, hence the ids of ranks floor((n-1)/2) and floor(n/2);
-4. those ids are joined back - broadcast when a bounded count shows at most
-   ``BROADCAST_TARGET_ROWS`` of them, else a join on the unique id - and
-   averaged: the mean of the middle pair for even n, the middle value for
-   odd n.  NaN and null values are skipped.
+   the group size, hence the chunks that hold the middle ranks;
+4. only those chunks are numbered by running counts, each at most one
+   partition long, and the middle value or pair is averaged.
+
+NaN and null values are skipped.  There is one plan for every input size.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import at_most, materialize
+from ..session import materialize
 
-# Target-id tables up to this many rows (8 bytes each) are broadcast.
-BROADCAST_TARGET_ROWS = 1_000_000
 
-
-def exact_median(df: DataFrame, value: str, group_by=(), alias: str = "median",
-                 small_input: bool | None = None) -> DataFrame:
+def exact_median(df: DataFrame, value: str, group_by=(), alias: str = "median") -> DataFrame:
     keys = [f"`{k}`" for k in group_by]
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    v = F.col(f"`{value}`").cast("double")
-    data = df.select(*[F.col(k) for k in keys], v.alias("_v")).filter(
-        F.col("_v").isNotNull() & ~F.isnan("_v")
-    )
     key_cols = [F.col(k) for k in keys]
-    if small_input is None:
-        small_input = at_most(data)
-    if small_input:
-        # no group can exceed the bound, so sorting each group in one task is
-        # safe: rank the values and average the middle one or two
-        whole = Window.partitionBy(*key_cols)
-        ranked = data.withColumn("_r", F.row_number().over(whole.orderBy("_v")) - 1).withColumn(
-            "_n", F.count(F.lit(1)).over(whole)
-        )
-        mid = ranked.filter(
-            (F.col("_r") == F.floor((F.col("_n") - 1) / 2)) | (F.col("_r") == F.floor(F.col("_n") / 2))
-        )
-        if keys:
-            return mid.groupBy(*key_cols).agg(F.avg("_v").alias(alias))
-        return mid.agg(F.avg("_v").alias(alias))
-
-    ordered = data.repartitionByRange(parts, *keys, "_v").sortWithinPartitions(*keys, "_v")
-    ordered = materialize(ordered.withColumn("_id", F.monotonically_increasing_id()))
-
-    chunks = ordered.groupBy(F.shiftright("_id", 33).alias("_p"), *key_cols).agg(
-        F.min("_id").alias("_start"), F.count(F.lit(1)).alias("_cnt")
-    )
-    by_group = Window.partitionBy(*key_cols)
-    before = by_group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0))).withColumn(
-        "_n", F.sum("_cnt").over(by_group)
-    )
-    ranks = F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))
-    targets = (
-        chunks.select("_start", "_off", "_cnt", F.explode(F.array_distinct(ranks)).alias("_t"))
-        .filter((F.col("_t") >= F.col("_off")) & (F.col("_t") < F.col("_off") + F.col("_cnt")))
-        .select((F.col("_start") + F.col("_t") - F.col("_off")).alias("_id"))
-    )
-    # at most two target ids per group: broadcast them when a bounded count
-    # proves the table small, otherwise join by id (ids are unique: no skew)
-    if at_most(targets, BROADCAST_TARGET_ROWS):
-        picked = ordered.join(F.broadcast(targets), "_id")
-    else:
-        picked = ordered.join(targets, "_id")
-    if keys:
-        return picked.groupBy(*key_cols).agg(F.avg("_v").alias(alias))
-    return picked.agg(F.avg("_v").alias(alias))
+    v = F.col(f"`{value}`").cast("double")
+    data = df.select(*key_cols, v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+
+    pairs = data.groupBy(*key_cols, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    pairs = materialize(pairs.repartitionByRange(parts, *keys, "_v").withColumn("_p", F.spark_partition_id()))
+
+    chunks = pairs.groupBy("_p", *key_cols).agg(F.sum("_n").alias("_rows"))
+    group = Window.partitionBy(*key_cols)
+    upto = F.sum("_rows").over(group.orderBy("_p"))
+    chunks = chunks.withColumn("_off", upto - F.col("_rows")).withColumn("_all", F.sum("_rows").over(group))
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    middle = chunks.withColumn("_lo", low).withColumn("_hi", high).filter(
+        (F.col("_hi") >= F.col("_off")) & (F.col("_lo") < F.col("_off") + F.col("_rows")))
+
+    chunk_cols = [f"_c{i}" for i in range(len(keys))]
+    middle = middle.select(F.col("_p").alias("_cp"), *[F.col(k).alias(c) for k, c in zip(keys, chunk_cols)],
+                           "_off", "_lo", "_hi")
+    same = [F.col("_p") == F.col("_cp"), *(F.col(k).eqNullSafe(F.col(c)) for k, c in zip(keys, chunk_cols))]
+    picked = pairs.join(middle, reduce(lambda a, b: a & b, same))
+    last = F.col("_off") + F.sum("_n").over(Window.partitionBy("_p", *key_cols).orderBy("_v"))
+    picked = picked.withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_n"))
+
+    def at(rank: str):
+        return F.max(F.when((F.col("_first") <= F.col(rank)) & (F.col(rank) < F.col("_last")), F.col("_v")))
+
+    return picked.groupBy(*key_cols).agg(((at("_lo") + at("_hi")) / 2).alias(alias))

@@ -4,8 +4,8 @@ Each rule is a never-null ``bad`` predicate plus an error struct; all rules
 of the stage fuse into a single projection: ``_invalid = bad_1 OR ...`` for
 the split and ``_errors = concat(when(bad_i, array(struct_i)) ...)`` for the
 reasons, both inside whole-stage codegen.
-Only ``unique`` needs data from other rows; it uses the skew-safe
-first-occurrence lookup in ``keys``.  Text keys are grouped by their SHA-256
+Only ``unique`` needs data from other rows; it uses the skew-safe repeat
+marks of ``keys``.  Text keys are grouped by their SHA-256
 digest, so the shuffles move 32 bytes per key instead of the whole text.
 """
 
@@ -23,8 +23,7 @@ from ..functions import casts
 from ..functions.dates import strptime_to_java
 from ..functions.literals import typed_values
 from ..specs import ValidationRule
-from ..session import at_most
-from .keys import first_in_group
+from .keys import mark_repeats
 
 ERRORS = "_errors"
 BAD = "_invalid"
@@ -60,7 +59,7 @@ def _never_null(p: Column) -> Column:
     return F.coalesce(p, F.lit(False))
 
 
-def bad_predicate(df: DataFrame, rule: ValidationRule, dup_col: str | None, order_col: str | None):
+def bad_predicate(df: DataFrame, rule: ValidationRule, dup_col: str | None):
     """Never-null 'row fails rule' predicate, or None for an unknown column."""
     if rule.column not in df.columns:
         return None
@@ -71,7 +70,7 @@ def bad_predicate(df: DataFrame, rule: ValidationRule, dup_col: str | None, orde
     if kind == "not_null":
         return (c.isNull() | F.isnan(c)) if isinstance(dtype, casts.FLOATING_TYPES) else c.isNull()
     if kind == "unique":
-        return _never_null(_q(order_col) > _q(dup_col))
+        return _q(dup_col)
     if kind in ("min_value", "max_value"):
         num = casts.to_double(c, dtype, clean=False)
         if kind == "min_value":
@@ -118,10 +117,9 @@ def validate(df: DataFrame, rules, order_by: str | None = None) -> ValidationRes
 
     work = base
     dup_cols: dict[str, str] = {}
-    small = None  # the bounded size check runs once, for the first unique rule
     for r in rules:
         if r.rule_type == "unique" and r.column in df.columns and r.column not in dup_cols:
-            name = f"_first_{len(dup_cols)}"
+            name = f"_repeat_{len(dup_cols)}"
             key = r.column
             dtype = df.schema[r.column].dataType
             if casts.is_string(dtype) or isinstance(dtype, T.BinaryType):
@@ -129,15 +127,13 @@ def validate(df: DataFrame, rules, order_by: str | None = None) -> ValidationRes
                 # the value itself (nulls stay null, so they still group)
                 key = f"_digest_{len(dup_cols)}"
                 work = work.withColumn(key, F.sha2(_q(r.column).cast("binary"), 256))
-            if small is None:
-                small = at_most(base)
-            work = first_in_group(work, [key], order_col, name, small_input=small)
+            work = mark_repeats(work, [key], order_col, name)
             dup_cols[r.column] = name
 
     bads, structs = [], []
     empty = F.array().cast(T.ArrayType(ERROR_TYPE))
     for r in rules:
-        bad = bad_predicate(work, r, dup_cols.get(r.column), order_col)
+        bad = bad_predicate(work, r, dup_cols.get(r.column))
         if bad is None:
             continue
         dtype = work.schema[r.column].dataType

@@ -10,6 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Where a local session without spark.checkpoint.dir keeps its intermediate tables.
+_LOCAL_DIR = "spark.sluice.localCheckpointDir"
+
+
 def build_session(master: str | None = None, app: str = "sluice", **conf) -> SparkSession:
     """A session with the settings this library expects (tests and bench).
 
@@ -40,16 +44,18 @@ def build_session(master: str | None = None, app: str = "sluice", **conf) -> Spa
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (spark.checkpoint.dir).
 
-    Only when none is configured (local tests) is a private temp folder set.
+    Only a local session (tests) may leave it unset and gets a private temp
+    folder; on a cluster that would scatter files over the machines' own
+    disks, so it is an error there.
     """
-    sc = spark.sparkContext
-    current = sc._jsc.sc().checkpointDir()
-    if current.isDefined():
-        return current.get()
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="sluice-ckpt-")
-    sc.setCheckpointDir(configured)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_LOCAL_DIR, None)
+    if configured:
+        return configured
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    configured = tempfile.mkdtemp(prefix="sluice-ckpt-")
+    spark.conf.set(_LOCAL_DIR, configured)
     return configured
 
 
@@ -69,27 +75,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-# Inputs of at most this many rows may use single-task group buffers (a
-# window per key, the built-in exact median): no group can be larger.
-SMALL_INPUT_ROWS = 2_000_000
-
-
-def small_input_rows(spark: SparkSession) -> int:
-    """The small-input bound; ``spark.sluice.smallInputRows`` overrides it
-    (0 forces the large-input paths everywhere, e.g. to test them)."""
-    return int(spark.conf.get("spark.sluice.smallInputRows", str(SMALL_INPUT_ROWS)))
-
-
-def at_most(df: DataFrame, rows: int | None = None) -> bool:
-    """True when ``df`` has at most ``rows`` rows (default: the session's
-    small-input bound).  Reads at most rows + 1 rows, not the whole input."""
-    if rows is None:
-        rows = small_input_rows(df.sparkSession)
-    if rows <= 0:
-        return False
-    return df.limit(rows + 1).count() <= rows
-
-
 def cluster_settings(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict:
     """Spark settings for a cluster run over ``input_bytes`` of input.
 

@@ -62,20 +62,25 @@ def test_exact_median_with_hot_group_matches_statistics(spark):
     data = [("hot" if i % 3 else f"g{i % 11}", rnd.uniform(-1e3, 1e3)) for i in range(5000)]
     data += [("hot", float("nan")), ("hot", None), ("solo", 4.0), ("pair", 1.0), ("pair", 2.0)]
     df = spark.createDataFrame(data, "k string, v double")
-    got = {r["k"]: r["median"] for r in exact_median(df, "v", ["k"], small_input=False).collect()}
-    fast = {r["k"]: r["median"] for r in exact_median(df, "v", ["k"], small_input=True).collect()}
-    assert fast.keys() == got.keys()
+    got = {r["k"]: r["median"] for r in exact_median(df, "v", ["k"]).collect()}
     groups = {}
     for k, v in data:
         if v is not None and v == v:
             groups.setdefault(k, []).append(v)
     for k, vs in groups.items():
         assert got[k] == pytest.approx(statistics.median(vs), rel=1e-12, abs=1e-9)
-        assert fast[k] == pytest.approx(statistics.median(vs), rel=1e-12, abs=1e-9)
-    whole = exact_median(df, "v", small_input=False).first()["median"]
+    assert got.keys() == groups.keys()
+    whole = exact_median(df, "v").first()["median"]
     assert whole == pytest.approx(statistics.median([v for vs in groups.values() for v in vs]))
 
 
+def test_median_where_one_value_holds_most_rows(spark):
+    data = [("a", 5.0)] * 900 + [("a", float(i)) for i in range(300)] + [("b", 1.0), ("b", 1.0), ("b", 2.0), ("b", 9.0)]
+    df = spark.createDataFrame(data, "k string, v double").repartition(6)
+    got = {r["k"]: r["median"] for r in exact_median(df, "v", ["k"]).collect()}
+    assert got == {"a": 5.0, "b": 1.5}
+
+
 def test_rule_checks():
     with pytest.raises(SpecError):
         AggregationRule([], [{"column": "a", "function": "sum"}])

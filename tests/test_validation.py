@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.operators.keys import HOT_SHARE, first_in_group
+from sluice.operators.keys import mark_repeats
 from sluice.operators.validation import quarantine_rows, validate
 from sluice.specs import ValidationRule
 
@@ -87,28 +87,32 @@ def test_unique_with_a_hot_key_matches_brute_force(spark):
     n = 3000
     data = [(i, "hot" if i % 3 == 0 else (None if i % 7 == 0 else f"v{i % 50}")) for i in range(n)]
     df = spark.createDataFrame(data, "k long, v string")
-    got = first_in_group(df, ["v"], "k", "first", small_input=False).collect()
-    assert sorted(r["first"] for r in first_in_group(df, ["v"], "k", "first", small_input=True).collect()) == sorted(r["first"] for r in got)
     first = {}
     for k, v in data:
         first.setdefault(v, k)
-    assert all(r["first"] == first[r["v"]] for r in got)
-    assert len(got) == n
-    # the hot key is matched through the bounded broadcast side
-    assert HOT_SHARE > 3
+    marked = mark_repeats(df, ["v"], "k", "again").collect()
+    assert len(marked) == n
+    assert all(r["again"] == (first[r["v"]] != r["k"]) for r in marked)
     res = validate(df, [ValidationRule("v", "unique")], order_by="k")
     expected = sorted(k for k, v in data if first[v] != k)
     assert sorted(r["row_id"] for r in res.errors.collect()) == expected
 
 
-def test_cold_join_shuffles_on_key_and_salt(spark):
-    # the salt must survive optimization as a join key, or a hot key's rows
-    # would all be shuffled into one partition
+def test_repeats_join_on_key_and_order_so_a_hot_key_spreads(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        df = spark.createDataFrame([(i, f"v{i % 5}") for i in range(50)], "k long, v string")
-        plan = first_in_group(df, ["v"], "k", "first", small_input=False)._jdf.queryExecution().executedPlan().toString()
+        df = spark.createDataFrame([(i, "hot") for i in range(4000)], "k long, v string")
+        marked = mark_repeats(df, ["v"], "k", "again")
+        plan = marked._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     smj = [line for line in plan.splitlines() if "SortMergeJoin" in line]
-    assert smj and "_salt" in smj[0] and "_csalt" in smj[0]
+    assert smj and "k#" in smj[0].split("[")[1] and "v#" in smj[0].split("[")[1]
+    parts = df.repartition(8, "v", "k").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in parts) <= 2 * 4000 / 8
+
+
+def test_ties_in_the_order_column_flag_all_but_one(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "a"), (2, "a"), (1, "b"), (None, "c"), (None, "c")], "k int, v string")
+    res = validate(df, [ValidationRule("v", "unique")], order_by="k")
+    assert res.invalid.count() == 4 and res.valid.count() == 3
