@@ -190,7 +190,8 @@ def guess_date_pattern(sample_value: str | None, spark) -> str | None:
     """Pick the first guess pattern that parses one sample value.
 
     Runs on a one-row local relation: the value was already fetched by the
-    caller with a top-1 query, so this costs no scan of the data.
+    caller with a top-1 query, so this costs no scan of the data.  None means
+    that there is no value or that no pattern fits it.
     """
     if sample_value is None:
         return None

@@ -117,20 +117,28 @@ def datetime_pattern(named_format: str | None) -> str:
     return C.DATETIME_FORMATS[named_format or C.DEFAULT_DATETIME_FORMAT]
 
 
-# Patterns tried, in order, when a date column has no declared format: one is
-# chosen per column from its first non-null value (see casts.guess_pattern).
-GUESS_PATTERNS = (
+# Patterns tried, in order, when a date or datetime column has no declared
+# format: one is chosen per column from its first non-null value (see
+# casts.guess_date_pattern).  Month-first readings come before day-first ones.
+_GUESS_DAYS = (
     "yyyy-M-d",
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d'T'H:m:s",
-    "yyyy-M-d H:m:s.SSSSSS",
-    "yyyy-M-d'T'H:m:s.SSSSSS",
-    "yyyy-M-d'T'H:m:s'Z'",
     "M/d/yyyy",
+    "d/M/yyyy",
     "yyyy/M/d",
+    "M-d-yyyy",
+    "d-M-yyyy",
     "d.M.yyyy",
+    "yyyy.M.d",
     "MMM d, yyyy",
     "MMMM d, yyyy",
     "d MMM yyyy",
+    "d MMMM yyyy",
     "yyyyMMdd",
 )
+_GUESS_TIMES = ("H:m:s", "H:m", "H:m:s.SSSSSS", "H:m:s.SSS")
+GUESS_PATTERNS = (
+    *_GUESS_DAYS,
+    *(f"{day} {time}" for time in _GUESS_TIMES for day in _GUESS_DAYS),
+    *(f"yyyy-M-d'T'{time}{zone}" for zone in ("", "'Z'", "XXX") for time in _GUESS_TIMES),
+    *(f"yyyy-M-d {time}XXX" for time in _GUESS_TIMES),
+)

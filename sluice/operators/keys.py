@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def mark_repeats(df: DataFrame, keys, order_col: str, out_col: str) -> DataFrame:
+def mark_repeats(df: DataFrame, keys, order_col: str, out_col: str, lookup: DataFrame | None = None) -> DataFrame:
     """``df`` plus ``out_col``: true for every row but the first of its key.
 
     Null key values are one key, as duplicate detection treats missing
@@ -28,12 +28,15 @@ def mark_repeats(df: DataFrame, keys, order_col: str, out_col: str) -> DataFrame
     in the frame's own order (``monotonically_increasing_id``) counts as the
     first; that needs a frame whose rows come in the same order each time it
     is read, such as a file scan.  Without ties the frame's order is not used.
+    ``lookup`` is a frame of the same rows to find the firsts in, for callers
+    that count the rows of ``df`` as they pass.
     """
     keys = list(keys)
     rid = out_col + "_rid"
     rows = df.withColumn(rid, F.monotonically_increasing_id())
+    seen = (df if lookup is None else lookup).withColumn(rid, F.monotonically_increasing_id())
     names = [f"_k{i}" for i in range(len(keys))]
-    places = rows.groupBy(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)],
+    places = seen.groupBy(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)],
                           F.col(f"`{order_col}`").alias("_order")).agg(
         F.count(F.lit(1)).alias("_ties"), F.min(rid).alias("_rid"))
     firsts = places.groupBy(*names).agg(F.min(F.struct("_order", "_ties", "_rid")).alias("_first")).select(

@@ -26,8 +26,7 @@ class MappingError(ValueError):
     def __init__(self, errors):
         self.errors = errors
         super().__init__(
-            f"Schema transformation failed on {len(errors)} column(s): "
-            + "; ".join(f"{e['column']}: {e['error']}" for e in errors)
+            f"mapping failed for {len(errors)} column(s): " + "; ".join(f"{e['column']}: {e['error']}" for e in errors)
         )
 
 
@@ -55,106 +54,126 @@ def _default_literal(value, dtype: T.DataType) -> Column:
     return F.lit(value).try_cast(dtype) if not isinstance(dtype, T.NullType) else F.lit(value)
 
 
-def apply_mappings(
-    df: DataFrame,
-    mappings,
-    on_error: str = "fail",
-    order_by: str | None = None,
-) -> MappingResult:
-    """Apply column mappings; returns the mapped frame and column errors.
+@dataclass
+class MappingPlan:
+    """Cast expressions by source column, the checks they still need, and errors found while planning.
 
-    ``on_error``: ``fail`` raises MappingError, ``warn`` logs and continues,
-    ``report`` returns the errors silently.  A column whose cast failed keeps
-    its source values, as the stage leaves it untouched.
+    The expressions name source columns only, so a plan applies to any frame
+    with the columns it was made for.
+    """
+
+    exprs: dict[str, Column]
+    rename: dict[str, str]
+    fraction_checks: dict[str, Column]
+    null_checks: dict[str, Column]
+    errors: list[dict]
+
+    def check_counts(self) -> list[Column]:
+        """One count of offending rows for each check, to be aggregated or observed."""
+        checks = [*self.fraction_checks.values(), *self.null_checks.values()]
+        return [F.count_if(c).alias(f"_check_{i}") for i, c in enumerate(checks)]
+
+    def settle(self, counts: dict) -> bool:
+        """Turn check counts into errors.  True if a cast had to be dropped."""
+        dropped = False
+        for i, name in enumerate([*self.fraction_checks, *self.null_checks]):
+            bad = counts.get(f"_check_{i}") or 0
+            if not bad:
+                continue
+            if i < len(self.fraction_checks):
+                self.errors.append({"column": name, "error": f"{bad} value(s) have a fraction or do not fit an integer"})
+                self.exprs.pop(name, None)
+                dropped = True
+            elif name in self.exprs:
+                self.errors.append({"column": name, "error": f"{bad} NULL value(s) in a NOT NULL column without a default"})
+        self.fraction_checks, self.null_checks = {}, {}
+        return dropped
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        return df.select(*[self.exprs.get(c, _q(c)).alias(self.rename.get(c, c)) for c in df.columns])
+
+
+def plan_mappings(df: DataFrame, mappings, order_by: str | None = None) -> MappingPlan:
+    """Plan the casts of ``mappings`` for ``df``.
+
+    Reads data only for date columns without a format: one first value each.
     """
     mappings = [m if isinstance(m, ColumnMapping) else ColumnMapping(**m) for m in mappings or ()]
     schema = {f.name: f.dataType for f in df.schema.fields}
-    errors: list[dict] = []
-    exprs: dict[str, Column] = {}
-    frac_checks: dict[str, Column] = {}
-    null_checks: dict[str, Column] = {}
-
+    plan = MappingPlan({}, {}, {}, {}, [])
     for m in mappings:
         name = m.column_name
         if name not in schema:
-            errors.append({"column": name, "error": f"Column '{name}' not found in dataframe."})
+            plan.errors.append({"column": name, "error": "no such column in the input"})
             continue
+        plan.rename[name] = m.final_name
         dtype = schema[name]
         guess = None
-        if m.target_dtype == "date" and not m.date_format and casts.is_string(dtype):
-            guess = casts.guess_date_pattern(_first_value(df, name, order_by), df.sparkSession)
-        expr, frac = casts.cast_column(_q(name), dtype, m, guess)
-        if frac is not None:
-            frac_checks[name] = frac
+        declared = m.date_format if m.target_dtype == "date" else m.datetime_format
+        if m.target_dtype in ("date", "datetime", "timestamp") and not declared and casts.is_string(dtype):
+            sample = _first_value(df, name, order_by)
+            guess = casts.guess_date_pattern(sample, df.sparkSession)
+            if sample is not None and guess is None:
+                plan.errors.append({"column": name, "error": f"no known date format fits {sample!r}"})
+                continue
+        expr, fraction = casts.cast_column(_q(name), dtype, m, guess)
+        if fraction is not None:
+            plan.fraction_checks[name] = fraction
         if not m.is_nullable:
             if m.default_value is not None:
                 expr = F.coalesce(expr, _default_literal(m.default_value, casts.spark_type_for(m.target_dtype)))
             else:
-                null_checks[name] = expr.isNull()
-        exprs[name] = expr
-
-    frac_names = list(frac_checks)
-    null_names = list(null_checks)
-    checks = [F.count_if(frac_checks[n]).alias(f"f{i}") for i, n in enumerate(frac_names)]
-    checks += [F.count_if(null_checks[n]).alias(f"n{i}") for i, n in enumerate(null_names)]
-    if checks:
-        row = df.agg(*checks).first()
-        failed = set()
-        for i, name in enumerate(frac_names):
-            bad = row[f"f{i}"]
-            if bad:
-                errors.append(
-                    {"column": name, "error": f"Cannot convert to integer: {bad} value(s) are not whole numbers"}
-                )
-                exprs.pop(name, None)
-                failed.add(name)
-        for i, name in enumerate(null_names):
-            count = row[f"n{i}"]
-            if count and name not in failed:
-                errors.append(
-                    {
-                        "column": name,
-                        "error": f"Column '{name}' has {count} NULL value(s) but is marked "
-                        "NOT NULL and no default was supplied.",
-                    }
-                )
-
-    rename = {m.column_name: m.final_name for m in mappings if m.column_name in schema}
-    out = df.select(
-        *[
-            exprs.get(name, _q(name)).alias(rename.get(name, name))
-            for name in df.columns
-        ]
-    )
-
-    if errors:
+                plan.null_checks[name] = expr.isNull()
+        plan.exprs[name] = expr
+    return plan
+
+
+def apply_mappings(
+    df: DataFrame,
+    mappings,
+    on_error: str = "fail",
+    order_by: str | None = None,
+) -> MappingResult:
+    """Apply column mappings; returns the mapped frame and column errors.
+
+    ``on_error``: ``fail`` raises MappingError, ``warn`` logs and continues,
+    ``report`` returns the errors silently.  A column whose cast failed keeps
+    its source values, as the stage leaves it untouched.  The checks are one
+    aggregate over the checked columns; ``plans.jobs`` counts them in its
+    writing action instead.
+    """
+    plan = plan_mappings(df, mappings, order_by)
+    if checks := plan.check_counts():
+        plan.settle(df.agg(*checks).first().asDict())
+    if plan.errors:
         if on_error == "fail":
-            raise MappingError(errors)
+            raise MappingError(plan.errors)
         if on_error == "warn":
-            for e in errors:
+            for e in plan.errors:
                 log.warning("Transform error on '%s': %s", e["column"], e["error"])
-    return MappingResult(out, errors)
+    return MappingResult(plan.apply(df), plan.errors)
+
+
+# Targets of automatic mappings by Spark type; anything else is text.
+_AUTO_TARGETS = (
+    (casts.INTEGRAL_TYPES, "bigint"),
+    ((T.FloatType, T.DoubleType, T.DecimalType), "float"),
+    (T.BooleanType, "boolean"),
+    ((T.TimestampType, T.TimestampNTZType), "timestamp"),
+    (T.DateType, "date"),
+)
 
 
 def auto_mappings(df: DataFrame) -> list[ColumnMapping]:
     """Pass-through mappings from a frame's schema (migrate as-is)."""
-    out = []
-    for f in df.schema.fields:
-        name = f.dataType.simpleString().lower()
-        if "int" in name:
-            target = "bigint"
-        elif any(k in name for k in ("float", "double", "decimal", "numeric")):
-            target = "float"
-        elif "bool" in name:
-            target = "boolean"
-        elif "timestamp" in name:
-            target = "timestamp"
-        elif "date" in name:
-            target = "date"
-        else:
-            target = "text"
-        out.append(ColumnMapping(column_name=f.name, source_dtype=name, target_dtype=target))
-    return out
+    return [
+        ColumnMapping(
+            column_name=f.name,
+            source_dtype=f.dataType.simpleString(),
+            target_dtype=next((target for types, target in _AUTO_TARGETS if isinstance(f.dataType, types)), "text"),
+        )
+        for f in df.schema.fields
+    ]
 
 
 def merge_mappings(user, auto) -> list[ColumnMapping]:

@@ -100,13 +100,15 @@ def bad_predicate(df: DataFrame, rule: ValidationRule, dup_col: str | None):
     raise ValueError(f"unknown rule {kind}")
 
 
-def validate(df: DataFrame, rules, order_by: str | None = None) -> ValidationResult:
+def validate(df: DataFrame, rules, order_by: str | None = None, lookup: DataFrame | None = None) -> ValidationResult:
     """Split ``df`` into valid and invalid rows with a reason for every failure.
 
     ``order_by`` names the row-order column (first occurrence for ``unique``
     and the ``row_id`` of error records).  Without one, file order from
     ``monotonically_increasing_id`` right after the scan is used; that is
     stable for a direct file scan - pass a column for shuffled inputs.
+    ``lookup`` is a frame of the same rows that ``unique`` may read for its
+    keys, so that rows of ``df`` pass once (see ``plans.jobs``).
     """
     rules = [r if isinstance(r, ValidationRule) else ValidationRule(**r) for r in rules or ()]
     base = df
@@ -114,6 +116,7 @@ def validate(df: DataFrame, rules, order_by: str | None = None) -> ValidationRes
     if order_col is None:
         order_col = ROW_ID
         base = base.withColumn(ROW_ID, F.monotonically_increasing_id())
+        lookup = lookup if lookup is None else lookup.withColumn(ROW_ID, F.monotonically_increasing_id())
 
     work = base
     dup_cols: dict[str, str] = {}
@@ -126,8 +129,10 @@ def validate(df: DataFrame, rules, order_by: str | None = None) -> ValidationRes
                 # group and join long values by a 32-byte digest instead of
                 # the value itself (nulls stay null, so they still group)
                 key = f"_digest_{len(dup_cols)}"
-                work = work.withColumn(key, F.sha2(_q(r.column).cast("binary"), 256))
-            work = mark_repeats(work, [key], order_col, name)
+                digest = F.sha2(_q(r.column).cast("binary"), 256)
+                work = work.withColumn(key, digest)
+                lookup = lookup if lookup is None else lookup.withColumn(key, digest)
+            work = mark_repeats(work, [key], order_col, name, lookup)
             dup_cols[r.column] = name
 
     bads, structs = [], []

@@ -1,9 +1,12 @@
 """Whole jobs: extract -> filter -> map -> validate -> aggregate -> load.
 
-The stages compose lazily; the actions are one count pass (which also fills
-the cache of validated rows when there is a quarantine), one write per
-destination and the quarantine write.  Stage row counts come from
-``observe`` metrics collected during those actions, not from extra scans.
+The stages compose lazily.  Filter, map and validate run in one writing
+action: rows land in the shared checkpoint folder, valid and invalid ones
+apart, and that action alone counts the stages' rows and the mappings' checks
+(``observe``), so counts are those of rows that passed once.  Probes (the
+first value of a date column, the keys of ``unique``) read an equal frame
+that is not observed.  Aggregation and destinations then read what landed.
+A job that only filters, maps and writes one file writes it directly.
 """
 
 from __future__ import annotations
@@ -11,19 +14,19 @@ from __future__ import annotations
 import datetime as _dt
 import logging
 import uuid
+from contextlib import ExitStack
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.aggregate import aggregate
 from ..operators.filters import apply_filters
-from ..operators.mapping import apply_mappings, auto_mappings, merge_mappings
+from ..operators.mapping import MappingPlan, apply_mappings, auto_mappings, merge_mappings, plan_mappings
 from ..operators.validation import BAD, error_text, validate
 from ..sinks.files import write_file, write_log
 from ..sinks.jdbc import load_table
 from ..sinks.rest import send_batches, send_summary
-from ..session import materialize
+from ..session import materialize, scratch_path, scratch_scope
 from ..sources.files import scan
 from ..sources.jdbc import read_db
 from ..sources.rest import read_api
@@ -82,10 +85,42 @@ def extract(spark: SparkSession, spec: JobSpec, transport: str | None = None):
     return df, mappings
 
 
-def _observed(df: DataFrame, name: str, obs: dict) -> DataFrame:
-    o = Observation(name)
-    obs[name] = o
-    return df.observe(o, F.count(F.lit(1)).alias("rows"))
+INVALID = "_invalid_row"
+REASONS = "_validation_errors"
+
+
+def _pipeline(df: DataFrame, spec: JobSpec, plan: MappingPlan, counts: dict[str, Observation] | None) -> DataFrame:
+    """Filtered and mapped rows.  With ``counts``, rows and checks are counted as they pass."""
+    rows = F.count(F.lit(1)).alias("rows")
+    if counts is not None:
+        df = df.observe(counts.setdefault("extracted", Observation()), rows)
+    if spec.filters:
+        df, _ = apply_filters(df, spec.filters)
+    if counts is not None and (spec.filters or plan.check_counts()):
+        df = df.observe(counts.setdefault("filtered", Observation()), rows, *plan.check_counts())
+    return plan.apply(df)
+
+
+def _land(df: DataFrame, spec: JobSpec, plan: MappingPlan, order: str | None) -> tuple[DataFrame, DataFrame | None, dict]:
+    """(valid rows, invalid rows with reasons, counts by stage) after one write to the checkpoint folder."""
+    observed: dict[str, Observation] = {}
+    mapped = _pipeline(df, spec, plan, observed)
+    columns = [F.col(f"`{c}`") for c in mapped.columns]
+    path = scratch_path(df.sparkSession)
+    if spec.validation_rules:
+        res = validate(mapped, spec.validation_rules, order_by=order, lookup=_pipeline(df, spec, plan, None))
+        split = res.annotated.select(*columns, F.when(F.col(BAD), error_text()).alias(REASONS),
+                                     F.col(BAD).cast("int").alias(INVALID))
+        split = split.observe(observed.setdefault("validated", Observation()),
+                              F.count_if(F.col(INVALID) == 0).alias("valid"), F.count_if(F.col(INVALID) == 1).alias("invalid"))
+        split.write.partitionBy(INVALID).parquet(path)
+        landed = df.sparkSession.read.schema(split.schema).parquet(path)
+        valid = landed.filter(F.col(INVALID) == 0).select(*columns)
+        invalid = landed.filter(F.col(INVALID) == 1).select(*columns, REASONS)
+    else:
+        mapped.write.parquet(path)
+        valid, invalid = df.sparkSession.read.schema(mapped.schema).parquet(path), None
+    return valid, invalid, {name: dict(o.get) for name, o in observed.items()}
 
 
 def run_job(
@@ -103,81 +138,77 @@ def run_job(
     req_hash = ledger.request_hash(spec)
     if ledger_path:
         ledger.record(spark, ledger_path, job_id, req_hash, "running")
-    obs: dict = {}
-    cached = []
+    scope = ExitStack()
     try:
+        scope.enter_context(scratch_scope(spark))
         df, mappings = extract(spark, spec, source_transport)
         jl.info(f"Extracted {len(df.columns)} columns")
-        df = _observed(df, "extracted", obs)
-
-        if spec.filters:
-            df, _ = apply_filters(df, spec.filters)
-            df = _observed(df, "filtered", obs)
-
-        mapped = apply_mappings(df, mappings, on_error="report", order_by=spec.order_by)
-        for e in mapped.errors:
-            jl.warning(f"Transform error on '{e['column']}': {e['error']}")
-        if mapped.errors and spec.on_error == "fail":
-            raise ValueError(
-                f"Schema transformation failed on {len(mapped.errors)} column(s). See warnings."
-            )
-        df = mapped.df
+        plan = plan_mappings(apply_filters(df, spec.filters)[0] if spec.filters else df, mappings, spec.order_by)
         order = spec.order_by
         for m in mappings:
             if order and m.column_name == order:
                 order = m.final_name
 
-        failed_rows = 0
+        destinations = [d for d in (spec.db_destination, spec.file_destination, spec.api_destination) if d]
+        direct = (destinations == [spec.file_destination] and not spec.validation_rules and not spec.aggregations
+                  and not plan.check_counts())
+        invalid, counts, observed = None, {}, {}
+        if direct:
+            _check_mapping(plan, spec)
+            df = _pipeline(df, spec, plan, observed)
+        else:
+            source, checks = df, bool(plan.check_counts())
+            df, invalid, counts = _land(source, spec, plan, order)
+            if checks:
+                dropped = plan.settle(counts["filtered"])
+                _check_mapping(plan, spec)
+                if dropped:  # what landed has a cast that failed: once more with the column as it was
+                    df, invalid, counts = _land(source, spec, plan, order)
+            else:
+                _check_mapping(plan, spec)
+        for e in plan.errors:
+            jl.warning(f"Transform error on '{e['column']}': {e['error']}")
+
+        failed_rows = int(counts.get("validated", {}).get("invalid", 0))
         invalid_file = None
         if spec.validation_rules:
-            res = validate(df, spec.validation_rules, order_by=order)
-            annotated = res.annotated.persist(StorageLevel.MEMORY_AND_DISK)
-            cached.append(annotated)
-            counts = annotated.agg(
-                F.count_if(~F.col(BAD)).alias("valid"), F.count_if(F.col(BAD)).alias("invalid")
-            ).first()
-            failed_rows = int(counts["invalid"])
-            jl.info(f"Validation: {counts['valid']} valid, {failed_rows} invalid", invalid_count=failed_rows)
-            user_cols = [F.col(f"`{c}`") for c in df.columns]
-            df = annotated.filter(~F.col(BAD)).select(*user_cols)
+            jl.info(f"Validation: {counts['validated'].get('valid', 0)} valid, {failed_rows} invalid", invalid_count=failed_rows)
             if failed_rows and spec.quarantine_path:
-                bad = annotated.filter(F.col(BAD)).select(
-                    *user_cols, error_text().alias("_validation_errors")
-                )
-                invalid_file = write_file(bad, FileDestination("csv", spec.quarantine_path))["output_path"]
-                jl.info(f"Saved {failed_rows} invalid row(s) to {invalid_file}")
+                invalid_file = write_file(invalid, FileDestination("csv", spec.quarantine_path))["output_path"]
+                jl.info(f"{failed_rows} invalid row(s) are in {invalid_file}")
 
         if spec.aggregations:
             df = aggregate(df, spec.aggregations, order_by=order)
-
-        destinations = [d for d in (spec.db_destination, spec.file_destination, spec.api_destination) if d]
-        if len(destinations) > 1:
-            df = df.persist(StorageLevel.MEMORY_AND_DISK)
-            cached.append(df)
-        out_obs = Observation("output")
-        df = df.observe(out_obs, F.count(F.lit(1)).alias("rows"))
+            if len(destinations) > 1:
+                df = materialize(df)
 
         details: dict = {}
+        processed = 0
         if spec.db_destination:
             ddl_mappings = [] if spec.aggregations else mappings
             details["database"] = load_table(df, spec.db_destination, ddl_mappings, spec.batch_size)
-            jl.info(f"Loaded {details['database']['rows_inserted']} rows into {spec.db_destination.table_name}")
+            processed = details["database"]["rows_inserted"]
+            jl.info(f"Loaded {processed} rows into {spec.db_destination.table_name}")
         if spec.file_destination:
             details["file"] = write_file(df, spec.file_destination)
-            jl.info(f"Wrote {details['file']['rows_written']} rows to {spec.file_destination.output_path}")
+            processed = details["file"]["rows_written"]
+            jl.info(f"Wrote {processed} rows to {spec.file_destination.output_path}")
         if spec.api_destination:
             report = materialize(send_batches(df, spec.api_destination, transport, spec.max_retries))
             details["api"] = send_summary(report)
+            processed = processed or details["api"]["total_records"]
             jl.info(f"API load: {details['api']['sent']} sent, {details['api']['failed']} failed")
 
-        metrics = {name: int(o.get.get("rows", 0)) for name, o in obs.items()}
-        processed = int(out_obs.get.get("rows", 0))
+        counts |= {name: dict(o.get) for name, o in observed.items()}
+        metrics = {name: int(c.get("rows", 0)) for name, c in counts.items() if name != "validated"}
+        if "validated" in counts:
+            metrics["valid"] = int(counts["validated"].get("valid", 0))
         result = {
             "job_id": job_id,
             "success": True,
             "message": "ETL job completed successfully.",
             "total_rows": metrics.get("extracted", 0),
-            "processed_rows": processed,
+            "processed_rows": int(processed),
             "failed_rows": failed_rows,
             "invalid_rows_file": invalid_file,
             "details": details,
@@ -190,8 +221,7 @@ def run_job(
                   "processed_rows": 0, "failed_rows": 0}
         state = "failed"
     finally:
-        for c in cached:
-            c.unpersist()
+        scope.close()
     jl.info("ETL job finished")
     if log_dir:
         write_log(spark, jl.events, log_dir)
@@ -202,6 +232,11 @@ def run_job(
     return result
 
 
+def _check_mapping(plan: MappingPlan, spec: JobSpec) -> None:
+    if plan.errors and spec.on_error == "fail":
+        raise ValueError("mapping failed: " + "; ".join(f"{e['column']}: {e['error']}" for e in plan.errors))
+
+
 def submit(spark: SparkSession, spec: JobSpec, ledger_path: str, **kwargs) -> dict:
     """Idempotent submission: an identical request seen within the ledger
     window returns the earlier job instead of running again."""

@@ -6,6 +6,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,11 +72,39 @@ def materialize(df: DataFrame) -> DataFrame:
     survives executor loss, unlike a cache or a local checkpoint.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/sluice-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path under the shared checkpoint folder, freed with the surrounding scope if there is one."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/sluice-{uuid.uuid4().hex}"
+    if (paths := _SCOPE.get()) is not None:
+        paths.append(path)
+    return path
+
+
+_SCOPE: ContextVar[list[str] | None] = ContextVar("sluice_scratch", default=None)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Frees the intermediate tables written inside the block when it ends.
+
+    A table is freed by overwriting it with no rows, which works on any store
+    that Spark writes to.  Frames read from it must not be used afterwards.
+    """
+    paths: list[str] = []
+    token = _SCOPE.set(paths)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for path in paths:
+            spark.range(0).write.mode("overwrite").parquet(path)
+
+
 def cluster_settings(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict:
     """Spark settings for a cluster run over ``input_bytes`` of input.
 

@@ -24,7 +24,7 @@ def test_integer_cleanup(spark):
 def test_integer_fraction_fails_whole_column(spark):
     with pytest.raises(MappingError) as err:
         mapped(spark, ["1", "2.5"], ColumnMapping("v", "integer"))
-    assert "not whole numbers" in str(err.value)
+    assert "have a fraction" in str(err.value)
     # warn / report keep the source values and continue
     out, res = mapped(spark, ["1", "2.5"], ColumnMapping("v", "integer"), on_error="report")
     assert out == ["1", "2.5"] and len(res.errors) == 1
@@ -100,7 +100,7 @@ def test_default_and_not_null(spark):
     assert out == [1.0, 0.0, 3.0]
     with pytest.raises(MappingError) as err:
         mapped(spark, [1.0, None, None], ColumnMapping("v", "float", is_nullable=False), dtype="double")
-    assert "has 2 NULL value(s)" in str(err.value)
+    assert "2 NULL value(s)" in str(err.value)
 
 
 def test_rename_prefix_suffix_and_passthrough(spark):
@@ -116,7 +116,7 @@ def test_missing_column_is_reported_others_continue(spark):
     df = spark.createDataFrame([("5",)], "a string")
     res = apply_mappings(df, [ColumnMapping("nope", "integer"), ColumnMapping("a", "integer")], on_error="warn")
     assert res.df.first()["a"] == 5
-    assert res.errors[0]["error"] == "Column 'nope' not found in dataframe."
+    assert res.errors[0] == {"column": "nope", "error": "no such column in the input"}
 
 
 def test_auto_mappings_and_merge(spark):
@@ -126,3 +126,22 @@ def test_auto_mappings_and_merge(spark):
     merged = merge_mappings([ColumnMapping("b", "decimal")], auto)
     assert [m.column_name for m in merged] == ["b", "a", "c", "d"]
     assert merged[0].target_dtype == "decimal"
+
+
+@pytest.mark.parametrize("text, day", [
+    ("25/12/2024", "2024-12-25"), ("15-01-2024", "2024-01-15"), ("2024.01.15", "2024-01-15"),
+    ("2024-01-15T10:00:00+00:00", "2024-01-15"), ("01/15/2024 10:00:00", "2024-01-15"), ("2024-01-15", "2024-01-15"),
+])
+def test_dates_without_a_format_are_guessed_for_every_target(spark, text, day):
+    df = spark.createDataFrame([(1, text), (2, None)], "k int, d string")
+    for target in ("date", "datetime", "timestamp"):
+        got = apply_mappings(df, [ColumnMapping("d", target)], order_by="k").df.orderBy("k").collect()
+        assert str(got[0]["d"])[:10] == day and got[1]["d"] is None
+    if "10:00" in text:
+        assert apply_mappings(df, [ColumnMapping("d", "datetime")], order_by="k").df.first()["d"].hour == 10
+
+
+def test_a_date_that_no_format_fits_is_a_column_error(spark):
+    df = spark.createDataFrame([(1, "soon")], "k int, d string")
+    res = apply_mappings(df, [ColumnMapping("d", "date")], on_error="report")
+    assert [e["column"] for e in res.errors] == ["d"] and res.df.first()["d"] == "soon"

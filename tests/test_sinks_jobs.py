@@ -144,7 +144,32 @@ def test_mapping_error_fails_job(spark):
     spec = JobSpec(file_source={"path": src}, column_mappings=[ColumnMapping("v", "integer")],
                    file_destination=FileDestination("csv", os.path.join(d, "out")))
     res = jobs.run_job(spark, spec)
-    assert not res["success"] and "Schema transformation failed" in res["message"]
+    assert not res["success"] and "mapping failed" in res["message"]
+
+
+def test_job_counts_are_those_of_the_write(spark):
+    d = tmpdir()
+    src = os.path.join(d, "in.parquet")
+    rows = spark.range(20_000).selectExpr("id", "concat('2024-01-', lpad(id % 28 + 1, 2, '0')) AS day", "id % 15000 AS k")
+    rows.repartition(6).write.parquet(src)
+    spec = JobSpec(file_source={"path": src}, filters=[{"column": "id", "operator": "lt", "value": 18_000}],
+                   column_mappings=[ColumnMapping("day", "date"), ColumnMapping("k", "integer")],
+                   validation_rules=[{"column": "k", "rule_type": "unique"}], order_by="id",
+                   file_destination=FileDestination("parquet", os.path.join(d, "out")))
+    res = jobs.run_job(spark, spec)
+    assert res["success"], res
+    assert (res["total_rows"], res["processed_rows"], res["failed_rows"]) == (20_000, 15_000, 3_000)
+    assert res["stage_rows"] == {"extracted": 20_000, "filtered": 18_000, "valid": 15_000}
+
+
+def test_a_failed_integer_cast_leaves_the_column_when_errors_are_warnings(spark):
+    d = tmpdir()
+    src = write_csv(os.path.join(d, "in.csv"), "id,v\n1,1.5\n2,2\n")
+    spec = JobSpec(file_source={"path": src}, column_mappings=[ColumnMapping("v", "integer")], on_error="warn",
+                   file_destination=FileDestination("parquet", os.path.join(d, "out")))
+    res = jobs.run_job(spark, spec)
+    assert res["success"] and res["total_rows"] == 2 and res["log_summary"]["warnings"] == 1
+    assert sorted(r["v"] for r in spark.read.parquet(os.path.join(d, "out")).collect()) == [1.5, 2.0]
 
 
 def test_idempotent_submit_and_expiry(spark):
