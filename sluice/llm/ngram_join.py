@@ -257,7 +257,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("c"), F.col("n_blocks")).cast("int"))
     chosen = dealt.join(classes, "c").select("c", "cluster", "n_blocks", "block", "docs",
                                              F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
-    texts = keyed.select("k1", "k2", "text").join(materialize(chosen), ["k1", "k2"])
+    # a sort-merge join at every size: what is chosen grows with the input, so it is never broadcast
+    texts = keyed.select("k1", "k2", "text").join(materialize(chosen).hint("merge"), ["k1", "k2"])
     texts = texts.select("cluster", "n_blocks", "block", "c", "docs", "text")
     sets = texts.mapInArrow(_sets, "cluster long, n_blocks int, block int, c long, docs long, sig binary, shingles binary")
     units = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
