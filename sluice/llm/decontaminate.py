@@ -227,7 +227,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     a, b = fresh(docs, "k1"), fresh(docs, "k2")
     gone = find_leaks(docs, benchmark, id_col, text_col).select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct()
     k1, k2 = row_key([col(id_col), col(text_col)])
-    return docs.withColumns({a: k1, b: k2}).join(gone, [a, b], "left_anti").drop(a, b)
+    return docs.withColumns({a: k1, b: k2}).join(gone.hint("merge"), [a, b], "left_anti").drop(a, b)
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

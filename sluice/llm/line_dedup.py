@@ -57,7 +57,7 @@ def later_windows(keyed: DataFrame) -> DataFrame:
     place = F.struct("id", "k1", "k2", "start")
     spread = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     repeated = materialize(spread.filter(~F.col("first").eqNullSafe(F.col("last"))).drop("last"))
-    found = windows.join(repeated, ["h1", "h2"])
+    found = windows.join(repeated.hint("merge"), ["h1", "h2"])
     return found.filter(~place.eqNullSafe(F.col("first"))).select("k1", "k2", "start", "stop")
 
 
@@ -76,7 +76,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a, b, s = fresh(docs, "k1"), fresh(docs, "k2"), fresh(docs, "spans")
     spans = spans.select(F.col("k1").alias(a + "_of"), F.col("k2").alias(b + "_of"), F.col("spans").alias(s))
     joined = docs.withColumns({a: k1, b: k2}).join(
-        spans, (col(a) == col(a + "_of")) & (col(b) == col(b + "_of")), "left")
+        spans.hint("merge"), (col(a) == col(a + "_of")) & (col(b) == col(b + "_of")), "left")
 
     lines = F.split(col(text_col), "\n", -1)
     gone = F.array_distinct(F.flatten(F.transform(col(s), lambda x: F.sequence(x["start"], x["stop"]))))

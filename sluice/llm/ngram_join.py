@@ -297,7 +297,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     k1, k2 = row_key([col(id_col), col(text_col)])
     verdicts = verdicts.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("stays").alias(s))
     keyed = docs.withColumns({a: k1, b: k2})
-    gone = keyed.join(verdicts.filter(~col(s)), [a, b], "left_anti")
+    gone = keyed.join(verdicts.filter(~col(s)).hint("merge"), [a, b], "left_anti")
     return gone.dropDuplicates([a, b]).drop(a, b)
 
 

@@ -258,7 +258,7 @@ def keep(docs: DataFrame, **names: str) -> DataFrame:
     k1, k2 = row_key([col(c) for c in cols])
     keyed = docs.withColumns({a: k1, b: k2})
     gone = gone.withColumnsRenamed({"k1": a + "_gone", "k2": b + "_gone"})
-    return keyed.join(gone, (col(a) == col(a + "_gone")) & (col(b) == col(b + "_gone")), "left_anti").drop(a, b)
+    return keyed.join(gone.hint("merge"), (col(a) == col(a + "_gone")) & (col(b) == col(b + "_gone")), "left_anti").drop(a, b)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
