@@ -1,17 +1,7 @@
 import random
 
 import pytest
-
-WORDS = [f"{a}{b}{c}" for a in ("th", "er", "on", "sta") for b in ("an", "in", "el") for c in ("d", "t", "ra", "s")]
-
-
-def prose(rnd, n):
-    out = []
-    while len(out) < n:
-        size = rnd.randint(5, 14)
-        sentence = [rnd.choice(WORDS) + rnd.choice(WORDS) for _ in range(size)]
-        out += [sentence[0].capitalize(), *sentence[1:-1], sentence[-1] + "."]
-    return " ".join(out[:n])
+from texts import prose
 
 
 @pytest.fixture

@@ -2,9 +2,7 @@ import pytest
 
 from sluice.llm import decontaminate as d
 
-from .conftest import prose
-
-ITEM = "Ann has 3 red apples in her old basket and then gives 3 of them to Bob before walking 5 miles home with the rest"
+from texts import ITEM, prose
 
 
 @pytest.fixture

@@ -9,7 +9,7 @@ from sluice.llm import language_id as li
 from sluice.llm import quality_model as qm
 from sluice.llm.subword import ngram_features, summed
 
-from .conftest import prose
+from texts import prose
 
 TONGUES = {"aa": "bo ba bi bu ran tan", "bb": "ke ki kof lut mik ne", "cc": "xo xar zzu qe wy vur"}
 

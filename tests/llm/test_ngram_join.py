@@ -4,7 +4,7 @@ from sluice.llm import ngram_join as n
 from sluice.llm.components import connected_components
 from sluice.llm.shingles import MinHash, Shingler
 
-from .conftest import prose
+from texts import prose
 
 
 def shingle_set(text):

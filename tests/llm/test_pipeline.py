@@ -1,8 +1,7 @@
 import corpus_pipeline as p
 from sluice.llm import decontaminate, line_dedup, ngram_join
 
-from .conftest import prose
-from .test_decontaminate import ITEM
+from texts import ITEM, prose
 
 
 def test_stages_in_order_and_their_effects(spark, make_docs, rnd, tmp_path):

@@ -2,7 +2,7 @@ import re
 
 from sluice.llm import quality_rules as q
 
-from .conftest import prose
+from texts import prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
