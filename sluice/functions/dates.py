@@ -142,3 +142,21 @@ GUESS_PATTERNS = (
     *(f"yyyy-M-d'T'{time}{zone}" for zone in ("", "'Z'", "XXX") for time in _GUESS_TIMES),
     *(f"yyyy-M-d {time}XXX" for time in _GUESS_TIMES),
 )
+
+# Patterns that the profile's date test tries on sampled values, besides its
+# fixed formats.
+PROFILE_PATTERNS = (
+    "yyyy-M-d",
+    "yyyy-M-d H:m:s",
+    "yyyy-M-d'T'H:m:s",
+    "yyyy-M-d H:m:s.SSSSSS",
+    "yyyy-M-d'T'H:m:s.SSSSSS",
+    "yyyy-M-d'T'H:m:s'Z'",
+    "M/d/yyyy",
+    "yyyy/M/d",
+    "d.M.yyyy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "d MMM yyyy",
+    "yyyyMMdd",
+)

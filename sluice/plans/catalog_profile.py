@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.dates import GUESS_PATTERNS
+from ..functions.dates import PROFILE_PATTERNS
 from ..operators import profile as P
 from .catalog import CUSTOMER_N, customer_n, register, table
 
@@ -25,7 +25,7 @@ _GUESS_STRF = {
     "d MMM yyyy": "%d %b %Y",
     "yyyyMMdd": "%Y%m%d",
 }
-_ALL_DATE_FORMATS = list(C.SUGGEST_DATE_FORMATS) + [_GUESS_STRF[p] for p in GUESS_PATTERNS]
+_ALL_DATE_FORMATS = list(C.SUGGEST_DATE_FORMATS) + [_GUESS_STRF[p] for p in PROFILE_PATTERNS]
 
 
 def _profile_sql(src: str, key: str, cols) -> str:
