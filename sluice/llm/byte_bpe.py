@@ -1,21 +1,21 @@
 """Byte-level BPE encoding and decoding with public ranks.
 
 Texts are cut into blocks of about ``BLOCK_BYTES``.  A block's texts are
-split by the tokenizer's pattern, and each distinct word of the block is
-encoded once by Spark higher-order functions: the word's bytes are an array
-of pieces, and a fold merges the leftmost adjacent pair of the lowest rank
-until no pair has a rank.  The ranks are a literal map, dealt into small maps
-by a hash so that one lookup compares a few keys.  The ids of the words are
-then put back in the order of each text.  Decoding looks up each id in a
-literal array of pieces and concatenates them.
+split by the tokenizer's pattern, and each distinct word of the block that is
+no token itself is encoded once by Spark higher-order functions: the word's
+bytes are an array of pieces (each known by its rank), with the ranks of the
+adjacent pairs beside it, and a fold merges the leftmost pair of the lowest
+rank until no pair has a rank.  The ranks are a literal map from a pair of
+pieces to the rank of their concatenation, dealt into small maps so that one
+lookup compares a few keys.  The ids of the words are then put back in the
+order of each text.  Decoding looks up each id in a literal array of pieces
+and concatenates them.
 
 Nothing is shuffled: a block's dictionary stays in the task that made it, so
 memory is bounded by the block and one text, and a lost task repeats its own
 blocks alone.  Words of more than ``LONG`` bytes would make the fold
 quadratic; they are merged by the same ranks with a heap, to the same ids.
 
-Bytes are held as Latin-1 strings, one character a byte.
-
 Defined cases: null and empty texts have no ids and decode to no bytes;
 repeated rows are all returned.
 """
@@ -29,16 +29,15 @@ import json
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, col, table
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 24 << 20
 LONG = 192
-#: Small maps that the ranks are dealt into.
-DEALT = 32_768
+#: Small maps that the pairs are dealt into.
+DEALT = 65_521
 NO_RANK = 2**31 - 1
 
 
@@ -48,16 +47,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in lines if line.strip())}
 
 
-def _latin(piece: bytes) -> str:
-    return piece.decode("latin-1")
-
-
-def _dealt_ranks(ranks: dict[bytes, int]) -> str:
-    dealt: list[dict[str, int]] = [{} for _ in range(DEALT)]
+def _dealt_pairs(ranks: dict[bytes, int]) -> str:
+    """JSON of the maps (pair of pieces to the rank of both together); a pair is left * 2**20 + right."""
+    dealt: list[tuple[list[int], list[int]]] = [([], []) for _ in range(DEALT)]
     for piece, rank in ranks.items():
-        key = _latin(piece)
-        dealt[xxhash.xxh64_intdigest(key.encode(), seed=42) % DEALT][key] = rank
-    return json.dumps(dealt)
+        for cut in range(1, len(piece)):
+            left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if left is not None and right is not None:
+                pair = (left << 20) + right
+                keys, values = dealt[pair % DEALT]
+                keys.append(pair)
+                values.append(rank)
+    return json.dumps([{"k": k, "v": v} for k, v in dealt])
 
 
 def _let(value: Column, body) -> Column:
@@ -65,55 +66,37 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _rank(maps: Column, piece: Column) -> Column:
-    """Rank of a piece, null if it has none.  The remainder of the unsigned hash picks the map."""
-    at = F.xxhash64(piece).bitwiseAND(F.lit(DEALT - 1))  # DEALT is a power of two
-    return F.get(maps, at.cast("int"))[piece]
-
-
-def _pair_rank(maps: Column, a: Column, b: Column) -> Column:
-    return F.coalesce(_rank(maps, F.concat(a, b)), F.lit(NO_RANK))
+def _pair_rank(maps: Column, left: Column, right: Column) -> Column:
+    """Rank of two adjacent pieces together, ``NO_RANK`` if they have none or one is missing."""
+    pair = left.cast("long") * (1 << 20) + right
+    return F.coalesce(_let(pair, lambda pair: F.get(maps, (pair % DEALT).cast("int"))[pair]), F.lit(NO_RANK))
 
 
 def encode_word(word: Column, maps: Column) -> Column:
-    """Ids of one word (a Latin-1 string) as a fold of ranked merges; null if it is longer than ``LONG``.
+    """Ids of one word (a struct of its pieces p and the ranks r of adjacent pairs) as a fold of ranked merges.
 
-    The state holds the pieces p and the ranks r of the adjacent pairs, where
-    r[i] belongs to p[i] and p[i + 1].  A merge changes the ranks of its two
-    neighbours only.
+    r[i] belongs to p[i] and p[i + 1].  The rank of a merged piece is its id,
+    and a merge changes the ranks of its two neighbours only.
     """
     def merge(state: Column, low: Column) -> Column:
-        def at(k: Column) -> Column:  # k counts from 1
+        def at(k: Column) -> Column:
             p, r = state["p"], state["r"]
-            one = F.concat(F.get(p, k - 1), F.get(p, k))
-            return _let(one, lambda one: F.struct(
-                F.concat(F.slice(p, F.lit(1), k - 1), F.array(one), F.slice(p, k + 2, F.size(p))).alias("p"),
-                F.concat(
-                    F.slice(r, F.lit(1), F.greatest(k - 2, F.lit(0))),
-                    F.when(k > 1, F.array(_pair_rank(maps, F.get(p, k - 2), one))).otherwise(
-                        F.array().cast("array<int>")),
-                    F.when(k < F.size(r), F.array(_pair_rank(maps, one, F.get(p, k + 1)))).otherwise(
-                        F.array().cast("array<int>")),
-                    F.slice(r, k + 2, F.size(r)),
-                ).alias("r")))
-
-        return _let(F.array_position(state["r"], low).cast("int"), at)
+            pieces = F.filter(F.transform(p, lambda x, i: F.when(i == k, low).otherwise(x)), lambda x, i: i != k + 1)
+            before = F.when(k > 0, _pair_rank(maps, F.get(p, k - 1), low))
+            after = _pair_rank(maps, low, F.get(p, k + 2))
+            both = F.array(before, after)
+            near = _let(both, lambda near: F.transform(
+                r, lambda x, i: F.when(i == k - 1, near[0]).when(i == k + 1, near[1]).otherwise(x)))
+            return F.struct(pieces.alias("p"), F.filter(near, lambda x, i: i != k).alias("r"))
+
+        return _let((F.array_position(state["r"], low) - 1).cast("int"), at)
 
     def step(state: Column, _) -> Column:
         return _let(F.array_min(state["r"]),
                     lambda low: F.when(low.isNull() | (low == NO_RANK), state).otherwise(merge(state, low)))
 
-    def fold(pieces: Column) -> Column:
-        n = F.size(pieces)
-        ranks = F.transform(F.sequence(F.lit(1), n - 1),
-                            lambda i: _pair_rank(maps, F.get(pieces, i - 1), F.get(pieces, i)))
-        start = F.struct(pieces.alias("p"), ranks.alias("r"))
-        return F.aggregate(F.sequence(F.lit(2), n), start, step,
-                           lambda state: F.transform(state["p"], lambda piece: _rank(maps, piece)))
-
-    whole = _rank(maps, word)
-    return _let(whole, lambda rank: F.when(rank.isNotNull(), F.array(rank)).when(
-        F.length(word) <= LONG, _let(F.split(word, ""), fold)))
+    steps = F.sequence(F.lit(1), F.size(word["r"]))  # a word has two pieces at least
+    return F.aggregate(steps, word, step, lambda state: state["p"])
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -150,70 +133,95 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-def _split_blocks(pattern: str):
-    """(ids, words, word numbers of all texts, words of each text) for each block of (id, text) rows."""
+_WORD = pa.struct([("p", pa.list_(pa.int32())), ("r", pa.list_(pa.int32()))])
+_BLOCK_SQL = ("words array<struct<p:array<int>,r:array<int>>>, which binary, starts binary, sizes binary, known binary, "
+              "numbers binary, lengths binary")
+
+
+def _prepared(words: list[bytes], one: np.ndarray, two: np.ndarray) -> pa.Array:
+    """Pieces and pair ranks of words, from the ranks of single bytes and of pairs of bytes."""
+    flat = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([0, *map(len, words)])
+    pairs = two[flat[:-1].astype(np.int32) * 256 + flat[1:]] if len(flat) > 1 else np.empty(0, np.int32)
+    inside = np.ones(len(pairs), bool)
+    inside[ends[1:-1] - 1] = False  # pairs of two words
+    pieces = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(one[flat], pa.int32()))
+    ranks = pa.ListArray.from_arrays(pa.array(np.maximum(ends - np.arange(len(ends)), 0), pa.int32()),
+                                     pa.array(pairs[inside], pa.int32()))
+    return pa.StructArray.from_arrays([pieces, ranks], fields=list(_WORD))
+
+
+def _split_blocks(pattern: str, ranks: dict[bytes, int]):
+    """One row for each block: its texts as numbers of words, the ids of the words that are known
+    already (tokens, and long words), and the other words, ready to be merged."""
     # tiktoken's \s is the Unicode property White_Space
     find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
 
     def run(batches):
-        first = None
+        one = np.array([ranks[bytes([c])] for c in range(256)], np.int32)
+        two = np.array([ranks.get(bytes([a, c]), NO_RANK) for a in range(256) for c in range(256)], np.int32)
+        kind = None
 
         def seen(batches):
-            nonlocal first
+            nonlocal kind
             for batch in batches:
-                first = batch.schema.field(0).type
+                kind = batch.schema.field(0).type
                 yield batch
 
         for ids, texts in blocks(seen(batches), 1, BLOCK_BYTES):
             number: dict[str, int] = {}
-            numbers, sizes = [], []
+            numbers, lengths = [], []
             for text in texts:
                 words = find(text)
-                sizes.append(len(words))
+                lengths.append(len(words))
                 numbers.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
-            words = [w if w.isascii() else w.encode().decode("latin-1") for w in number]
+            known: list[int] = []
+            starts, sizes = np.zeros(len(number), np.int32), np.zeros(len(number), np.int32)
+            which, rest = [], []
+            for k, word in enumerate(w.encode() for w in number):
+                rank = ranks.get(word)
+                if rank is None and len(word) <= LONG:
+                    which.append(k)
+                    rest.append(word)
+                else:
+                    found = [rank] if rank is not None else merge_long(word, ranks)
+                    starts[k], sizes[k] = len(known), len(found)
+                    known += found
+            prepared = _prepared(rest, one, two)
+            binary = [np.array(which, np.int32), starts, sizes, np.array(known, np.int32), np.concatenate(numbers),
+                      np.array(lengths, np.int32)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids], pa.list_(first)), pa.array([words], pa.list_(pa.string())),
-                 pa.array([np.concatenate(numbers).tobytes()], pa.binary()),
-                 pa.array([np.array(sizes, np.int32).tobytes()], pa.binary())],
-                names=["ids", "words", "numbers", "sizes"])
+                [pa.array([ids], pa.list_(kind)),
+                 pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), prepared),
+                 *(pa.array([x.tobytes()], pa.binary()) for x in binary)],
+                names=["ids", "words", "which", "starts", "sizes", "known", "numbers", "lengths"])
 
     return run
 
 
-def _joined(ranks: dict[bytes, int]):
+def _joined(batches):
     """Puts the ids of words back in the order of the texts: one row (id, ids) for each text."""
-    def run(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                ids = batch.column(0)[r].values
-                words, codes = batch.column(1)[r].values, batch.column(4)[r].values
-                numbers = np.frombuffer(batch.column(2)[r].as_py(), np.int32)
-                sizes = np.frombuffer(batch.column(3)[r].as_py(), np.int32)
-                lengths = np.nan_to_num(codes.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-                flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-                start = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else lengths
-                if codes.null_count:
-                    extra, at = [flat], len(flat)
-                    for i in np.flatnonzero(codes.is_null().to_numpy(zero_copy_only=False)).tolist():
-                        long = np.array(merge_long(words[i].as_py().encode("latin-1"), ranks), np.int32)
-                        start[i], lengths[i], at = at, len(long), at + len(long)
-                        extra.append(long)
-                    flat = np.concatenate(extra)
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                for lo in range(0, len(sizes), 256):  # a few texts at a time
-                    hi = min(lo + 256, len(sizes))
-                    picked = numbers[ends[lo]:ends[hi]]
-                    size = lengths[picked]
-                    stop = np.cumsum(size)
-                    total = int(stop[-1]) if len(stop) else 0
-                    out = flat[np.arange(total) + np.repeat(start[picked] - (stop - size), size)]
-                    upto = np.concatenate([[0], stop])[ends[lo:hi + 1] - ends[lo]]
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(out, pa.int32()))],
-                        names=["doc_id", "ids"])
-
-    return run
+    for batch in batches:
+        for r in range(batch.num_rows):
+            ids, codes = batch.column(0)[r].values, batch.column(1)[r].values
+            which, starts, sizes, known, numbers, lengths = (
+                np.frombuffer(batch.column(c)[r].as_py(), np.int32) for c in range(2, 8))
+            start, size = starts.astype(np.int64), sizes.astype(np.int64)
+            size[which] = codes.value_lengths().to_numpy().astype(np.int64)
+            start[which] = len(known) + np.cumsum(size[which]) - size[which]
+            flat = np.concatenate([known, codes.flatten().to_numpy().astype(np.int32)])
+            ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+            for lo in range(0, len(lengths), 256):  # a few texts at a time
+                hi = min(lo + 256, len(lengths))
+                picked = numbers[ends[lo]:ends[hi]]
+                each = size[picked]
+                stop = np.cumsum(each)
+                total = int(stop[-1]) if len(stop) else 0
+                out = flat[np.arange(total) + np.repeat(start[picked] - (stop - each), each)]
+                upto = np.concatenate([[0], stop])[ends[lo:hi + 1] - ends[lo]]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(out, pa.int32()))],
+                    names=["doc_id", "ids"])
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,11 +229,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     ranks = read_ranks(path)
     texts = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    split = texts.mapInArrow(_split_blocks(pattern),
-                             f"ids array<{id_type}>, words array<string>, numbers binary, sizes binary")
-    maps = F.from_json(F.lit(_dealt_ranks(ranks)), "array<map<string,int>>")
+    split = texts.mapInArrow(_split_blocks(pattern, ranks), f"ids array<{id_type}>, {_BLOCK_SQL}")
+    dealt = F.from_json(F.lit(_dealt_pairs(ranks)), "array<struct<k:array<bigint>,v:array<int>>>")
+    maps = F.transform(dealt, lambda m: F.map_from_arrays(m["k"], m["v"]))
     codes = _let(maps, lambda maps: F.transform("words", lambda w: encode_word(w, maps)))
-    return split.withColumn("codes", codes).mapInArrow(_joined(ranks), f"doc_id {id_type}, ids array<int>")
+    done = split.select("ids", codes.alias("codes"), "which", "starts", "sizes", "known", "numbers", "lengths")
+    return done.mapInArrow(_joined, f"doc_id {id_type}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -233,7 +242,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     ranks = read_ranks(path)
     pieces = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = _latin(piece)
+        pieces[rank] = piece.decode("latin-1")  # one character a byte
     literal = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
     joined = F.array_join(F.transform(col(ids_col), lambda i: F.get(literal, i)), "")
     return encoded.withColumn(out_col, F.encode(joined, "ISO-8859-1"))
