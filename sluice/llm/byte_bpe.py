@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, col, table
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 32 << 20
 LONG = 192
 #: Small maps that the pairs are dealt into.
 DEALT = 65_521
@@ -49,16 +49,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def _dealt_pairs(ranks: dict[bytes, int]) -> str:
     """JSON of the maps (pair of pieces to the rank of both together); a pair is left * 2**20 + right."""
-    dealt: list[tuple[list[int], list[int]]] = [([], []) for _ in range(DEALT)]
+    dealt: list[dict[str, int]] = [{} for _ in range(DEALT)]
     for piece, rank in ranks.items():
         for cut in range(1, len(piece)):
             left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
             if left is not None and right is not None:
                 pair = (left << 20) + right
-                keys, values = dealt[pair % DEALT]
-                keys.append(pair)
-                values.append(rank)
-    return json.dumps([{"k": k, "v": v} for k, v in dealt])
+                dealt[pair % DEALT][str(pair)] = rank
+    return json.dumps(dealt)
 
 
 def _let(value: Column, body) -> Column:
@@ -69,7 +67,7 @@ def _let(value: Column, body) -> Column:
 def _pair_rank(maps: Column, left: Column, right: Column) -> Column:
     """Rank of two adjacent pieces together, ``NO_RANK`` if they have none or one is missing."""
     pair = left.cast("long") * (1 << 20) + right
-    return F.coalesce(_let(pair, lambda pair: F.get(maps, (pair % DEALT).cast("int"))[pair]), F.lit(NO_RANK))
+    return F.coalesce(_let(pair, lambda pair: F.get(maps, (pair % DEALT).cast("int"))[pair.cast("string")]), F.lit(NO_RANK))
 
 
 def encode_word(word: Column, maps: Column) -> Column:
@@ -230,8 +228,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     texts = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
     split = texts.mapInArrow(_split_blocks(pattern, ranks), f"ids array<{id_type}>, {_BLOCK_SQL}")
-    dealt = F.from_json(F.lit(_dealt_pairs(ranks)), "array<struct<k:array<bigint>,v:array<int>>>")
-    maps = F.transform(dealt, lambda m: F.map_from_arrays(m["k"], m["v"]))
+    maps = F.from_json(F.lit(_dealt_pairs(ranks)), "array<map<string,int>>")
     codes = _let(maps, lambda maps: F.transform("words", lambda w: encode_word(w, maps)))
     done = split.select("ids", codes.alias("codes"), "which", "starts", "sizes", "known", "numbers", "lengths")
     return done.mapInArrow(_joined, f"doc_id {id_type}, ids array<int>")
