@@ -46,7 +46,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load_all():
-    from . import catalog_files, catalog_profile, catalog_sources  # noqa: F401  (registration side effects)
+    from . import catalog_files, catalog_more, catalog_profile, catalog_sources  # noqa: F401  (registration side effects)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,7 +129,7 @@ _FILTERS = {
                   "coalesce(o_orderpriority IN ('1-URGENT', '2-HIGH'), false)"),
     "filter_not_in": ([{"column": "o_orderpriority", "operator": "not_in", "values": ["5-LOW", "3-MEDIUM"]}],
                       "NOT coalesce(o_orderpriority IN ('5-LOW', '3-MEDIUM'), false)"),
-    "filter_eq_type_mismatch": ([{"column": "o_custkey", "operator": "eq", "value": "7"}], "false"),
+    "filter_neq_type_mismatch": ([{"column": "o_custkey", "operator": "neq", "value": "7"}], "true"),
     "filter_timestamp_gte": ([{"column": "o_orderdate", "operator": "gte", "value": "1997-01-01"}],
                              "coalesce(o_orderdate >= TIMESTAMP '1997-01-01', false)"),
     "filter_multi": (

@@ -180,10 +180,10 @@ def stream_folder_run(spark, sf_dir):
     from ..specs import JobSpec
     from ..streaming.folder import read_outputs, watch_folder
 
-    # about eight files, one micro-batch (= one job) each; the stages are row-local,
-    # so the union of the per-file outputs equals the whole-table result
-    rows = table(spark, sf_dir, "orders").count()  # from file metadata
-    inbox = _orders_csv(spark, sf_dir, "orders-inbox", records_per_file=max(1000, -(-rows // 8)))
+    # a fixed number of files, all in one job; the stages are row-local,
+    # so the output equals the whole-table result
+    src = orders_n(spark, sf_dir).select("o_orderkey", "o_totalprice", "o_orderpriority")
+    inbox = write_csv(src.repartition(8), scratch(spark, "orders-inbox.csv"))
     out = scratch(spark, "orders-stream-out")
     spec = JobSpec(
         table_source="inbox",
@@ -194,7 +194,7 @@ def stream_folder_run(spark, sf_dir):
         file_destination={"format": "parquet", "output_path": out},
     )
     query = watch_folder(spark, inbox, ["o_orderkey", "o_totalprice", "o_orderpriority"], spec, out,
-                         scratch(spark, "orders-stream-ckpt"))
+                         scratch(spark, "orders-stream-ckpt"), files_per_trigger=8)
     query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))

@@ -21,15 +21,22 @@ def event_pages(spark, sf_dir):
     return pages.select("page", F.to_json(F.struct(F.struct("items").alias("data"))).alias("body"))
 
 
+def prop_pages(spark, sf_dir):
+    """The events' properties as JSON pages of one record each, text and numbers as they are."""
+    props = F.get_json_object("props", "$.k")
+    body = F.concat(F.lit('{"items": [{"event_id": '), F.col("event_id"), F.lit(', "k": '), props, F.lit(', "code": "00'),
+                    props, F.lit('"}]}'))
+    return table(spark, sf_dir, "events").select(body.alias("body"))
+
+
 register("records_drill", "SELECT event_id, user_id, event_type, value FROM events")(
     lambda spark, d: drill(event_pages(spark, d), "body", "data.items")
 )
 
 register(
     "records_drill_props",
-    """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""",
+    """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+              '00' || CAST(json_extract(props, '$.k') AS BIGINT) AS code FROM events""",
 )(
-    lambda spark, d: table(spark, d, "events").select(
-        "event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k")
-    )
+    lambda spark, d: drill(prop_pages(spark, d), "body", "items")
 )

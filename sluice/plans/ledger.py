@@ -13,31 +13,37 @@ import datetime as _dt
 import hashlib
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
 
 LEDGER_SCHEMA = "job_id string, request_hash string, state string, ts timestamp, result string"
+# Entries are partitioned by the day of their time.
+DAY = "day"
 LOG_SCHEMA = "timestamp string, level string, job_id string, message string, extra string"
 
 
 def request_hash(request) -> str:
-    """SHA-256 of the request's canonical JSON (sorted keys)."""
-    data = request.to_dict() if hasattr(request, "to_dict") else request
-    canonical = json.dumps(data, sort_keys=True, default=str)
-    return hashlib.sha256(canonical.encode()).hexdigest()
+    """SHA-256 over the request's fields in the order of their names."""
+    fields = request.to_dict() if hasattr(request, "to_dict") else dict(request)
+    digest = hashlib.sha256()
+    for name in sorted(fields):
+        digest.update(json.dumps([name, fields[name]], sort_keys=True, default=str).encode())
+    return digest.hexdigest()
 
 
 def record(spark: SparkSession, path: str, job_id: str, req_hash: str, state: str, result: dict | None = None,
            ts: _dt.datetime | None = None) -> None:
     ts = ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     row = [(job_id, req_hash, state, ts, json.dumps(result, default=str) if result is not None else None)]
-    spark.createDataFrame(row, LEDGER_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    entry = spark.createDataFrame(row, LEDGER_SCHEMA).coalesce(1).withColumn(DAY, F.to_date("ts"))
+    entry.write.mode("append").partitionBy(DAY).parquet(path)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+    return spark.read.schema(f"{LEDGER_SCHEMA}, {DAY} date").parquet(path)
 
 
 def latest_states(spark: SparkSession, path: str, ttl_hours: int = C.LEDGER_TTL_HOURS,
@@ -46,7 +52,8 @@ def latest_states(spark: SparkSession, path: str, ttl_hours: int = C.LEDGER_TTL_
     within the retention window."""
     now = now or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     cutoff = now - _dt.timedelta(hours=ttl_hours)
-    led = read_ledger(spark, path).filter(F.col("ts") >= F.lit(cutoff))
+    # the days before the cutoff are pruned, so the cost follows the window, not the ledger's age
+    led = read_ledger(spark, path).filter((F.col("ts") >= F.lit(cutoff)) & (F.col(DAY) >= F.lit(cutoff.date())))
     last = led.groupBy("job_id").agg(
         F.max_by(F.struct("request_hash", "state", "ts", "result"), F.col("ts")).alias("s")
     )
@@ -59,8 +66,10 @@ def find_job(spark: SparkSession, path: str, req_hash: str, ttl_hours: int = C.L
     try:
         states = latest_states(spark, path, ttl_hours, now)
         hit = states.filter(F.col("request_hash") == req_hash).orderBy(F.desc("ts")).limit(1).collect()
-    except Exception:  # no ledger yet
-        return None
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None  # no ledger yet
     if not hit:
         return None
     r = hit[0]
@@ -68,9 +77,9 @@ def find_job(spark: SparkSession, path: str, req_hash: str, ttl_hours: int = C.L
 
 
 def pending_requests(requests: DataFrame, spark: SparkSession, path: str, hash_col: str = "request_hash",
-                     ttl_hours: int = C.LEDGER_TTL_HOURS) -> DataFrame:
+                     ttl_hours: int = C.LEDGER_TTL_HOURS, now: _dt.datetime | None = None) -> DataFrame:
     """Requests with no job in the ledger window (anti-join on the hash)."""
-    seen = latest_states(spark, path, ttl_hours).select(F.col("request_hash").alias(hash_col)).distinct()
+    seen = latest_states(spark, path, ttl_hours, now).select(F.col("request_hash").alias(hash_col)).distinct()
     return requests.join(seen, hash_col, "left_anti")
 
 

@@ -1,4 +1,4 @@
-"""Job requests in the request shape users of the original service send.
+"""Job requests in a JSON request shape: one dictionary names source, stages and destinations.
 
 ``job_from_request`` turns such a request (``file_id`` or ``db_source`` or
 ``api_source``; ``column_mappings``, ``filters``, ``aggregations``,
@@ -64,8 +64,10 @@ def _db_source(src: dict) -> DatabaseSource:
         table_name=src.get("table_name"),
         query=src.get("query"),
         columns=src.get("columns"),
-        # rows per round trip; the original accepted and ignored it
+        # rows per round trip
         fetch_size=src.get("chunk_size") or None,
+        partition_column=src.get("partition_column"),
+        num_partitions=src.get("num_partitions"),
     )
 
 

@@ -1,4 +1,4 @@
-"""File sinks (CSV with header, Parquet, optional Excel), the quarantine
+"""File sinks (CSV with header, Parquet), the quarantine
 file, job-log lines, and a write report from the written files."""
 
 from __future__ import annotations
@@ -30,38 +30,12 @@ def write_file(df: DataFrame, dest: FileDestination, mode: str = "overwrite") ->
         observed.write.mode(mode).option("header", True).option("escape", '"').csv(path)
     elif fmt == "parquet":
         observed.write.mode(mode).parquet(path)
-    elif fmt == "excel":
-        path = path if path.endswith((".xlsx", ".xls")) else path + ".xlsx"
-        write_excel(observed, path)
     else:
         raise ValueError(f"Unsupported output format: {fmt}")
     rows = int(obs.get.get("rows", 0))
     return {"output_path": path, "rows_written": rows, "file_size_bytes": written_bytes(df.sparkSession, path)}
 
 
-def write_excel(df: DataFrame, path: str) -> None:
-    """One workbook per partition, written by the task that owns it."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as exc:  # pragma: no cover - depends on the image
-        raise ValueError("Excel output needs the openpyxl package") from exc
-    import os
-    import uuid
-
-    os.makedirs(path, exist_ok=True)
-
-    def write(batches):
-        import pandas as pd
-
-        frames = list(batches)
-        if frames:
-            target = os.path.join(path, f"part-{uuid.uuid4().hex}.xlsx")
-            pd.concat(frames).to_excel(target, index=False)
-            yield pd.DataFrame({"rows": [sum(len(f) for f in frames)]})
-
-    df.mapInPandas(write, "rows long").agg(F.sum("rows")).collect()
-
-
 def write_quarantine(invalid_with_reasons: DataFrame, path: str) -> dict:
     """Invalid rows plus their ``_validation_errors`` text, as CSV."""
     return write_file(invalid_with_reasons, FileDestination("csv", path))

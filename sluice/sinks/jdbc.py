@@ -11,8 +11,10 @@ staging table first; one database transaction then renames it into place
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -63,32 +65,109 @@ def column_types(df: DataFrame, mappings, dialect: str) -> str | None:
     return ", ".join(parts) or None
 
 
-def check_keys(df: DataFrame, mappings) -> None:
-    """NOT NULL, UNIQUE and primary-key columns are checked before loading,
-    in one aggregate pass (map-side partial counts)."""
-    aggs, labels = [], []
-    for m in mappings or ():
-        name = m.final_name
-        if name not in df.columns:
-            continue
+def _key_checks(df: DataFrame, mappings) -> list[tuple[str, str, Column]]:
+    """(column names, what is wrong, count of rows) for every key rule of the mappings.
+
+    The primary-key columns are one key together.
+    """
+    mapped = [m for m in mappings or () if m.final_name in df.columns]
+
+    def key(name: str) -> Column:
+        # text keys are counted by digest: 32 bytes shuffled per value
         c = F.col(f"`{name}`")
-        if not m.is_nullable or m.is_primary_key:
-            aggs.append(F.count_if(c.isNull()))
-            labels.append((name, "null value(s) in a NOT NULL column"))
-        if m.is_unique or m.is_primary_key:
-            # text keys are counted by digest: 32 bytes shuffled per value
-            dtype = df.schema[name].dataType
-            key = F.sha2(c.cast("binary"), 256) if is_string(dtype) else c
-            aggs.append(F.count(c) - F.count_distinct(key))
-            labels.append((name, "duplicate value(s) in a UNIQUE column"))
-    if not aggs:
+        return F.sha2(c.cast("binary"), 256) if is_string(df.schema[name].dataType) else c
+
+    checks = [(m.final_name, "null value(s) in a NOT NULL column", F.count_if(F.col(f"`{m.final_name}`").isNull()))
+              for m in mapped if not m.is_nullable or m.is_primary_key]
+    primary = [m.final_name for m in mapped if m.is_primary_key]
+    keys = [([m.final_name], "UNIQUE column") for m in mapped if m.is_unique and [m.final_name] != primary]
+    if primary:
+        keys.append((primary, "PRIMARY KEY"))
+    for names, what in keys:
+        filled = reduce(lambda a, b: a & b, [F.col(f"`{n}`").isNotNull() for n in names])
+        # rows with a null in the key are not compared: count_distinct leaves them out as well
+        checks.append((", ".join(names), f"duplicate value(s) in a {what}",
+                       F.count_if(filled) - F.count_distinct(*[key(n) for n in names])))
+    return checks
+
+
+def key_violations(df: DataFrame, mappings) -> DataFrame:
+    """(column_name, problem, rows) for every key rule, in one aggregate pass (map-side partial counts)."""
+    checks = _key_checks(df, mappings)
+    counts = df.agg(*[c.cast("long").alias(f"k{i}") for i, (_, _, c) in enumerate(checks)])
+    rows = [F.struct(F.lit(names).alias("column_name"), F.lit(what).alias("problem"), F.col(f"k{i}").alias("rows"))
+            for i, (names, what, _) in enumerate(checks)]
+    return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def check_keys(df: DataFrame, mappings) -> None:
+    """Raises LoadError if rows break a key rule; checked before loading."""
+    if not _key_checks(df, mappings):
         return
-    row = df.agg(*[a.alias(f"k{i}") for i, a in enumerate(aggs)]).first()
-    problems = [f"{name}: {row[f'k{i}']} {what}" for i, (name, what) in enumerate(labels) if row[f"k{i}"]]
+    problems = [f"{r['column_name']}: {r['rows']} {r['problem']}" for r in key_violations(df, mappings).collect() if r["rows"]]
     if problems:
         raise LoadError("; ".join(problems))
 
 
+# --- fixed values: how a dialect states a column rule of a table -------------
+NOT_NULL_SQL = {
+    "postgresql": "ALTER TABLE {table} ALTER COLUMN {column} SET NOT NULL",
+    "mysql": "ALTER TABLE {table} MODIFY COLUMN {column} {type} NOT NULL",
+    "derby": "ALTER TABLE {table} ALTER COLUMN {column} NOT NULL",
+}
+DEFAULT_SQL = {
+    "postgresql": "ALTER TABLE {table} ALTER COLUMN {column} SET DEFAULT {value}",
+    "mysql": "ALTER TABLE {table} ALTER COLUMN {column} SET DEFAULT {value}",
+    "derby": "ALTER TABLE {table} ALTER COLUMN {column} DEFAULT {value}",
+}
+
+
+def _sql_literal(value) -> str:
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, (int, float)):
+        return repr(value)
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def constraint_statements(table: str, columns, mappings, dialect: str) -> list[str]:
+    """Statements that give a freshly loaded table its NOT NULL, DEFAULT, UNIQUE and PRIMARY KEY rules.
+
+    Spark's writer creates a table with types only.  SQLite cannot alter a
+    table so; there, unique indexes stand in for both kinds of keys.
+    """
+    mapped = [m for m in mappings or () if m.final_name in set(columns)]
+    out = []
+    for m in mapped:
+        column, kind = quote(m.final_name, dialect), C.SQL_TYPES[dialect][m.target_dtype]
+        if (not m.is_nullable or m.is_primary_key) and dialect in NOT_NULL_SQL:
+            out.append(NOT_NULL_SQL[dialect].format(table=table, column=column, type=kind))
+        if m.default_value is not None and dialect in DEFAULT_SQL:
+            out.append(DEFAULT_SQL[dialect].format(table=table, column=column, value=_sql_literal(m.default_value)))
+    primary = [m.final_name for m in mapped if m.is_primary_key]
+    unique = [[m.final_name] for m in mapped if m.is_unique and [m.final_name] != primary]
+    for n, names in enumerate([primary, *unique] if primary else unique):
+        joined = ", ".join(quote(c, dialect) for c in names)
+        if dialect == "sqlite":
+            out.append(f"CREATE UNIQUE INDEX {quote(f'{table}_key{n}', dialect)} ON {table} ({joined})")
+        else:
+            out.append(f"ALTER TABLE {table} ADD {'PRIMARY KEY' if names is primary else 'UNIQUE'} ({joined})")
+    return out
+
+
+def swap_statements(table: str, staging: str, exists: bool, dialect: str) -> list[str]:
+    """Statements that put a staging table in a target's place.
+
+    MySQL commits every DDL statement, so there one RENAME moves both names
+    at once and the old table is dropped last: no moment without a target.
+    """
+    if not exists:
+        return [RENAME_SQL[dialect].format(old=staging, new=table)]
+    if dialect == "mysql":
+        return [f"RENAME TABLE {table} TO {staging}_old, {staging} TO {table}", f"DROP TABLE {staging}_old"]
+    return [f"DROP TABLE {table}", RENAME_SQL[dialect].format(old=staging, new=table)]
+
+
 def load_table(
     df: DataFrame,
     dest: DatabaseDestination,
@@ -124,19 +203,20 @@ def load_table(
         # parallel write into a private staging table, then one transaction
         # makes it visible: rename it into place, or append it to the target
         staging = f"{dest.table_name}_stg_{uuid.uuid4().hex[:8]}"
-        write(clean, staging, "error")
-        rename = RENAME_SQL[conn.dialect].format(old=staging, new=dest.table_name)
-        if exists and dest.if_exists == "append":
-            cols = ", ".join(quote(c, conn.dialect) for c in df.columns)
-            stmts = [f"INSERT INTO {dest.table_name} ({cols}) SELECT {cols} FROM {staging}", f"DROP TABLE {staging}"]
-        elif exists:
-            stmts = [f"DROP TABLE {dest.table_name}", rename]
-        else:
-            stmts = [rename]
+        rules = constraint_statements(staging, df.columns, mappings, conn.dialect)
         try:
+            write(clean, staging, "error")
+            if exists and dest.if_exists == "append":
+                cols = ", ".join(quote(c, conn.dialect) for c in df.columns)
+                stmts = [f"INSERT INTO {dest.table_name} ({cols}) SELECT {cols} FROM {staging}", f"DROP TABLE {staging}"]
+            else:
+                stmts = [*rules, *swap_statements(dest.table_name, staging, exists, conn.dialect)]
             execute(spark, conn, stmts)
         except Exception:
-            execute(spark, conn, [f"DROP TABLE {staging}"])
+            # what was staged goes, whether its write or the swap failed; the target is only dropped once
+            # the staging table has its name (MySQL) or in the same transaction
+            if table_exists(spark, conn, staging):
+                execute(spark, conn, [f"DROP TABLE {staging}"])
             raise
 
     report = {"table_name": dest.table_name, "rows_inserted": int(obs.get.get("rows", 0)), "rows_failed": 0}
@@ -153,15 +233,17 @@ def create_index(df: DataFrame, dest: DatabaseDestination) -> bool:
         quoted = ", ".join(quote(c, dest.connection.dialect) for c in cols)
         execute(df.sparkSession, dest.connection, [f"CREATE INDEX {name} ON {dest.table_name} ({quoted})"])
         return True
-    except Exception:
+    except Py4JJavaError:  # the database refused it
         return False
 
 
-def write_clustered_table(df: DataFrame, table: str, key_columns, buckets: int, mode: str = "overwrite") -> None:
+def write_clustered_table(df: DataFrame, table: str, key_columns, buckets: int, mode: str = "overwrite",
+                          path: str | None = None) -> None:
     """The Spark-table form of an index: bucket and sort by the key columns
-    so later joins and lookups on them skip the shuffle."""
+    so later joins and lookups on them skip the shuffle.  ``path`` keeps the
+    files outside the warehouse folder."""
     (
-        df.write.mode(mode)
+        (df.write.option("path", path) if path else df.write).mode(mode)
         .bucketBy(buckets, *key_columns)
         .sortBy(*key_columns)
         .saveAsTable(table)

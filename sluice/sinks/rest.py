@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..specs import ApiDestination
 from ..sources.rest import default_transport
 
+#: Distinct error texts that a summary holds.
+ERRORS = 20
 REPORT_SCHEMA = "batch_id string, records long, ok boolean, error string"
 
 
@@ -82,15 +84,18 @@ def send_batches(
 
 
 def send_summary(report: DataFrame) -> dict:
-    """total_records, sent, failed and failed batch count (one aggregate)."""
+    """total_records, sent, failed, failed batch count and error texts (one aggregate)."""
     row = report.agg(
         F.coalesce(F.sum("records"), F.lit(0)).alias("total"),
         F.coalesce(F.sum(F.when(F.col("ok"), F.col("records"))), F.lit(0)).alias("sent"),
         F.count_if(~F.col("ok")).alias("failed_batches"),
+        # error texts repeat, so the distinct ones are few; the summary takes the first ERRORS of them
+        F.slice(F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("error")))), 1, ERRORS).alias("errors"),
     ).first()
     return {
         "total_records": int(row["total"]),
         "sent": int(row["sent"]),
         "failed": int(row["total"]) - int(row["sent"]),
         "failed_batches": int(row["failed_batches"]),
+        "errors": list(row["errors"]),
     }

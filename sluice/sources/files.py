@@ -1,10 +1,12 @@
 """File scans: CSV (header, quoted newlines, missing-value tokens, encoding
-fallback, type inference), Parquet, Excel (optional), dispatch by
-extension, file listing."""
+fallback, type inference), Parquet, dispatch by extension, file listing."""
 
 from __future__ import annotations
 
+import codecs
+import csv
 import os
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,9 +16,6 @@ from pyspark.sql import types as T
 from .. import constants as C
 from . import inference
 
-REPLACEMENT_CHAR = "\ufffd"
-
-
 class UnsupportedFileError(ValueError):
     pass
 
@@ -44,6 +43,41 @@ def has_multiline_records(spark: SparkSession, path: str) -> bool:
     return bool(lines.filter(quotes % 2 == 1).limit(1).count())
 
 
+def _file_verdicts(spark: SparkSession, path: str, encoding: str | None) -> list[dict]:
+    """What one splittable pass over the raw lines says of each file.
+
+    ``encoding``: UTF-8 unless some line does not decode (then ISO-8859-1,
+    which decodes any byte); ``multi_line``: some line has an odd number of
+    quotes; ``names``: the header; ``cells``: the most cells of a line.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("top"), "value",
+        F.monotonically_increasing_id().alias("n"))
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    unquoted = F.regexp_replace("value", '"[^"]*"', "")
+    cells = F.length(unquoted) - F.length(F.translate(unquoted, ",", "")) + 1
+    files = lines.groupBy("file").agg(
+        F.bool_or(~F.is_valid_utf8("value")).alias("bad"),
+        F.bool_or(quotes % 2 == 1).alias("multi_line"),
+        F.hex(F.min_by(F.col("value").cast("binary"), F.when(F.col("top"), F.col("n")))).alias("header"),
+        F.max(cells).alias("cells"),
+    ).orderBy("file").collect()  # one row a file, as Spark's own listing holds
+    out = []
+    for r in files:
+        codec = encoding or ("ISO-8859-1" if r["bad"] else "UTF-8")
+        if r["multi_line"]:
+            names = _reader(spark, codec, True).csv(_escaped(r["file"])).columns
+        else:
+            names = next(csv.reader([bytes.fromhex(r["header"]).decode(codec, "replace").removeprefix("\ufeff")]), [])
+        out.append({"file": r["file"], "encoding": codec, "multi_line": r["multi_line"], "names": tuple(names), "cells": r["cells"]})
+    return out
+
+
+def _escaped(file: str) -> str:
+    """A file's path with the characters escaped that a path pattern reads as wildcards."""
+    return re.sub(r"([][{}*?\\])", r"\\\1", file)
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -52,40 +86,37 @@ def read_csv(
     infer_types: bool = True,
     schema: T.StructType | str | None = None,
 ) -> DataFrame:
-    """CSV with a header row.
-
-    ``multi_line=None`` decides per read: files whose records never span
-    lines are read split into many tasks; only when a quoted field holds a
-    line break is each file parsed whole (``multiLine``).
-
-    Without an explicit ``encoding`` the file is read as UTF-8; bad bytes
-    come back as U+FFFD, and if any cell or header holds one the file is
-    read again as ISO-8859-1 (which decodes any byte).  The check rides on
-    the type-inference pass, so a clean UTF-8 file is scanned once.
+    """CSV files with a header row each.
+
+    One pass over the raw lines decides for every file on its own: its
+    encoding, whether records span lines (only then is a file parsed whole by
+    one task, ``multiLine``) and its header.  Files are grouped by these and
+    put together by column name, so a folder may mix them.  A line with more
+    cells than its header is an error, a short one is padded with nulls; in
+    files whose records span lines surplus cells cannot be told apart by
+    lines and are dropped.  A second pass infers the types.
+
+    With ``schema``, or with both ``encoding`` and ``multi_line`` given, the
+    first pass is left out and all files must have the same header.
     """
-    if multi_line is None:
-        multi_line = has_multiline_records(spark, path)
     if schema is not None:
-        return _reader(spark, encoding or "UTF-8", multi_line).schema(schema).csv(path)
-    raw = _reader(spark, encoding or "UTF-8", multi_line).csv(path)
+        whole = has_multiline_records(spark, path) if multi_line is None else multi_line
+        return _reader(spark, encoding or "UTF-8", whole).schema(schema).csv(path)
+    if encoding is not None and (multi_line is not None or codecs.lookup(encoding).name.startswith(("utf-16", "utf-32"))):
+        raw = _reader(spark, encoding, bool(multi_line)).csv(path)
+    else:
+        groups: dict[tuple, list[str]] = {}
+        for v in _file_verdicts(spark, path, encoding):
+            whole = v["multi_line"] if multi_line is None else multi_line
+            if not whole and v["cells"] > len(v["names"]):
+                raise ValueError(f"{v['file']}: a line has {v['cells']} cells, the header {len(v['names'])}")
+            groups.setdefault((v["encoding"], whole, v["names"]), []).append(_escaped(v["file"]))
+        parts = [_reader(spark, codec, whole).csv(files) for (codec, whole, _), files in groups.items()]
+        if not parts:
+            return spark.read.option("header", True).csv(path)
+        raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     df = inference.null_tokens(raw)
-    if encoding is None:
-        bad_cells = [F.coalesce(F.max(F.instr(F.col(f"`{c}`"), REPLACEMENT_CHAR)), F.lit(0)) for c in df.columns]
-        bad_expr = reduce(lambda a, b: F.greatest(a, b), bad_cells) if bad_cells else F.lit(0)
-        header_bad = any(REPLACEMENT_CHAR in c for c in df.columns)
-        if not infer_types:
-            bad = header_bad or df.agg(bad_expr.alias("_bad")).first()["_bad"] > 0
-            if bad:
-                return read_csv(spark, path, "ISO-8859-1", multi_line, False)
-            return df
-        typed, row = inference.infer_and_cast(df, check_text=REPLACEMENT_CHAR)
-        if header_bad or row["_bad"] > 0:
-            return read_csv(spark, path, "ISO-8859-1", multi_line, infer_types)
-        return typed
-    if not infer_types:
-        return df
-    typed, _ = inference.infer_and_cast(df)
-    return typed
+    return inference.infer_and_cast(df)[0] if infer_types else df
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -104,48 +135,14 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return nan_to_null(spark.read.parquet(path))
 
 
-def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """First sheet of each workbook, all cells as text, one task per file.
-
-    Needs the optional openpyxl package on the workers.
-    """
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as exc:  # pragma: no cover - depends on the image
-        raise UnsupportedFileError("Excel files need the openpyxl package") from exc
-    import io
-
-    import pandas as pd
-
-    header = list(pd.read_excel(path if not path.startswith("file:") else path[5:], nrows=0).columns)
-    schema = T.StructType([T.StructField(str(h), T.StringType()) for h in header])
-
-    def read(batches):
-        for pdf in batches:
-            for content in pdf["content"]:
-                book = pd.read_excel(io.BytesIO(content), dtype=str)
-                book = book.reindex(columns=[f.name for f in schema.fields])
-                # empty cells come back as float NaN; text columns need None
-                yield book.astype(object).where(book.notna(), None)
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    df = files.mapInPandas(read, schema)
-    typed, _ = inference.infer_and_cast(inference.null_tokens(df))
-    return typed
-
-
 def scan(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Read a file by its extension (.csv, .parquet, .xlsx/.xls)."""
+    """Read a file or folder by its extension (.csv, .parquet)."""
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext == ".csv":
         return read_csv(spark, path, **options)
     if ext == ".parquet":
         return read_parquet(spark, path)
-    if ext in (".xlsx", ".xls"):
-        return read_excel(spark, path)
-    raise UnsupportedFileError(
-        f"Unsupported file extension: {ext}. Allowed: {', '.join(C.ALLOWED_EXTENSIONS)}"
-    )
+    raise UnsupportedFileError(f"no reader for {ext or 'a path without extension'}; .csv and .parquet can be read")
 
 
 def extension_of(path: Column) -> Column:

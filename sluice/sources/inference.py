@@ -92,19 +92,9 @@ def cast_inferred(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.select(*cols)
 
 
-def infer_and_cast(df: DataFrame, check_text: str | None = None) -> tuple[DataFrame, object]:
-    """Infer every string column's type in one pass and cast.
-
-    With ``check_text`` the same pass also reports (as ``_bad`` > 0) whether
-    any cell contains that text - the encoding check - so nothing is read
-    twice."""
+def infer_and_cast(df: DataFrame) -> tuple[DataFrame, object]:
+    """Infer every string column's type in one pass and cast."""
     columns = list(df.columns)
-    extra, extra_aggs = [], []
-    if check_text:
-        marks = [F.coalesce(F.instr(_q(c), check_text), F.lit(0)) for c in columns]
-        mark = F.greatest(*marks) if len(marks) > 1 else (marks[0] if marks else F.lit(0))
-        extra = [mark.alias("__mark")]
-        extra_aggs = [F.coalesce(F.max("__mark"), F.lit(0)).alias("_bad")]
-    staged = df.select(*[cell_kind(_q(c)).alias(c) for c in columns], *extra)
-    row = staged.agg(*inference_aggregates(columns), *extra_aggs).first()
+    staged = df.select(*[cell_kind(_q(c)).alias(c) for c in columns])
+    row = staged.agg(*inference_aggregates(columns)).first()
     return cast_inferred(df, decide_types(row, columns)), row

@@ -31,12 +31,19 @@ def jdbc_reader(spark: SparkSession, conn: DatabaseConnection):
     return reader
 
 
+def bounds_query(source: DatabaseSource) -> str:
+    """The source-side query for the range of the partition column."""
+    c = source.partition_column
+    return f"SELECT MIN({c}) AS low, MAX({c}) AS high FROM {source.table_name}"
+
+
 def read_db(spark: SparkSession, source: DatabaseSource) -> DataFrame:
     """Rows of a table or of a source-side query.
 
     A column whitelist applies to table scans (ignored with a query).  With
-    ``partition_column`` and bounds, the scan runs as ``num_partitions``
-    parallel range queries instead of one connection.
+    ``partition_column``, the scan runs as ``num_partitions`` parallel range
+    queries instead of one connection; bounds that are not given are asked of
+    the database.
     """
     reader = jdbc_reader(spark, source.connection)
     if source.fetch_size:
@@ -45,12 +52,17 @@ def read_db(spark: SparkSession, source: DatabaseSource) -> DataFrame:
         return reader.option("query", source.query).load()
     reader = reader.option("dbtable", source.table_name)
     if source.partition_column:
-        reader = (
-            reader.option("partitionColumn", source.partition_column)
-            .option("lowerBound", source.lower_bound)
-            .option("upperBound", source.upper_bound)
-            .option("numPartitions", source.num_partitions or 1)
-        )
+        low, high = source.lower_bound, source.upper_bound
+        if low is None or high is None:
+            found = jdbc_reader(spark, source.connection).option("query", bounds_query(source)).load().first()
+            low, high = found[0] if low is None else low, found[1] if high is None else high
+        if low is not None and high is not None:  # else the table is empty, or the column all null
+            reader = (
+                reader.option("partitionColumn", source.partition_column)
+                .option("lowerBound", low)
+                .option("upperBound", high)
+                .option("numPartitions", source.num_partitions or spark.sparkContext.defaultParallelism)
+            )
     df = reader.load()
     if source.columns:
         df = df.select(*[F.col(f"`{c}`") for c in source.columns])

@@ -7,21 +7,22 @@ ranges until a round meets an empty page.  Next-URL paging is sequential by
 nature (each URL comes from the previous page) and runs as one partition.  Each row is one page: (page, url, body).  Records are
 then drilled out of the bodies by ``payloads.drill``.
 
-Transports are plain functions.  ``file://`` URLs replay landed pages
-(``page_<n>.json`` files, or the file a next-URL points at); http(s) URLs
-use the standard library.  Another transport can be named with the
-``transport`` option as ``module:function``.
+Transports are plain functions (method, url, body, headers).  The default
+one speaks http(s) with the standard library; another can be given as a
+function or as ``module:function``.
 """
 
 from __future__ import annotations
 
+import base64
 import importlib
+import itertools
 import json
 from functools import reduce
-import os
 import urllib.parse
 import urllib.request
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -32,48 +33,33 @@ PAGE_SCHEMA = "page long, url string, body string"
 
 
 def default_transport(method: str, url: str, body: str | None = None, headers: dict | None = None):
-    """Send ``body`` (POST/PUT/PATCH) and return the HTTP status; for GET,
-    return the response text.  ``file://`` URLs read or append locally."""
-    if url.startswith("file://"):
-        path = url[len("file://"):]
-        if method == "GET":
-            if not os.path.exists(path):
-                return None  # past the last landed page: an empty page
-            with open(path, encoding="utf-8") as fh:
-                return fh.read()
-        os.makedirs(path, exist_ok=True)
-        import uuid
-
-        with open(os.path.join(path, f"batch-{uuid.uuid4().hex}.json"), "w", encoding="utf-8") as fh:
-            fh.write(body or "")
-        return 200
+    """The response text of a GET, else the HTTP status."""
     data = body.encode() if body is not None else None
     req = urllib.request.Request(url, data=data, method=method, headers=headers or {})
     with urllib.request.urlopen(req, timeout=30) as resp:  # noqa: S310 - user-supplied endpoint
-        if method == "GET":
-            return resp.read().decode()
-        return resp.status
+        return resp.read().decode() if method == "GET" else resp.status
 
 
-def _load_transport(spec: str | None):
-    if not spec:
+def _transport_option(transport) -> str:
+    """A transport as a reader option: a name, or the function itself in text form."""
+    if callable(transport):
+        return "function " + base64.b64encode(cloudpickle.dumps(transport)).decode()
+    return transport or ""
+
+
+def _load_transport(option: str | None):
+    if not option:
         return default_transport
-    module, _, name = spec.partition(":")
+    kind, _, text = option.partition(" ")
+    if kind == "function":
+        return cloudpickle.loads(base64.b64decode(text))
+    module, _, name = option.partition(":")
     return getattr(importlib.import_module(module), name)
 
 
 def page_url(base: str, params: dict) -> str:
-    """URL of one page.  For landed pages (file://) the page number picks
-    the file ``page_<n>.json`` inside the directory."""
-    if base.startswith("file://"):
-        page = params.get("page")
-        if page is None or base.endswith(".json"):
-            return base
-        return base.rstrip("/") + f"/page_{page}.json"
-    if not params:
-        return base
-    sep = "&" if "?" in base else "?"
-    return base + sep + urllib.parse.urlencode(params)
+    """URL of one page."""
+    return f"{base}{'&' if '?' in base else '?'}{urllib.parse.urlencode(params)}" if params else base
 
 
 def _drill(obj, key: str | None):
@@ -115,38 +101,49 @@ class RestPagesReader(DataSourceReader):
             first = last + 1
         return out
 
-    def _params(self, page):
-        params = {}
-        if self.page_param and page is not None:
-            params[self.page_param] = page
-            if self.page_size_param:
-                params[self.page_size_param] = self.page_size
-        return params
+    def _target(self, page) -> str:
+        """URL of a numbered page (None: the bare URL)."""
+        if page is None or not self.page_param:
+            return page_url(self.url, {})
+        size = {self.page_size_param: self.page_size} if self.page_size_param else {}
+        return page_url(self.url, {self.page_param: page, **size})
+
+    def _get(self, url: str, first: bool) -> str | None:
+        """Body of a page.  A 404 past the first page is the end of paging, like an empty page."""
+        try:
+            return self.fetch("GET", url, None, self.headers)
+        except Exception as exc:
+            if getattr(exc, "code", None) == 404 and not first:
+                return None
+            raise
+
+    def _holds_records(self, body: str | None) -> bool:
+        found = _drill(json.loads(body), self.records_key) if body is not None else None
+        return isinstance(found, list) and len(found) > 0
+
+    def _numbered(self, part):
+        pages = range(part.first, part.last + 1) if part.last is not None else itertools.count(part.first)
+        for page in pages if self.page_param else [None]:
+            url = self._target(page)
+            body = self._get(url, page in (None, self.start_page))
+            if not self._holds_records(body):
+                if part.last is not None:
+                    yield page, url, None  # where paging ends; later ranges are cut off there
+                return
+            yield -1 if page is None else page, url, body
 
-    def read(self, partition):
-        fetch = _load_transport(self.transport)
-        page = partition.first
-        url = self.url
+    def _followed(self, part):
+        url, page = self._target(part.first), part.first
         while url:
-            target = page_url(url, self._params(page)) if page is not None else url
-            body = fetch("GET", target, None, self.headers)
-            data = json.loads(body) if body is not None else {}
-            records = _drill(data, self.records_key) if body is not None else None
-            if not isinstance(records, list) or not records:
-                if partition.last is not None:
-                    # marks where paging ends; later ranges are cut off there
-                    yield (page, target, None)
-                return
-            yield (page if page is not None else -1, target, body)
-            if self.next_url_key:
-                url = data.get(self.next_url_key)
-                page = None
-            elif self.page_param:
-                page += 1
-                if partition.last is not None and page > partition.last:
-                    return
-            else:
+            body = self._get(url, page >= 0)
+            if not self._holds_records(body):
                 return
+            yield page, url, body
+            url, page = json.loads(body).get(self.next_url_key), -1
+
+    def read(self, partition):
+        self.fetch = _load_transport(self.transport)
+        return (self._followed if self.next_url_key else self._numbered)(partition)
 
 
 class RestPagesSource(DataSource):
@@ -161,7 +158,7 @@ class RestPagesSource(DataSource):
         return RestPagesReader(self.options)
 
 
-def _reader(spark: SparkSession, source: ApiSource, transport: str | None, pages_per_partition: int):
+def _reader(spark: SparkSession, source: ApiSource, transport, pages_per_partition: int):
     spark.dataSource.register(RestPagesSource)
     reader = spark.read.format("sluice_rest").option("url", source.url)
     opts = {
@@ -174,7 +171,7 @@ def _reader(spark: SparkSession, source: ApiSource, transport: str | None, pages
         "next_url_key": source.next_url_key or "",
         "pages_per_partition": str(pages_per_partition),
         "headers": json.dumps(source.headers or {}),
-        "transport": transport or "",
+        "transport": _transport_option(transport),
     }
     for k, v in opts.items():
         reader = reader.option(k, v)
@@ -186,8 +183,7 @@ def _cut_at_first_empty(landed: DataFrame) -> DataFrame:
     return landed.filter(F.col("body").isNotNull() & (F.col("page") < F.coalesce(first_empty, F.lit(2**62))))
 
 
-def read_pages(spark: SparkSession, source: ApiSource, transport: str | None = None,
-               pages_per_partition: int = 8, max_rounds: int | None = None) -> DataFrame:
+def read_pages(spark: SparkSession, source: ApiSource, transport=None, pages_per_partition: int = 8) -> DataFrame:
     """One row per fetched page: (page, url, body).
 
     * next-URL paging: one sequential partition (each URL comes from the
@@ -206,13 +202,13 @@ def read_pages(spark: SparkSession, source: ApiSource, transport: str | None = N
     from ..session import materialize
 
     if source.next_url_key or not source.page_param:
-        return _reader(spark, source, transport, pages_per_partition)
+        return materialize(_reader(spark, source, transport, pages_per_partition))
     if source.max_pages is not None:
         return _cut_at_first_empty(materialize(_reader(spark, source, transport, pages_per_partition)))
     per_round = pages_per_partition * max(1, spark.sparkContext.defaultParallelism)
     rounds = []
     start = source.start_page
-    while max_rounds is None or len(rounds) < max_rounds:
+    while True:
         chunk = replace(source, start_page=start, max_pages=per_round)
         landed = materialize(_reader(spark, chunk, transport, pages_per_partition))
         rounds.append(landed)
@@ -222,7 +218,7 @@ def read_pages(spark: SparkSession, source: ApiSource, transport: str | None = N
     return _cut_at_first_empty(reduce(lambda a, b: a.unionByName(b), rounds))
 
 
-def read_api(spark: SparkSession, source: ApiSource, transport: str | None = None, infer_types: bool = True):
+def read_api(spark: SparkSession, source: ApiSource, transport=None, infer_types: bool = True):
     """Records of a paged REST API as rows (one per record)."""
     from .payloads import drill
 

@@ -62,16 +62,20 @@ def watch_folder(
     once: bool = True,
     files_per_trigger: int = 1,
     fmt: str = "csv",
+    multi_line: bool = False,
 ):
     """Start the folder job; with ``once`` it drains what is there and stops.
 
     ``files_per_trigger`` > 1 groups several small files into one job (the
-    group then shares first-occurrence and aggregation scope)."""
+    group then shares first-occurrence and aggregation scope).  ``unique``
+    looks at the files of one job only.  Files are read split into many tasks;
+    ``multi_line`` is for files whose quoted cells hold line breaks, each of
+    which one task then parses whole."""
     if fmt == "csv":
         stream = (
             spark.readStream.schema(text_schema(columns))
             .option("header", True)
-            .option("multiLine", True)
+            .option("multiLine", multi_line)
             .option("escape", '"')
             .option("maxFilesPerTrigger", files_per_trigger)
             .csv(folder)
