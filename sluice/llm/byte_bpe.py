@@ -8,8 +8,9 @@ adjacent pairs beside it, and a fold merges the leftmost pair of the lowest
 rank until no pair has a rank.  The ranks are a literal map from a pair of
 pieces to the rank of their concatenation, dealt into small maps so that one
 lookup compares a few keys.  The ids of the words are then put back in the
-order of each text.  Decoding looks up each id in a literal array of pieces
-and concatenates them.
+order of each text, by the words' numbers.  Decoding looks up each id in a
+literal array of pieces and concatenates them.  Python splits the texts; all
+that follows are Spark expressions.
 
 Nothing is shuffled: a block's dictionary stays in the task that made it, so
 memory is bounded by the block and one text, and a lost task repeats its own
@@ -32,9 +33,9 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, col, table
+from .common import blocks, bound_batches, col, table
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
 LONG = 192
 #: Small maps that the pairs are dealt into.
 DEALT = 65_521
@@ -93,8 +94,9 @@ def encode_word(word: Column, maps: Column) -> Column:
         return _let(F.array_min(state["r"]),
                     lambda low: F.when(low.isNull() | (low == NO_RANK), state).otherwise(merge(state, low)))
 
-    steps = F.sequence(F.lit(1), F.size(word["r"]))  # a word has two pieces at least
-    return F.aggregate(steps, word, step, lambda state: state["p"])
+    steps = F.sequence(F.lit(1), F.size(word["r"]))
+    merged = F.aggregate(steps, word, step, lambda state: state["p"])
+    return F.when(F.size(word["r"]) == 0, word["p"]).otherwise(merged)  # a token, or merged already
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -131,27 +133,37 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-_WORD = pa.struct([("p", pa.list_(pa.int32())), ("r", pa.list_(pa.int32()))])
-_BLOCK_SQL = ("words array<struct<p:array<int>,r:array<int>>>, which binary, starts binary, sizes binary, known binary, "
-              "numbers binary, lengths binary")
+_INTS = pa.list_(pa.int32())
+_WORD = pa.struct([("p", _INTS), ("r", _INTS)])
 
 
-def _prepared(words: list[bytes], one: np.ndarray, two: np.ndarray) -> pa.Array:
-    """Pieces and pair ranks of words, from the ranks of single bytes and of pairs of bytes."""
-    flat = np.frombuffer(b"".join(words), np.uint8)
-    ends = np.cumsum([0, *map(len, words)])
+def _word_column(words: list[bytes], ranks: dict[bytes, int], one: np.ndarray, two: np.ndarray) -> pa.Array:
+    """Pieces and pair ranks of words, from the ranks of single bytes and of pairs of bytes.
+
+    Words that need no fold come with their ids as pieces and no pairs: those
+    that are tokens, and those of more than ``LONG`` bytes.
+    """
+    whole = [[rank] if (rank := ranks.get(w)) is not None else merge_long(w, ranks) if len(w) > LONG else None for w in words]
+    flat = np.frombuffer(b"".join(w for w, ids in zip(words, whole) if ids is None), np.uint8)
+    sizes = np.array([len(w) if ids is None else len(ids) for w, ids in zip(words, whole)], np.int64)
+    folded = np.array([ids is None for ids in whole], bool)
+    ends = np.cumsum(np.concatenate([[0], sizes]))
+    pieces = np.empty(ends[-1], np.int32)
+    by_byte = np.repeat(folded, sizes)
+    pieces[by_byte] = one[flat]
+    pieces[~by_byte] = [x for ids in whole if ids is not None for x in ids]
     pairs = two[flat[:-1].astype(np.int32) * 256 + flat[1:]] if len(flat) > 1 else np.empty(0, np.int32)
     inside = np.ones(len(pairs), bool)
-    inside[ends[1:-1] - 1] = False  # pairs of two words
-    pieces = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(one[flat], pa.int32()))
-    ranks = pa.ListArray.from_arrays(pa.array(np.maximum(ends - np.arange(len(ends)), 0), pa.int32()),
-                                     pa.array(pairs[inside], pa.int32()))
-    return pa.StructArray.from_arrays([pieces, ranks], fields=list(_WORD))
+    inside[np.cumsum(sizes[folded])[:-1] - 1] = False  # pairs of two words
+    n_pairs = np.where(folded, sizes - 1, 0)
+    return pa.StructArray.from_arrays([
+        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pieces)),
+        pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate([[0], n_pairs])), pa.int32()), pa.array(pairs[inside])),
+    ], fields=list(_WORD))
 
 
 def _split_blocks(pattern: str, ranks: dict[bytes, int]):
-    """One row for each block: its texts as numbers of words, the ids of the words that are known
-    already (tokens, and long words), and the other words, ready to be merged."""
+    """One row for each block: its texts as lists of word numbers, and its distinct words."""
     # tiktoken's \s is the Unicode property White_Space
     find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
 
@@ -168,70 +180,36 @@ def _split_blocks(pattern: str, ranks: dict[bytes, int]):
 
         for ids, texts in blocks(seen(batches), 1, BLOCK_BYTES):
             number: dict[str, int] = {}
-            numbers, lengths = [], []
+            numbers, ends = [], [0]
             for text in texts:
                 words = find(text)
-                lengths.append(len(words))
+                ends.append(ends[-1] + len(words))
                 numbers.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
-            known: list[int] = []
-            starts, sizes = np.zeros(len(number), np.int32), np.zeros(len(number), np.int32)
-            which, rest = [], []
-            for k, word in enumerate(w.encode() for w in number):
-                rank = ranks.get(word)
-                if rank is None and len(word) <= LONG:
-                    which.append(k)
-                    rest.append(word)
-                else:
-                    found = [rank] if rank is not None else merge_long(word, ranks)
-                    starts[k], sizes[k] = len(known), len(found)
-                    known += found
-            prepared = _prepared(rest, one, two)
-            binary = [np.array(which, np.int32), starts, sizes, np.array(known, np.int32), np.concatenate(numbers),
-                      np.array(lengths, np.int32)]
+            words = _word_column([w.encode() for w in number], ranks, one, two)
+            del number, texts
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(numbers)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids], pa.list_(kind)),
-                 pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), prepared),
-                 *(pa.array([x.tobytes()], pa.binary()) for x in binary)],
-                names=["ids", "words", "which", "starts", "sizes", "known", "numbers", "lengths"])
+                [pa.array([ids], pa.list_(kind)), pa.ListArray.from_arrays(pa.array([0, len(lists)], pa.int32()), lists),
+                 pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)],
+                names=["ids", "numbers", "words"])
 
     return run
 
 
-def _joined(batches):
-    """Puts the ids of words back in the order of the texts: one row (id, ids) for each text."""
-    for batch in batches:
-        for r in range(batch.num_rows):
-            ids, codes = batch.column(0)[r].values, batch.column(1)[r].values
-            which, starts, sizes, known, numbers, lengths = (
-                np.frombuffer(batch.column(c)[r].as_py(), np.int32) for c in range(2, 8))
-            start, size = starts.astype(np.int64), sizes.astype(np.int64)
-            size[which] = codes.value_lengths().to_numpy().astype(np.int64)
-            start[which] = len(known) + np.cumsum(size[which]) - size[which]
-            flat = np.concatenate([known, codes.flatten().to_numpy().astype(np.int32)])
-            ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-            for lo in range(0, len(lengths), 256):  # a few texts at a time
-                hi = min(lo + 256, len(lengths))
-                picked = numbers[ends[lo]:ends[hi]]
-                each = size[picked]
-                stop = np.cumsum(each)
-                total = int(stop[-1]) if len(stop) else 0
-                out = flat[np.arange(total) + np.repeat(start[picked] - (stop - each), each)]
-                upto = np.concatenate([[0], stop])[ends[lo:hi + 1] - ends[lo]]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(out, pa.int32()))],
-                    names=["doc_id", "ids"])
-
-
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) for every row of ``docs``."""
     ranks = read_ranks(path)
+    bound_batches(docs.sparkSession)
     texts = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    split = texts.mapInArrow(_split_blocks(pattern, ranks), f"ids array<{id_type}>, {_BLOCK_SQL}")
+    split = texts.mapInArrow(_split_blocks(pattern, ranks), f"ids array<{id_type}>, numbers array<array<int>>, "
+                                                            "words array<struct<p:array<int>,r:array<int>>>")
     maps = F.from_json(F.lit(_dealt_pairs(ranks)), "array<map<string,int>>")
     codes = _let(maps, lambda maps: F.transform("words", lambda w: encode_word(w, maps)))
-    done = split.select("ids", codes.alias("codes"), "which", "starts", "sizes", "known", "numbers", "lengths")
-    return done.mapInArrow(_joined, f"doc_id {id_type}, ids array<int>")
+    tokens = _let(codes, lambda codes: F.transform(
+        "numbers", lambda text: F.flatten(F.transform(text, lambda n: F.get(codes, n)))))
+    rows = split.select(F.col("ids").alias("doc_id"), tokens.alias("ids"))
+    return rows.select(F.inline(F.arrays_zip("doc_id", "ids")))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -245,25 +223,14 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     return encoded.withColumn(out_col, F.encode(joined, "ISO-8859-1"))
 
 
-def _id_digests(batches):
-    import hashlib
-
-    for batch in batches:
-        ids = batch.column(1)
-        flat = ids.flatten().to_numpy().astype("<u4")
-        ends = ids.offsets.to_numpy() - ids.offsets[0].as_py()
-        digests = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(ends, ends[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(digests),
-                                          batch.column(2)],
-                                         names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: encodes the texts and decodes the ids."""
     decoded = decode(encode(docs, path, pattern, id_col, text_col), path)
-    id_type = decoded.schema["doc_id"].dataType.simpleString()
-    return decoded.select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256")).mapInArrow(
-        _id_digests, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    most = max(read_ranks(path).values())
+    little = F.from_json(F.lit(json.dumps([k.to_bytes(4, "little").hex() for k in range(most + 1)])), "array<string>")
+    as_bytes = F.unhex(F.array_join(F.transform("ids", lambda i: F.get(little, i)), ""))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(as_bytes, 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -12,6 +12,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of the Arrow batches in which texts go to Python and back.
+#: Texts are long: Spark's default of 10,000 rows may be gigabytes.
+BATCH_ROWS = 500
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to the bounds above, where it is larger."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        current = str(spark.conf.get(key, "0")).removesuffix("b")
+        if not current.isdigit() or not 0 < int(current) <= most:
+            spark.conf.set(key, most)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a variant of it that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

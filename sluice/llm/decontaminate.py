@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import col, fresh, row_key, table
+from .common import bound_batches, col, fresh, row_key, table
 
 WINDOW = 8
 LITERALS = 4
@@ -183,6 +183,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     longest alignment, its first word in the document, the windows and words
     it covers, and whether any slot holds another value than the item's.
     """
+    bound_batches(docs.sparkSession)
     items = benchmark.select(col(item_col).alias("item_id"), col(item_text_col).alias("text"))
     item_type = items.schema["item_id"].dataType.simpleString()
     windows = materialize(items.mapInArrow(

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, col, table
+from .common import blocks, bound_batches, col, table
 from .subword import ngram_features, summed
 
 LANGUAGES = 32
@@ -244,6 +244,7 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, move: np.ndarray, start:
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) for every row of ``docs``."""
+    bound_batches(docs.sparkSession)
     texts = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
     return texts.mapInArrow(_predict(model), f"doc_id {id_type}, lang_pred string, score double")

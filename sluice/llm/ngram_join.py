@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import col, fresh, row_key, table
+from .common import bound_batches, col, fresh, row_key, table
 from .components import connected_components
 from .shingles import MinHash, Shingler
 
@@ -241,6 +241,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     ``n_links`` counts the other documents within the threshold, copies
     included; ``keep1``/``keep2`` are the row key of the group's smallest document.
     """
+    bound_batches(docs.sparkSession)
     k1, k2 = row_key([col(id_col), col(text_col)])
     keyed = docs.select(col(id_col).alias("doc_id"), k1.alias("k1"), k2.alias("k2"), col(text_col).alias("text"))
     id_type = keyed.schema["doc_id"].dataType.simpleString()

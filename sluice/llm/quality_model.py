@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, col, table
+from .common import blocks, bound_batches, col, table
 from .language_id import held_out
 from .subword import ngram_features, summed
 
@@ -139,6 +139,7 @@ def _score(model: Model):
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for every row of ``docs``; higher is likelier of good quality."""
+    bound_batches(docs.sparkSession)
     texts = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
     return texts.mapInArrow(_score(model), f"doc_id {id_type}, score double")

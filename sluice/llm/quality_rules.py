@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import col, fresh, row_key
+from .common import bound_batches, col, fresh, row_key
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -230,6 +230,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                          col(text_col).alias("text"))
     schema = ", ".join([f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, lang string, source string, "
                         "k1 long, k2 long", *(f"{c} long" for c in _COUNTS)])
+    bound_batches(docs.sparkSession)
     counted = narrow.mapInArrow(_count_batches, schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     counted = materialize(counted.withColumn("base_failed", failed).select("*", *_statistics()))

@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import blocks, col, table
+from .common import blocks, bound_batches, col, table
 
 BLOCK_BYTES = 16 << 20
 LIMIT = 2048
@@ -88,6 +88,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of ``docs``."""
     with open(path, encoding="utf-8") as file:
         tokenizer_json = file.read()
+    bound_batches(docs.sparkSession)
     texts = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
     return texts.mapInArrow(_count_blocks(tokenizer_json),

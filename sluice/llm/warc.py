@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, materialize
-from .common import col, table
+from .common import bound_batches, col, table
 
 SMALLEST = 1000
 LEVEL = 3
@@ -84,6 +84,7 @@ def _pack(batches):
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Writes one record for each row of ``pages`` to archives in the folder ``path``."""
+    bound_batches(pages.sparkSession)
     payload = F.encode(F.coalesce(col(html_col), F.lit("")), "UTF-8")
     described = pages.select(col(id_col).alias("id"), col(url_col).alias("url"), payload.alias("payload"),
                              F.octet_length(payload).cast("long").alias("length"), F.sha1(payload).alias("sha1"))
@@ -229,6 +230,7 @@ def _join_pieces(batches):
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(file, warc, http, payload) of every record of the archives in ``path``: header maps with names in lower case."""
+    bound_batches(spark)
     cut = spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
         F.col("value").cast("binary").alias("rest"))
