@@ -82,12 +82,25 @@ def test_db_key_check_and_index(spark, derby):
     assert sorted(vals, key=lambda v: (v is None, v)) == [2.0, None]  # NaN never reaches the database
 
 
+def body_files(d):
+    """A transport that writes each body to a file of its own."""
+    def send(method, url, body, headers):
+        import os
+        import uuid
+
+        with open(os.path.join(d, f"batch-{uuid.uuid4().hex}.json"), "w") as fh:
+            fh.write(body)
+        return 200
+
+    return send
+
+
 def test_rest_sink_batches(spark):
     d = tmpdir()
     df = spark.range(0, 25).selectExpr("id", "cast(id * 2 as double) as v").repartition(2)
-    report = send_batches(df, ApiDestination(url=f"file://{d}", batch_size=10, records_key="data"))
+    report = send_batches(df, ApiDestination(url="http://unused", batch_size=10, records_key="data"), body_files(d))
     summary = send_summary(report)
-    assert summary == {"total_records": 25, "sent": 25, "failed": 0, "failed_batches": 0}
+    assert summary == {"total_records": 25, "sent": 25, "failed": 0, "failed_batches": 0, "errors": []}
     sent = []
     for p in glob.glob(os.path.join(d, "batch-*.json")):
         body = json.load(open(p))
@@ -103,7 +116,8 @@ def test_rest_sink_reports_failures(spark):
     df = spark.range(0, 5)
     report = send_batches(df.coalesce(1), ApiDestination(url="http://unused", batch_size=2), failing_transport,
                           max_retries=2)
-    assert send_summary(report) == {"total_records": 5, "sent": 0, "failed": 5, "failed_batches": 3}
+    assert send_summary(report) == {"total_records": 5, "sent": 0, "failed": 5, "failed_batches": 3,
+                                    "errors": ["HTTP 503"]}
 
 
 def write_csv(path, text):
@@ -243,6 +257,12 @@ def test_ddl_types_and_key_checks_without_a_database(spark, users):
     assert quote("a`b", "mysql") == "`a``b`" and quote('x"y', "postgresql") == '"x""y"'
     assert RENAME_SQL["postgresql"].format(old="s", new="t") == "ALTER TABLE s RENAME TO t"
     check_keys(users, [ColumnMapping("id", "integer", is_primary_key=True)])
+    pairs = spark.createDataFrame([("a", "x"), ("a", "y"), (None, "x"), (None, "x")], "p string, q string")
+    both = [ColumnMapping("p", "text", is_primary_key=True), ColumnMapping("q", "text", is_primary_key=True)]
+    check_keys(pairs.filter("p IS NOT NULL"), both)  # (a, x) and (a, y) are two keys
+    with pytest.raises(LoadError) as err:
+        check_keys(pairs.union(pairs), both)
+    assert "p: 4 null" in str(err.value) and "p, q: 2 duplicate" in str(err.value)
     nulls = users.union(spark.createDataFrame([(None, "C", 1.0), (1, "D", 2.0)], users.schema))
     with pytest.raises(LoadError) as err:
         check_keys(nulls, [ColumnMapping("id", "integer", is_primary_key=True)])
@@ -291,6 +311,22 @@ def test_clustered_tables_join_without_a_shuffle(spark):
 def test_rest_sink_keeps_null_fields(spark):
     d = tmpdir()
     df = spark.createDataFrame([(1, None)], "id int, name string")
-    send_summary(send_batches(df, ApiDestination(url=f"file://{d}", batch_size=5)))
+    send_summary(send_batches(df, ApiDestination(url="http://unused", batch_size=5), body_files(d)))
     body = json.load(open(glob.glob(os.path.join(d, "batch-*.json"))[0]))
     assert body == [{"id": 1, "name": None}]
+
+
+def test_table_rules_and_swaps_by_dialect():
+    from sluice.sinks.jdbc import constraint_statements, swap_statements
+
+    maps = [ColumnMapping("a", "integer", is_primary_key=True), ColumnMapping("b", "string", is_primary_key=True),
+            ColumnMapping("c", "string", is_unique=True, default_value="it's"), ColumnMapping("gone", "text", is_unique=True)]
+    assert constraint_statements("t", ["a", "b", "c"], maps, "postgresql") == [
+        'ALTER TABLE t ALTER COLUMN "a" SET NOT NULL', 'ALTER TABLE t ALTER COLUMN "b" SET NOT NULL',
+        'ALTER TABLE t ALTER COLUMN "c" SET DEFAULT \'it\'\'s\'',
+        'ALTER TABLE t ADD PRIMARY KEY ("a", "b")', 'ALTER TABLE t ADD UNIQUE ("c")']
+    assert constraint_statements("t", ["a", "b", "c"], maps, "mysql")[0] == "ALTER TABLE t MODIFY COLUMN `a` INT NOT NULL"
+    assert constraint_statements("t", ["a", "b"], maps, "sqlite") == ['CREATE UNIQUE INDEX "t_key0" ON t ("a", "b")']
+    assert swap_statements("t", "s", True, "mysql") == ["RENAME TABLE t TO s_old, s TO t", "DROP TABLE s_old"]
+    assert swap_statements("t", "s", True, "postgresql") == ["DROP TABLE t", "ALTER TABLE s RENAME TO t"]
+    assert swap_statements("t", "s", False, "mysql") == ["RENAME TABLE s TO t"]

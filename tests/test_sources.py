@@ -118,40 +118,85 @@ def land_pages(d, pages, key="results"):
             json.dump({key: recs, "page": i}, fh)
 
 
+def page_files(d):
+    """A transport that serves the files of a folder, answers 404 for others and notes its calls."""
+    def fetch(method, url, body, headers):
+        import os
+        import urllib.parse
+        import uuid
+
+        class Missing(Exception):
+            code = 404
+
+        with open(os.path.join(d, f"call-{uuid.uuid4().hex}"), "w") as fh:
+            fh.write(url)
+        parts = urllib.parse.urlsplit(url)
+        name = parts.path.lstrip("/") or f"page_{urllib.parse.parse_qs(parts.query)['page'][0]}.json"
+        if not os.path.exists(os.path.join(d, name)):
+            raise Missing(url)
+        with open(os.path.join(d, name)) as fh:
+            return fh.read()
+
+    return fetch
+
+
+def calls(d):
+    return len([x for x in os.listdir(d) if x.startswith("call-")])
+
+
 def test_rest_page_number_paging_parallel(spark):
     d = tmpdir()
-    pages = [[{"id": p * 10 + i, "v": float(i)} for i in range(3)] for p in range(5)] + [[]]
+    pages = [[{"id": p * 10 + i, "v": float(i)} for i in range(3)] for p in range(5)]
     land_pages(d, pages)
-    src = ApiSource(url=f"file://{d}", records_key="results", max_pages=5)
-    pages_df = rest.read_pages(spark, src, pages_per_partition=2)
-    assert pages_df.count() == 5
-    df = rest.read_api(spark, src)
+    src = ApiSource(url="http://api", records_key="results", max_pages=5)
+    pages_df = rest.read_pages(spark, src, page_files(d), pages_per_partition=2)
+    assert pages_df.count() == 5 and pages_df.count() == 5
+    assert calls(d) == 5  # one call a page, however often the frame is used
+    df = rest.read_api(spark, src, page_files(d))
     assert df.count() == 15
-    assert df.schema["id"].dataType.simpleString() == "bigint"
-    # open-ended paging runs in parallel rounds and stops at the first empty page
-    df2 = rest.read_api(spark, ApiSource(url=f"file://{d}", records_key="results"))
-    assert df2.count() == 15
-    rounds = rest.read_pages(spark, ApiSource(url=f"file://{d}", records_key="results"), pages_per_partition=1)
+    assert dict(df.dtypes) == {"id": "bigint", "v": "double"}
+    # open-ended paging runs in parallel rounds and takes a 404 past the first page as its end
+    open_ended = ApiSource(url="http://api", records_key="results")
+    assert rest.read_api(spark, open_ended, page_files(d)).count() == 15
+    rounds = rest.read_pages(spark, open_ended, page_files(d), pages_per_partition=1)
     assert sorted(r["page"] for r in rounds.collect()) == [1, 2, 3, 4, 5]
 
 
+def test_rest_404_on_the_first_page_is_an_error(spark):
+    with pytest.raises(Exception):
+        rest.read_pages(spark, ApiSource(url="http://api", records_key="results"), page_files(tmpdir()))
+
+
 def test_rest_parallel_ranges_stop_at_first_empty_page(spark):
     d = tmpdir()
     pages = [[{"id": 1}], [{"id": 2}], [], [{"id": 4}], [{"id": 5}]]
     land_pages(d, pages)
-    src = ApiSource(url=f"file://{d}", records_key="results", max_pages=5)
-    got = sorted(r["id"] for r in rest.read_api(spark, src).collect())
+    src = ApiSource(url="http://api", records_key="results", max_pages=5)
+    got = sorted(r["id"] for r in rest.read_api(spark, src, page_files(d)).collect())
     assert got == [1, 2]
 
 
-def test_rest_next_url_paging(spark):
+def test_rest_next_url_paging_calls_each_page_once(spark):
     d = tmpdir()
     for i in range(3):
-        nxt = f"file://{d}/p{i + 1}.json" if i < 2 else None
+        nxt = f"http://api/p{i + 1}.json" if i < 2 else None
         with open(os.path.join(d, f"p{i}.json"), "w") as fh:
-            json.dump({"data": {"items": [{"n": i}]}, "next": nxt}, fh)
-    src = ApiSource(url=f"file://{d}/p0.json", records_key="data.items", next_url_key="next")
-    assert sorted(r["n"] for r in rest.read_api(spark, src).collect()) == [0, 1, 2]
+            json.dump({"data": {"items": [{"n": i, "code": "007"}]}, "next": nxt}, fh)
+    src = ApiSource(url="http://api/p0.json", records_key="data.items", next_url_key="next")
+    got = rest.read_api(spark, src, page_files(d))
+    assert sorted((r["n"], r["code"]) for r in got.collect()) == [(0, "007"), (1, "007"), (2, "007")]
+    assert got.count() == 3 and calls(d) == 3
+
+
+def test_drill_keeps_json_types(spark):
+    body = ('[{"a": "1", "b": 1, "c": 1.5, "d": true, "e": {"x": [1]}, "f": null},'
+            ' {"a": "x", "b": 2, "c": 2, "d": false, "e": [], "g": 3}]')
+    out = drill(spark.createDataFrame([(body,), ("[]",), (None,)], "body string"), "body", None)
+    assert dict(out.dtypes) == {"a": "string", "b": "bigint", "c": "double", "d": "boolean", "e": "string", "f": "double",
+                                "g": "double"}
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [
+        ("1", 1, 1.5, True, '{"x":[1]}', None, None), ("x", 2, 2.0, False, "[]", None, 3.0)]))
+    assert drill(spark.createDataFrame([(body,)], "body string"), "body", None, fields=["b"]).columns == ["b"]
 
 
 def test_drill_nested_key(spark):
@@ -168,3 +213,28 @@ def test_multiline_detection(spark):
     assert files.has_multiline_records(spark, spans)
     assert [r["b"] for r in files.read_csv(spark, plain).orderBy("a").collect()] == ['x "q" y', "z"]
     assert [r["b"] for r in files.read_csv(spark, spans).orderBy("a").collect()] == ["two\nlines", "z"]
+
+
+def test_csv_folder_of_mixed_files(spark):
+    d = tmpdir()
+    write(os.path.join(d, "a.csv"), "k,name\n1,João\n2,� kept\n".encode())
+    write(os.path.join(d, "b.csv"), "name,k\nRené,3\n".encode("latin-1"))
+    write(os.path.join(d, "c [x].csv"), b'k,name\n4,"two\nlines"\n')
+    write(os.path.join(d, "d.csv"), b"k,other\n5,z\n")
+    got = {r["k"]: (r["name"], r["other"]) for r in files.read_csv(spark, d).collect()}
+    assert got == {1: ("João", None), 2: ("� kept", None), 3: ("René", None), 4: ("two\nlines", None), 5: (None, "z")}
+
+
+def test_csv_surplus_cells_are_an_error_and_short_rows_are_padded(spark):
+    d = tmpdir()
+    short = write(os.path.join(d, "short.csv"), b"a,b\n1\n2,x\n")
+    assert sorted(map(str, map(tuple, files.read_csv(spark, short).collect()))) == ["(1, None)", "(2, 'x')"]
+    wide = write(os.path.join(d, "wide.csv"), b'a,b\n1,"x,y"\n2,x,3\n')
+    with pytest.raises(ValueError):
+        files.read_csv(spark, wide)
+
+
+def test_jdbc_bounds_query():
+    conn = jdbc.DatabaseConnection(url="jdbc:x", dialect="postgresql")
+    src = jdbc.DatabaseSource(connection=conn, table_name="t", partition_column="id")
+    assert jdbc.bounds_query(src) == "SELECT MIN(id) AS low, MAX(id) AS high FROM t"
