@@ -22,7 +22,7 @@ def bound_batches(spark: SparkSession) -> None:
     """Lowers the session's Arrow batch size to the bounds above, where it is larger."""
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
-        current = str(spark.conf.get(key, "0")).removesuffix("b")
+        current = spark.conf.get(key).removesuffix("b")
         if not current.isdigit() or not 0 < int(current) <= most:
             spark.conf.set(key, most)
 
