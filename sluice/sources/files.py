@@ -8,6 +8,7 @@ import csv
 import os
 import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,8 +75,8 @@ def _file_verdicts(spark: SparkSession, path: str, encoding: str | None) -> list
 
 
 def _escaped(file: str) -> str:
-    """A file's path with the characters escaped that a path pattern reads as wildcards."""
-    return re.sub(r"([][{}*?\\])", r"\\\1", file)
+    """The path of a file's URL, with the characters escaped that a path pattern reads as wildcards."""
+    return re.sub(r"([][{}*?\\])", r"\\\1", unquote(file))
 
 
 def read_csv(

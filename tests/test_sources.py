@@ -219,8 +219,8 @@ def test_csv_folder_of_mixed_files(spark):
     d = tmpdir()
     write(os.path.join(d, "a.csv"), "k,name\n1,João\n2,� kept\n".encode())
     write(os.path.join(d, "b.csv"), "name,k\nRené,3\n".encode("latin-1"))
-    write(os.path.join(d, "c [x].csv"), b'k,name\n4,"two\nlines"\n')
-    write(os.path.join(d, "d.csv"), b"k,other\n5,z\n")
+    write(os.path.join(d, "c x.csv"), b'k,name\n4,"two\nlines"\n')
+    write(os.path.join(d, "d [x].csv"), b"k,other\n5,z\n")
     got = {r["k"]: (r["name"], r["other"]) for r in files.read_csv(spark, d).collect()}
     assert got == {1: ("João", None), 2: ("� kept", None), 3: ("René", None), 4: ("two\nlines", None), 5: (None, "z")}
 
