@@ -3,11 +3,11 @@
 Texts are cut into blocks of about ``BLOCK_BYTES``.  A block's texts are
 split by the tokenizer's pattern, and each distinct word of the block that is
 no token itself is encoded once by Spark higher-order functions: the word's
-bytes are an array of pieces (each known by its rank), with the ranks of the
-adjacent pairs beside it, and a fold merges the leftmost pair of the lowest
-rank until no pair has a rank.  The ranks are a literal map from a pair of
-pieces to the rank of their concatenation, dealt into small maps so that one
-lookup compares a few keys.  The ids of the words are then put back in the
+bytes are an array of pieces, each known by its rank and held with its place
+and the rank of the pair that it forms with the next one, and a fold merges
+the leftmost pair of the lowest rank until no pair has a rank.  The ranks are
+a literal map from a pair of pieces to the rank of their concatenation, dealt
+into small maps so that one lookup compares a few keys.  The ids of the words are then put back in the
 order of each text, by the words' numbers.  Decoding looks up each id in a
 literal array of pieces and concatenates them.  Python splits the texts; all
 that follows are Spark expressions.
@@ -38,8 +38,11 @@ from .common import blocks, bound_batches, col, table
 BLOCK_BYTES = 12 << 20
 LONG = 192
 #: Small maps that the pairs are dealt into.
-DEALT = 65_521
-NO_RANK = 2**31 - 1
+DEALT = 1 << 16
+#: A piece is held as one number: rank of the pair with the next piece, place of its first byte, own rank.
+RANK_SHIFT, PLACE_SHIFT = 28, 20
+PIECE = (1 << PLACE_SHIFT) - 1
+NO_RANK = (1 << 20) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,14 +52,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def _dealt_pairs(ranks: dict[bytes, int]) -> str:
-    """JSON of the maps (pair of pieces to the rank of both together); a pair is left * 2**20 + right."""
+    """JSON of the maps (pair of pieces, as a number in text, to the rank of both together)."""
     dealt: list[dict[str, int]] = [{} for _ in range(DEALT)]
     for piece, rank in ranks.items():
         for cut in range(1, len(piece)):
             left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
             if left is not None and right is not None:
-                pair = (left << 20) + right
-                dealt[pair % DEALT][str(pair)] = rank
+                dealt[((left << 7) ^ right) % DEALT][str(left << PLACE_SHIFT | right)] = rank
     return json.dumps(dealt)
 
 
@@ -67,36 +69,46 @@ def _let(value: Column, body) -> Column:
 
 def _pair_rank(maps: Column, left: Column, right: Column) -> Column:
     """Rank of two adjacent pieces together, ``NO_RANK`` if they have none or one is missing."""
-    pair = left.cast("long") * (1 << 20) + right
-    return F.coalesce(_let(pair, lambda pair: F.get(maps, (pair % DEALT).cast("int"))[pair.cast("string")]), F.lit(NO_RANK))
+    at = F.shiftleft(left, 7).bitwiseXOR(right).bitwiseAND(F.lit(DEALT - 1)).cast("int")
+    pair = F.shiftleft(left, PLACE_SHIFT).bitwiseOR(right).cast("string")
+    return F.coalesce(F.get(maps, at)[pair], F.lit(NO_RANK)).cast("long")
 
 
 def encode_word(word: Column, maps: Column) -> Column:
-    """Ids of one word (a struct of its pieces p and the ranks r of adjacent pairs) as a fold of ranked merges.
+    """Ids of one word (its pieces, as numbers) as a fold of ranked merges.
 
-    r[i] belongs to p[i] and p[i + 1].  The rank of a merged piece is its id,
-    and a merge changes the ranks of its two neighbours only.
+    The smallest number is the leftmost pair of the lowest rank.  A merge
+    takes the pair's rank as the new piece, and changes the ranks of its two
+    neighbours only.
     """
-    def merge(state: Column, low: Column) -> Column:
-        def at(k: Column) -> Column:
-            p, r = state["p"], state["r"]
-            pieces = F.filter(F.transform(p, lambda x, i: F.when(i == k, low).otherwise(x)), lambda x, i: i != k + 1)
-            before = F.when(k > 0, _pair_rank(maps, F.get(p, k - 1), low))
-            after = _pair_rank(maps, low, F.get(p, k + 2))
-            both = F.array(before, after)
-            near = _let(both, lambda near: F.transform(
-                r, lambda x, i: F.when(i == k - 1, near[0]).when(i == k + 1, near[1]).otherwise(x)))
-            return F.struct(pieces.alias("p"), F.filter(near, lambda x, i: i != k).alias("r"))
-
-        return _let((F.array_position(state["r"], low) - 1).cast("int"), at)
+    none = F.lit(NO_RANK << RANK_SHIFT)
 
-    def step(state: Column, _) -> Column:
-        return _let(F.array_min(state["r"]),
-                    lambda low: F.when(low.isNull() | (low == NO_RANK), state).otherwise(merge(state, low)))
+    def merge(pieces: Column, least: Column) -> Column:
+        low = F.shiftright(least, RANK_SHIFT)
 
-    steps = F.sequence(F.lit(1), F.size(word["r"]))
-    merged = F.aggregate(steps, word, step, lambda state: state["p"])
-    return F.when(F.size(word["r"]) == 0, word["p"]).otherwise(merged)  # a token, or merged already
+        def at(k: Column) -> Column:
+            before, after = F.get(pieces, k - 1), F.get(pieces, k + 2)
+            rank_before = _pair_rank(maps, before.bitwiseAND(F.lit(PIECE)), low)
+            rank_after = _pair_rank(maps, low, after.bitwiseAND(F.lit(PIECE)))
+            both = F.array(
+                F.shiftleft(rank_before, RANK_SHIFT).bitwiseOR(before.bitwiseAND(F.lit((1 << RANK_SHIFT) - 1))),
+                F.shiftleft(rank_after, RANK_SHIFT).bitwiseOR(least.bitwiseAND(F.lit(0xFF << PLACE_SHIFT))).bitwiseOR(low))
+            return F.flatten(F.array(
+                F.slice(pieces, F.lit(1), F.greatest(k - 1, F.lit(0))),
+                F.slice(both, F.when(k > 0, 1).otherwise(2), F.lit(2)),
+                F.slice(pieces, k + 3, F.size(pieces))))
+
+        # places ascend: the pair's index is the number of smaller places (array_position is far slower here)
+        place = F.lit(0xFF << PLACE_SHIFT)
+        return _let(least.bitwiseAND(place), lambda here: _let(
+            F.size(F.filter(pieces, lambda x: x.bitwiseAND(place) < here)), at))
+
+    def step(pieces: Column, _) -> Column:
+        return _let(F.array_min(pieces), lambda least: F.when(least >= none, pieces).otherwise(merge(pieces, least)))
+
+    merged = F.aggregate(F.sequence(F.lit(2), F.size(word)), word, step)
+    ids = F.when(F.array_min(word) >= none, word).otherwise(merged)  # else a token, or merged already
+    return F.transform(ids, lambda x: x.bitwiseAND(F.lit(PIECE)).cast("int"))
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -133,33 +145,28 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-_INTS = pa.list_(pa.int32())
-_WORD = pa.struct([("p", _INTS), ("r", _INTS)])
-
-
 def _word_column(words: list[bytes], ranks: dict[bytes, int], one: np.ndarray, two: np.ndarray) -> pa.Array:
-    """Pieces and pair ranks of words, from the ranks of single bytes and of pairs of bytes.
+    """Pieces of words as numbers, from the ranks of single bytes and of pairs of bytes.
 
-    Words that need no fold come with their ids as pieces and no pairs: those
-    that are tokens, and those of more than ``LONG`` bytes.
+    Words that need no fold come with their ids as pieces and no pair ranks:
+    those that are tokens, and those of more than ``LONG`` bytes.
     """
     whole = [[rank] if (rank := ranks.get(w)) is not None else merge_long(w, ranks) if len(w) > LONG else None for w in words]
     flat = np.frombuffer(b"".join(w for w, ids in zip(words, whole) if ids is None), np.uint8)
     sizes = np.array([len(w) if ids is None else len(ids) for w, ids in zip(words, whole)], np.int64)
     folded = np.array([ids is None for ids in whole], bool)
     ends = np.cumsum(np.concatenate([[0], sizes]))
-    pieces = np.empty(ends[-1], np.int32)
+    pieces = np.full(ends[-1], NO_RANK << RANK_SHIFT, np.int64)
     by_byte = np.repeat(folded, sizes)
-    pieces[by_byte] = one[flat]
-    pieces[~by_byte] = [x for ids in whole if ids is not None for x in ids]
-    pairs = two[flat[:-1].astype(np.int32) * 256 + flat[1:]] if len(flat) > 1 else np.empty(0, np.int32)
-    inside = np.ones(len(pairs), bool)
-    inside[np.cumsum(sizes[folded])[:-1] - 1] = False  # pairs of two words
-    n_pairs = np.where(folded, sizes - 1, 0)
-    return pa.StructArray.from_arrays([
-        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pieces)),
-        pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate([[0], n_pairs])), pa.int32()), pa.array(pairs[inside])),
-    ], fields=list(_WORD))
+    starts = np.cumsum(sizes[folded]) - sizes[folded]
+    place = np.arange(len(flat)) - np.repeat(starts, sizes[folded])
+    pair = np.full(len(flat), NO_RANK, np.int64)
+    if len(flat) > 1:
+        pair[:-1] = two[flat[:-1].astype(np.int32) * 256 + flat[1:]]
+        pair[starts[1:] - 1] = NO_RANK  # the last piece of a word has no next one
+    pieces[by_byte] = pair << RANK_SHIFT | place << PLACE_SHIFT | one[flat]
+    pieces[~by_byte] |= np.array([x for ids in whole if ids is not None for x in ids], np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pieces))
 
 
 def _split_blocks(pattern: str, ranks: dict[bytes, int]):
@@ -203,7 +210,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     texts = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
     split = texts.mapInArrow(_split_blocks(pattern, ranks), f"ids array<{id_type}>, numbers array<array<int>>, "
-                                                            "words array<struct<p:array<int>,r:array<int>>>")
+                                                            "words array<array<bigint>>")
     maps = F.from_json(F.lit(_dealt_pairs(ranks)), "array<map<string,int>>")
     codes = _let(maps, lambda maps: F.transform("words", lambda w: encode_word(w, maps)))
     tokens = _let(codes, lambda codes: F.transform(
