@@ -49,7 +49,7 @@ SUPPORT = 0.75
 CHI2_SUPPORT = 6.6257
 #: Squared distance, on the chi-squared scale, beyond which a row is an outlier.
 #: Far beyond the usual 0.999 quantile (20.5): rates of clean texts have longer tails than a normal.
-CUTOFF = 100.0
+CUTOFF = 250.0
 MIN_ROWS = 60
 C_STEPS = 4
 #: Histogram bins for each doubling of the distance.
