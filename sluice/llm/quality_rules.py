@@ -17,8 +17,8 @@ bin.
 
 Defined cases: a null text has no words and fails the base rules.  Null
 languages or sources are values of their own.  A language and source with
-fewer than ``MIN_ROWS`` passing rows is judged with its whole language, and
-a language with fewer with all rows; with fewer than that in all, nothing
+fewer than ``MIN_ROWS`` passing rows is judged with its whole language, large sources
+included, and a language with fewer with all rows of all languages; with fewer than that in all, nothing
 beyond the base rules is rejected.  Repeated rows get equal verdicts, every
 one of them is returned.  An empty table gives an empty result.
 """
@@ -204,15 +204,23 @@ def fit_mcd(rows: DataFrame) -> DataFrame:
 
 
 def _groups(passed: DataFrame) -> DataFrame:
-    """For each language and source, the group that its rows are judged with (null: too few rows at all)."""
+    """For each language and source, the group that its rows are judged with (null: too few rows at all).
+
+    ``fits`` has every group that its rows are fed to: their own, and those of the whole language and
+    of all rows wherever some small source or language is judged with them.
+    """
     n = passed.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    by_lang = F.sum("n").over(Window.partitionBy("lang"))
-    counted = n.withColumn("n_lang", by_lang).withColumn("k", F.lit(1))
-    total = n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_all"), F.lit(1).alias("k"))
-    g = (F.when(F.col("n") >= MIN_ROWS, F.to_json(F.struct("lang", "source")))
-         .when(F.col("n_lang") >= MIN_ROWS, F.to_json(F.struct("lang")))
-         .when(F.col("n_all") >= MIN_ROWS, F.lit("all")))
-    return counted.join(total, "k").select("lang", "source", g.alias("g"))
+    lang = Window.partitionBy("lang")
+    counted = n.withColumns({"n_lang": F.sum("n").over(lang), "least": F.min("n").over(lang), "k": F.lit(1)})
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_all"), F.min("n_lang").alias("least_lang"),
+                        F.lit(1).alias("k"))
+    # arrays, as a struct's JSON leaves out nulls: a null source would be its whole language
+    own, whole, every = F.to_json(F.array("lang", "source")), F.to_json(F.array("lang")), F.lit("all")
+    few, few_lang = F.col("n") < MIN_ROWS, F.col("n_lang") < MIN_ROWS
+    g = F.when(~few, own).when(~few_lang, whole).when(F.col("n_all") >= MIN_ROWS, every)
+    fits = F.array_compact(F.array(F.when(~few, own), F.when(~few_lang & (F.col("least") < MIN_ROWS), whole),
+                                   F.when(F.col("least_lang") < MIN_ROWS, every)))
+    return counted.join(total, "k").select("lang", "source", g.alias("g"), fits.alias("fits"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -237,12 +245,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     passed = counted.filter(~F.col("base_failed"))
     groups = materialize(_groups(passed)).filter(F.col("g").isNotNull()).select(
-        F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "g")
+        F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "g", "fits")
     same = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
-    member = passed.select("lang", "source", *STATS).join(groups, same).select("g", *STATS)
+    member = passed.select("lang", "source", *STATS).join(groups, same).select(F.explode("fits").alias("g"), *STATS)
     estimates = fit_mcd(member)
 
-    grouped = counted.join(groups, same, "left").drop("g_lang", "g_source")
+    grouped = counted.join(groups, same, "left").drop("g_lang", "g_source", "fits")
     far = grouped.join(estimates, "g", "left").withColumn(
         "distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
     kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= CUTOFF))

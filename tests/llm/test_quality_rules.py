@@ -50,3 +50,14 @@ def test_small_sources_are_judged_with_their_language(make_docs, rnd):
     junk = [(500, " ".join(w + "$$$" for w in prose(rnd, 100).split()), "en", "s1")]
     got = {r["doc_id"]: r["kept"] for r in q.judge(make_docs(rows + junk)).collect()}
     assert not got[500] and all(got[i] for i in range(90))
+
+
+def test_a_tiny_source_is_judged_with_the_large_one_of_its_language(make_docs, rnd):
+    def junk(n):
+        return " ".join(w + "$$$" for w in prose(rnd, n).split())
+
+    rows = [(i, prose(rnd, 100), "en", "big") for i in range(150)] + [(200, prose(rnd, 100), "en", "tiny")]
+    rows += [(i, prose(rnd, 100), "en", None) for i in range(300, 370)]
+    bad = [(500 + i, junk(90 + i), "en", "tiny") for i in range(3)] + [(510, junk(100), "rare", "x"), (511, junk(80), None, None)]
+    got = {r["doc_id"]: r["kept"] for r in q.judge(make_docs(rows + bad)).collect()}
+    assert not any(got[i] for i, *_ in bad) and all(got[i] for i, *_ in rows)
