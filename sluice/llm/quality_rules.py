@@ -47,9 +47,8 @@ FLOOR = (40, 60, 120, 120, 60)
 SUPPORT = 0.75
 #: 0.75 quantile of chi-squared with 5 degrees of freedom, to which distances are scaled.
 CHI2_SUPPORT = 6.6257
-#: Squared distance, on the chi-squared scale, beyond which a row is an outlier.
-#: Far beyond the usual 0.999 quantile (20.5): rates of clean texts have longer tails than a normal.
-CUTOFF = 250.0
+#: Squared distance beyond which a row is an outlier: 0.999 quantile of chi-squared with 5 degrees of freedom.
+CUTOFF = 20.515
 MIN_ROWS = 60
 C_STEPS = 4
 #: Histogram bins for each doubling of the distance.
@@ -199,7 +198,8 @@ def fit_mcd(rows: DataFrame) -> DataFrame:
         estimates = materialize(moments.mapInPandas(
             lambda parts: (_estimates(p) for p in parts), "g string, mean array<double>, inv array<double>"))
     edges = _nearest(_binned(rows, estimates))
-    scale = F.pow(F.lit(2.0), (F.col("edge") + 1) / BINS) / CHI2_SUPPORT
+    # at least 1: where most rows are alike, the floors of the scatter are the unit of distance
+    scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("edge") + 1) / BINS) / CHI2_SUPPORT)
     return estimates.join(edges, "g").select("g", "mean", "inv", scale.alias("scale"))
 
 

@@ -61,3 +61,11 @@ def test_a_tiny_source_is_judged_with_the_large_one_of_its_language(make_docs, r
     bad = [(500 + i, junk(90 + i), "en", "tiny") for i in range(3)] + [(510, junk(100), "rare", "x"), (511, junk(80), None, None)]
     got = {r["doc_id"]: r["kept"] for r in q.judge(make_docs(rows + bad)).collect()}
     assert not any(got[i] for i, *_ in bad) and all(got[i] for i, *_ in rows)
+
+
+def test_a_source_that_is_mostly_copies_keeps_its_other_texts(make_docs, rnd):
+    copy = prose(rnd, 100)
+    rows = [(i, copy, "en", "a") for i in range(320)] + [(1000 + i, prose(rnd, rnd.randint(60, 200)), "en", "a") for i in range(80)]
+    junk = [(2000, " ".join(w + "###" for w in prose(rnd, 100).split()), "en", "a")]
+    got = {r["doc_id"]: r["kept"] for r in q.judge(make_docs(rows + junk)).collect()}
+    assert all(got[i] for i, *_ in rows) and not got[2000]
