@@ -44,6 +44,10 @@ P = len(STATS)
 #: Smallest standard deviation of each statistic, in thousandths: rates that are
 #: zero in most rows would else have no spread at all.
 FLOOR = (40, 60, 120, 120, 60)
+#: Words and lines without repeats that each text is taken to have besides its own, in the rates of repeats:
+#: these are zero in most texts, and one repeated line of a short text would else be an outlier.
+PRIOR_WORDS = 50
+PRIOR_LINES = 5
 SUPPORT = 0.75
 #: 0.75 quantile of chi-squared with 5 degrees of freedom, to which distances are scaled.
 CHI2_SUPPORT = 6.6257
@@ -126,8 +130,8 @@ def _statistics() -> list[Column]:
     exprs = (
         F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words),
         F.sqrt(F.col("n_symbols") / words),
-        F.sqrt(F.col("n_repeat_words") / words),
-        F.sqrt(F.col("n_dup_lines") / n_lines),
+        F.sqrt(F.col("n_repeat_words") / (words + PRIOR_WORDS)),
+        F.sqrt(F.col("n_dup_lines") / (n_lines + PRIOR_LINES)),
         F.sqrt(F.col("n_upper") / F.greatest(F.col("n_letters"), F.lit(1))),
     )
     return [F.round(e * 1000).cast("long").alias(name) for e, name in zip(exprs, STATS)]

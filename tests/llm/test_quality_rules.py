@@ -69,3 +69,16 @@ def test_a_source_that_is_mostly_copies_keeps_its_other_texts(make_docs, rnd):
     junk = [(2000, " ".join(w + "###" for w in prose(rnd, 100).split()), "en", "a")]
     got = {r["doc_id"]: r["kept"] for r in q.judge(make_docs(rows + junk)).collect()}
     assert all(got[i] for i, *_ in rows) and not got[2000]
+
+
+def test_moderate_outliers_go_and_one_repeated_line_stays(make_docs, rnd):
+    def lines(n):
+        words = prose(rnd, n).split()
+        return [" ".join(words[i:i + 10]) for i in range(0, n, 10)]
+
+    rows = [(i, "\n".join(lines(rnd.randint(6, 20) * 10)), "en", "a") for i in range(300)]
+    again = [(1000 + i, "\n".join([*a, a[1]]), "en", "a") for i in range(10) for a in [lines(70)]]
+    laden = [(2000 + i, " ".join(w + "#" * (k % 7 == 0) for k, w in enumerate(prose(rnd, 100).split())), "en", "a") for i in range(10)]
+    got = {r["doc_id"]: r["kept"] for r in q.judge(make_docs(rows + again + laden)).collect()}
+    assert not any(got[i] for i, *_ in laden)
+    assert all(got[i] for i, *_ in again) and sum(got[i] for i, *_ in rows) >= 297
