@@ -7,9 +7,12 @@ around them.  Windows of ``WINDOW`` template words that hold at least
 ``LITERALS`` plain words are hashed and joined.  Matches of one document and
 item at one offset form an alignment; it is a leak if it covers
 ``MIN_COVER`` words (or the whole of a shorter item) and its slots are
-consistent: each value of the item stands for one value of the document and
-the other way round.  So "Ann has 3 apples and eats 3" matches "Bob has 5
-apples and eats 5" but not "Bob has 5 apples and eats 7".
+consistent: each value of the item stands for one value of the document (two
+values of the item may get the same one).  So "Ann has 3 apples and eats 3"
+matches "Bob has 5 apples and eats 5" but not "Bob has 5 apples and eats 7".
+Whatever the other slots hold, a run of ``MIN_COVER`` equal words (or the
+whole of a shorter item) is a leak.  Words are counted once, however many
+windows cover them.
 
 Document windows are tested in their task against a Bloom filter of the
 benchmark's windows, which has ``BLOOM_BITS`` bits whatever the benchmark's
@@ -30,7 +33,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -175,6 +178,26 @@ def _matching(bits: np.ndarray, widths: list[int]):
     return run
 
 
+def _covered(places: str) -> Column:
+    """Words that the windows at the sorted places cover together."""
+    return F.aggregate(places, F.struct(F.lit(0).alias("n"), F.lit(-1 << 30).alias("end")), lambda acc, at: F.struct(
+        (acc["n"] + at + F.col("width") - F.greatest(acc["end"], at)).alias("n"), (at + F.col("width")).alias("end")),
+        lambda acc: acc["n"])
+
+
+def _longest_run(places: str) -> Column:
+    """(words, start) of the longest stretch that the windows at the sorted places cover without a gap."""
+    def step(acc, at):
+        first = F.when(at <= acc["end"], acc["first"]).otherwise(at)
+        end = at + F.col("width")
+        longer = end - first > acc["words"]
+        return F.struct(F.when(longer, end - first).otherwise(acc["words"]).alias("words"),
+                        F.when(longer, first).otherwise(acc["start"]).alias("start"), first.alias("first"), end.alias("end"))
+
+    none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("start"), F.lit(0).alias("first"), F.lit(-1 << 30).alias("end"))
+    return F.aggregate(places, none, step)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and benchmark item that it holds.
@@ -206,17 +229,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                             f"doc_id {id_type}, k1 long, k2 long, at int, h long, slots array<string>")
     met = seen.join(windows.drop("places"), "h").withColumn("offset", F.col("at") - F.col("item_at"))
     pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots"))))
+    literal = F.when(F.col("item_slots") == F.col("slots"), F.col("at"))
     aligned = met.groupBy("doc_id", "k1", "k2", "item_id", "offset").agg(
-        F.min("at").alias("start"), F.max("at").alias("last"), F.size(F.collect_set("item_at")).alias("n_windows"),
+        F.sort_array(F.collect_set("at")).alias("places"), F.sort_array(F.collect_set(literal)).alias("literal"),
         F.max("width").alias("width"), F.max("item_words").alias("item_words"), pairs.alias("pairs"))
-    consistent = F.lit(True)
-    for side in ("pairs.item_slots", "pairs.slots"):
-        consistent = consistent & (F.size(F.array_distinct(F.col(side))) == F.size("pairs"))
-    # windows one apart share all but one word
-    covered = F.least(F.col("last") - F.col("start"), F.col("n_windows") - 1) + F.col("width")
-    leaks = aligned.withColumn("n_words", covered).filter(consistent).filter(
-        F.col("n_words") >= F.least(F.lit(MIN_COVER), F.col("item_words") - 1))
-    changed = F.exists("pairs", lambda p: p["item_slots"] != p["slots"])
+    consistent = F.size(F.array_distinct(F.col("pairs.item_slots"))) == F.size("pairs")
+    aligned = aligned.select("*", F.size("places").alias("n_windows"), consistent.alias("consistent"),
+                             _covered("places").alias("covered"), _longest_run("literal").alias("run"))
+    # an alignment whose values are torn still holds a copy if one run of equal words is long enough
+    whole = F.col("consistent") & (F.col("covered") >= F.least(F.lit(MIN_COVER), F.col("item_words") - 1))
+    copied = F.col("run.words") >= F.least(F.lit(MIN_COVER), F.col("item_words") - 1)
+    changed = whole & F.exists("pairs", lambda p: p["item_slots"] != p["slots"])
+    leaks = aligned.filter(whole | copied).withColumns({
+        "start": F.when(whole, F.element_at("places", 1)).otherwise(F.col("run.start")),
+        "n_words": F.when(whole, F.col("covered")).otherwise(F.col("run.words"))})
     best = F.max_by(F.struct("start", "n_windows", "n_words", changed.alias("reparameterised")),
                     F.struct("n_words", -F.col("start"))).alias("best")
     return leaks.groupBy("doc_id", "item_id", "k1", "k2").agg(best).select(

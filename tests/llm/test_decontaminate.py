@@ -53,3 +53,17 @@ def test_word_codes():
     assert d.word_code("Paris") == d.word_code("(Ann)") == d.NAME
     assert d.word_code("word,") == d.word_code("word") and d.word_code("word") & 1
     assert d.Templates()(["5", "km", "km"]).tolist()[1] == d.UNIT
+
+
+def test_torn_long_copies_equal_values_and_one_changed_word_are_found(spark, make_docs, rnd):
+    long = "the value 3 is first " + prose(rnd, 40).lower() + " and the value 3 is last of all"
+    twenty = prose(rnd, 20).lower().split()
+    bench = spark.createDataFrame([(1, ITEM), (2, long), (3, " ".join(twenty))], "item_id long, text string")
+    rows = [
+        (10, prose(rnd, 30) + " " + ITEM.replace("3", "4").replace("5", "4"), "en", "a"),
+        (11, prose(rnd, 30) + " " + long.replace("3 is last", "4 is last"), "en", "a"),
+        (12, " ".join([*twenty[:10], "changed", *twenty[11:]]), "en", "a"),
+        (13, ITEM.replace("3 of", "4 of"), "en", "a"),
+    ]
+    got = {(r["doc_id"], r["item_id"]): (r["reparameterised"], r["n_words"]) for r in d.find_leaks(make_docs(rows), bench).collect()}
+    assert got == {(10, 1): (True, 25), (11, 2): (False, 48), (12, 3): (False, 19)}
