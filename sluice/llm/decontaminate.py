@@ -3,8 +3,9 @@
 Words of documents and benchmark items become a template: numbers, names
 (words with an initial capital) and units after a number are replaced by
 typed placeholders, other words stay in lower case without the punctuation
-around them.  Windows of ``WINDOW`` template words that hold at least
-``LITERALS`` plain words are hashed and joined.  Matches of one document and
+around them.  Windows of ``WINDOW`` template words are hashed and joined; one
+with fewer than ``LITERALS`` plain words is hashed by its words as written, so
+dense passages (arithmetic, tables, names) match exact copies only.  Matches of one document and
 item at one offset form an alignment; it is a leak if it covers
 ``MIN_COVER`` words (or the whole of a shorter item) and its slots are
 consistent: each value of the item stands for one value of the document (two
@@ -45,6 +46,8 @@ SHORTEST = 5
 MIN_COVER = 13
 BLOOM_BITS = 1 << 24
 PROBES = 3
+#: Added to the seed of windows that are hashed as written.
+DENSE = 1 << 32
 
 EDGE = ".,;:!?\"'()[]{}<>*_`«»„“”‘’…¿¡"
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,/:]*%?")
@@ -77,11 +80,25 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Templates:
-    """Template codes of texts; remembers the codes of up to ``memory`` words."""
+    """Template codes of texts; remembers the codes of up to ``memory`` words, and of their spellings."""
 
     def __init__(self, memory: int = 300_000):
         self.memory = memory
         self.known: dict[str, int] = {}
+        self.spelt: dict[str, int] = {}
+
+    def spellings(self, words: list[str]) -> np.ndarray:
+        """Codes of the words as they are written, placeholders or not."""
+        spelt = self.spelt
+        if len(spelt) > self.memory:
+            spelt.clear()
+        out = []
+        for w in words:
+            c = spelt.get(w)
+            if c is None:
+                c = spelt[w] = xxhash.xxh3_64_intdigest((w.strip(EDGE) or w).lower().encode("utf-8", "surrogatepass"))
+            out.append(c)
+        return np.array(out, np.uint64)
 
     def __call__(self, words: list[str]) -> np.ndarray:
         known = self.known
@@ -101,15 +118,32 @@ class Templates:
         return codes
 
 
-def window_hashes(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each window, whether it holds enough plain words)."""
+def _folded(codes: np.ndarray, width: int, seed: int) -> np.ndarray:
     n = len(codes) - width + 1
-    total = np.full(max(n, 0), width, np.uint64)
+    total = np.full(max(n, 0), seed, np.uint64)
     for k in range(width if n > 0 else 0):
         total = (total ^ codes[k:k + n]) * _STEP
         total ^= total >> np.uint64(29)
+    return total
+
+
+def window_hashes(words: list[str], codes: np.ndarray, width: int, templates: Templates) -> np.ndarray:
+    """Hash of each window: of its template, or of its words as written if it holds too few plain ones."""
+    total = _folded(codes, width, width)
     plain = np.concatenate([[0], np.cumsum(codes & np.uint64(1))])
-    return total, plain[width:] - plain[:len(plain) - width] >= min(LITERALS, width - 1)
+    dense = np.flatnonzero(plain[width:] - plain[:len(plain) - width] < min(LITERALS, width - 1))
+    if 0 < len(dense) < len(total) // 8:  # a few windows: only their words
+        at = dense[:, None] + np.arange(width)
+        used, place = np.unique(at, return_inverse=True)
+        spelt = templates.spellings([words[i] for i in used.tolist()])[place.reshape(at.shape)]
+        exact = np.full(len(dense), width + DENSE, np.uint64)
+        for k in range(width):
+            exact = (exact ^ spelt[:, k]) * _STEP
+            exact ^= exact >> np.uint64(29)
+        total[dense] = exact
+    elif len(dense):
+        total[dense] = _folded(templates.spellings(words), width, width + DENSE)[dense]
+    return total
 
 
 def bloom_places(hashes: np.ndarray) -> list[np.ndarray]:
@@ -136,11 +170,11 @@ def _item_windows(batches):
                 continue
             codes = templates(words)
             width = min(WINDOW, len(words))
-            hashes, good = window_hashes(codes, width)
+            hashes = window_hashes(words, codes, width, templates)
             places = np.stack(bloom_places(hashes), 1).astype(np.int64)
             signed = _signed(hashes)
             out += [(item, len(words), width, int(at), int(signed[at]), _slots(words, codes, at, width),
-                     places[at].tolist()) for at in np.flatnonzero(good)]
+                     places[at].tolist()) for at in range(len(hashes))]
         kinds = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()),
                  pa.list_(pa.int64())]
         names = ["item_id", "item_words", "width", "item_at", "h", "item_slots", "places"]
@@ -162,7 +196,8 @@ def _matching(bits: np.ndarray, widths: list[int]):
                 for width in widths:
                     if len(words) < width:
                         continue
-                    hashes, good = window_hashes(codes, width)
+                    hashes = window_hashes(words, codes, width, templates)
+                    good = np.ones(len(hashes), bool)
                     for place in bloom_places(hashes):
                         good &= (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                     signed = _signed(hashes)

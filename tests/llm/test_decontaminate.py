@@ -67,3 +67,15 @@ def test_torn_long_copies_equal_values_and_one_changed_word_are_found(spark, mak
     ]
     got = {(r["doc_id"], r["item_id"]): (r["reparameterised"], r["n_words"]) for r in d.find_leaks(make_docs(rows), bench).collect()}
     assert got == {(10, 1): (True, 25), (11, 2): (False, 48), (12, 3): (False, 19)}
+
+
+def test_passages_of_numbers_and_names_match_exact_copies(spark, make_docs, rnd):
+    sums = "3 8 14 22 31 45 58 67 73 88 91 104 110 127"
+    title = "The Old Man And The Sea By Ernest Hemingway New York Charles Scribner Sons 1952"
+    partly = "we saw that red house near Alan Bob Carl Dora Eve 7"
+    bench = spark.createDataFrame([(1, sums), (2, title), (3, partly)], "item_id long, text string")
+    rows = [(10 + i, f"{prose(rnd, 30)} Then {t} {prose(rnd, 30)}", "en", "a") for i, t in enumerate((sums, title, partly))]
+    rows += [(20, prose(rnd, 9) + " " + sums.replace("58", "59"), "en", "a"),
+             (21, title.replace("Ernest", "Jack").replace("Sea", "Lake"), "en", "a")]
+    got = {(r["doc_id"], r["item_id"], r["n_words"]) for r in d.find_leaks(make_docs(rows), bench).collect()}
+    assert got == {(10, 1, len(sums.split())), (11, 2, len(title.split())), (12, 3, len(partly.split()))}
