@@ -8,8 +8,7 @@ backward gives each word's probability of each language, so switches inside a
 text are seen; a document's language is the one with the largest mean.
 
 Training takes a bounded sample: windows of ``WINDOW`` words from at most
-``PER_LANGUAGE`` documents of each of the ``LANGUAGES`` most frequent
-languages.  A document's language labels its words; a share of the training
+``PER_LANGUAGE`` documents of each language.  A document's language labels its words; a share of the training
 sequences joins parts of documents of two languages, which is where
 transitions are learned.  The fit is numpy gradient descent on the driver;
 its weights (``BUCKETS`` by languages) go to the tasks, which score whole
@@ -22,6 +21,8 @@ language are not learned from.  Repeated rows are all returned.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -31,13 +32,14 @@ from pyspark.sql import functions as F
 from .common import blocks, bound_batches, col, table
 from .subword import ngram_features, summed
 
-LANGUAGES = 32
 PER_LANGUAGE = 400
 WINDOW = 60
 SIZES = (2, 3, 4)
 BUCKETS = 1 << 16
 LEXICON = 300
 BLOCK_BYTES = 8 << 20
+#: Blocks and padded texts shrink in proportion with more labels than this.
+FEW_LABELS = 32
 
 _words = regex.compile(r"\p{L}+").findall
 
@@ -125,18 +127,19 @@ def fit(samples: list[tuple[str, list[str]]], epochs: int = 4, batch: int = 64,
     model = Model(labels)
     n = len(labels)
     number = {lang: k for k, lang in enumerate(labels)}
-    counts: dict[str, np.ndarray] = {}
+    vocabulary: dict[str, int] = {}
+    counts = [Counter() for _ in labels]
     for lang, words in samples:
+        counts[number[lang]].update(words)
         for w in words:
-            counts.setdefault(w, np.zeros(n))[number[lang]] += 1
-    for k in range(n):
-        for w in sorted(counts, key=lambda w: (-counts[w][k], w))[:LEXICON]:
-            if counts[w][k] > 1:
+            vocabulary.setdefault(w, len(vocabulary))
+    for k, count in enumerate(counts):
+        for w in sorted(count, key=lambda w: (-count[w], w))[:LEXICON]:
+            if count[w] > 1:
                 model.lexicon.setdefault(w, np.zeros(n, np.float32))[k] = 1
-    vocabulary = {w: i for i, w in enumerate(counts)}
-    features, owners = ngram_features(list(vocabulary), SIZES, BUCKETS)
+    spelt = list(vocabulary)
+    features, owners = ngram_features(spelt, SIZES, BUCKETS)
     ends = np.searchsorted(owners, np.arange(len(vocabulary) + 1))
-    member = model.membership(list(vocabulary))
     draw = np.random.default_rng(seed)
     data = [(number[lang], words) for lang, words in samples if words]
     g_weights, g_lexicon, g_move = np.full(model.weights.shape, 1e-6), np.full((n, n), 1e-6), np.full((n, n), 1e-6)
@@ -154,8 +157,9 @@ def fit(samples: list[tuple[str, list[str]]], epochs: int = 4, batch: int = 64,
             used, place = np.unique(ids[live], return_inverse=True)
             rows = np.concatenate([np.arange(ends[u], ends[u + 1]) for u in used])
             size = ends[used + 1] - ends[used]
+            member = model.membership([spelt[u] for u in used.tolist()])
             f = features[rows]
-            per_word = np.add.reduceat(model.weights[f], np.cumsum(size) - size, axis=0) + member[used] @ model.in_lexicon
+            per_word = np.add.reduceat(model.weights[f], np.cumsum(size) - size, axis=0) + member @ model.in_lexicon
             scores = np.zeros((*ids.shape, n))
             scores[live] = per_word[place]
             marginal, pairs, _ = forward_backward(scores, lengths, model.move, model.start)
@@ -166,7 +170,7 @@ def fit(samples: list[tuple[str, list[str]]], epochs: int = 4, batch: int = 64,
             gradient = np.stack([np.bincount(f, spread[:, k], BUCKETS) for k in range(n)], 1)
             g_weights += gradient ** 2
             model.weights += (rate * gradient / np.sqrt(g_weights)).astype(np.float32)
-            gradient = member[used].T @ words_error / len(part)
+            gradient = member.T @ words_error / len(part)
             g_lexicon += gradient ** 2
             model.in_lexicon += (rate * gradient / np.sqrt(g_lexicon)).astype(np.float32)
             seen = np.zeros((n, n))
@@ -179,11 +183,11 @@ def fit(samples: list[tuple[str, list[str]]], epochs: int = 4, batch: int = 64,
 
 
 def training_sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, list[str]]]:
-    """At most ``PER_LANGUAGE`` windows of words for each of the ``LANGUAGES`` most frequent languages."""
+    """At most ``PER_LANGUAGE`` windows of words for each language."""
     known = docs.filter(learn & col(lang_col).isNotNull() & col(id_col).isNotNull() & col(text_col).rlike(r"\p{L}"))
     known = known.select(col(lang_col).cast("string").alias("lang"), col(text_col).alias("text"),
                          F.xxhash64(col(id_col), F.lit("sample")).alias("draw"))
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
     if not sizes:
         return []
     # a share of each language by hash, somewhat more than needed; then its smallest hashes
@@ -200,6 +204,7 @@ def training_sample(docs: DataFrame, learn: Column, id_col: str, text_col: str,
 def _predict(model: Model):
     def run(batches):
         first = None
+        k = max(FEW_LABELS, len(model.labels))
 
         def seen(batches):
             nonlocal first
@@ -207,7 +212,7 @@ def _predict(model: Model):
                 first = batch.schema.field(0).type
                 yield batch
 
-        for ids, texts in blocks(seen(batches), 1, BLOCK_BYTES):
+        for ids, texts in blocks(seen(batches), 1, BLOCK_BYTES * FEW_LABELS // k):
             number: dict[str, int] = {}
             sequences = [np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
                          for words in (_words(t.lower()) for t in texts)]
@@ -219,8 +224,8 @@ def _predict(model: Model):
                                             for at in range(0, len(words), 20_000)]).astype(np.float64)
                 order = [i for i in sorted(range(len(texts)), key=lambda i: len(sequences[i])) if len(sequences[i])]
                 while order:
-                    steps = len(sequences[order[-1]])  # texts of like length together, at most a million words
-                    part = order[-max(1, min(512, 1_000_000 // steps)):]
+                    steps = len(sequences[order[-1]])  # texts of like length together, at most a million words of few labels
+                    part = order[-max(1, min(512, 1_000_000 * FEW_LABELS // (steps * k), 1_000_000 * FEW_LABELS // k ** 2)):]
                     del order[-len(part):]
                     lengths = np.array([len(sequences[i]) for i in part])
                     padded = np.zeros((len(part), steps, len(model.labels)))

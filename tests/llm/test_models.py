@@ -97,3 +97,17 @@ def test_quality_odd_rows(make_docs, odd_rows, spark):
         got = qm.score(docs, model).collect()
         assert len(got) == len(odd_rows) and all(0 <= r["score"] <= 1 for r in got)
         assert qm.score(docs.limit(0), model).count() == 0
+
+
+def test_every_language_is_learned(make_docs, rnd):
+    def text(k):
+        a, b = divmod(k, 7)
+        parts = ["bcdfgh"[a] + v + "klmnprs"[b] for v in "aeiou"]
+        return " ".join("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 3))) for _ in range(30))
+
+    rows = [(i, text(i % 40), f"l{i % 40:02}", "s") for i in range(40 * 12)]
+    docs = make_docs(rows)
+    model = li.train(docs, F.lit(True))
+    assert model.labels == [f"l{k:02}" for k in range(40)]
+    got = {r["doc_id"]: r["lang_pred"] for r in li.identify(docs, model).collect()}
+    assert sum(got[i] == lang for i, _, lang, _ in rows) >= 0.95 * len(rows)
