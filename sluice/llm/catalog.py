@@ -8,6 +8,7 @@ from . import (
     language_id,
     line_dedup,
     ngram_join,
+    packing,
     quality_model,
     quality_rules,
     secret_scan,
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_language_id": language_id.op8_language_id,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_best_fit_packing": packing.op11_best_fit_packing,
     }
 
 
