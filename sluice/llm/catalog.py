@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import (
     byte_bpe,
+    conversation_repair,
     decontaminate,
     language_id,
     line_dedup,
@@ -30,6 +31,7 @@ def queries() -> dict:
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_decontaminate": decontaminate.op10_decontaminate,
         "op11_best_fit_packing": packing.op11_best_fit_packing,
+        "op13_conversation_repair": conversation_repair.op13_conversation_repair,
     }
 
 
