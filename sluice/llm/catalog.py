@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import (
     byte_bpe,
+    collocations,
     conversation_repair,
     decontaminate,
     language_id,
@@ -31,9 +32,10 @@ def queries() -> dict:
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_decontaminate": decontaminate.op10_decontaminate,
         "op11_best_fit_packing": packing.op11_best_fit_packing,
+        "op12_collocations": collocations.op12_collocations,
         "op13_conversation_repair": conversation_repair.op13_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.OP3_SQL, "op5_warc": warc.OP5_SQL}
+    return {"op3_line_dedup": line_dedup.OP3_SQL, "op5_warc": warc.OP5_SQL, "op12_collocations": collocations.OP12_SQL}
