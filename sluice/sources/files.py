@@ -15,15 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
-from . import inference
+from . import inference, split_csv
+
 
 class UnsupportedFileError(ValueError):
     pass
 
 
 def _reader(spark: SparkSession, encoding: str, multi_line: bool):
-    # multiLine keeps quoted newlines inside one record but reads each file
-    # in one task; read_csv turns it on only for files that need it.
+    # multiLine reads each file in one task; read_csv turns it on only for
+    # encodings that can't be cut into lines.
     return (
         spark.read.option("header", True)
         .option("multiLine", multi_line)
@@ -67,6 +68,7 @@ def _file_verdicts(spark: SparkSession, path: str, encoding: str | None) -> list
     for r in files:
         codec = encoding or ("ISO-8859-1" if r["bad"] else "UTF-8")
         if r["multi_line"]:
+            # reads no further than the header; with no value options it gives the names that a whole read would
             names = _reader(spark, codec, True).csv(_escaped(r["file"])).columns
         else:
             names = next(csv.reader([bytes.fromhex(r["header"]).decode(codec, "replace").removeprefix("\ufeff")]), [])
@@ -74,6 +76,14 @@ def _file_verdicts(spark: SparkSession, path: str, encoding: str | None) -> list
     return out
 
 
+def _group(spark: SparkSession, files: list[str], codec: str, whole: bool, names: tuple) -> DataFrame:
+    """Text cells of files with one encoding and header."""
+    if whole and names and codecs.lookup(codec).name in split_csv.SPLITTABLE:
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        return split_csv.parse_records(split_csv.read_records(spark, files, codec), schema)
+    return _reader(spark, codec, whole).csv(files)
+
+
 def _escaped(file: str) -> str:
     """The path of a file's URL, with the characters escaped that a path pattern reads as wildcards."""
     return re.sub(r"([][{}*?\\])", r"\\\1", unquote(file))
@@ -90,19 +100,25 @@ def read_csv(
     """CSV files with a header row each.
 
     One pass over the raw lines decides for every file on its own: its
-    encoding, whether records span lines (only then is a file parsed whole by
-    one task, ``multiLine``) and its header.  Files are grouped by these and
-    put together by column name, so a folder may mix them.  A line with more
-    cells than its header is an error, a short one is padded with nulls; in
-    files whose records span lines surplus cells cannot be told apart by
-    lines and are dropped.  A second pass infers the types.
+    encoding, whether records span lines (such files are cut into records by
+    ``split_csv``, in as many tasks as others) and its header.  Files are
+    grouped by these and put together by column name, so a folder may mix
+    them.  A line with more cells than its header is an error, a short one is
+    padded with nulls; in files whose records span lines surplus cells cannot
+    be told apart by lines and are dropped.  A second pass infers the types.
+    Only encodings other than UTF-8 and ISO-8859-1 are parsed whole by one
+    task a file (``multiLine``).
 
     With ``schema``, or with both ``encoding`` and ``multi_line`` given, the
     first pass is left out and all files must have the same header.
     """
     if schema is not None:
+        codec = encoding or "UTF-8"
         whole = has_multiline_records(spark, path) if multi_line is None else multi_line
-        return _reader(spark, encoding or "UTF-8", whole).schema(schema).csv(path)
+        if whole and codecs.lookup(codec).name in split_csv.SPLITTABLE:
+            typed = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+            return split_csv.parse_records(split_csv.read_records(spark, path, codec), typed)
+        return _reader(spark, codec, whole).schema(schema).csv(path)
     if encoding is not None and (multi_line is not None or codecs.lookup(encoding).name.startswith(("utf-16", "utf-32"))):
         raw = _reader(spark, encoding, bool(multi_line)).csv(path)
     else:
@@ -112,7 +128,7 @@ def read_csv(
             if not whole and v["cells"] > len(v["names"]):
                 raise ValueError(f"{v['file']}: a line has {v['cells']} cells, the header {len(v['names'])}")
             groups.setdefault((v["encoding"], whole, v["names"]), []).append(_escaped(v["file"]))
-        parts = [_reader(spark, codec, whole).csv(files) for (codec, whole, _), files in groups.items()]
+        parts = [_group(spark, files, codec, whole, names) for (codec, whole, names), files in groups.items()]
         if not parts:
             return spark.read.option("header", True).csv(path)
         raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
