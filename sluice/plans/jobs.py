@@ -186,7 +186,8 @@ def run_job(
         processed = 0
         if spec.db_destination:
             ddl_mappings = [] if spec.aggregations else mappings
-            details["database"] = load_table(df, spec.db_destination, ddl_mappings, spec.batch_size)
+            details["database"] = load_table(df, spec.db_destination, ddl_mappings, spec.batch_size,
+                                             [order] if order in df.columns else [])
             processed = details["database"]["rows_inserted"]
             jl.info(f"Loaded {processed} rows into {spec.db_destination.table_name}")
         if spec.file_destination:

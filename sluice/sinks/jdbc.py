@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.casts import is_string
+from ..operators.numbering import fill_keys
 from ..sources.files import nan_to_null
-from ..sources.jdbc import execute, table_exists
+from ..sources.jdbc import execute, jdbc_reader, table_exists
 from ..specs import ColumnMapping, DatabaseDestination
 
 
@@ -122,6 +123,28 @@ DEFAULT_SQL = {
 }
 
 
+# --- fixed values: how a dialect makes a loaded key column count on ---------
+AUTO_INCREMENT_SQL = {
+    "postgresql": "ALTER TABLE {table} ALTER COLUMN {column} ADD GENERATED BY DEFAULT AS IDENTITY (START WITH {next})",
+    "mysql": "ALTER TABLE {table} MODIFY COLUMN {column} {type} NOT NULL AUTO_INCREMENT",
+}
+
+
+def auto_key(mappings) -> ColumnMapping | None:
+    """The mapping of a primary key of one integer column, the only kind that counts up by itself."""
+    primary = [m for m in mappings or () if m.is_primary_key]
+    return primary[0] if len(primary) == 1 and primary[0].target_dtype in ("integer", "bigint") else None
+
+
+def auto_increment_statements(table: str, mappings, dialect: str, next_key: int) -> list[str]:
+    """Statements after which the database itself numbers later rows, from ``next_key`` on."""
+    key = auto_key(mappings)
+    if key is None or dialect not in AUTO_INCREMENT_SQL:
+        return []
+    return [AUTO_INCREMENT_SQL[dialect].format(table=table, column=quote(key.final_name, dialect), next=next_key,
+                                               type=C.SQL_TYPES[dialect][key.target_dtype])]
+
+
 def _sql_literal(value) -> str:
     if isinstance(value, bool):
         return "TRUE" if value else "FALSE"
@@ -173,15 +196,28 @@ def load_table(
     dest: DatabaseDestination,
     mappings=(),
     batch_size: int = C.DEFAULT_BATCH_SIZE,
+    order_by=(),
 ) -> dict:
-    """Write ``df`` to a database table; returns a load report."""
+    """Write ``df`` to a database table; returns a load report.
+
+    With ``auto_increment``, rows without a value in an integer primary key
+    are numbered in the order of ``order_by``, on from the largest key of the
+    frame and of a table that is appended to.
+    """
     spark = df.sparkSession
     conn = dest.connection
     mappings = [m if isinstance(m, ColumnMapping) else ColumnMapping(**m) for m in mappings or ()]
-    check_keys(df, mappings)
     exists = table_exists(spark, conn, dest.table_name)
     if exists and dest.if_exists == "fail":
         raise LoadError(f"Table '{dest.table_name}' already exists and if_exists='fail'.")
+    key = auto_key(mappings) if dest.auto_increment else None
+    if key is not None:
+        largest = None
+        if exists and dest.if_exists == "append":
+            query = f"SELECT MAX({quote(key.final_name, conn.dialect)}) AS top FROM {dest.table_name}"
+            largest = jdbc_reader(spark, conn).option("query", query).load().first()[0]
+        df = fill_keys(df, key.final_name, order_by, largest)
+    check_keys(df, mappings)
 
     base = nan_to_null(df)
     obs = Observation("load")
@@ -204,6 +240,9 @@ def load_table(
         # makes it visible: rename it into place, or append it to the target
         staging = f"{dest.table_name}_stg_{uuid.uuid4().hex[:8]}"
         rules = constraint_statements(staging, df.columns, mappings, conn.dialect)
+        if key is not None and not (exists and dest.if_exists == "append"):
+            top = df.agg(F.max(F.col(f"`{key.final_name}`").cast("long"))).first()[0] or 0
+            rules += auto_increment_statements(staging, mappings, conn.dialect, top + 1)
         try:
             write(clean, staging, "error")
             if exists and dest.if_exists == "append":

@@ -8,10 +8,14 @@ are JDBC ``query`` reads of the database's own catalogue views.
 
 from __future__ import annotations
 
+from datetime import date, datetime
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.mapping import auto_mappings
+from ..operators.numbering import equal_ranges
 from ..specs import DatabaseConnection, DatabaseSource
 
 # --- fixed values: catalogue query listing user tables, per dialect --------
@@ -37,14 +41,65 @@ def bounds_query(source: DatabaseSource) -> str:
     return f"SELECT MIN({c}) AS low, MAX({c}) AS high FROM {source.table_name}"
 
 
+def sql_value(value) -> str:
+    """A value as a SQL literal that the databases above agree on."""
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, (int, float, Decimal)):
+        return str(value)
+    if isinstance(value, datetime):
+        return f"TIMESTAMP '{value.isoformat(sep=' ')}'"
+    if isinstance(value, date):
+        return f"DATE '{value.isoformat()}'"
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def range_predicates(column: str, lows) -> list[str]:
+    """Conditions that deal every row to one range: one for each different lower bound, and one for nulls.
+
+    The first range is open below, so rows that come in after the bounds were
+    taken are read too.  Bounds must be in the database's own order.
+    """
+    bounds = []
+    for low in lows:
+        if low is not None and (not bounds or low != bounds[-1]):
+            bounds.append(low)
+    if not bounds:
+        return ["1 = 1"]
+    shown = [sql_value(b) for b in bounds[1:]]
+    out = [f"{column} < {shown[0]}" if shown else f"{column} IS NOT NULL"]
+    out += [f"{column} >= {a} AND {column} < {b}" for a, b in zip(shown, shown[1:])]
+    if shown:
+        out.append(f"{column} >= {shown[-1]}")
+    return [*out, f"{column} IS NULL"]
+
+
+def equal_depth_predicates(spark: SparkSession, source: DatabaseSource, k: int) -> list[str]:
+    """Conditions of ``k`` ranges with equally many rows, from one read of the partition column alone."""
+    c = source.partition_column
+    keys = jdbc_reader(spark, source.connection).option("query", f"SELECT {c} FROM {source.table_name}").load()
+    tiles = equal_ranges(keys, keys.columns[0], k).orderBy("tile").select("low").collect()  # k rows
+    return range_predicates(c, [r["low"] for r in tiles])
+
+
 def read_db(spark: SparkSession, source: DatabaseSource) -> DataFrame:
     """Rows of a table or of a source-side query.
 
     A column whitelist applies to table scans (ignored with a query).  With
     ``partition_column``, the scan runs as ``num_partitions`` parallel range
     queries instead of one connection; bounds that are not given are asked of
-    the database.
+    the database.  With ``equal_depth`` the ranges hold equally many rows,
+    however skewed the column is, and it may be text or a date (text needs a
+    database that compares bytes, as Spark does).
     """
+    if source.equal_depth:
+        options = source.connection.options()
+        k = source.num_partitions or spark.sparkContext.defaultParallelism
+        if source.fetch_size:
+            options = options | {"fetchsize": str(source.fetch_size)}
+        df = spark.read.jdbc(options["url"], source.table_name, predicates=equal_depth_predicates(spark, source, k),
+                             properties={n: str(v) for n, v in options.items() if n != "url"})
+        return df.select(*[F.col(f"`{c}`") for c in source.columns]) if source.columns else df
     reader = jdbc_reader(spark, source.connection)
     if source.fetch_size:
         reader = reader.option("fetchsize", source.fetch_size)
