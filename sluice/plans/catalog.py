@@ -46,7 +46,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load_all():
-    from . import catalog_files, catalog_loads, catalog_more, catalog_profile, catalog_sources  # noqa: F401  (registration side effects)
+    from . import catalog_api, catalog_files, catalog_loads, catalog_more, catalog_profile, catalog_sources  # noqa: F401  (registration side effects)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,6 +26,7 @@ from ..operators.validation import BAD, error_text, validate
 from ..sinks.files import write_file, write_log
 from ..sinks.jdbc import load_table
 from ..sinks.rest import send_batches, send_summary
+from ..sinks.rest_commit import load_batches
 from ..session import materialize, scratch_path, scratch_scope
 from ..sources.files import scan
 from ..sources.jdbc import read_db
@@ -195,8 +196,13 @@ def run_job(
             processed = details["file"]["rows_written"]
             jl.info(f"Wrote {processed} rows to {spec.file_destination.output_path}")
         if spec.api_destination:
-            report = materialize(send_batches(df, spec.api_destination, transport, spec.max_retries))
-            details["api"] = send_summary(report)
+            if spec.api_destination.exactly_once:
+                # the load is known by the job: run again under its id, it sends what was not acknowledged
+                details["api"] = load_batches(df, spec.api_destination, job_id, [order] if order in df.columns else [],
+                                              transport, spec.max_retries)
+            else:
+                report = materialize(send_batches(df, spec.api_destination, transport, spec.max_retries))
+                details["api"] = send_summary(report)
             processed = processed or details["api"]["total_records"]
             jl.info(f"API load: {details['api']['sent']} sent, {details['api']['failed']} failed")
 

@@ -158,10 +158,10 @@ class RestPagesSource(DataSource):
         return RestPagesReader(self.options)
 
 
-def _reader(spark: SparkSession, source: ApiSource, transport, pages_per_partition: int):
-    spark.dataSource.register(RestPagesSource)
-    reader = spark.read.format("sluice_rest").option("url", source.url)
-    opts = {
+def source_options(source: ApiSource, transport, pages_per_partition: int) -> dict[str, str]:
+    """The reader options that stand for a source."""
+    return {
+        "url": source.url,
         "records_key": source.records_key or "",
         "page_param": source.page_param or "",
         "page_size_param": source.page_size_param or "",
@@ -173,7 +173,12 @@ def _reader(spark: SparkSession, source: ApiSource, transport, pages_per_partiti
         "headers": json.dumps(source.headers or {}),
         "transport": _transport_option(transport),
     }
-    for k, v in opts.items():
+
+
+def _reader(spark: SparkSession, source: ApiSource, transport, pages_per_partition: int):
+    spark.dataSource.register(RestPagesSource)
+    reader = spark.read.format("sluice_rest")
+    for k, v in source_options(source, transport, pages_per_partition).items():
         reader = reader.option(k, v)
     return reader.load()
 
