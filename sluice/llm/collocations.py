@@ -46,11 +46,12 @@ THRESHOLD = 100
 LONGEST = 5
 TOP = 2000
 #: Bytes of text in a block, words whose n-grams a hash partition holds.
-BLOCK_BYTES = 16 << 20
-PARTITION_WORDS = 1 << 21
+BLOCK_BYTES = 8 << 20
+PARTITION_WORDS = 1 << 20
 #: Bits of the table that skips most n-grams before the search in the survivors.
 SKIP_BITS = 24
-OUT_ROWS = 20_000
+#: Shares whose first phrases are ranked together in the end.
+LAST_SHARES = 16
 
 #: Separators of pieces become ".", upper-case ASCII letters lower case.
 _CHARS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r" + bytes(range(65, 91)), b"." * 10 + bytes(range(97, 123)))
@@ -247,8 +248,11 @@ def equal_phrases(numbers: np.ndarray, places: np.ndarray, keys: np.ndarray, n:
     return places[first], counts
 
 
-def _count_survivors(partitions: int, longest: int):
+def _count_survivors(partitions: int, longest: int, shares: int):
+    """The phrases of a block that may be frequent, with their counts, packed by share of the phrases."""
     def run(batches):
+        import xxhash
+
         for batch in batches:
             for k in range(batch.num_rows):
                 lang, words, numbers = _unpack_block(batch, k)
@@ -263,11 +267,29 @@ def _count_survivors(partitions: int, longest: int):
                     if not len(hit):
                         continue
                     first, counts = equal_phrases(numbers, places[hit], keys[hit], n)
-                    for a in range(0, len(first), OUT_ROWS):
-                        texts = [" ".join([words[w] for w in numbers[i:i + n]]) for i in first[a:a + OUT_ROWS].tolist()]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * len(texts)), pa.array(texts, pa.string()), pa.array([n] * len(texts), pa.int32()),
-                             pa.array(counts[a:a + OUT_ROWS], pa.int64())], names=["lang", "phrase", "words", "count"])
+                    texts = [" ".join([words[w] for w in numbers[i:i + n]]) for i in first.tolist()]
+                    share = np.fromiter((xxhash.xxh3_64_intdigest(t.encode()) % shares for t in texts), np.int64, len(texts))
+                    order = np.argsort(share, kind="stable")
+                    ends = np.append(np.flatnonzero(np.diff(share[order])) + 1, len(order))
+                    offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(ends)), pa.array([n] * len(ends), pa.int32()), pa.array(share[order][ends - 1]),
+                         pa.ListArray.from_arrays(offsets, pa.array(texts, pa.string()).take(pa.array(order))),
+                         pa.ListArray.from_arrays(offsets, pa.array(counts[order], pa.int64()))],
+                        names=["lang", "words", "share", "phrases", "counts"])
+
+    return run
+
+
+def _sum_share(threshold: int):
+    """Exact counts of one share of a language's phrases of one length; those under the threshold go."""
+    def run(group: pa.Table) -> pa.Table:
+        flat = pa.table({"phrase": pa.chunked_array([c.flatten() for c in group["phrases"].chunks], pa.string()),
+                         "a": pa.chunked_array([c.flatten() for c in group["counts"].chunks], pa.int64())})
+        summed = flat.group_by("phrase").aggregate([("a", "sum")])
+        often = summed.filter(pc.greater_equal(summed["a_sum"], threshold))
+        same = [pa.array([group[c][0].as_py()] * len(often), group.schema.field(c).type) for c in ("lang", "words")]
+        return pa.table({"lang": same[0], "phrase": often["phrase"], "words": same[1], "a": often["a_sum"]})
 
     return run
 
@@ -289,10 +311,12 @@ def frequent_phrases(blocks: DataFrame, threshold: int = THRESHOLD, longest: int
                                                                    "small binary, large binary")
     wanted = summaries.groupBy("partition").applyInArrow(_survivors(threshold), "block long, keys binary")
     wanted = wanted.groupBy("block").agg(F.collect_list("keys").alias("wanted"))
+    # phrases travel packed by share, as they did by partition; a share is summed in one task
+    shares = -(-partitions // 4)
     counts = blocks.join(wanted.hint("merge"), "block").mapInArrow(
-        _count_survivors(partitions, longest), "lang string, phrase string, words int, count long")
-    counts = counts.groupBy("lang", "phrase", "words").agg(F.sum("count").alias("a"))
-    return materialize(counts.filter(F.col("a") >= threshold))
+        _count_survivors(partitions, longest, shares), "lang string, words int, share long, phrases array<string>, counts array<long>")
+    return materialize(counts.groupBy("lang", "words", "share").applyInArrow(
+        _sum_share(threshold), "lang string, phrase string, words int, a long"))
 
 
 def score(a: str, n: str, left: str, right: str) -> Column:
@@ -326,12 +350,13 @@ def collocations(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LON
     cuts = cuts.join(totals.hint("merge"), "lang")
     least = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(score("a", "n", "l", "r").alias("score"), "k", "l", "r")).alias("s"))
     scored = least.select("lang", "phrase", "a", "s.l", "s.r", "n", "s.score")
-    # the first ones of each share of a language, then of the language: no task sorts a whole language
+    # the first ones of each share of a language, of fewer shares, then of the language: no task sorts a whole language
     by = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = F.pmod(F.xxhash64("phrase"), F.lit(shares))
-    near = scored.withColumn("share", share).withColumn("place", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*by)))
-    near = near.filter(F.col("place") <= top)
+    near = scored
+    for shares in (int(spark.conf.get("spark.sql.shuffle.partitions")), LAST_SHARES):
+        near = near.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(shares)))
+        near = near.withColumn("place", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*by)))
+        near = near.filter(F.col("place") <= top)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*by)).cast("long"))
     return ranked.filter(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
