@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators.numbering import equal_ranges
 from ..session import scratch_path
 from ..sinks.keyed import append_keyed
+from . import ledger
 from .catalog import register, table
-from .catalog_more import _HOT_SQL, hot_lineitem
+from .catalog_more import _HOT_SQL, _LEDGER_NOW, _event_ledger, _now, hot_lineitem
 
 
 @register(
@@ -41,3 +42,19 @@ register("split_ranges_hot", _ntile_sql(f"({_HOT_SQL})", f"lineitem WHERE ({_HOT
 
 register("split_ranges_text", _ntile_sql("c_name", "customer WHERE c_name IS NOT NULL", 16))(
     lambda spark, d: equal_ranges(table(spark, d, "customer").select(F.col("c_name")), "c_name", 16))
+
+
+@register(
+    "ledger_compacted",
+    f"""SELECT 'job-' || user_id AS job_id, sha256(CAST(user_id AS VARCHAR)) AS request_hash, arg_max(event_type, ts) AS state
+        FROM events WHERE ts >= TIMESTAMP '{_LEDGER_NOW}' - INTERVAL 240 HOUR GROUP BY user_id""",
+)
+def ledger_compacted(spark, sf_dir):
+    # half of the entries are in the snapshot, the others come after it
+    path = _event_ledger(spark, sf_dir)
+    late = spark.read.parquet(path).filter("pmod(hash(job_id, ts), 2) = 0")
+    early = scratch_path(spark)
+    spark.read.parquet(path).filter("pmod(hash(job_id, ts), 2) = 1").write.partitionBy(ledger.DAY).parquet(early)
+    ledger.compact(spark, early)
+    late.write.mode("append").partitionBy(ledger.DAY).parquet(early)
+    return ledger.latest_states(spark, early, ttl_hours=240, now=_now()).select("job_id", "request_hash", "state")

@@ -246,12 +246,18 @@ def _check_mapping(plan: MappingPlan, spec: JobSpec) -> None:
 
 def submit(spark: SparkSession, spec: JobSpec, ledger_path: str, **kwargs) -> dict:
     """Idempotent submission: an identical request seen within the ledger
-    window returns the earlier job instead of running again."""
-    hit = ledger.find_job(spark, ledger_path, ledger.request_hash(spec))
-    if hit is not None:
-        job_id, state, result = hit
-        return {"job_id": job_id, "state": state, "duplicate": True, **(result or {})}
-    return run_job(spark, spec, ledger_path=ledger_path, **kwargs)
+    window returns the earlier job instead of running again.  Of several at
+    once, the one that gets the claim runs; the others are told its job."""
+    req_hash = ledger.request_hash(spec)
+    hit = ledger.find_job(spark, ledger_path, req_hash)
+    if hit is None:
+        job_id = kwargs.pop("job_id", None) or str(uuid.uuid4())
+        holder = ledger.claim(spark, ledger_path, req_hash, job_id)
+        if holder == job_id:
+            return run_job(spark, spec, job_id=job_id, ledger_path=ledger_path, **kwargs)
+        hit = ledger.find_job(spark, ledger_path, req_hash) or (holder, "claimed", None)
+    job_id, state, result = hit
+    return {"job_id": job_id, "state": state, "duplicate": True, **(result or {})}
 
 
 def migrate(spark: SparkSession, source: DatabaseSource, destination: DatabaseDestination, **spec_fields) -> dict:
