@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.casts import FLOATING_TYPES
 from ..specs import AggregationRule
+from .distinct import distinct_counts, join_counts
 from .median import exact_median
 
 ROW_ID = "_row_id"
@@ -73,12 +74,19 @@ def aggregate(df: DataFrame, rule, order_by: str | None = None) -> DataFrame:
         order_col = ROW_ID
         base = base.withColumn(ROW_ID, F.monotonically_increasing_id())
 
-    plain = [a for a in rule.aggregations if a.function != "median"]
+    # one distinct count needs no copies of rows; several are counted together from partial sets
+    distinct = [a for a in rule.aggregations if a.function in ("count_distinct", "nunique")]
+    distinct = distinct if len({a.column for a in distinct}) > 1 else []
+    plain = [a for a in rule.aggregations if a.function != "median" and a not in distinct]
     medians = [a for a in rule.aggregations if a.function == "median"]
     key_cols = [_q(k) for k in keys]
 
     exprs = [agg_expression(a.function, a.column, order_col, a.column in floating).alias(a.name) for a in plain]
     out = base.groupBy(*key_cols).agg(*(exprs or [F.count(F.lit(1)).alias("_size")]))
+    if distinct:
+        out = join_counts(out, distinct_counts(base, [a.column for a in distinct], keys, "_distinct"), keys)
+        for i, a in enumerate(distinct):
+            out = out.withColumn(a.name, F.coalesce(F.col(f"_distinct{i}"), F.lit(0))).drop(f"_distinct{i}")
     for a in medians:
         # groups whose values are all null get a null median, not a lost row
         out = out.join(exact_median(base, a.column, keys, a.name), keys, "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.dates import PROFILE_PATTERNS
 from ..operators import profile as P
+from ..operators.aggregate import aggregate
 from .catalog import CUSTOMER_N, customer_n, register, table
 
 # Java guess patterns in strftime form for the oracle (same order).
@@ -204,3 +205,20 @@ register(
         )
     )
 )
+
+# more different words than a task's summary holds: candidates by summaries, then exact counts
+register(
+    "profile_top_words",
+    """SELECT value, count(*) AS count FROM (SELECT unnest(string_split(text, ' ')) AS value FROM documents)
+       GROUP BY value ORDER BY count DESC, value LIMIT 10""",
+)(lambda spark, d: P.top_values(table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("word")), "word", 10))
+register(
+    "agg_many_distinct",
+    """SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers,
+              count(DISTINCT l_shipdate) AS days, sum(l_quantity) AS quantity
+       FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag""",
+)(lambda spark, d: aggregate(table(spark, d, "lineitem"), {"group_by": ["l_returnflag"], "aggregations": [
+    {"column": "l_partkey", "function": "count_distinct", "alias": "parts"},
+    {"column": "l_suppkey", "function": "nunique", "alias": "suppliers"},
+    {"column": "l_shipdate", "function": "count_distinct", "alias": "days"},
+    {"column": "l_quantity", "function": "sum", "alias": "quantity"}]}))
