@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from ..operators.numbering import equal_ranges
 from ..session import scratch_path
+from ..sinks.commit import fan_out, prepare, read_committed
+from ..sinks.indexed import lookup, write_indexed
 from ..sinks.keyed import append_keyed
+from ..streaming.logs import follow_logs, running_summary
 from . import ledger
 from .catalog import register, table
-from .catalog_more import _HOT_SQL, _LEDGER_NOW, _event_ledger, _now, hot_lineitem
+from .catalog_more import _HOT_SQL, _LEDGER_NOW, _event_ledger, _now, event_log_lines, hot_lineitem
 
 
 @register(
@@ -58,3 +61,41 @@ def ledger_compacted(spark, sf_dir):
     ledger.compact(spark, early)
     late.write.mode("append").partitionBy(ledger.DAY).parquet(early)
     return ledger.latest_states(spark, early, ttl_hours=240, now=_now()).select("job_id", "request_hash", "state")
+
+
+@register(
+    "log_summary_stream",
+    """SELECT 'user-' || user_id AS job_id, count(*) AS total_events,
+              count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'signup') AS warnings
+       FROM events GROUP BY user_id""",
+)
+def log_summary_stream(spark, sf_dir):
+    # the lines arrive in two lots; the second run is another query that goes on from the checkpoint
+    logs, out, checkpoint = (scratch_path(spark) for _ in range(3))
+    for lot in (0, 1):
+        lines = event_log_lines(spark, sf_dir).filter(F.pmod(F.xxhash64("value"), F.lit(2)) == lot)
+        lines.write.mode("append").text(logs)
+        follow_logs(spark, logs, out, checkpoint)
+    return running_summary(spark, out)
+
+
+@register(
+    "fan_out_committed",
+    """SELECT 'open' AS destination, o_orderkey FROM orders WHERE o_orderstatus = 'O'
+       UNION ALL SELECT 'other', o_orderkey FROM orders WHERE o_orderstatus <> 'O'""",
+)
+def fan_out_committed(spark, sf_dir):
+    orders, root = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), scratch_path(spark)
+    frames = {"open": orders.filter("o_orderstatus = 'O'"), "other": orders.filter("o_orderstatus <> 'O'")}
+    prepare(frames["open"], root, "open", "broken")  # a load that never got to its commit
+    fan_out(spark, frames, root)
+    both = [read_committed(spark, root, name).select(F.lit(name).alias("destination"), "o_orderkey") for name in frames]
+    return both[0].unionByName(both[1])
+
+
+@register("indexed_lookup", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey IN (7, 77, 149, 1000003)")
+def indexed_lookup(spark, sf_dir):
+    path = scratch_path(spark)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    write_indexed(orders, path, "o_orderkey", ["o_custkey"], files=24)
+    return lookup(spark, path, ["o_orderkey", "o_custkey"], "o_custkey", [7, 77, 149, 1000003])

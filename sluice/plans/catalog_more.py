@@ -264,14 +264,19 @@ def list_written_files(spark, sf_dir):
        FROM events GROUP BY user_id""",
 )
 def log_scan_summary(spark, sf_dir):
+    path = scratch_path(spark)
+    event_log_lines(spark, sf_dir).write.text(path)
+    return ledger.log_summary(ledger.read_logs(spark, path))
+
+
+def event_log_lines(spark, sf_dir):
+    """The events as lines of job logs, each with a malformed copy."""
     kind = F.col("event_type")
     level = F.when(kind == "error", "ERROR").when(kind == "signup", "WARNING").otherwise("INFO")
     lines = table(spark, sf_dir, "events").select(
         F.to_json(F.struct(F.col("ts").cast("string").alias("timestamp"), level.alias("level"),
                            F.concat(F.lit("user-"), F.col("user_id")).alias("job_id"), kind.alias("message"))).alias("value"))
-    path = scratch_path(spark)
-    lines.unionByName(lines.select(F.lit("{ not a line").alias("value"))).write.text(path)
-    return ledger.log_summary(ledger.read_logs(spark, path))
+    return lines.unionByName(lines.select(F.lit("{ not a line").alias("value")))
 
 
 _LEDGER_NOW = "2024-01-10 00:00:00"
