@@ -14,10 +14,11 @@ import time
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from ..specs import ApiDestination
 from ..sources.rest import default_transport
 
-#: Distinct error texts that a summary holds.
+#: Error texts that a summary shows, the most frequent first; the report has those of all batches.
 ERRORS = 20
 REPORT_SCHEMA = "batch_id string, records long, ok boolean, error string"
 
@@ -84,18 +85,21 @@ def send_batches(
 
 
 def send_summary(report: DataFrame) -> dict:
-    """total_records, sent, failed, failed batch count and error texts (one aggregate)."""
-    row = report.agg(
+    """total_records, sent, failed, failed batch count and the most frequent error texts.
+
+    The report is acted on once: a lazy one sends its batches by that.
+    """
+    by_error = materialize(report.groupBy("ok", "error").agg(F.sum("records").alias("records"), F.count(F.lit(1)).alias("batches")))
+    row = by_error.agg(
         F.coalesce(F.sum("records"), F.lit(0)).alias("total"),
         F.coalesce(F.sum(F.when(F.col("ok"), F.col("records"))), F.lit(0)).alias("sent"),
-        F.count_if(~F.col("ok")).alias("failed_batches"),
-        # error texts repeat, so the distinct ones are few; the summary takes the first ERRORS of them
-        F.slice(F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("error")))), 1, ERRORS).alias("errors"),
+        F.coalesce(F.sum(F.when(~F.col("ok"), F.col("batches"))), F.lit(0)).alias("failed_batches"),
     ).first()
+    texts = by_error.filter(~F.col("ok") & F.col("error").isNotNull()).orderBy(F.desc("batches"), "error").limit(ERRORS)
     return {
         "total_records": int(row["total"]),
         "sent": int(row["sent"]),
         "failed": int(row["total"]) - int(row["sent"]),
         "failed_batches": int(row["failed_batches"]),
-        "errors": list(row["errors"]),
+        "errors": [r["error"] for r in texts.collect()],
     }

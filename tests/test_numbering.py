@@ -82,17 +82,14 @@ def test_append_goes_on_from_the_largest_key(spark, tmp_path):
 
 def test_range_predicates_deal_each_row_once(spark):
     import datetime
-    import sqlite3
 
     from sluice.sources.jdbc import range_predicates, sql_value
 
     rnd = random.Random(2)
     values = [rnd.choice([None, 5, 5, 5, rnd.randint(-50, 50)]) for _ in range(500)]
     lows = [low for _, low, _, _ in ntiles(values, 9)]
-    con = sqlite3.connect(":memory:")
-    con.execute("CREATE TABLE t (c INTEGER)")
-    con.executemany("INSERT INTO t VALUES (?)", [(v,) for v in values])
-    counts = [con.execute(f"SELECT count(*) FROM t WHERE {p}").fetchone()[0] for p in range_predicates("c", lows)]
+    frame = spark.createDataFrame([(v,) for v in values], "c int")
+    counts = [frame.filter(p).count() for p in range_predicates("c", lows)]
     assert sum(counts) == 500 and len(counts) == len(set(lows)) + 1
     assert range_predicates("c", []) == ["1 = 1"] and range_predicates("c", ["x"]) == ["c IS NOT NULL", "c IS NULL"]
     assert sql_value("o'x") == "'o''x'" and sql_value(datetime.date(2024, 1, 2)) == "DATE '2024-01-02'"

@@ -238,3 +238,10 @@ def test_jdbc_bounds_query():
     conn = jdbc.DatabaseConnection(url="jdbc:x", dialect="postgresql")
     src = jdbc.DatabaseSource(connection=conn, table_name="t", partition_column="id")
     assert jdbc.bounds_query(src) == "SELECT MIN(id) AS low, MAX(id) AS high FROM t"
+
+
+def test_all_tables_are_counted_by_few_statements(spark):
+    names = [f"t{k}" for k in range(250)] + ["o'x"]
+    queries = jdbc.count_queries(names)
+    assert len(queries) == 3 and sum(q.count("COUNT(*)") for q in queries) == 251 and "'o''x' AS table_name" in queries[2]
+    assert jdbc.count_queries([]) == []
