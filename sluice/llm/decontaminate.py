@@ -21,10 +21,13 @@ size; only windows that pass it are shuffled, and the join on the hash
 decides.  The filter never loses a window, so it changes the volume but not
 the result.
 
-Defined cases: null and empty texts and items of under ``SHORTEST`` words
-match nothing; an item of fewer words than a window is one window of its own
-length.  Null ids are kept as they are.  Rows with equal id and text are
-one document.  An empty benchmark matches nothing.
+Defined cases: null and empty texts match nothing; an item of fewer words than
+a window is one window of its own length; one of under ``SHORTEST`` words, which
+any text may hold by chance, matches a document that consists of its words
+alone.  Texts of any length are read whole.  Null ids are kept as they are.
+Rows with equal id and text are one document.  An empty benchmark matches
+nothing, an empty table gives no rows.  Columns that are not named are not
+read, or are renamed where they clash.
 """
 
 from __future__ import annotations
@@ -46,8 +49,8 @@ SHORTEST = 5
 MIN_COVER = 13
 BLOOM_BITS = 1 << 24
 PROBES = 3
-#: Added to the seed of windows that are hashed as written.
-DENSE = 1 << 32
+#: Added to the seed of windows that are hashed as written, and of short texts that are.
+DENSE, WHOLE = 1 << 32, 1 << 33
 
 EDGE = ".,;:!?\"'()[]{}<>*_`«»„“”‘’…¿¡"
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,/:]*%?")
@@ -146,6 +149,13 @@ def window_hashes(words: list[str], codes: np.ndarray, width: int, templates: Te
     return total
 
 
+def hashes_of(words: list[str], codes: np.ndarray, width: int, templates: Templates) -> np.ndarray:
+    """Window hashes, of a text under ``SHORTEST`` words only the one of all its words as written."""
+    if width < SHORTEST:
+        return _folded(templates.spellings(words), width, width + WHOLE)
+    return window_hashes(words, codes, width, templates)
+
+
 def bloom_places(hashes: np.ndarray) -> list[np.ndarray]:
     return [(hashes * np.uint64(m) >> np.uint64(20)) % np.uint64(BLOOM_BITS)
             for m in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)[:PROBES]]
@@ -166,11 +176,11 @@ def _item_windows(batches):
         out = []
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words = (text or "").split()
-            if len(words) < SHORTEST:
+            if not words:
                 continue
             codes = templates(words)
             width = min(WINDOW, len(words))
-            hashes = window_hashes(words, codes, width, templates)
+            hashes = hashes_of(words, codes, width, templates)
             places = np.stack(bloom_places(hashes), 1).astype(np.int64)
             signed = _signed(hashes)
             out += [(item, len(words), width, int(at), int(signed[at]), _slots(words, codes, at, width),
@@ -190,13 +200,13 @@ def _matching(bits: np.ndarray, widths: list[int]):
             row, out = [], []
             for r, text in enumerate(batch.column(3).to_pylist()):
                 words = text.split() if text else []
-                if len(words) < SHORTEST:
+                if not words:
                     continue
                 codes = templates(words)
                 for width in widths:
-                    if len(words) < width:
+                    if len(words) < width or width < SHORTEST and len(words) != width:
                         continue
-                    hashes = window_hashes(words, codes, width, templates)
+                    hashes = hashes_of(words, codes, width, templates)
                     good = np.ones(len(hashes), bool)
                     for place in bloom_places(hashes):
                         good &= (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
@@ -254,7 +264,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     words = place.groupBy(F.expr("cast(p div 32 as int)").alias("at")).agg(F.bit_or(mask).alias("bits")).toPandas()
     bits = np.zeros(BLOOM_BITS // 32, np.uint32)
     bits[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
-    widths = sorted(r["width"] for r in windows.select("width").distinct().collect())  # SHORTEST to WINDOW
+    widths = sorted(r["width"] for r in windows.select("width").distinct().collect())  # 1 to WINDOW
 
     k1, k2 = row_key([col(id_col), col(text_col)])
     keyed = docs.select(col(id_col).alias("doc_id"), k1.alias("k1"), k2.alias("k2"), col(text_col).alias("text"))

@@ -79,3 +79,11 @@ def test_passages_of_numbers_and_names_match_exact_copies(spark, make_docs, rnd)
              (21, title.replace("Ernest", "Jack").replace("Sea", "Lake"), "en", "a")]
     got = {(r["doc_id"], r["item_id"], r["n_words"]) for r in d.find_leaks(make_docs(rows), bench).collect()}
     assert got == {(10, 1, len(sums.split())), (11, 2, len(title.split())), (12, 3, len(partly.split()))}
+
+
+def test_items_of_few_words_match_whole_documents_only(spark, make_docs):
+    docs = make_docs([(1, "what is two plus", "en", "a"), (2, "Well what is two plus two", "en", "a"), (3, "what is  Two plus?", "en", "a"),
+                      (4, "what is one plus", "en", "a"), (5, "Yes.", "en", "a"), (6, "yes", "en", "a"), (7, None, "en", "a")])
+    items = spark.createDataFrame([(1, "what is two plus"), (2, "yes"), (3, ""), (4, None)], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["n_words"]) for r in d.find_leaks(docs, items).collect())
+    assert got == [(1, 1, 4), (3, 1, 4), (5, 2, 1), (6, 2, 1)]
