@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality_rules
-from sluice.llm.common import table
+from sluice.llm.common import fresh, table
 from sluice.session import checkpoint_dir
 
 
@@ -29,11 +29,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated windows.  ``n_chars`` follows the text where there is such a column."""
-    left = line_dedup.dedup_lines(docs, lines_col="_n_lines", removed_col="_n_removed")
-    left = left.filter((F.col("_n_removed") == 0) | F.col("text").rlike(line_dedup.NOT_BLANK))
+    n_lines, n_removed = fresh(docs, "_n_lines"), fresh(docs, "_n_removed")
+    left = line_dedup.dedup_lines(docs, lines_col=n_lines, removed_col=n_removed)
+    left = left.filter((F.col(n_removed) == 0) | F.col("text").rlike(line_dedup.NOT_BLANK))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        left = left.withColumn("n_chars", F.when(F.col("_n_removed") == 0, F.col("n_chars")).otherwise(
+        left = left.withColumn("n_chars", F.when(F.col(n_removed) == 0, F.col("n_chars")).otherwise(
             F.length("text").cast(kind)))
     return left.select(*docs.columns)
 
