@@ -31,6 +31,12 @@ def test_every_stage_takes_odd_rows_and_no_rows(spark, make_docs, odd_rows, tmp_
         assert p.token_stage(spark, docs, str(tmp_path)).count() == docs.count()
 
 
+def test_columns_with_names_used_inside_keep_their_values(spark, rnd, tmp_path):
+    docs = spark.createDataFrame([(1, prose(rnd, 30), 77, 5), (2, None, 78, 6)], "doc_id long, text string, _n_lines int, _n_removed int")
+    got = sorted(tuple(r)[2:] for r in p.line_stage(spark, docs, str(tmp_path)).collect())
+    assert got == [(77, 5), (78, 6)]
+
+
 def test_operators_are_registered():
     from sluice.llm import catalog
 
