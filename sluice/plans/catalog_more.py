@@ -249,12 +249,15 @@ register(
 # files, logs and ledger derived from the tables
 
 
-@register("list_written_files", "SELECT '.csv' AS extension, CAST(3 AS BIGINT) AS files, true AS filled")
+@register("list_written_files", "SELECT '.csv' AS extension, CAST(3 AS BIGINT) AS files, true AS filled, count(*) AS rows FROM lineitem")
 def list_written_files(spark, sf_dir):
     path = scratch_path(spark)
     table(spark, sf_dir, "lineitem").repartition(3).write.option("header", True).csv(path)
-    return list_files(spark, path).groupBy("extension").agg(
-        F.count(F.lit(1)).alias("files"), F.bool_and(F.col("size_bytes") > 0).alias("filled"))
+    listed = list_files(spark, path)
+    # the listed paths must lead to the rows: each file's lines below its header
+    lines = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg((F.count(F.lit(1)) - 1).alias("rows"))
+    return listed.join(lines, F.col("path") == F.col("file")).groupBy("extension").agg(
+        F.count(F.lit(1)).alias("files"), F.bool_and(F.col("size_bytes") > 0).alias("filled"), F.sum("rows").alias("rows"))
 
 
 @register(
