@@ -6,19 +6,28 @@ no token itself is encoded once by Spark higher-order functions: the word's
 bytes are an array of pieces, each known by its rank and held with its place
 and the rank of the pair that it forms with the next one, and a fold merges
 the leftmost pair of the lowest rank until no pair has a rank.  The ranks are
-a literal map from a pair of pieces to the rank of their concatenation, dealt
-into small maps so that one lookup compares a few keys.  The ids of the words are then put back in the
+a literal map from a pair of pieces to the rank of their concatenation: an
+array of packed numbers in which a second array says where each pair stands,
+so that one lookup reads two numbers.  The ids of the words are then put back in the
 order of each text, by the words' numbers.  Decoding looks up each id in a
 literal array of pieces and concatenates them.  Python splits the texts; all
-that follows are Spark expressions.
+that follows are Spark expressions.  The literal arrays come with each block as
+columns of its row: in the plan they would be megabytes of text, which the
+driver keeps for each execution.
 
-Nothing is shuffled: a block's dictionary stays in the task that made it, so
+Words that come up in many blocks are not folded again in each: words seen
+twice in a sample of about ``MEMO_DOCS`` documents, at most ``MEMO_WORDS`` of
+them, are folded first, and blocks take their ids from there.  Both bounds are
+fixed, and the ids are the same with any sample or none.
+
+No texts are shuffled: a block's dictionary stays in the task that made it, so
 memory is bounded by the block and one text, and a lost task repeats its own
 blocks alone.  Words of more than ``LONG`` bytes would make the fold
 quadratic; they are merged by the same ranks with a heap, to the same ids.
 
 Defined cases: null and empty texts have no ids and decode to no bytes;
-repeated rows are all returned.
+repeated rows are all returned; an empty table gives no rows; only the two
+named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -26,19 +35,22 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, bound_batches, col, table
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 LONG = 192
-#: Small maps that the pairs are dealt into.
-DEALT = 1 << 16
+#: Documents of the sample for words that are folded once for all blocks, and such words.
+MEMO_DOCS = 1 << 15
+MEMO_WORDS = 1 << 19
 #: A piece is held as one number: rank of the pair with the next piece, place of its first byte, own rank.
 RANK_SHIFT, PLACE_SHIFT = 28, 20
 PIECE = (1 << PLACE_SHIFT) - 1
@@ -51,15 +63,80 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in lines if line.strip())}
 
 
-def _dealt_pairs(ranks: dict[bytes, int]) -> str:
-    """JSON of the maps (pair of pieces, as a number in text, to the rank of both together)."""
-    dealt: list[dict[str, int]] = [{} for _ in range(DEALT)]
-    for piece, rank in ranks.items():
-        for cut in range(1, len(piece)):
-            left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
-            if left is not None and right is not None:
-                dealt[((left << 7) ^ right) % DEALT][str(left << PLACE_SHIFT | right)] = rank
-    return json.dumps(dealt)
+#: Factors that deal a pair of pieces (left, right) to its place; the place of a group of pairs is moved as a whole.
+LEFT, RIGHT = 40503, 30011
+#: Bits of a packed entry below the pair.
+ENTRY_SHIFT = 20
+
+
+def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, moves): the rank of a pair of pieces is found with one look at each.
+
+    Pairs are grouped by a hash; each group, the largest first, is moved to
+    the first place where all its pairs meet free entries.  An entry is the
+    pair and the rank of both together, -1 if free.
+    """
+    pairs = [(left << PLACE_SHIFT | right, rank) for piece, rank in ranks.items() for cut in range(1, len(piece))
+             if (left := ranks.get(piece[:cut])) is not None and (right := ranks.get(piece[cut:])) is not None]
+    size = 1 << max(4, (3 * len(pairs) // 2).bit_length())
+    groups: dict[int, list[tuple[int, int]]] = {}
+    for pair, rank in pairs:
+        left, right = pair >> PLACE_SHIFT, pair & PIECE
+        groups.setdefault(((left << 7) ^ right) & (size // 4 - 1), []).append((pair, rank))
+    entries, moves = np.full(size, -1, np.int64), np.zeros(size // 4, np.int64)
+    taken = bytearray(size)
+    for group, members in sorted(groups.items(), key=lambda g: (-len(g[1]), g[0])):
+        homes = [((pair >> PLACE_SHIFT) * LEFT + (pair & PIECE) * RIGHT) & (size - 1) for pair, _ in members]
+        if len(set(homes)) < len(homes):
+            raise ValueError("two pairs of a group share a home: other factors are needed")
+        move = next(m for m in range(size) if not any(taken[(h + m) & (size - 1)] for h in homes))
+        moves[group] = move
+        for home, (pair, rank) in zip(homes, members):
+            at = (home + move) & (size - 1)
+            taken[at] = 1
+            entries[at] = pair << ENTRY_SHIFT | rank
+    return entries, moves
+
+
+class Ranks:
+    """The rank map as columns for use in expressions."""
+
+    def __init__(self, entries: Column, moves: Column, size: int):
+        self.entries, self.moves, self.size = entries, moves, size
+
+    def of_pair(self, left: Column, right: Column) -> Column:
+        """Rank of two adjacent pieces together, ``NO_RANK`` if they have none or one is missing."""
+        group = F.shiftleft(left, 7).bitwiseXOR(right).bitwiseAND(F.lit(self.size // 4 - 1)).cast("int")
+        home = left * F.lit(LEFT) + right * F.lit(RIGHT) + F.get(self.moves, group)
+        pair = F.shiftleft(left, PLACE_SHIFT).bitwiseOR(right)
+        return _let(F.get(self.entries, home.bitwiseAND(F.lit(self.size - 1)).cast("int")), lambda entry: F.when(
+            F.shiftright(entry, ENTRY_SHIFT) == pair, entry.bitwiseAND(F.lit(PIECE))).otherwise(F.lit(NO_RANK).cast("long")))
+
+
+class Literals:
+    """The literal arrays of a tokenizer: rank map, pieces, and ids as little-endian bytes in hex."""
+
+    DDL = "entries array<bigint>, moves array<bigint>, pieces array<string>, little array<string>"
+
+    def __init__(self, ranks: dict[bytes, int]):
+        entries, moves = pair_table(ranks)
+        self.size = len(entries)
+        pieces = [""] * (max(ranks.values()) + 1)
+        for piece, rank in ranks.items():
+            pieces[rank] = piece.decode("latin-1")  # one character a byte
+        self.arrays = [pa.array(entries), pa.array(moves), pa.array(pieces, pa.string()),
+                       pa.array([k.to_bytes(4, "little").hex() for k in range(len(pieces))], pa.string())]
+
+    def columns(self) -> list[pa.Array]:
+        """One row of each array."""
+        return [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in self.arrays]
+
+    def ranked(self, body) -> Column:
+        """``body`` of the rank map, which is read once for all words of a row."""
+        return _let(F.col("entries"), lambda e: _let(F.col("moves"), lambda m: body(Ranks(e, m, self.size))))
+
+
+NAMES = ["entries", "moves", "pieces", "little"]
 
 
 def _let(value: Column, body) -> Column:
@@ -67,14 +144,7 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _pair_rank(maps: Column, left: Column, right: Column) -> Column:
-    """Rank of two adjacent pieces together, ``NO_RANK`` if they have none or one is missing."""
-    at = F.shiftleft(left, 7).bitwiseXOR(right).bitwiseAND(F.lit(DEALT - 1)).cast("int")
-    pair = F.shiftleft(left, PLACE_SHIFT).bitwiseOR(right).cast("string")
-    return F.coalesce(F.get(maps, at)[pair], F.lit(NO_RANK)).cast("long")
-
-
-def encode_word(word: Column, maps: Column) -> Column:
+def encode_word(word: Column, ranks: Ranks) -> Column:
     """Ids of one word (its pieces, as numbers) as a fold of ranked merges.
 
     The smallest number is the leftmost pair of the lowest rank.  A merge
@@ -88,8 +158,8 @@ def encode_word(word: Column, maps: Column) -> Column:
 
         def at(k: Column) -> Column:
             before, after = F.get(pieces, k - 1), F.get(pieces, k + 2)
-            rank_before = _pair_rank(maps, before.bitwiseAND(F.lit(PIECE)), low)
-            rank_after = _pair_rank(maps, low, after.bitwiseAND(F.lit(PIECE)))
+            rank_before = ranks.of_pair(before.bitwiseAND(F.lit(PIECE)), low)
+            rank_after = ranks.of_pair(low, after.bitwiseAND(F.lit(PIECE)))
             both = F.array(
                 F.shiftleft(rank_before, RANK_SHIFT).bitwiseOR(before.bitwiseAND(F.lit((1 << RANK_SHIFT) - 1))),
                 F.shiftleft(rank_after, RANK_SHIFT).bitwiseOR(least.bitwiseAND(F.lit(0xFF << PLACE_SHIFT))).bitwiseOR(low))
@@ -145,38 +215,132 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-def _word_column(words: list[bytes], ranks: dict[bytes, int], one: np.ndarray, two: np.ndarray) -> pa.Array:
+class Memo:
+    """Words with known ids, tokens among them, as bytes that travel with a task."""
+
+    def __init__(self, ranks: dict[bytes, int], found: pa.Table | None = None):
+        tokens = pa.table({"word": pa.array(list(ranks), pa.binary()), "ids": pa.array([[r] for r in ranks.values()], pa.list_(pa.int32()))})
+        parts = [tokens] if found is None else [tokens, found.cast(tokens.schema)]
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, tokens.schema) as out:
+            out.write_table(pa.concat_tables(parts).combine_chunks())
+        self.data = sink.getvalue().to_pybytes()
+        self.words: pa.Array | None = None
+
+    def __getstate__(self):
+        return {"data": self.data, "words": None}
+
+    def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each word in the memo or -1, ids of all known words one after the other, and their ends)."""
+        if self.words is None:
+            table_ = pa.ipc.open_stream(self.data).read_all().combine_chunks()
+            self.words, lists = table_["word"].chunk(0), table_["ids"].chunk(0)
+            self.ids, self.ends = lists.flatten().to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        return at, self.ids, self.ends
+
+
+def _word_column(words: list[bytes], ranks: dict[bytes, int], one: np.ndarray, two: np.ndarray, memo: Memo | None = None) -> pa.Array:
     """Pieces of words as numbers, from the ranks of single bytes and of pairs of bytes.
 
     Words that need no fold come with their ids as pieces and no pair ranks:
-    those that are tokens, and those of more than ``LONG`` bytes.
+    those of the memo, and those of more than ``LONG`` bytes.
     """
-    whole = [[rank] if (rank := ranks.get(w)) is not None else merge_long(w, ranks) if len(w) > LONG else None for w in words]
-    flat = np.frombuffer(b"".join(w for w, ids in zip(words, whole) if ids is None), np.uint8)
-    sizes = np.array([len(w) if ids is None else len(ids) for w, ids in zip(words, whole)], np.int64)
-    folded = np.array([ids is None for ids in whole], bool)
-    ends = np.cumsum(np.concatenate([[0], sizes]))
+    column = pa.array(words, pa.binary())
+    n_bytes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.full(len(words), -1) if memo is None else memo.find(column)[0]
+    long = np.flatnonzero((at < 0) & (n_bytes > LONG))
+    merged = [merge_long(words[k], ranks) for k in long.tolist()]
+    kind = np.where(at >= 0, 1, 0)  # 0: to be folded, 1: known, 2: merged here
+    kind[long] = 2
+    sizes = n_bytes.copy()
+    if memo is not None:
+        _, ids, id_ends = memo.find(column)
+        sizes[kind == 1] = np.diff(id_ends)[at[kind == 1]]
+    sizes[long] = [len(x) for x in merged]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    of = np.repeat(kind, sizes)
     pieces = np.full(ends[-1], NO_RANK << RANK_SHIFT, np.int64)
-    by_byte = np.repeat(folded, sizes)
-    starts = np.cumsum(sizes[folded]) - sizes[folded]
-    place = np.arange(len(flat)) - np.repeat(starts, sizes[folded])
+    # bytes of the words to be folded
+    folded = column.filter(pa.array(kind == 0))
+    starts = folded.buffers()[1]
+    starts = np.frombuffer(starts, np.int32)[folded.offset:folded.offset + len(folded) + 1].astype(np.int64) if len(folded) else np.zeros(1, np.int64)
+    flat = np.frombuffer(folded.buffers()[2], np.uint8)[starts[0]:starts[-1]] if len(folded) else np.empty(0, np.uint8)
+    starts = starts - starts[0]
+    place = np.arange(len(flat)) - np.repeat(starts[:-1], np.diff(starts))
     pair = np.full(len(flat), NO_RANK, np.int64)
     if len(flat) > 1:
         pair[:-1] = two[flat[:-1].astype(np.int32) * 256 + flat[1:]]
-        pair[starts[1:] - 1] = NO_RANK  # the last piece of a word has no next one
-    pieces[by_byte] = pair << RANK_SHIFT | place << PLACE_SHIFT | one[flat]
-    pieces[~by_byte] |= np.array([x for ids in whole if ids is not None for x in ids], np.int64)
+    pair[starts[1:][np.diff(starts) > 0] - 1] = NO_RANK  # the last piece of a word has no next one
+    pieces[of == 0] = pair << RANK_SHIFT | place << PLACE_SHIFT | one[flat]
+    if memo is not None:
+        which = at[kind == 1]
+        n = np.diff(id_ends)[which]
+        upto = np.cumsum(n)
+        pieces[of == 1] |= ids[np.arange(int(n.sum())) + np.repeat(id_ends[which] - (upto - n), n)]
+    pieces[of == 2] |= np.array([x for ids_ in merged for x in ids_], np.int64)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pieces))
 
 
-def _split_blocks(pattern: str, ranks: dict[bytes, int]):
-    """One row for each block: its texts as lists of word numbers, and its distinct words."""
+def _finder(pattern: str):
     # tiktoken's \s is the Unicode property White_Space
-    find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+    return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+
+
+def _byte_ranks(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of single bytes and of pairs of bytes."""
+    return (np.array([ranks[bytes([c])] for c in range(256)], np.int32),
+            np.array([ranks.get(bytes([a, c]), NO_RANK) for a in range(256) for c in range(256)], np.int32))
+
+
+def _count_words(pattern: str, ranks: dict[bytes, int]):
+    """Words of blocks that need a fold, with their frequencies."""
+    find = _finder(pattern)
 
     def run(batches):
-        one = np.array([ranks[bytes([c])] for c in range(256)], np.int32)
-        two = np.array([ranks.get(bytes([a, c]), NO_RANK) for a in range(256) for c in range(256)], np.int32)
+        for _, texts in blocks(batches, 0, BLOCK_BYTES):
+            times = Counter(w for text in texts for w in find(text))
+            words = [(b, n) for w, n in times.items() if 1 < len(b := w.encode()) <= LONG and b not in ranks]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.binary()), pa.array([n for _, n in words], pa.int64())],
+                                             names=["word", "times"])
+
+    return run
+
+
+def _fold_input(ranks: dict[bytes, int], literals: Literals):
+    def run(batches):
+        one, two = _byte_ranks(ranks)
+        for batch in batches:
+            if batch.num_rows:
+                pieces = _word_column(batch.column(0).to_pylist(), ranks, one, two)
+                rows = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), x) for x in (batch.column(0), pieces)]
+                yield pa.RecordBatch.from_arrays([*rows, *literals.columns()], names=["known", "words", *NAMES])
+
+    return run
+
+
+def _codes(literals: Literals) -> Column:
+    """Ids of all words of a row."""
+    return literals.ranked(lambda ranks: F.transform("words", lambda w: encode_word(w, ranks)))
+
+
+def common_words(texts: DataFrame, pattern: str, ranks: dict[bytes, int], literals: Literals) -> Memo:
+    """Ids of words that a bounded sample holds twice or more; at most ``MEMO_WORDS`` words reach the driver."""
+    n = texts.count()
+    sample = texts.select("text").sample(min(1.0, MEMO_DOCS / max(1, n)), seed=1)
+    words = sample.mapInArrow(_count_words(pattern, ranks), "word binary, times long").groupBy("word").agg(F.sum("times").alias("n"))
+    words = words.filter("n > 1").select("word").limit(MEMO_WORDS).repartition(texts.sparkSession.sparkContext.defaultParallelism, "word")
+    rows = words.mapInArrow(_fold_input(ranks, literals), f"known array<binary>, words array<array<bigint>>, {Literals.DDL}")
+    folded = rows.select(F.inline(F.arrays_zip(F.col("known").alias("word"), _codes(literals).alias("ids"))))
+    return Memo(ranks, folded.toArrow())
+
+
+def _split_blocks(pattern: str, ranks: dict[bytes, int], memo: Memo, literals: Literals):
+    """One row for each block: its texts as lists of word numbers, and its distinct words."""
+    find = _finder(pattern)
+
+    def run(batches):
+        one, two = _byte_ranks(ranks)
         kind = None
 
         def seen(batches):
@@ -192,28 +356,32 @@ def _split_blocks(pattern: str, ranks: dict[bytes, int]):
                 words = find(text)
                 ends.append(ends[-1] + len(words))
                 numbers.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
-            words = _word_column([w.encode() for w in number], ranks, one, two)
+            words = _word_column([w.encode() for w in number], ranks, one, two, memo)
             del number, texts
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(numbers)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([ids], pa.list_(kind)), pa.ListArray.from_arrays(pa.array([0, len(lists)], pa.int32()), lists),
-                 pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)],
-                names=["ids", "numbers", "words"])
+                 pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), *literals.columns()],
+                names=["ids", "numbers", "words", *NAMES])
 
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) for every row of ``docs``."""
+def _blocks(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str) -> tuple[DataFrame, Literals]:
     ranks = read_ranks(path)
+    literals = Literals(ranks)
     bound_batches(docs.sparkSession)
     texts = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    split = texts.mapInArrow(_split_blocks(pattern, ranks), f"ids array<{id_type}>, numbers array<array<int>>, "
-                                                            "words array<array<bigint>>")
-    maps = F.from_json(F.lit(_dealt_pairs(ranks)), "array<map<string,int>>")
-    codes = _let(maps, lambda maps: F.transform("words", lambda w: encode_word(w, maps)))
-    tokens = _let(codes, lambda codes: F.transform(
+    memo = common_words(texts, pattern, ranks, literals)
+    return texts.mapInArrow(_split_blocks(pattern, ranks, memo, literals), f"ids array<{id_type}>, numbers array<array<int>>, "
+                            f"words array<array<bigint>>, {Literals.DDL}"), literals
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids) for every row of ``docs``."""
+    split, literals = _blocks(docs, path, pattern, id_col, text_col)
+    tokens = _let(_codes(literals), lambda codes: F.transform(
         "numbers", lambda text: F.flatten(F.transform(text, lambda n: F.get(codes, n)))))
     rows = split.select(F.col("ids").alias("doc_id"), tokens.alias("ids"))
     return rows.select(F.inline(F.arrays_zip("doc_id", "ids")))
@@ -230,14 +398,33 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     return encoded.withColumn(out_col, F.encode(joined, "ISO-8859-1"))
 
 
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded) of every row: the ids as little-endian unsigned 32-bit integers, and the bytes they decode to.
+
+    Both are put together for each distinct word of a block once, and then for
+    the texts by the words' numbers.
+    """
+    split, literals = _blocks(docs, path, pattern, id_col, text_col)
+
+    def joined(codes: Column, table_: Column) -> Column:
+        return F.transform(codes, lambda ids: F.array_join(F.transform(ids, lambda i: F.get(table_, i)), ""))
+
+    def of_texts(words: Column) -> Column:
+        return F.transform("numbers", lambda text: F.array_join(F.transform(text, lambda n: F.get(words, n)), ""))
+
+    both = _let(_codes(literals), lambda codes: _let(F.col("little"), lambda little: _let(F.col("pieces"), lambda pieces: _let(
+        joined(codes, little), lambda hexes: _let(joined(codes, pieces), lambda bytes_: F.struct(
+            F.transform(of_texts(hexes), F.unhex).alias("ids"),
+            F.transform(of_texts(bytes_), lambda t: F.encode(t, "ISO-8859-1")).alias("decoded")))))))
+    rows = split.select(F.col("ids").alias("doc_id"), both.alias("b"))
+    return rows.select(F.inline(F.arrays_zip("doc_id", F.col("b.ids").alias("ids"), F.col("b.decoded").alias("decoded"))))
+
+
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: encodes the texts and decodes the ids."""
-    decoded = decode(encode(docs, path, pattern, id_col, text_col), path)
-    most = max(read_ranks(path).values())
-    little = F.from_json(F.lit(json.dumps([k.to_bytes(4, "little").hex() for k in range(most + 1)])), "array<string>")
-    as_bytes = F.unhex(F.array_join(F.transform("ids", lambda i: F.get(little, i)), ""))
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(as_bytes, 256).alias("ids_sha256"),
-                          F.sha2("decoded", 256).alias("decoded_sha256"))
+    found = encode_and_decode(docs, path, pattern, id_col, text_col)
+    return found.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -48,3 +48,31 @@ def test_the_heap_merges_as_the_library(rnd, library):
         piece = bytes(rnd.choice(b"abcdefgh th") for _ in range(n))
         assert b.merge_long(piece, RANKS) == library.encode_single_piece(piece) if hasattr(library, "encode_single_piece") \
             else b.merge_long(piece, RANKS) == library._encode_single_piece(piece)
+
+
+def test_ids_and_decoding_apart(make_docs, odd_rows, library):
+    docs = make_docs(odd_rows)
+    got = b.decode(b.encode(docs, PATH, public_tokenizers.PATTERN), PATH).collect()
+    texts = sorted((str(r["doc_id"]), r["text"] or "") for r in docs.collect())
+    assert sorted((str(r["doc_id"]), bytes(r["decoded"]).decode()) for r in got) == texts
+    want = sorted(str((r["doc_id"], library.encode_ordinary(r["text"] or ""))) for r in docs.collect())
+    assert sorted(str((r["doc_id"], list(r["ids"]))) for r in got) == want
+
+
+def test_every_pair_is_found_and_no_other(rnd):
+    entries, moves = b.pair_table(RANKS)
+    size = len(entries)
+
+    def look(left, right):
+        home = left * b.LEFT + right * b.RIGHT + int(moves[((left << 7) ^ right) & (size // 4 - 1)])
+        entry = int(entries[home & (size - 1)])
+        return entry & b.PIECE if entry >> b.ENTRY_SHIFT == (left << b.PLACE_SHIFT | right) else None
+
+    tokens = list(RANKS)
+    for _ in range(20_000):
+        a, c = rnd.choice(tokens), rnd.choice(tokens)
+        assert look(RANKS[a], RANKS[c]) == RANKS.get(a + c)
+    for piece in tokens[:20_000]:
+        for cut in range(1, len(piece)):
+            if piece[:cut] in RANKS and piece[cut:] in RANKS:
+                assert look(RANKS[piece[:cut]], RANKS[piece[cut:]]) == RANKS[piece]
