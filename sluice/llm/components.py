@@ -29,10 +29,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while (state := _state(edges)) != before:
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written first: of a join with an aggregate over its own exchange, Spark can't split a hot node
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

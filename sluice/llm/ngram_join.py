@@ -253,7 +253,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
         F.count(F.lit(1)).alias("docs"), F.min(place).alias("first")))
 
     members = _candidates(described)
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    # written, as the smallest documents of the groups below, so that Spark can split a hot cluster in the join
+    sizes = materialize(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")))
     dealt = members.join(sizes, "cluster").withColumn("n_blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("c"), F.col("n_blocks")).cast("int"))
     chosen = dealt.join(classes, "c").select("c", "cluster", "n_blocks", "block", "docs",
@@ -274,7 +275,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     some = classes.join(groups.withColumnRenamed("node", "c"), "c", "left").join(links, "c", "left").filter(
         "docs > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "c"))
     some = materialize(some)
-    named = some.groupBy("component").agg(F.min("first").alias("group"))
+    named = materialize(some.groupBy("component").agg(F.min("first").alias("group")))
     info = some.join(named, "component").select(
         "c", "docs", F.col("group.doc_id").alias("group_id"), F.col("group.k1").alias("keep1"),
         F.col("group.k2").alias("keep2"), (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))

@@ -92,3 +92,32 @@ def test_components_of_a_chain_and_a_star(spark):
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(31)}, **{100 + i: 100 for i in range(40)}}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_hub_is_split_in_the_rounds(spark, monkeypatch):
+    """The join of the edges with the least neighbours is one that Spark's skew rule splits."""
+    from sluice.llm import components
+
+    plans = []
+    keep = components.materialize
+
+    def watched(df):
+        done = keep(df)
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return done
+
+    settings = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    monkeypatch.setattr(components, "materialize", watched)
+    edges = spark.range(1, 20_000).selectExpr("id as a", "if(id < 12000, 0L, id - 1) as b").repartition(8)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = components.connected_components(edges.filter("a < 12000 or a % 50 != 0")).filter("component = 0").count()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == 12_000 and any("skew=true" in p for p in plans)
