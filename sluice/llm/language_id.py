@@ -16,7 +16,9 @@ texts.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0,
 as is every text if there is nothing to learn from.  Rows without an id or
-language are not learned from.  Repeated rows are all returned.
+language are not learned from.  Repeated rows are all returned.  Very long texts
+are labelled whole; an empty table gives no rows; only the named columns are
+read, so others cannot clash.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ Defined cases: null texts stay null, and texts with under three lines that
 aren't blank stay as they are.  A null id sorts before others.  Rows with
 equal id and text count as one document and come back as often as they came.
 A window that overlaps its own first occurrence is a later occurrence too.
-A document may lose all its lines; its text is then empty.
+A document may lose all its lines; its text is then empty.  Texts of any length
+are read whole, an empty table gives no rows, and the names of the added
+columns are the caller's to choose where a table has them.
 """
 
 from __future__ import annotations

@@ -26,6 +26,8 @@ Defined cases: null texts and texts without words are in no class and have no
 links.  Repeated rows (equal id and text) are copies.  The smallest document
 id names a group; a null id counts as larger than any.  Class ids have 64
 bits: two different sets meet by chance with a probability of n * n / 2**65.
+Very long texts are compared by all their shingles; an empty table gives no
+rows; columns with the names used inside keep their values.
 """
 
 from __future__ import annotations

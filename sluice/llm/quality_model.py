@@ -12,7 +12,10 @@ one number for each distinct word, and it scores whole texts.
 Defined cases: null and empty texts get the score of an average with no
 words, the bias alone, as do all texts if there are no labels.  Labels that
 are null, without a document or contradict each other for one document are
-not learned from.  Repeated rows are all returned.
+not learned from.  Repeated rows are all returned.  Of labels whose hashes tie
+in the sample, the smaller id is taken first.  Very long texts are scored whole;
+an empty table gives no rows; only the named columns are read, so others cannot
+clash.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ languages or sources are values of their own.  A language and source with
 fewer than ``MIN_ROWS`` passing rows is judged with its whole language, large sources
 included, and a language with fewer with all rows of all languages; with fewer than that in all, nothing
 beyond the base rules is rejected.  Repeated rows get equal verdicts, every
-one of them is returned.  An empty table gives an empty result.
+one of them is returned.  An empty table gives an empty result.  Texts of any length are counted whole;
+columns with the names used inside keep their values.
 """
 
 from __future__ import annotations

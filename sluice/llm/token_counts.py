@@ -13,7 +13,8 @@ A block's dictionary stays in its task: nothing is shuffled, and memory is
 bounded by a block and one text, however many different words the corpus has.
 
 Defined cases: null and empty texts have no bytes and no tokens; repeated
-rows are all returned.
+rows are all returned; texts of any length are counted whole; an empty table
+gives no rows; only the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations

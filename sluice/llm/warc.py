@@ -23,7 +23,9 @@ inflate whole files before cutting them.
 Defined cases: null html is an empty payload, a null url is left out; a null
 id is smaller than any.  If all of a group's ids are null, or rows with the
 largest id repeat, each of those is a response.  Empty tables give
-archives without records.
+archives without records.  Rows that repeat other than with the largest id
+revisit like others.  Payloads of any length are one record.  Only the named
+columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
