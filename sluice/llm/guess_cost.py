@@ -133,28 +133,41 @@ def word_ranks(words=COMMON) -> dict[str, int]:
 _RANKS = word_ranks()
 
 
+def spans_of(text: str, rest: int, ranks: dict[str, int] = _RANKS) -> list[tuple[int, int, float]]:
+    """(start, end, log10 of the guesses) of every pattern in a text; ``rest`` is its alphabet's size."""
+    return [*_words(text, ranks), *_dates(text), *_repeats(text, rest), *_walks(text)]
+
+
 def log10_guesses(text: str, ranks: dict[str, int] = _RANKS) -> float:
-    """log10 of the guesses of the cheapest cut; 0 for an empty text."""
+    """log10 of the guesses of the cheapest cut into any number of spans; 0 for an empty text.
+
+    One layer for each number of spans, of a few steps for each pattern and
+    place: the cheapest brute-force span up to a place comes from a running
+    minimum.  Layers end when their orders alone cost more than is left to gain
+    over the cheapest cut whose orders are free, so no cut is left out.
+    """
     n = len(text)
     if not n:
         return 0.0
     rest = _alphabet(text)
-    spans = [*_words(text, ranks), *_dates(text), *_repeats(text, rest), *_walks(text)]
+    each = log10(rest)
+    spans = spans_of(text, rest, ranks)
     places = sorted({0, n, *(i for i, _, _ in spans), *(j for _, j, _ in spans)})
     at = {p: k for k, p in enumerate(places)}
-    arriving: list[dict[int, float]] = [{} for _ in places]  # at each place, from where at what cost
-    for k, j in enumerate(places):
-        for m in range(k):
-            arriving[k][m] = (j - places[m]) * log10(rest)
+    arriving: list[list[tuple[int, float]]] = [[] for _ in places]
     for i, j, cost in spans:
-        arriving[at[j]][at[i]] = min(arriving[at[j]].get(at[i], inf), cost)
-    most = min(len(places), 16)  # 16! orders cost more than any short span saves
-    best = [[inf] * (most + 1) for _ in places]
-    best[0][0] = 0.0
+        arriving[at[j]].append((at[i], cost))
+    free = [0.0]
     for k in range(1, len(places)):
-        row = best[k]
-        for m, cost in arriving[k].items():
-            for used in range(most):
-                if (total := best[m][used] + cost) < row[used + 1]:
-                    row[used + 1] = total
-    return min(cost + lgamma(used + 1) / log(10) for used, cost in enumerate(best[-1]) if used)
+        free.append(min([free[k - 1] + (places[k] - places[k - 1]) * each, *(free[m] + cost for m, cost in arriving[k])]))
+    layer = [0.0] + [inf] * (len(places) - 1)
+    cheapest, used = inf, 0
+    while used < n and free[-1] + lgamma(used + 2) / log(10) < cheapest:
+        used += 1
+        after, least = [inf], inf
+        for k in range(1, len(places)):
+            least = min(least, layer[k - 1] - places[k - 1] * each)
+            after.append(min([least + places[k] * each, *(layer[m] + cost for m, cost in arriving[k])]))
+        layer = after
+        cheapest = min(cheapest, layer[-1] + lgamma(used + 1) / log(10))
+    return cheapest

@@ -4,16 +4,18 @@ The fixed patterns find assignments, access keys and long hex strings.  The
 method adds kind ``guess``: a value that follows a wider set of credential
 names and whose guessing cost (:mod:`.guess_cost`) is at least ``HARD``
 powers of ten, so placeholders and common passwords are passed over and
-values of any characters are found.  A value inside a span of the fixed
-patterns is not reported again.
+values of any characters are found.  A value wholly inside a span of the fixed
+patterns is not reported again; one that reaches beyond is.
 
 Positions are code points, the end exclusive; spans stand in the order of
 their start, then of ``KINDS``.  Scanning is one pass over the texts, with no
 shuffle; texts are read whole.
 
 Defined cases: null and empty texts have no spans; repeated rows are all
-returned; values of more than ``LONGEST`` characters are taken as hard to
-guess without a cut.
+returned; texts and values of any length are read whole; no rows give no rows;
+only the two named columns are read, so others cannot clash.  An unquoted
+value that is one word of letters, in lower case or capitalised, is taken as
+prose and not priced.
 """
 
 from __future__ import annotations
@@ -30,7 +32,6 @@ from .guess_cost import log10_guesses
 
 KINDS = ("assign", "access", "hex", "guess")
 HARD = 8.0
-LONGEST = 128
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -46,7 +47,7 @@ _CONTEXT_HINTS = ("pass", "pwd", "pin", "secret", "token", "key", "credential",
 
 @lru_cache(10_000)
 def _cost(value: str) -> float:
-    return log10_guesses(value) if len(value) <= LONGEST else float(len(value))
+    return log10_guesses(value)
 
 
 def _plain_word(value: str) -> bool:
@@ -71,7 +72,7 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int, float | None]]:
             start, end = m.start(2), m.start(2) + len(value)
             if len(value) < 6 or not m[1] and _plain_word(value):
                 continue
-            if any(a < end and start < b for a, b in base):
+            if any(a <= start and end <= b for a, b in base):
                 continue
             if (cost := _cost(value)) >= HARD:
                 found.append(("guess", start, end, cost))

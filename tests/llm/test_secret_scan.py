@@ -1,8 +1,10 @@
 import hashlib
 import re
 
+from math import factorial, log10
+
 from sluice.llm import secret_scan as s
-from sluice.llm.guess_cost import log10_guesses
+from sluice.llm.guess_cost import _alphabet, log10_guesses, spans_of
 
 ASSIGN = re.compile(
     "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]"
@@ -60,3 +62,35 @@ def test_digest_of_the_query(spark, make_docs, tmp_path):
     assert got[1]["spans"] == "assign:0:17,access:18:35" and (got[1]["n_assign"], got[1]["n_access"], got[1]["n_hex"]) == (1, 1, 0)
     assert got[1]["base_sha256"] == hashlib.sha256(got[1]["spans"].encode()).hexdigest()
     assert got[2]["spans"] == "" and got[2]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_cost_is_the_least_of_all_cuts(rnd):
+    pieces = ["love", "1999", "aaa", "qwer", "X", "7$", "dragon", "12/3/99", "k", "abab", "Zz", "god"]
+    for _ in range(150):
+        text = "".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 4)))[:11]
+        rest = _alphabet(text)
+        found = {}
+        for i, j, cost in spans_of(text, rest):
+            found[i, j] = min(cost, found.get((i, j), cost))
+        least = float("inf")
+        for cuts in range(1 << (len(text) - 1)):
+            ends = [0, *(k + 1 for k in range(len(text) - 1) if cuts >> k & 1), len(text)]
+            cost = sum(min(found.get((a, b), 1e9), (b - a) * log10(rest)) for a, b in zip(ends, ends[1:]))
+            least = min(least, cost + log10(factorial(len(ends) - 1)))
+        assert abs(log10_guesses(text) - least) < 1e-6, text
+
+
+def test_cuts_have_no_limit_of_spans_and_values_none_of_length():
+    many = "Dragon-summer-" * 5
+    assert log10_guesses(many.rstrip("-")) < 55
+    for n in (100, 200, 5000):
+        assert s.find_secrets(f"pwd='{'x' * n}'") == []
+    import string
+    hard = "".join(string.printable[(7 * k * k + 3 * k) % 62] for k in range(3000))
+    (kind, start, end, cost), = s.find_secrets(f"pwd='{hard}'")
+    assert (kind, start, end) == ("guess", 5, 3005) and cost > 100
+
+
+def test_a_value_that_reaches_beyond_a_base_span_is_found():
+    text = "secret: abcd1234$%Rest!9"
+    assert [x[:3] for x in s.find_secrets(text)] == [("assign", 0, 16), ("guess", 8, 24)]
