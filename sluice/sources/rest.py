@@ -2,7 +2,7 @@
 source, plus the transports it and the REST sink use.
 
 Page-number paging is fetched in parallel: a bounded range (``max_pages``)
-is split over partitions, an open-ended one runs in rounds of parallel
+is split over partitions, an open-ended one runs in growing rounds of parallel
 ranges until a round meets an empty page.  Next-URL paging is sequential by
 nature (each URL comes from the previous page) and runs as one partition.  Each row is one page: (page, url, body).  Records are
 then drilled out of the bodies by ``payloads.drill``.
@@ -18,15 +18,16 @@ import base64
 import importlib
 import itertools
 import json
-from functools import reduce
 import urllib.parse
 import urllib.request
+from dataclasses import replace
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..session import materialize, scratch_path
 from ..specs import ApiSource
 
 PAGE_SCHEMA = "page long, url string, body string"
@@ -183,6 +184,38 @@ def _reader(spark: SparkSession, source: ApiSource, transport, pages_per_partiti
     return reader.load()
 
 
+#: A round of an open-ended source holds at most this many times the pages of the first one.
+MOST_ROUND = 64
+
+
+def next_round(first: int, done: int, max_pages: int | None = None) -> int:
+    """Pages of the next round after ``done`` pages: as many as are there already, so that rounds stay few."""
+    many = min(max(first, done), MOST_ROUND * first)
+    return many if max_pages is None else min(many, max_pages - done)
+
+
+def land_round(spark: SparkSession, source: ApiSource, transport, start: int, many: int, pages_per_partition: int,
+               path: str) -> bool:
+    """Writes the pages from ``start`` on; true if paging ends among them.
+
+    A larger round has longer ranges, not more of them: each range past the
+    end still asks for one page.
+    """
+    chunk = replace(source, start_page=start, max_pages=many)
+    ranges = max(1, spark.sparkContext.defaultParallelism)
+    _reader(spark, chunk, transport, max(pages_per_partition, -(-many // ranges))).write.mode("overwrite").parquet(path)
+    return round_ends(spark, path)
+
+
+def round_ends(spark: SparkSession, path: str) -> bool:
+    return bool(spark.read.schema(PAGE_SCHEMA).parquet(path).filter(F.col("body").isNull()).limit(1).count())
+
+
+def read_rounds(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The pages of all rounds up to the first empty one, as one scan: a union's tasks report on every member."""
+    return _cut_at_first_empty(spark.read.schema(PAGE_SCHEMA).parquet(*paths))
+
+
 def _cut_at_first_empty(landed: DataFrame) -> DataFrame:
     first_empty = landed.filter(F.col("body").isNull()).agg(F.min("page")).scalar()
     return landed.filter(F.col("body").isNotNull() & (F.col("page") < F.coalesce(first_empty, F.lit(2**62))))
@@ -197,30 +230,25 @@ def read_pages(spark: SparkSession, source: ApiSource, transport=None, pages_per
       and fetched in parallel;
     * page numbers without a bound: rounds of parallel ranges, each round
       landed in the checkpoint folder, until a round holds an empty page.
+      The first round has ``pages_per_partition`` pages a range, each later
+      one as many as all before it together, up to ``MOST_ROUND`` times.
 
     Pages after the first empty page are dropped, as sequential paging
     would never fetch them.  Landing the pages once means the API is not
     called again by later uses of the frame.
     """
-    from dataclasses import replace
-
-    from ..session import materialize
-
     if source.next_url_key or not source.page_param:
         return materialize(_reader(spark, source, transport, pages_per_partition))
     if source.max_pages is not None:
         return _cut_at_first_empty(materialize(_reader(spark, source, transport, pages_per_partition)))
-    per_round = pages_per_partition * max(1, spark.sparkContext.defaultParallelism)
-    rounds = []
-    start = source.start_page
-    while True:
-        chunk = replace(source, start_page=start, max_pages=per_round)
-        landed = materialize(_reader(spark, chunk, transport, pages_per_partition))
-        rounds.append(landed)
-        if landed.filter(F.col("body").isNull()).limit(1).count():
-            break
-        start += per_round
-    return _cut_at_first_empty(reduce(lambda a, b: a.unionByName(b), rounds))
+    first = pages_per_partition * max(1, spark.sparkContext.defaultParallelism)
+    folder, rounds, done, ended = scratch_path(spark), [], 0, False
+    while not ended:
+        many = next_round(first, done)
+        rounds.append(f"{folder}/from-{source.start_page + done}")
+        ended = land_round(spark, source, transport, source.start_page + done, many, pages_per_partition, rounds[-1])
+        done += many
+    return read_rounds(spark, rounds)
 
 
 def read_api(spark: SparkSession, source: ApiSource, transport=None, infer_types: bool = True):
