@@ -6,7 +6,7 @@ micro-batch, and Spark's checkpoint holds the cursor of the last committed
 batch, so a run that breaks off goes on from there and fetches no committed
 page again.
 
-**Page-number paging** runs in rounds of parallel page ranges.  Each round is a
+**Page-number paging** runs in growing rounds of parallel page ranges.  Each round is a
 folder of its own, complete when its success mark stands; a later run fetches
 only the rounds that have none.
 """
@@ -14,15 +14,21 @@ only the rounds that have none.
 from __future__ import annotations
 
 import json
-from dataclasses import replace
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from ..sources.payloads import drill
-from ..sources.rest import PAGE_SCHEMA, RestPagesReader, _cut_at_first_empty, _load_transport, _reader, source_options
+from ..sources.rest import (
+    PAGE_SCHEMA,
+    RestPagesReader,
+    _load_transport,
+    land_round,
+    next_round,
+    read_rounds,
+    round_ends,
+    source_options,
+)
 from ..specs import ApiSource
 
 
@@ -92,23 +98,15 @@ def _is_complete(spark: SparkSession, path: str) -> bool:
 
 
 def _rounds(spark: SparkSession, source: ApiSource, folder: str, transport, pages_per_partition: int) -> DataFrame:
-    size = pages_per_partition * max(1, spark.sparkContext.defaultParallelism)
-    start, parts = source.start_page, []
-    stop = None if source.max_pages is None else start + source.max_pages
-    while stop is None or start < stop:
-        many = size if stop is None else min(size, stop - start)
-        path = f"{folder}/from-{start}-{many}"
-        if not _is_complete(spark, path):
-            chunk = replace(source, start_page=start, max_pages=many)
-            _reader(spark, chunk, transport, pages_per_partition).write.mode("overwrite").parquet(path)
-        landed = spark.read.schema(PAGE_SCHEMA).parquet(path)
-        parts.append(landed)
-        if landed.filter(F.col("body").isNull()).limit(1).count():
-            break
-        start += many
-    if not parts:
-        return spark.createDataFrame([], PAGE_SCHEMA)
-    return _cut_at_first_empty(reduce(lambda a, b: a.unionByName(b), parts))
+    first = pages_per_partition * max(1, spark.sparkContext.defaultParallelism)
+    paths, done, ended = [], 0, False
+    while not ended and (source.max_pages is None or done < source.max_pages):
+        start, many = source.start_page + done, next_round(first, done, source.max_pages)
+        paths.append(f"{folder}/from-{start}-{many}")
+        ended = (round_ends(spark, paths[-1]) if _is_complete(spark, paths[-1])
+                 else land_round(spark, source, transport, start, many, pages_per_partition, paths[-1]))
+        done += many
+    return read_rounds(spark, paths) if paths else spark.createDataFrame([], PAGE_SCHEMA)
 
 
 def resume_pages(spark: SparkSession, source: ApiSource, folder: str, transport=None, pages_per_batch: int = 16) -> DataFrame:

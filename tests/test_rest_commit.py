@@ -6,6 +6,7 @@ from urllib.parse import parse_qs, urlsplit
 import pytest
 
 from sluice.sinks.rest_commit import AckFolder, batches, failed_batches, load_batches
+from sluice.sources.rest import read_pages
 from sluice.specs import ApiDestination, ApiSource
 from sluice.streaming.pages import resume_api, resume_pages
 
@@ -136,3 +137,14 @@ def test_bounded_and_empty_sources(spark, tmp_path):
     assert resume_pages(spark, few, str(tmp_path / "a"), pages(str(tmp_path), 300)).count() == 5
     none = ApiSource(url="http://api/", records_key="items", next_url_key="next")
     assert resume_pages(spark, none, str(tmp_path / "b"), pages(str(tmp_path), 0)).count() == 0
+
+
+def test_rounds_grow_and_are_read_as_one_scan(spark, tmp_path):
+    source, folder = ApiSource(url="http://api/", records_key="items"), str(tmp_path / "land")
+    got = resume_pages(spark, source, folder, pages(str(tmp_path), 1500), pages_per_batch=2)
+    assert sorted(r["page"] for r in got.collect()) == list(range(1, 151))
+    # rounds of 4, 4, 8, 16, ... pages; the last is of 128, and each of its 4 ranges asks for one page past the end at most
+    assert len(list((tmp_path / "land").glob("from-*"))) == 7 and max(asked(tmp_path)) <= 256
+    assert len(asked(tmp_path)) <= 150 + 4 and "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+    open_ended = read_pages(spark, source, pages(str(tmp_path), 1500), pages_per_partition=1)
+    assert open_ended.count() == 150 and "Union" not in open_ended._jdf.queryExecution().optimizedPlan().toString()
