@@ -1,10 +1,11 @@
 """Resumable reading of paged REST sources.
 
-**Next-URL paging** is a stream: the cursor - the URL of the next page - is the
-stream's offset.  Pages are appended to a table as they come, a few for each
-micro-batch, and Spark's checkpoint holds the cursor of the last committed
-batch, so a run that breaks off goes on from there and fetches no committed
-page again.
+**Next-URL paging** is sequential: the cursor is the URL of the next page.  It
+runs in growing rounds of one task each, which follows the cursor and writes
+its pages as they come, so no page passes through the driver.  A round is a
+folder of its own, complete when its success mark stands, and its last row
+holds the cursor: a run that breaks off goes on from there and fetches no page
+of a complete round again.
 
 **Page-number paging** runs in growing rounds of parallel page ranges.  Each round is a
 folder of its own, complete when its success mark stands; a later run fetches
@@ -16,7 +17,8 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, InputPartition
 
 from ..sources.payloads import drill
 from ..sources.rest import (
@@ -31,39 +33,37 @@ from ..sources.rest import (
 )
 from ..specs import ApiSource
 
+#: A landed page of a linked source; ``next`` is null where paging ends.
+CURSOR_SCHEMA = f"{PAGE_SCHEMA}, next string"
 
-class CursorReader(SimpleDataSourceStreamReader):
-    """Offsets are {"url", "page"}: the next URL to fetch (null at the end) and the number of pages so far."""
+
+class CursorReader(RestPagesReader):
+    """At most ``most`` pages from a URL on, each with the URL of the page after it."""
 
     def __init__(self, options: dict):
-        self.pages = RestPagesReader(options)
-        self.pages.fetch = _load_transport(options.get("transport"))
-        self.most = int(options.get("pages_per_batch") or 16)
-
-    def initialOffset(self) -> dict:
-        return {"url": self.pages._target(self.pages.start_page), "page": 0}
-
-    def _walk(self, start: dict, most: int):
-        rows, at = [], dict(start)
-        while at["url"] and len(rows) < most:
-            body = self.pages._get(at["url"], at["page"] == 0)
-            if not self.pages._holds_records(body):
-                at["url"] = None
+        super().__init__(options)
+        self.cursor, self.done, self.most = options["cursor"], int(options["done"]), int(options["most"])
+
+    def partitions(self):
+        return [InputPartition(self.done)]
+
+    def read(self, partition):
+        self.fetch = _load_transport(self.transport)
+        held, url = None, self.cursor
+        for page in range(self.done, self.done + self.most):
+            body = self._get(url, page == 0)
+            if not self._holds_records(body):
+                if held:
+                    yield *held[:3], None
+                return
+            if held:
+                yield held
+            after = json.loads(body).get(self.next_url_key)
+            held, url = (page, url, body, after or None), after
+            if not url:
                 break
-            rows.append((at["page"], at["url"], body))
-            at = {"url": json.loads(body).get(self.pages.next_url_key), "page": at["page"] + 1}
-        return rows, at
-
-    def read(self, start: dict):
-        rows, end = self._walk(start, self.most)
-        # an end that brings no page is no new offset: the stream then has nothing more to do
-        return (iter(rows), end) if rows else (iter([]), start)
-
-    def readBetweenOffsets(self, start: dict, end: dict):
-        return iter(self._walk(start, end["page"] - start["page"])[0])
-
-    def commit(self, end: dict) -> None:
-        """Pages up to ``end`` are in the table; nothing is held for them."""
+        if held:
+            yield held
 
 
 class CursorSource(DataSource):
@@ -72,24 +72,33 @@ class CursorSource(DataSource):
         return "sluice_rest_cursor"
 
     def schema(self):
-        return PAGE_SCHEMA
+        return CURSOR_SCHEMA
 
-    def simpleStreamReader(self, schema):
+    def reader(self, schema):
         return CursorReader(self.options)
 
 
+def _last_page(spark: SparkSession, path: str):
+    """(page, next) of a round's last page, nulls if it has none."""
+    return spark.read.schema(CURSOR_SCHEMA).parquet(path).agg(F.max("page").alias("page"), F.max_by("next", "page").alias("next")).first()
+
+
 def _follow(spark: SparkSession, source: ApiSource, folder: str, transport, pages_per_batch: int) -> DataFrame:
     spark.dataSource.register(CursorSource)
-    stream = spark.readStream.format("sluice_rest_cursor")
-    for k, v in source_options(source, transport, 1).items():
-        stream = stream.option(k, v)
-    query = stream.option("pages_per_batch", str(pages_per_batch)).load().writeStream.format("parquet").option(
-        "path", f"{folder}/pages").option("checkpointLocation", f"{folder}/checkpoint").start()
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
-    return spark.read.schema(PAGE_SCHEMA).parquet(f"{folder}/pages")
+    options = source_options(source, transport, 1)
+    paths, done, cursor = [], 0, RestPagesReader(options)._target(source.start_page)
+    while cursor:
+        path = f"{folder}/pages/from={done}"
+        last = _last_page(spark, path) if _is_complete(spark, path) else None
+        if last is None or last["page"] is None:
+            asked = {"cursor": cursor, "done": str(done), "most": str(next_round(pages_per_batch, done))}
+            spark.read.format("sluice_rest_cursor").options(**options, **asked).load().write.mode("overwrite").parquet(path)
+            last = _last_page(spark, path)
+        if last["page"] is None:
+            break  # the cursor leads to no page yet: a later run asks again
+        paths.append(path)
+        done, cursor = last["page"] + 1, last["next"]
+    return spark.read.schema(PAGE_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], PAGE_SCHEMA)
 
 
 def _is_complete(spark: SparkSession, path: str) -> bool:

@@ -148,3 +148,24 @@ def test_rounds_grow_and_are_read_as_one_scan(spark, tmp_path):
     assert len(asked(tmp_path)) <= 150 + 4 and "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
     open_ended = read_pages(spark, source, pages(str(tmp_path), 1500), pages_per_partition=1)
     assert open_ended.count() == 150 and "Union" not in open_ended._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_linked_pages_run_in_few_rounds_of_a_task_each(spark, tmp_path):
+    source, folder = ApiSource(url="http://api/", records_key="items", next_url_key="next"), str(tmp_path / "land")
+    got = resume_pages(spark, source, folder, pages(str(tmp_path), 1500), pages_per_batch=2)
+    assert sorted(r["page"] for r in got.collect()) == list(range(150)) and asked(tmp_path) == list(range(1, 151))
+    assert len(list((tmp_path / "land" / "pages").glob("from=*"))) == 8  # 2, 2, 4, ... 64 and the rest
+
+
+def test_a_cursor_to_an_empty_page_ends_the_run(spark, tmp_path):
+    def served(last):
+        def get(method, url, body, headers):
+            page = int(parse_qs(urlsplit(url).query)["page"][0])
+            return json.dumps({"items": [page] if page <= last else [], "next": f"http://api/?page={page + 1}"})
+
+        return get
+
+    source = ApiSource(url="http://api/", records_key="items", next_url_key="next")
+    for last in (3, 4):  # inside a round, and at its end
+        assert resume_pages(spark, source, str(tmp_path / f"l{last}"), served(last), pages_per_batch=4).count() == last
+    assert resume_pages(spark, source, str(tmp_path / "l4"), served(6), pages_per_batch=4).count() == 6
