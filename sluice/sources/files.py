@@ -59,7 +59,8 @@ def _file_verdicts(spark: SparkSession, path: str, encoding: str | None) -> list
     unquoted = F.regexp_replace("value", '"[^"]*"', "")
     cells = F.length(unquoted) - F.length(F.translate(unquoted, ",", "")) + 1
     files = lines.groupBy("file").agg(
-        F.bool_or(~F.is_valid_utf8("value")).alias("bad"),
+        # a set has the lines hashed by file as they come; with flags alone the header's text would have them all sorted first
+        F.array_contains(F.collect_set(~F.is_valid_utf8("value")), True).alias("bad"),
         F.bool_or(quotes % 2 == 1).alias("multi_line"),
         F.hex(F.min_by(F.col("value").cast("binary"), F.when(F.col("top"), F.col("n")))).alias("header"),
         F.max(cells).alias("cells"),

@@ -65,6 +65,23 @@ def test_list_files_filters_extensions(spark):
     assert got == [("a.csv", ".csv", 4), ("c.parquet", ".parquet", 29)]
 
 
+def test_csv_verdicts_do_not_sort_the_lines(spark, monkeypatch):
+    d = tmpdir()
+    write(os.path.join(d, "a.csv"), b"id,v\n1,x\n2,y\n")
+    write(os.path.join(d, "b.csv"), b"id,w\n3,\xe9\n")
+    plans, frame = [], type(spark.range(1))
+    collect = frame.collect
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return collect(df)
+
+    monkeypatch.setattr(frame, "collect", seen)
+    got = files._file_verdicts(spark, d, None)
+    assert [(v["encoding"], v["names"], v["cells"]) for v in got] == [("UTF-8", ("id", "v"), 2), ("ISO-8859-1", ("id", "w"), 2)]
+    assert "ObjectHashAggregate" in plans[0] and "SortAggregate" not in plans[0]
+
+
 # JDBC round trips need a database.  The only driver shipped with Spark is
 # embedded Derby; starting even an in-process database is opt-in, so these
 # run only with SLUICE_JDBC_TESTS=1.
