@@ -12,7 +12,7 @@ from ..operators.mapping import apply_mappings
 from ..operators.validation import validate
 from ..session import scratch_path
 from ..sinks.jdbc import key_violations, write_clustered_table
-from ..sources.files import list_files, nan_to_null, read_csv
+from ..sources.files import list_files, nan_to_null, output_of, read_csv
 from ..specs import ColumnMapping, FileDestination, FilterRule, JobSpec
 from . import ledger
 from .catalog import _agg_query, _err_sql, _map, register, table
@@ -252,10 +252,15 @@ register(
 @register("list_written_files", "SELECT '.csv' AS extension, CAST(3 AS BIGINT) AS files, true AS filled, count(*) AS rows FROM lineitem")
 def list_written_files(spark, sf_dir):
     path = scratch_path(spark)
-    table(spark, sf_dir, "lineitem").repartition(3).write.option("header", True).csv(path)
-    listed = list_files(spark, path)
-    # the listed paths must lead to the rows: each file's lines below its header
-    lines = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg((F.count(F.lit(1)) - 1).alias("rows"))
+    lineitem = table(spark, sf_dir, "lineitem")
+    share = F.pmod(F.xxhash64(*lineitem.columns), F.lit(3))
+    for k in range(3):  # three CSV outputs, each in as many parts as the table has splits: no task holds a third of it
+        lineitem.filter(share == k).write.option("header", True).csv(f"{path}/lineitem-{k}.csv")
+    listed = list_files(spark, path, outputs=True)
+    # the listed paths must lead to the rows: each part's lines below its header
+    parts = spark.read.option("recursiveFileLookup", "true").text(path).groupBy(F.col("_metadata.file_path").alias("part")).agg(
+        (F.count(F.lit(1)) - 1).alias("rows"))
+    lines = parts.groupBy(output_of(F.col("part")).alias("file")).agg(F.sum("rows").alias("rows"))
     return listed.join(lines, F.col("path") == F.col("file")).groupBy("extension").agg(
         F.count(F.lit(1)).alias("files"), F.bool_and(F.col("size_bytes") > 0).alias("filled"), F.sum("rows").alias("rows"))
 

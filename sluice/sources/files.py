@@ -167,15 +167,28 @@ def extension_of(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
 
-def list_files(spark: SparkSession, directory: str) -> DataFrame:
+def output_of(path: Column) -> Column:
+    """The folder with an allowed extension that a file is a part of, as Spark writes a CSV or Parquet output; else the path."""
+    kinds = "|".join(re.escape(e) for e in C.ALLOWED_EXTENSIONS)
+    folder = F.regexp_extract(path, f"(?i)^(.*(?:{kinds}))/", 1)
+    return F.when(folder == "", path).otherwise(folder)
+
+
+def list_files(spark: SparkSession, directory: str, outputs: bool = False) -> DataFrame:
     """name, extension, size_bytes, modified for files with allowed
-    extensions.  Only file metadata is read (the content column is pruned)."""
+    extensions.  Only file metadata is read (the content column is pruned).
+
+    ``outputs``: a folder with an allowed extension is one entry, of the size
+    of all its parts, as :func:`scan` reads it as one table."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(directory)
         .select("path", "length", "modificationTime")
     )
+    if outputs:
+        files = files.groupBy(output_of(F.col("path")).alias("path")).agg(
+            F.sum("length").alias("length"), F.max("modificationTime").alias("modificationTime"))
     ext = extension_of(F.col("path"))
     return files.filter(ext.isin(*C.ALLOWED_EXTENSIONS)).select(
         F.regexp_extract("path", r"([^/]+)$", 1).alias("name"),

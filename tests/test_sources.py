@@ -65,6 +65,38 @@ def test_list_files_filters_extensions(spark):
     assert got == [("a.csv", ".csv", 4), ("c.parquet", ".parquet", 29)]
 
 
+def test_an_output_in_parts_is_listed_as_one(spark):
+    d = tmpdir()
+    write(os.path.join(d, "a.csv"), b"x\n1\n")
+    spark.range(40).repartition(4).write.option("header", True).csv(os.path.join(d, "b.CSV"))
+    got = {r["name"]: r for r in files.list_files(spark, d, outputs=True).collect()}
+    assert sorted(got) == ["a.csv", "b.CSV"] and got["b.CSV"]["extension"] == ".csv"
+    parts = [f for f in os.listdir(os.path.join(d, "b.CSV")) if f.startswith("part-")]
+    assert len(parts) == 4 and got["b.CSV"]["size_bytes"] == sum(os.path.getsize(os.path.join(d, "b.CSV", f)) for f in parts)
+    assert files.read_csv(spark, got["b.CSV"]["path"]).count() == 40
+
+
+def test_listed_outputs_are_written_without_dealing_rows_to_three_tasks(spark):
+    from sluice.plans.catalog_more import list_written_files
+
+    d = tmpdir()
+    spark.range(1000).select("id", F.lit(None).cast("string").alias("v")).repartition(5).write.parquet(f"{d}/lineitem.parquet")
+    writes, writer = [], type(spark.range(1).write)
+    csv = writer.csv
+
+    def seen(self, *args, **kwargs):
+        writes.append(self._df._jdf.queryExecution().optimizedPlan().toString())
+        return csv(self, *args, **kwargs)
+
+    writer.csv = seen
+    try:
+        got = list_written_files(spark, d).collect()
+    finally:
+        writer.csv = csv
+    assert [tuple(r) for r in got] == [(".csv", 3, True, 1000)]
+    assert writes and not any("Repartition" in w for w in writes)
+
+
 def test_csv_verdicts_do_not_sort_the_lines(spark, monkeypatch):
     d = tmpdir()
     write(os.path.join(d, "a.csv"), b"id,v\n1,x\n2,y\n")
