@@ -30,7 +30,9 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +63,10 @@ KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII).findall
 
 
+#: Marks that form one part behind ASCII letters.
+MARKS = ".,;:!?)"
+
+
 def splits_at_space(tokenizer_json: str) -> bool:
     """True if the file's rules are those for which texts may be cut at white space."""
     rules = json.loads(tokenizer_json)
@@ -95,8 +101,8 @@ def gather(flat: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.nd
 
 def _ragged(lists: list) -> tuple[np.ndarray, np.ndarray]:
     ends = np.zeros(len(lists) + 1, np.int64)
-    np.cumsum([len(x) for x in lists], out=ends[1:])
-    return np.fromiter((i for x in lists for i in x), np.uint32, int(ends[-1])), ends
+    np.cumsum(list(map(len, lists)), out=ends[1:])
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(ends[-1])), ends
 
 
 class Encoder:
@@ -126,20 +132,40 @@ class Encoder:
             return flat, np.diff(ends)
         lists = pc.ascii_split_whitespace(texts)
         words = lists.flatten().dictionary_encode()
-        chunks = words.dictionary.to_pylist()
-        number: dict[str, int] = {}
-        parts: list = [None] * len(chunks)
-        odd = []
-        for k, chunk in enumerate(chunks):
+        chunks = words.dictionary
+        # ASCII letters are one part, the marks behind them another; all other chunks are cut one by one
+        heads = pc.ascii_rtrim(chunks, characters=MARKS)
+        easy = pc.ascii_is_alpha(heads)
+        plain = pc.ascii_lower(heads.filter(easy)).dictionary_encode()
+        tails = pc.ascii_ltrim(chunks.filter(easy), characters=string.ascii_letters)
+        marked = pc.greater(pc.binary_length(tails), 0)
+        tails = tails.filter(marked).dictionary_encode()
+        number = {p: k for k, p in enumerate(plain.dictionary.to_pylist())}
+        of_tail = np.array([number.setdefault(p, len(number)) for p in tails.dictionary.to_pylist()], np.int64)
+        odd, parts, n_parts = [], [], []
+        for chunk in chunks.filter(pc.invert(easy)).to_pylist():
             found = parts_of(chunk)
             if found is None:
-                odd.append(k)
+                n_parts.append(1)
+                parts.append(-1 - len(odd))  # its place follows those of the parts
+                odd.append(chunk)
             else:
-                parts[k] = [number.setdefault(p, len(number)) for p in found]
-        flat, ends = _ragged(self._ids(self.model, list(number)) + self._ids(self.whole, [chunks[k] for k in odd]))
-        for at, k in enumerate(odd, len(number)):
-            parts[k] = (at,)
-        of_part, part_ends = _ragged(parts)
+                n_parts.append(len(found))
+                for p in found:
+                    parts.append(number.setdefault(p, len(number)))
+        flat, ends = _ragged(self._ids(self.model, list(number)) + self._ids(self.whole, odd))
+        parts = np.array(parts, np.int64)
+        parts = np.where(parts < 0, len(number) - 1 - parts, parts)
+        easy, marked = easy.to_numpy(zero_copy_only=False), marked.to_numpy(zero_copy_only=False)
+        n_of = np.ones(len(chunks), np.int64)
+        n_of[easy] += marked
+        n_of[~easy] = n_parts
+        part_ends = np.concatenate([[0], np.cumsum(n_of)])
+        of_part = np.empty(part_ends[-1], np.int64)
+        of_part[~np.repeat(easy, n_of)] = parts
+        first = part_ends[:-1][easy]
+        of_part[first] = plain.indices.to_numpy()
+        of_part[first[marked] + 1] = of_tail[tails.indices.to_numpy()]
         of_chunk, sizes = gather(flat, ends, of_part)
         chunk_ends = np.concatenate([[0], np.cumsum(sizes)])[part_ends]
         ids, sizes = gather(of_chunk, chunk_ends, words.indices.to_numpy())

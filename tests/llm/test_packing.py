@@ -127,3 +127,14 @@ def test_sequences_hold_the_ids_in_order(spark, make_docs, rnd, library):
 def test_no_rows(spark, make_docs, odd_rows, tmp_path):
     make_docs(odd_rows).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert p.op11_best_fit_packing(spark, str(tmp_path)).count() == 0
+
+
+def test_plain_and_marked_words_are_cut_together(monkeypatch, library):
+    texts = ["Ab cd, ef.) gh é Don't 12 ?! x|", "", "ab! AB cd", "K. İa."]
+    one_by_one, cut = [], p.parts_of
+    monkeypatch.setattr(p, "parts_of", lambda chunk: one_by_one.append(chunk) or cut(chunk))
+    with open(PATH, encoding="utf-8") as file:
+        flat, sizes = p.Encoder(file.read()).encode(pa.array(texts))
+    wanted = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert sizes.tolist() == [len(x) for x in wanted] and flat.tolist() == [i for x in wanted for i in x]
+    assert sorted(filter(None, one_by_one)) == sorted(["é", "Don't", "12", "?!", "x|", "İa."])
