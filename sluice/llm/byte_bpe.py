@@ -2,27 +2,25 @@
 
 Texts are cut into blocks of about ``BLOCK_BYTES``.  A block's texts are
 split by the tokenizer's pattern, and each distinct word of the block that is
-no token itself is encoded once by Spark higher-order functions: the word's
-bytes are an array of pieces, each known by its rank and held with its place
-and the rank of the pair that it forms with the next one, and a fold merges
-the leftmost pair of the lowest rank until no pair has a rank.  The ranks are
-a literal map from a pair of pieces to the rank of their concatenation: an
-array of packed numbers in which a second array says where each pair stands,
-so that one lookup reads two numbers.  The ids of the words are then put back in the
-order of each text, by the words' numbers.  Decoding looks up each id in a
-literal array of pieces and concatenates them.  Python splits the texts; all
-that follows are Spark expressions.  The literal arrays come with each block as
-columns of its row: in the plan they would be megabytes of text, which the
+no token itself is encoded once: the word's bytes are pieces, each a number of
+its rank, its place and the rank of the pair that it forms with the next one,
+and in rounds over the arrays of all words the leftmost pair of the lowest rank
+of each word is merged until no pair has a rank.  The rank of a pair of pieces
+is found in an array of packed numbers in which a second array says where each
+pair stands.  Spark expressions put the ids of the words back in the order of
+each text, by the words' numbers, and decode: each id is looked up in an array
+of pieces, which are concatenated.  The arrays of pieces come with each block
+as columns of its row: in the plan they would be megabytes of text, which the
 driver keeps for each execution.
 
-Words that come up in many blocks are not folded again in each: words seen
+Words that come up in many blocks are not merged again in each: words seen
 twice in a sample of about ``MEMO_DOCS`` documents, at most ``MEMO_WORDS`` of
-them, are folded first, and blocks take their ids from there.  Both bounds are
+them, are merged first, and blocks take their ids from there.  Both bounds are
 fixed, and the ids are the same with any sample or none.
 
 No texts are shuffled: a block's dictionary stays in the task that made it, so
 memory is bounded by the block and one text, and a lost task repeats its own
-blocks alone.  Words of more than ``LONG`` bytes would make the fold
+blocks alone.  Words of more than ``LONG`` bytes would make the rounds
 quadratic; they are merged by the same ranks with a heap, to the same ids.
 
 Defined cases: null and empty texts have no ids and decode to no bytes;
@@ -48,7 +46,7 @@ from .common import blocks, bound_batches, col, table
 
 BLOCK_BYTES = 8 << 20
 LONG = 192
-#: Documents of the sample for words that are folded once for all blocks, and such words.
+#: Documents of the sample for words that are merged once for all blocks, and such words.
 MEMO_DOCS = 1 << 15
 MEMO_WORDS = 1 << 19
 #: A piece is held as one number: rank of the pair with the next piece, place of its first byte, own rank.
@@ -98,45 +96,24 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     return entries, moves
 
 
-class Ranks:
-    """The rank map as columns for use in expressions."""
-
-    def __init__(self, entries: Column, moves: Column, size: int):
-        self.entries, self.moves, self.size = entries, moves, size
-
-    def of_pair(self, left: Column, right: Column) -> Column:
-        """Rank of two adjacent pieces together, ``NO_RANK`` if they have none or one is missing."""
-        group = F.shiftleft(left, 7).bitwiseXOR(right).bitwiseAND(F.lit(self.size // 4 - 1)).cast("int")
-        home = left * F.lit(LEFT) + right * F.lit(RIGHT) + F.get(self.moves, group)
-        pair = F.shiftleft(left, PLACE_SHIFT).bitwiseOR(right)
-        return _let(F.get(self.entries, home.bitwiseAND(F.lit(self.size - 1)).cast("int")), lambda entry: F.when(
-            F.shiftright(entry, ENTRY_SHIFT) == pair, entry.bitwiseAND(F.lit(PIECE))).otherwise(F.lit(NO_RANK).cast("long")))
-
-
 class Literals:
-    """The literal arrays of a tokenizer: rank map, pieces, and ids as little-endian bytes in hex."""
+    """What a tokenizer's columns need: pieces, and ids as little-endian bytes in hex.  ``table`` is the rank map."""
 
-    DDL = "entries array<bigint>, moves array<bigint>, pieces array<string>, little array<string>"
+    DDL = "pieces array<string>, little array<string>"
 
     def __init__(self, ranks: dict[bytes, int]):
-        entries, moves = pair_table(ranks)
-        self.size = len(entries)
+        self.table = pair_table(ranks)
         pieces = [""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             pieces[rank] = piece.decode("latin-1")  # one character a byte
-        self.arrays = [pa.array(entries), pa.array(moves), pa.array(pieces, pa.string()),
-                       pa.array([k.to_bytes(4, "little").hex() for k in range(len(pieces))], pa.string())]
+        self.arrays = [pa.array(pieces, pa.string()), pa.array([k.to_bytes(4, "little").hex() for k in range(len(pieces))], pa.string())]
 
     def columns(self) -> list[pa.Array]:
         """One row of each array."""
         return [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in self.arrays]
 
-    def ranked(self, body) -> Column:
-        """``body`` of the rank map, which is read once for all words of a row."""
-        return _let(F.col("entries"), lambda e: _let(F.col("moves"), lambda m: body(Ranks(e, m, self.size))))
 
-
-NAMES = ["entries", "moves", "pieces", "little"]
+NAMES = ["pieces", "little"]
 
 
 def _let(value: Column, body) -> Column:
@@ -144,43 +121,6 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def encode_word(word: Column, ranks: Ranks) -> Column:
-    """Ids of one word (its pieces, as numbers) as a fold of ranked merges.
-
-    The smallest number is the leftmost pair of the lowest rank.  A merge
-    takes the pair's rank as the new piece, and changes the ranks of its two
-    neighbours only.
-    """
-    none = F.lit(NO_RANK << RANK_SHIFT)
-
-    def merge(pieces: Column, least: Column) -> Column:
-        low = F.shiftright(least, RANK_SHIFT)
-
-        def at(k: Column) -> Column:
-            before, after = F.get(pieces, k - 1), F.get(pieces, k + 2)
-            rank_before = ranks.of_pair(before.bitwiseAND(F.lit(PIECE)), low)
-            rank_after = ranks.of_pair(low, after.bitwiseAND(F.lit(PIECE)))
-            both = F.array(
-                F.shiftleft(rank_before, RANK_SHIFT).bitwiseOR(before.bitwiseAND(F.lit((1 << RANK_SHIFT) - 1))),
-                F.shiftleft(rank_after, RANK_SHIFT).bitwiseOR(least.bitwiseAND(F.lit(0xFF << PLACE_SHIFT))).bitwiseOR(low))
-            return F.flatten(F.array(
-                F.slice(pieces, F.lit(1), F.greatest(k - 1, F.lit(0))),
-                F.slice(both, F.when(k > 0, 1).otherwise(2), F.lit(2)),
-                F.slice(pieces, k + 3, F.size(pieces))))
-
-        # places ascend: the pair's index is the number of smaller places (array_position is far slower here)
-        place = F.lit(0xFF << PLACE_SHIFT)
-        return _let(least.bitwiseAND(place), lambda here: _let(
-            F.size(F.filter(pieces, lambda x: x.bitwiseAND(place) < here)), at))
-
-    def step(pieces: Column, _) -> Column:
-        return _let(F.array_min(pieces), lambda least: F.when(least >= none, pieces).otherwise(merge(pieces, least)))
-
-    merged = F.aggregate(F.sequence(F.lit(2), F.size(word)), word, step)
-    ids = F.when(F.array_min(word) >= none, word).otherwise(merged)  # else a token, or merged already
-    return F.transform(ids, lambda x: x.bitwiseAND(F.lit(PIECE)).cast("int"))
-
-
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges for one long word, with a heap of pairs and a linked list of pieces."""
     n = len(piece)
@@ -215,6 +155,55 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+def pair_ranks(left: np.ndarray, right: np.ndarray, entries: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Rank of each pair of pieces together by :func:`pair_table`, ``NO_RANK`` if they have none."""
+    home = (left * LEFT + right * RIGHT + moves[((left << 7) ^ right) & (len(moves) - 1)]) & (len(entries) - 1)
+    entry = entries[home]
+    return np.where(entry >> ENTRY_SHIFT == (left << PLACE_SHIFT | right), entry & PIECE, NO_RANK)
+
+
+def merge_words(pieces: np.ndarray, sizes: np.ndarray, entries: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words one after the other, number of ids of each) from the words' pieces as numbers.
+
+    Each round merges the leftmost pair of the lowest rank of every word that
+    still has one; the pairs that the new piece forms get new ranks.
+    """
+    none = NO_RANK << RANK_SHIFT
+    n_ids, found, of_found = np.zeros(len(sizes), np.int64), [], []
+    word, size = np.flatnonzero(sizes), sizes[sizes > 0]
+    while len(word):
+        starts = np.cumsum(size) - size
+        least = np.minimum.reduceat(pieces, starts)
+        ready = least >= none
+        if ready.any():
+            done = np.repeat(ready, size)
+            n_ids[word[ready]] = size[ready]
+            found.append(pieces[done] & PIECE)
+            of_found.append(np.repeat(word[ready], size[ready]))
+            pieces, word, size, least = pieces[~done], word[~ready], size[~ready], least[~ready]
+            starts = np.cumsum(size) - size
+        if not len(word):
+            break
+        at = np.flatnonzero(pieces == np.repeat(least, size))  # places are distinct: one pair a word
+        whole = least >> RANK_SHIFT
+        kept = np.ones(len(pieces), bool)
+        kept[at + 1] = False
+        own = least & (0xFF << PLACE_SHIFT) | whole
+        rank = np.full(len(at), NO_RANK, np.int64)
+        more = at + 2 < starts + size
+        rank[more] = pair_ranks(whole[more], pieces[at[more] + 2] & PIECE, entries, moves)
+        pieces[at] = rank << RANK_SHIFT | own
+        less = at > starts
+        before = at[less] - 1
+        rank = pair_ranks(pieces[before] & PIECE, whole[less], entries, moves)
+        pieces[before] = rank << RANK_SHIFT | pieces[before] & ((1 << RANK_SHIFT) - 1)
+        pieces, size = pieces[kept], size - 1
+    if not found:
+        return np.zeros(0, np.int64), n_ids
+    order = np.argsort(np.concatenate(of_found), kind="stable")
+    return np.concatenate(found)[order], n_ids
+
+
 class Memo:
     """Words with known ids, tokens among them, as bytes that travel with a task."""
 
@@ -240,45 +229,48 @@ class Memo:
         return at, self.ids, self.ends
 
 
-def _word_column(words: list[bytes], ranks: dict[bytes, int], one: np.ndarray, two: np.ndarray, memo: Memo | None = None) -> pa.Array:
-    """Pieces of words as numbers, from the ranks of single bytes and of pairs of bytes.
+def _word_column(words: list[bytes], ranks: dict[bytes, int], one: np.ndarray, two: np.ndarray, table_: tuple,
+                 memo: Memo | None = None) -> pa.Array:
+    """Ids of words.
 
-    Words that need no fold come with their ids as pieces and no pair ranks:
-    those of the memo, and those of more than ``LONG`` bytes.
+    Those of the memo are looked up, those of more than ``LONG`` bytes merged
+    with a heap, and all others merged together, from the ranks of their single
+    bytes and pairs of bytes on.
     """
     column = pa.array(words, pa.binary())
     n_bytes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
     at = np.full(len(words), -1) if memo is None else memo.find(column)[0]
     long = np.flatnonzero((at < 0) & (n_bytes > LONG))
     merged = [merge_long(words[k], ranks) for k in long.tolist()]
-    kind = np.where(at >= 0, 1, 0)  # 0: to be folded, 1: known, 2: merged here
+    kind = np.where(at >= 0, 1, 0)  # 0: to be merged together, 1: known, 2: by a heap
     kind[long] = 2
     sizes = n_bytes.copy()
     if memo is not None:
         _, ids, id_ends = memo.find(column)
         sizes[kind == 1] = np.diff(id_ends)[at[kind == 1]]
     sizes[long] = [len(x) for x in merged]
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    of = np.repeat(kind, sizes)
-    pieces = np.full(ends[-1], NO_RANK << RANK_SHIFT, np.int64)
-    # bytes of the words to be folded
-    folded = column.filter(pa.array(kind == 0))
-    starts = folded.buffers()[1]
-    starts = np.frombuffer(starts, np.int32)[folded.offset:folded.offset + len(folded) + 1].astype(np.int64) if len(folded) else np.zeros(1, np.int64)
-    flat = np.frombuffer(folded.buffers()[2], np.uint8)[starts[0]:starts[-1]] if len(folded) else np.empty(0, np.uint8)
+    # bytes of the words to be merged together
+    short = column.filter(pa.array(kind == 0))
+    starts = short.buffers()[1]
+    starts = np.frombuffer(starts, np.int32)[short.offset:short.offset + len(short) + 1].astype(np.int64) if len(short) else np.zeros(1, np.int64)
+    flat = np.frombuffer(short.buffers()[2], np.uint8)[starts[0]:starts[-1]] if len(short) else np.empty(0, np.uint8)
     starts = starts - starts[0]
     place = np.arange(len(flat)) - np.repeat(starts[:-1], np.diff(starts))
     pair = np.full(len(flat), NO_RANK, np.int64)
     if len(flat) > 1:
         pair[:-1] = two[flat[:-1].astype(np.int32) * 256 + flat[1:]]
     pair[starts[1:][np.diff(starts) > 0] - 1] = NO_RANK  # the last piece of a word has no next one
-    pieces[of == 0] = pair << RANK_SHIFT | place << PLACE_SHIFT | one[flat]
+    together, sizes[kind == 0] = merge_words(pair << RANK_SHIFT | place << PLACE_SHIFT | one[flat], np.diff(starts), *table_)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    of = np.repeat(kind, sizes)
+    pieces = np.empty(ends[-1], np.int32)
+    pieces[of == 0] = together
     if memo is not None:
         which = at[kind == 1]
         n = np.diff(id_ends)[which]
         upto = np.cumsum(n)
-        pieces[of == 1] |= ids[np.arange(int(n.sum())) + np.repeat(id_ends[which] - (upto - n), n)]
-    pieces[of == 2] |= np.array([x for ids_ in merged for x in ids_], np.int64)
+        pieces[of == 1] = ids[np.arange(int(n.sum())) + np.repeat(id_ends[which] - (upto - n), n)]
+    pieces[of == 2] = np.array([x for ids_ in merged for x in ids_], np.int64)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pieces))
 
 
@@ -294,7 +286,7 @@ def _byte_ranks(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_words(pattern: str, ranks: dict[bytes, int]):
-    """Words of blocks that need a fold, with their frequencies."""
+    """Words of blocks that need merges, with their frequencies."""
     find = _finder(pattern)
 
     def run(batches):
@@ -307,32 +299,24 @@ def _count_words(pattern: str, ranks: dict[bytes, int]):
     return run
 
 
-def _fold_input(ranks: dict[bytes, int], literals: Literals):
+def _merge_batches(ranks: dict[bytes, int], table_: tuple):
     def run(batches):
         one, two = _byte_ranks(ranks)
         for batch in batches:
-            if batch.num_rows:
-                pieces = _word_column(batch.column(0).to_pylist(), ranks, one, two)
-                rows = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), x) for x in (batch.column(0), pieces)]
-                yield pa.RecordBatch.from_arrays([*rows, *literals.columns()], names=["known", "words", *NAMES])
+            ids = _word_column(batch.column(0).to_pylist(), ranks, one, two, table_)
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["word", "ids"])
 
     return run
 
 
-def _codes(literals: Literals) -> Column:
-    """Ids of all words of a row."""
-    return literals.ranked(lambda ranks: F.transform("words", lambda w: encode_word(w, ranks)))
-
-
 def common_words(texts: DataFrame, pattern: str, ranks: dict[bytes, int], literals: Literals) -> Memo:
     """Ids of words that a bounded sample holds twice or more; at most ``MEMO_WORDS`` words reach the driver."""
     n = texts.count()
     sample = texts.select("text").sample(min(1.0, MEMO_DOCS / max(1, n)), seed=1)
     words = sample.mapInArrow(_count_words(pattern, ranks), "word binary, times long").groupBy("word").agg(F.sum("times").alias("n"))
     words = words.filter("n > 1").select("word").limit(MEMO_WORDS).repartition(texts.sparkSession.sparkContext.defaultParallelism, "word")
-    rows = words.mapInArrow(_fold_input(ranks, literals), f"known array<binary>, words array<array<bigint>>, {Literals.DDL}")
-    folded = rows.select(F.inline(F.arrays_zip(F.col("known").alias("word"), _codes(literals).alias("ids"))))
-    return Memo(ranks, folded.toArrow())
+    known = words.mapInArrow(_merge_batches(ranks, literals.table), "word binary, ids array<int>")
+    return Memo(ranks, known.toArrow())
 
 
 def _split_blocks(pattern: str, ranks: dict[bytes, int], memo: Memo, literals: Literals):
@@ -356,7 +340,7 @@ def _split_blocks(pattern: str, ranks: dict[bytes, int], memo: Memo, literals: L
                 words = find(text)
                 ends.append(ends[-1] + len(words))
                 numbers.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
-            words = _word_column([w.encode() for w in number], ranks, one, two, memo)
+            words = _word_column([w.encode() for w in number], ranks, one, two, literals.table, memo)
             del number, texts
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(numbers)))
             yield pa.RecordBatch.from_arrays(
@@ -367,7 +351,7 @@ def _split_blocks(pattern: str, ranks: dict[bytes, int], memo: Memo, literals: L
     return run
 
 
-def _blocks(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str) -> tuple[DataFrame, Literals]:
+def _blocks(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str) -> DataFrame:
     ranks = read_ranks(path)
     literals = Literals(ranks)
     bound_batches(docs.sparkSession)
@@ -375,13 +359,13 @@ def _blocks(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str
     id_type = texts.schema["doc_id"].dataType.simpleString()
     memo = common_words(texts, pattern, ranks, literals)
     return texts.mapInArrow(_split_blocks(pattern, ranks, memo, literals), f"ids array<{id_type}>, numbers array<array<int>>, "
-                            f"words array<array<bigint>>, {Literals.DDL}"), literals
+                            f"words array<array<int>>, {Literals.DDL}")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) for every row of ``docs``."""
-    split, literals = _blocks(docs, path, pattern, id_col, text_col)
-    tokens = _let(_codes(literals), lambda codes: F.transform(
+    split = _blocks(docs, path, pattern, id_col, text_col)
+    tokens = _let(F.col("words"), lambda codes: F.transform(
         "numbers", lambda text: F.flatten(F.transform(text, lambda n: F.get(codes, n)))))
     rows = split.select(F.col("ids").alias("doc_id"), tokens.alias("ids"))
     return rows.select(F.inline(F.arrays_zip("doc_id", "ids")))
@@ -404,7 +388,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "d
     Both are put together for each distinct word of a block once, and then for
     the texts by the words' numbers.
     """
-    split, literals = _blocks(docs, path, pattern, id_col, text_col)
+    split = _blocks(docs, path, pattern, id_col, text_col)
 
     def joined(codes: Column, table_: Column) -> Column:
         return F.transform(codes, lambda ids: F.array_join(F.transform(ids, lambda i: F.get(table_, i)), ""))
@@ -412,7 +396,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "d
     def of_texts(words: Column) -> Column:
         return F.transform("numbers", lambda text: F.array_join(F.transform(text, lambda n: F.get(words, n)), ""))
 
-    both = _let(_codes(literals), lambda codes: _let(F.col("little"), lambda little: _let(F.col("pieces"), lambda pieces: _let(
+    both = _let(F.col("words"), lambda codes: _let(F.col("little"), lambda little: _let(F.col("pieces"), lambda pieces: _let(
         joined(codes, little), lambda hexes: _let(joined(codes, pieces), lambda bytes_: F.struct(
             F.transform(of_texts(hexes), F.unhex).alias("ids"),
             F.transform(of_texts(bytes_), lambda t: F.encode(t, "ISO-8859-1")).alias("decoded")))))))

@@ -32,6 +32,7 @@ import json
 import re
 import string
 import unicodedata
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -173,6 +174,12 @@ class Encoder:
         return ids, np.diff(upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
 
 
+@lru_cache(1)
+def _encoder(tokenizer_json: str) -> Encoder:
+    """Kept by a Python worker for its next tasks."""
+    return Encoder(tokenizer_json)
+
+
 def cut_pieces(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document's place, piece's number, length) of every piece of documents of ``sizes`` ids."""
     n = -(-sizes // capacity)
@@ -186,7 +193,7 @@ def _encode_blocks(tokenizer_json: str, end_id: int, capacity: int, block_bytes:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        encoder = Encoder(tokenizer_json)
+        encoder = _encoder(tokenizer_json)
 
         def out(ids: pa.Array, texts: pa.Array):
             flat, sizes = encoder.encode(texts)
