@@ -7,9 +7,11 @@ bytes are an array of pieces, each known by its rank and held with its place
 and the rank of the pair that it forms with the next one, and a fold merges
 the leftmost pair of the lowest rank until no pair has a rank.  The ranks are
 a literal map from a pair of pieces to the rank of their concatenation: an
-array of packed numbers in which a second array says where each pair stands,
-so that one lookup reads two numbers.  The ids of the words are then put back in the
-order of each text, by the words' numbers.  Decoding looks up each id in a
+array of packed numbers in which a second array says where the pairs of each
+left piece stand, so that one lookup reads two numbers.  Where a pair stands in
+its word is the number of bits up to its place in a number of 64 bits; words of
+more than ``MASKED`` bytes count the places.  The ids of the words are then put
+back in the order of each text, by the words' numbers.  Decoding looks up each id in a
 literal array of pieces and concatenates them.  Python splits the texts; all
 that follows are Spark expressions.  The literal arrays come with each block as
 columns of its row: in the plan they would be megabytes of text, which the
@@ -51,10 +53,16 @@ LONG = 192
 #: Documents of the sample for words that are folded once for all blocks, and such words.
 MEMO_DOCS = 1 << 15
 MEMO_WORDS = 1 << 19
-#: A piece is held as one number: rank of the pair with the next piece, place of its first byte, own rank.
-RANK_SHIFT, PLACE_SHIFT = 28, 20
+#: Bits of a piece's rank in the packed pairs of :func:`pair_table`.
+PLACE_SHIFT = 20
 PIECE = (1 << PLACE_SHIFT) - 1
 NO_RANK = (1 << 20) - 1
+#: In the fold a piece is one number: what its pair with the next piece looked up, its place, own rank.  A pair's
+#: entry holds the left piece and the rank of both; a lookup flips the left piece, so that it is below ``NONE`` if it fits.
+OWN_BITS, FOLD_RANK, FOLD_LEFT = 19, 27, 45
+OWN, PLACE, NONE = (1 << OWN_BITS) - 1, 0xFF << OWN_BITS, 1 << FOLD_LEFT
+#: Words of up to so many pieces have their places in the bits of one number.
+MASKED = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -69,6 +77,12 @@ LEFT, RIGHT = 40503, 30011
 ENTRY_SHIFT = 20
 
 
+def _pairs(ranks: dict[bytes, int]) -> list[tuple[int, int, int]]:
+    """Pairs of pieces that have a rank together: left, right, and that rank."""
+    return [(left, right, rank) for piece, rank in ranks.items() for cut in range(1, len(piece))
+            if (left := ranks.get(piece[:cut])) is not None and (right := ranks.get(piece[cut:])) is not None]
+
+
 def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """(entries, moves): the rank of a pair of pieces is found with one look at each.
 
@@ -76,8 +90,7 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     the first place where all its pairs meet free entries.  An entry is the
     pair and the rank of both together, -1 if free.
     """
-    pairs = [(left << PLACE_SHIFT | right, rank) for piece, rank in ranks.items() for cut in range(1, len(piece))
-             if (left := ranks.get(piece[:cut])) is not None and (right := ranks.get(piece[cut:])) is not None]
+    pairs = [(left << PLACE_SHIFT | right, rank) for left, right, rank in _pairs(ranks)]
     size = 1 << max(4, (3 * len(pairs) // 2).bit_length())
     groups: dict[int, list[tuple[int, int]]] = {}
     for pair, rank in pairs:
@@ -98,19 +111,57 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     return entries, moves
 
 
+def pair_rows(ranks: dict[bytes, int], least_size: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, moves) for the fold: the pair of a left and a right piece stands at ``moves[left] ^ right``.
+
+    All pairs of a left piece, those with most pairs first, are moved to where
+    they meet free entries, in a table twice as large if there is no such place.
+    The number after the last rank is no piece: it
+    forms no pair, and stands at both ends of a word.
+    """
+    pairs, edge = _pairs(ranks), max(ranks.values()) + 1
+    if edge + 1 >= 1 << (OWN_BITS - 1):
+        raise ValueError(f"ranks of {1 << (OWN_BITS - 1)} and more do not fit a piece")
+    size = max(least_size, 1 << edge.bit_length(), 1 << (3 * len(pairs) // 2).bit_length())
+    entries, moves = np.full(size, (edge + 1) << FOLD_LEFT, np.int64), np.zeros(edge + 1, np.int64)
+    taken = bytearray(size)
+    marks = np.frombuffer(taken, np.uint8)
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for left, right, rank in pairs:
+        rows.setdefault(left, []).append((right, rank))
+    order = np.random.default_rng(1).permutation(size)
+    order = np.concatenate([order, order])
+    listed, start = order.tolist(), 0
+    for left, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
+        start = (start + 37) % size  # each piece begins elsewhere, as places tried before are taken
+        if len(row) < 8:
+            move = next((listed[k] for k in range(start, start + size) if not any(taken[listed[k] ^ right] for right, _ in row)), None)
+        else:
+            for k in range(start, start + size, 1 << 12):
+                fit = order[k:k + (1 << 12)]
+                for right, _ in row:
+                    fit = fit[marks[fit ^ right] == 0]
+                if len(fit):
+                    break
+            move = int(fit[0]) if len(fit) else None
+        if move is None:
+            return pair_rows(ranks, 2 * size)
+        moves[left] = move
+        for right, both in row:
+            taken[move ^ right] = 1
+            entries[move ^ right] = left << FOLD_LEFT | both << FOLD_RANK
+    return entries, moves
+
+
 class Ranks:
-    """The rank map as columns for use in expressions."""
+    """The rank map of :func:`pair_rows` as columns for use in expressions."""
 
-    def __init__(self, entries: Column, moves: Column, size: int):
-        self.entries, self.moves, self.size = entries, moves, size
+    def __init__(self, entries: Column, moves: Column):
+        self.entries, self.moves = entries, moves
 
-    def of_pair(self, left: Column, right: Column) -> Column:
-        """Rank of two adjacent pieces together, ``NO_RANK`` if they have none or one is missing."""
-        group = F.shiftleft(left, 7).bitwiseXOR(right).bitwiseAND(F.lit(self.size // 4 - 1)).cast("int")
-        home = left * F.lit(LEFT) + right * F.lit(RIGHT) + F.get(self.moves, group)
-        pair = F.shiftleft(left, PLACE_SHIFT).bitwiseOR(right)
-        return _let(F.get(self.entries, home.bitwiseAND(F.lit(self.size - 1)).cast("int")), lambda entry: F.when(
-            F.shiftright(entry, ENTRY_SHIFT) == pair, entry.bitwiseAND(F.lit(PIECE))).otherwise(F.lit(NO_RANK).cast("long")))
+    def of_pair(self, left: Column, left_own: Column, right_own: Column) -> Column:
+        """Rank of two adjacent pieces together, shifted to its place in a piece; ``NONE`` or more if they have none."""
+        return self.entries[self.moves[left_own].bitwiseXOR(right_own)].bitwiseXOR(F.shiftleft(left, FOLD_LEFT))
 
 
 class Literals:
@@ -119,8 +170,7 @@ class Literals:
     DDL = "entries array<bigint>, moves array<bigint>, pieces array<string>, little array<string>"
 
     def __init__(self, ranks: dict[bytes, int]):
-        entries, moves = pair_table(ranks)
-        self.size = len(entries)
+        entries, moves = pair_rows(ranks)
         pieces = [""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             pieces[rank] = piece.decode("latin-1")  # one character a byte
@@ -133,52 +183,74 @@ class Literals:
 
     def ranked(self, body) -> Column:
         """``body`` of the rank map, which is read once for all words of a row."""
-        return _let(F.col("entries"), lambda e: _let(F.col("moves"), lambda m: body(Ranks(e, m, self.size))))
+        return _let(F.col("entries"), lambda e: _let(F.col("moves"), lambda m: body(Ranks(e, m))))
 
 
 NAMES = ["entries", "moves", "pieces", "little"]
 
 
 def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` worked out once, not at each use inside a lambda."""
-    return F.transform(F.array(value), body)[0]
+    """``body(value)`` with ``value`` worked out once, not at each use inside a lambda: the end of a fold of no steps, which copies nothing."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda start, _: start, body)
+
+
+def _long(value: int) -> Column:
+    return F.lit(value).cast("long")
 
 
 def encode_word(word: Column, ranks: Ranks) -> Column:
-    """Ids of one word (its pieces, as numbers) as a fold of ranked merges.
+    """Ids of one word as a fold of ranked merges.
 
-    The smallest number is the leftmost pair of the lowest rank.  A merge
-    takes the pair's rank as the new piece, and changes the ranks of its two
-    neighbours only.
+    A word to be folded has a number that is no piece at both ends; others
+    are ids already.
     """
-    none = F.lit(NO_RANK << RANK_SHIFT)
+    folded = F.when(F.size(word) <= MASKED + 2, _fold(word, ranks, _rank_in_mask)).otherwise(_fold(word, ranks, _rank_by_places))
+    return F.when(F.get(word, F.lit(0)) < _long(NONE), F.transform(word, lambda x: x.cast("int"))).otherwise(folded)
 
-    def merge(pieces: Column, least: Column) -> Column:
-        low = F.shiftright(least, RANK_SHIFT)
 
-        def at(k: Column) -> Column:
-            before, after = F.get(pieces, k - 1), F.get(pieces, k + 2)
-            rank_before = ranks.of_pair(before.bitwiseAND(F.lit(PIECE)), low)
-            rank_after = ranks.of_pair(low, after.bitwiseAND(F.lit(PIECE)))
-            both = F.array(
-                F.shiftleft(rank_before, RANK_SHIFT).bitwiseOR(before.bitwiseAND(F.lit((1 << RANK_SHIFT) - 1))),
-                F.shiftleft(rank_after, RANK_SHIFT).bitwiseOR(least.bitwiseAND(F.lit(0xFF << PLACE_SHIFT))).bitwiseOR(low))
-            return F.flatten(F.array(
-                F.slice(pieces, F.lit(1), F.greatest(k - 1, F.lit(0))),
-                F.slice(both, F.when(k > 0, 1).otherwise(2), F.lit(2)),
-                F.slice(pieces, k + 3, F.size(pieces))))
+def _rank_in_mask(state: Column, least: Column, shift: Column) -> Column:
+    """Number of pieces up to ``least``: of the bits up to its place."""
+    return F.bit_count(F.call_function("shiftleft", state["places"], shift))
 
-        # places ascend: the pair's index is the number of smaller places (array_position is far slower here)
-        place = F.lit(0xFF << PLACE_SHIFT)
-        return _let(least.bitwiseAND(place), lambda here: _let(
-            F.size(F.filter(pieces, lambda x: x.bitwiseAND(place) < here)), at))
 
-    def step(pieces: Column, _) -> Column:
-        return _let(F.array_min(pieces), lambda least: F.when(least >= none, pieces).otherwise(merge(pieces, least)))
+def _rank_by_places(state: Column, least: Column, shift: Column) -> Column:
+    """Number of pieces up to ``least``, for words that have more pieces than a number has bits: places ascend."""
+    return _let(least.bitwiseAND(_long(PLACE)), lambda here: F.size(F.filter(
+        state["pieces"], lambda x: x.bitwiseAND(_long(PLACE)) <= here)))
 
-    merged = F.aggregate(F.sequence(F.lit(2), F.size(word)), word, step)
-    ids = F.when(F.array_min(word) >= none, word).otherwise(merged)  # else a token, or merged already
-    return F.transform(ids, lambda x: x.bitwiseAND(F.lit(PIECE)).cast("int"))
+
+def _fold(word: Column, ranks: Ranks, rank_of) -> Column:
+    """The smallest number is the leftmost pair of the lowest rank.
+
+    A merge takes the pair's rank as the new piece and the place of the pair's
+    second piece, and looks up the pairs with its two neighbours only.  Few
+    and plain expressions count here: Spark interprets each one in each step.
+    """
+    own = lambda piece: piece.bitwiseAND(_long(OWN))
+
+    def merge(state: Column, least: Column) -> Column:
+        pieces = state["pieces"]
+
+        def at(shift: Column, k: Column, before: Column, low: Column) -> Column:
+            new_before = ranks.of_pair(before, own(before), low).bitwiseOR(before.bitwiseAND(_long((1 << FOLD_RANK) - 1)))
+            new = ranks.of_pair(low, low, own(pieces[k + F.lit(2)])).bitwiseOR(
+                pieces[k + F.lit(1)].bitwiseAND(_long(PLACE))).bitwiseOR(low)
+            merged = F.flatten(F.array(F.slice(pieces, F.lit(1), k - F.lit(1)), F.array(new_before, new),
+                                       F.slice(pieces, k + F.lit(3), F.lit(LONG + 2))))
+            gone = F.call_function("shiftrightunsigned", _long(-1 << 63), shift)
+            return F.struct(merged.alias("pieces"), state["places"].bitwiseXOR(gone).alias("places"))
+
+        # the place from the top of a number of 64 bits
+        shift = F.bitwise_not(F.shiftright(least, OWN_BITS)).bitwiseAND(_long(63)).cast("int")
+        return _let(shift, lambda sh: _let(rank_of(state, least, sh), lambda k: _let(
+            pieces[k - F.lit(1)], lambda before: _let(F.shiftright(least, FOLD_RANK), lambda low: at(sh, k, before, low)))))
+
+    def step(state: Column, _) -> Column:
+        return _let(F.array_min(state["pieces"]), lambda least: F.when(least >= _long(NONE), state).otherwise(merge(state, least)))
+
+    return F.aggregate(F.sequence(F.lit(4), F.size(word)), F.struct(word.alias("pieces"), _long(-1).alias("places")), step,
+                       lambda state: F.transform(F.slice(state["pieces"], F.lit(2), F.size(state["pieces"]) - F.lit(2)),
+                                                 lambda x: own(x).cast("int")))
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -243,24 +315,24 @@ class Memo:
 def _word_column(words: list[bytes], ranks: dict[bytes, int], one: np.ndarray, two: np.ndarray, memo: Memo | None = None) -> pa.Array:
     """Pieces of words as numbers, from the ranks of single bytes and of pairs of bytes.
 
-    Words that need no fold come with their ids as pieces and no pair ranks:
-    those of the memo, and those of more than ``LONG`` bytes.
+    Words to be folded have a number at both ends that is no piece.  Words that
+    need no fold come as their ids: those of the memo, and those of more than
+    ``LONG`` bytes.
     """
     column = pa.array(words, pa.binary())
     n_bytes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
-    at = np.full(len(words), -1) if memo is None else memo.find(column)[0]
+    at, ids, id_ends = (np.full(len(words), -1), None, None) if memo is None else memo.find(column)
     long = np.flatnonzero((at < 0) & (n_bytes > LONG))
     merged = [merge_long(words[k], ranks) for k in long.tolist()]
     kind = np.where(at >= 0, 1, 0)  # 0: to be folded, 1: known, 2: merged here
     kind[long] = 2
-    sizes = n_bytes.copy()
+    sizes = n_bytes + 2
     if memo is not None:
-        _, ids, id_ends = memo.find(column)
         sizes[kind == 1] = np.diff(id_ends)[at[kind == 1]]
     sizes[long] = [len(x) for x in merged]
     ends = np.concatenate([[0], np.cumsum(sizes)])
     of = np.repeat(kind, sizes)
-    pieces = np.full(ends[-1], NO_RANK << RANK_SHIFT, np.int64)
+    pieces = np.zeros(ends[-1], np.int64)
     # bytes of the words to be folded
     folded = column.filter(pa.array(kind == 0))
     starts = folded.buffers()[1]
@@ -272,13 +344,16 @@ def _word_column(words: list[bytes], ranks: dict[bytes, int], one: np.ndarray, t
     if len(flat) > 1:
         pair[:-1] = two[flat[:-1].astype(np.int32) * 256 + flat[1:]]
     pair[starts[1:][np.diff(starts) > 0] - 1] = NO_RANK  # the last piece of a word has no next one
-    pieces[of == 0] = pair << RANK_SHIFT | place << PLACE_SHIFT | one[flat]
+    inner = of == 0
+    inner[ends[:-1][kind == 0]] = inner[ends[1:][kind == 0] - 1] = False
+    pieces[of == 0] = NONE | PLACE | max(ranks.values()) + 1
+    pieces[inner] = np.where(pair == NO_RANK, NONE, pair << FOLD_RANK) | place << OWN_BITS | one[flat]
     if memo is not None:
         which = at[kind == 1]
         n = np.diff(id_ends)[which]
         upto = np.cumsum(n)
-        pieces[of == 1] |= ids[np.arange(int(n.sum())) + np.repeat(id_ends[which] - (upto - n), n)]
-    pieces[of == 2] |= np.array([x for ids_ in merged for x in ids_], np.int64)
+        pieces[of == 1] = ids[np.arange(int(n.sum())) + np.repeat(id_ends[which] - (upto - n), n)]
+    pieces[of == 2] = np.array([x for ids_ in merged for x in ids_], np.int64)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pieces))
 
 
@@ -335,6 +410,14 @@ def common_words(texts: DataFrame, pattern: str, ranks: dict[bytes, int], litera
     return Memo(ranks, folded.toArrow())
 
 
+class _Numbers(dict):
+    """Numbers of words in the order in which they come."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 def _split_blocks(pattern: str, ranks: dict[bytes, int], memo: Memo, literals: Literals):
     """One row for each block: its texts as lists of word numbers, and its distinct words."""
     find = _finder(pattern)
@@ -350,12 +433,12 @@ def _split_blocks(pattern: str, ranks: dict[bytes, int], memo: Memo, literals: L
                 yield batch
 
         for ids, texts in blocks(seen(batches), 1, BLOCK_BYTES):
-            number: dict[str, int] = {}
+            number = _Numbers()
             numbers, ends = [], [0]
             for text in texts:
                 words = find(text)
                 ends.append(ends[-1] + len(words))
-                numbers.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+                numbers.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
             words = _word_column([w.encode() for w in number], ranks, one, two, memo)
             del number, texts
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(numbers)))

@@ -76,3 +76,27 @@ def test_every_pair_is_found_and_no_other(rnd):
         for cut in range(1, len(piece)):
             if piece[:cut] in RANKS and piece[cut:] in RANKS:
                 assert look(RANKS[piece[:cut]], RANKS[piece[cut:]]) == RANKS[piece]
+
+
+def test_the_pairs_of_the_fold_are_found_and_no_other(rnd):
+    entries, moves = b.pair_rows(RANKS)
+    edge = max(RANKS.values()) + 1
+
+    def look(left, right):
+        found = int(entries[int(moves[left]) ^ right]) ^ left << b.FOLD_LEFT
+        return found >> b.FOLD_RANK if found < b.NONE else None
+
+    tokens = list(RANKS)
+    for _ in range(20_000):
+        a, c = rnd.choice(tokens), rnd.choice(tokens)
+        assert look(RANKS[a], RANKS[c]) == RANKS.get(a + c)
+        assert look(edge, RANKS[a]) is None and look(RANKS[a], edge) is None
+    for left, right, rank in b._pairs(RANKS):
+        assert look(left, right) == rank
+
+
+def test_words_of_any_number_of_pieces_are_folded(make_docs, rnd, library):
+    # up to 64 pieces have their places in one number's bits, more are counted
+    words = ["".join(rnd.choices("aeinrstß", k=n)) for n in (1, 2, 31, 32, 33, 62, 63, 64, 65, 66, 67, 95, 96, 130) for _ in range(3)]
+    words += [c * n for c in ("a", "ab", "é", "字") for n in (31, 32, 33, 63, 64)] + ["", "!" * 64, "!" * 65]
+    check(make_docs([(i, w, "en", "a") for i, w in enumerate(words)]), library)
