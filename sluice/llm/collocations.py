@@ -1,10 +1,11 @@
 """Phrase collocations for each language: frequent n-grams by Misra-Gries summaries, counted exactly in a second pass.
 
 **Blocks.**  Texts are split into pieces and words in blocks of one language,
-written as the block's distinct words and the words' numbers.
+written as the block's distinct words and the words' numbers, few blocks to a
+row group, as readers hold a row group at once.
 
-**First pass.**  Every n-gram of 1 to 5 words has a hash partition and a 32-bit
-key in it.  A block's summary of a partition holds its keys and counts.  A task
+**First pass.**  Every n-gram of 1 to 5 words has a hash partition, which holds
+n-grams of one length, and a 32-bit key in it.  A block's summary of a partition holds its keys and counts.  A task
 merges the summaries of one partition: counts of equal keys add up, and when
 more than ``capacity`` counters are left, the next largest count is taken off
 all of them.  The capacity exceeds the partition's mass divided by the
@@ -14,9 +15,11 @@ be too many, never too few.  Partitions are as many as the mass asks for, so
 a task's counters have the same bound at every size; a phrase that is a third
 of all rows is one counter a block.
 
-**Second pass.**  Each block gets the surviving keys that occur in it by a join
-on the block, counts the phrases behind them by their words, and the counts are
-summed by phrase.  No set of candidates is broadcast or collected.
+**Second pass.**  Surviving keys are sorted in front of the blocks in which they
+occur; a block's phrases behind them are counted by their words, and the counts
+are summed by phrase.  No set of candidates is broadcast or collected, and a task
+holds one block with its keys and the phrases of one share that may be frequent,
+also where all n-grams survive.
 
 **Scores** are exact decimals; parts of a frequent phrase are frequent, so all
 counts come from the same table.  As a phrase is at least as frequent as any
@@ -45,11 +48,16 @@ from .common import bound_batches, col, table
 THRESHOLD = 100
 LONGEST = 5
 TOP = 2000
-#: Bytes of text in a block, words whose n-grams a hash partition holds.
-BLOCK_BYTES = 8 << 20
-PARTITION_WORDS = 1 << 20
-#: Bits of the table that skips most n-grams before the search in the survivors.
-SKIP_BITS = 24
+#: Bytes of text in a block, blocks in a row group, words whose n-grams of one length a hash partition holds.
+BLOCK_BYTES = 4 << 20
+GROUP_BLOCKS = 8
+PARTITION_WORDS = 4 << 20
+#: Bits of the table that skips most n-grams before the search in the survivors, n-grams that are looked up at once.
+SKIP_BITS = 22
+SLICE = 1 << 18
+#: Phrases in a batch, phrases that are added up at once.
+BATCH_PHRASES = 1 << 16
+SUM_PHRASES = 1 << 18
 #: Shares whose first phrases are ranked together in the end.
 LAST_SHARES = 16
 
@@ -85,25 +93,28 @@ def from_planes(data: bytes) -> np.ndarray:
 def _write_blocks(block_bytes: int):
     def run(batches):
         held: dict[str, list[bytes]] = {}
-        size = 0
+        sizes: dict[str, int] = {}
 
-        def flush():
-            for lang, texts in held.items():
-                words, numbers = numbered_words(texts)
-                n = int((numbers >= 0).sum())
-                if n:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang]), pa.array([n], pa.int64()), pa.array([[w.decode() for w in words]], pa.list_(pa.string())),
-                         pa.array([planes(numbers + 1)], pa.binary())], names=["lang", "n", "words", "numbers"])
+        def flush(lang):
+            words, numbers = numbered_words(held.pop(lang))
+            del sizes[lang]
+            n = int((numbers >= 0).sum())
+            if n:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang]), pa.array([n], pa.int64()), pa.array([[w.decode() for w in words]], pa.list_(pa.string())),
+                     pa.array([planes(numbers + 1)], pa.binary())], names=["lang", "n", "words", "numbers"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 held.setdefault(lang, []).append(text)
-                size += len(text)
-            if size >= block_bytes:
-                yield from flush()
-                held, size = {}, 0
-        yield from flush()
+                sizes[lang] = sizes.get(lang, 0) + len(text) + 1
+                if sizes[lang] >= block_bytes:
+                    yield from flush(lang)
+            if sum(sizes.values()) >= 3 * block_bytes:  # many languages
+                for lang in list(held):
+                    yield from flush(lang)
+        for lang in list(held):
+            yield from flush(lang)
 
     return run
 
@@ -117,12 +128,16 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def ngram_keys(lang: str, words: list[str], numbers: np.ndarray, partitions: int, longest: int):
-    """(n, places, keys) for n = 1 to ``longest``: where n words stand in a piece, and their partition << 32 | key."""
+def ngram_keys(lang: str, words: pa.Array, numbers: np.ndarray, partitions: int, longest: int):
+    """(n, places, keys) for n = 1 to ``longest``: where n words stand in a piece, and their partition << 32 | key.
+
+    Each n has ``partitions`` partitions of its own, numbered from (n - 1) * ``partitions``.
+    """
     import xxhash
 
     seed = xxhash.xxh3_64_intdigest(lang.encode())
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode(), seed) for w in words), np.uint64, len(words))
+    parts = (words.slice(k, SLICE).cast(pa.binary()).to_pylist() for k in range(0, len(words), SLICE))
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for part in parts for w in part), np.uint64, len(words))
     of_word = hashes[numbers]  # at separators some word's, never used
     places = np.flatnonzero(numbers >= 0)
     so_far = of_word[places]
@@ -134,12 +149,12 @@ def ngram_keys(lang: str, words: list[str], numbers: np.ndarray, partitions: int
             places, so_far = places[inside], so_far[inside]
             so_far = _mixed(so_far * _MIX + of_word[places + n - 1])
         h = _mixed(so_far + np.uint64(n))
-        partition = ((h >> np.uint64(32)) * np.uint64(partitions)) >> np.uint64(32)
+        partition = (((h >> np.uint64(32)) * np.uint64(partitions)) >> np.uint64(32)) + np.uint64((n - 1) * partitions)
         yield n, places, (partition << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
 
 
-def _unpack_block(batch, k: int) -> tuple[str, list[str], np.ndarray]:
-    words = batch.column("words")[k].as_py()
+def _unpack_block(batch, k: int) -> tuple[str, pa.Array, np.ndarray]:
+    words = batch.column("words")[k].values
     return batch.column("lang")[k].as_py(), words, from_planes(batch.column("numbers")[k].as_py()).astype(np.int32) - 1
 
 
@@ -239,57 +254,111 @@ def _survivors(threshold: int):
 
 
 def equal_phrases(numbers: np.ndarray, places: np.ndarray, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(a place, count) of each different phrase of n words at ``places``; told apart by words, not by keys alone."""
+    """(a place, count) of each different phrase of n words at ``places``, by key; told apart by words, not by keys alone."""
     _, first, which, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
     if all((numbers[places + j] == numbers[places[first][which] + j]).all() for j in range(n)):
         return places[first], counts
-    _, first, counts = np.unique(np.stack([numbers[places + j] for j in range(n)], 1), axis=0, return_index=True,
-                                 return_counts=True)
+    _, first, counts = np.unique(np.stack([keys.astype(np.int64), *(numbers[places + j] for j in range(n))], 1), axis=0,
+                                 return_index=True, return_counts=True)
     return places[first], counts
 
 
-def _count_survivors(partitions: int, longest: int, shares: int):
-    """The phrases of a block that may be frequent, with their counts, packed by share of the phrases."""
-    def run(batches):
-        import xxhash
+def wanted_places(places: np.ndarray, keys: np.ndarray, wanted: np.ndarray, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places whose keys are in the sorted ``wanted``, and where they are there; ``maybe``: an empty skip table."""
+    low = np.uint64(len(maybe) - 1)
+    maybe[(wanted & low).astype(np.int64)] = True
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int32))]
+    for k in range(0, len(keys), SLICE):
+        part = keys[k:k + SLICE]
+        hit = np.flatnonzero(maybe[(part & low).astype(np.int64)])
+        at = np.minimum(np.searchsorted(wanted, part[hit]), len(wanted) - 1)
+        there = wanted[at] == part[hit]
+        found.append((places[k + hit[there]], at[there].astype(np.int32)))
+    maybe[(wanted & low).astype(np.int64)] = False
+    return tuple(np.concatenate(x) for x in zip(*found))
+
 
+def _count_survivors(partitions: int, longest: int):
+    """The phrases of a block that may be frequent, with their counts, packed by share of the phrases: their hash partition.
+
+    Rows come by block, its surviving keys before the block itself.
+    """
+    def run(batches):
+        maybe = np.zeros(1 << SKIP_BITS, bool)
+        held: list[bytes] = []
         for batch in batches:
             for k in range(batch.num_rows):
-                lang, words, numbers = _unpack_block(batch, k)
-                wanted = np.sort(np.concatenate([np.frombuffer(b, "<u8") for b in batch.column("wanted")[k].as_py()]))
-                low = np.uint64((1 << SKIP_BITS) - 1)
-                maybe = np.zeros(1 << SKIP_BITS, bool)
-                maybe[(wanted & low).astype(np.int64)] = True
-                for n, places, keys in ngram_keys(lang, words, numbers, partitions, longest):
-                    hit = np.flatnonzero(maybe[(keys & low).astype(np.int64)])
-                    at = np.minimum(np.searchsorted(wanted, keys[hit]), len(wanted) - 1)
-                    hit = hit[wanted[at] == keys[hit]]
-                    if not len(hit):
-                        continue
-                    first, counts = equal_phrases(numbers, places[hit], keys[hit], n)
-                    texts = [" ".join([words[w] for w in numbers[i:i + n]]) for i in first.tolist()]
-                    share = np.fromiter((xxhash.xxh3_64_intdigest(t.encode()) % shares for t in texts), np.int64, len(texts))
-                    order = np.argsort(share, kind="stable")
-                    ends = np.append(np.flatnonzero(np.diff(share[order])) + 1, len(order))
-                    offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(ends)), pa.array([n] * len(ends), pa.int32()), pa.array(share[order][ends - 1]),
-                         pa.ListArray.from_arrays(offsets, pa.array(texts, pa.string()).take(pa.array(order))),
-                         pa.ListArray.from_arrays(offsets, pa.array(counts[order], pa.int64()))],
-                        names=["lang", "words", "share", "phrases", "counts"])
+                keys = batch.column("keys")[k]
+                if keys.is_valid:
+                    held.append(keys.as_py())
+                elif held:
+                    wanted = np.sort(np.frombuffer(b"".join(held), "<u8"))
+                    held = []
+                    yield from count(*_unpack_block(batch, k), wanted, maybe)
+
+    def count(lang, words, numbers, wanted, maybe):
+        for n, places, keys in ngram_keys(lang, words, numbers, partitions, longest):
+            ends = np.array([(n - 1) * partitions << 32, n * partitions << 32], np.uint64)
+            mine = wanted[slice(*np.searchsorted(wanted, ends))]
+            if not len(mine):
+                continue
+            places, at = wanted_places(places, keys, mine, maybe)
+            if not len(places):
+                continue
+            first, counts = equal_phrases(numbers, places, at, n)
+            share = (mine[at[np.searchsorted(places, first)]] >> np.uint64(32)).astype(np.int64)
+            for a in range(0, len(first), BATCH_PHRASES):
+                b = min(a + BATCH_PHRASES, len(first))
+                texts = pc.binary_join_element_wise(*(words.take(pa.array(numbers[first[a:b] + j])) for j in range(n)), " ")
+                ends = np.append(np.flatnonzero(np.diff(share[a:b])) + 1, b - a)
+                offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(ends)), pa.array([n] * len(ends), pa.int32()), pa.array(share[a:b][ends - 1]),
+                     pa.ListArray.from_arrays(offsets, texts.cast(pa.string())),
+                     pa.ListArray.from_arrays(offsets, pa.array(counts[a:b], pa.int64()))],
+                    names=["lang", "words", "share", "phrases", "counts"])
 
     return run
 
 
-def _sum_share(threshold: int):
-    """Exact counts of one share of a language's phrases of one length; those under the threshold go."""
-    def run(group: pa.Table) -> pa.Table:
-        flat = pa.table({"phrase": pa.chunked_array([c.flatten() for c in group["phrases"].chunks], pa.string()),
-                         "a": pa.chunked_array([c.flatten() for c in group["counts"].chunks], pa.int64())})
-        summed = flat.group_by("phrase").aggregate([("a", "sum")])
-        often = summed.filter(pc.greater_equal(summed["a_sum"], threshold))
-        same = [pa.array([group[c][0].as_py()] * len(often), group.schema.field(c).type) for c in ("lang", "words")]
-        return pa.table({"lang": same[0], "phrase": often["phrase"], "words": same[1], "a": often["a_sum"]})
+def _sum_shares(threshold: int):
+    """Exact counts of the phrases of each language, length and share, whose rows follow each other; those under the threshold go."""
+    def summed(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("phrase").aggregate([("a", "sum")]).select(["phrase", "a_sum"]).rename_columns(["phrase", "a"])
+
+    def run(batches):
+        held: list[pa.Table] = []
+        size, least, last = 0, SUM_PHRASES, None
+
+        def often():
+            all_of_it = summed(held)
+            kept = all_of_it.filter(pc.greater_equal(all_of_it["a"], threshold)).combine_chunks()
+            for part in kept.to_batches():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([last[0]] * len(part), pa.string()), part.column("phrase"), pa.array([last[1]] * len(part), pa.int32()),
+                     part.column("a")], names=["lang", "phrase", "words", "a"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("lang", "words", "share"))))
+            a = 0
+            while a < len(keys):
+                b = a + 1
+                while b < len(keys) and keys[b] == keys[a]:
+                    b += 1
+                if keys[a] != last:
+                    if held:
+                        yield from often()
+                    held, size, least, last = [], 0, SUM_PHRASES, keys[a]
+                rows = batch.slice(a, b - a)
+                held.append(pa.table({"phrase": rows.column("phrases").flatten(), "a": rows.column("counts").flatten()}))
+                size += len(held[-1])
+                if size >= least:
+                    held = [summed(held)]
+                    size = len(held[0])
+                    least = max(SUM_PHRASES, 2 * size)
+                a = b
+        if held:
+            yield from often()
 
     return run
 
@@ -300,7 +369,8 @@ def word_blocks(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     texts = docs.select(F.coalesce(col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                         F.coalesce(col(text_col), F.lit("")).alias("text"))
     blocks = texts.mapInArrow(_write_blocks(BLOCK_BYTES), "lang string, n long, words array<string>, numbers binary")
-    return materialize(blocks.select(F.monotonically_increasing_id().alias("block"), "*"))
+    return materialize(blocks.select(F.monotonically_increasing_id().alias("block"), "*"),
+                       **{"parquet.block.row.count.limit": str(GROUP_BLOCKS)})
 
 
 def frequent_phrases(blocks: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST) -> DataFrame:
@@ -310,13 +380,15 @@ def frequent_phrases(blocks: DataFrame, threshold: int = THRESHOLD, longest: int
     summaries = blocks.mapInArrow(_summaries(partitions, longest), "partition long, block long, mass long, steps binary, "
                                                                    "small binary, large binary")
     wanted = summaries.groupBy("partition").applyInArrow(_survivors(threshold), "block long, keys binary")
-    wanted = wanted.groupBy("block").agg(F.collect_list("keys").alias("wanted"))
-    # phrases travel packed by share, as they did by partition; a share is summed in one task
-    shares = -(-partitions // 4)
-    counts = blocks.join(wanted.hint("merge"), "block").mapInArrow(
-        _count_survivors(partitions, longest, shares), "lang string, words int, share long, phrases array<string>, counts array<long>")
-    return materialize(counts.groupBy("lang", "words", "share").applyInArrow(
-        _sum_share(threshold), "lang string, phrase string, words int, a long"))
+    # a block's keys are streamed in front of it: gathered by an aggregate or a join they would be in the heap at once
+    rows = wanted.unionByName(blocks.select("block", "lang", "words", "numbers"), allowMissingColumns=True)
+    rows = rows.repartition("block").sortWithinPartitions("block", F.col("keys").isNull())
+    counts = rows.mapInArrow(
+        _count_survivors(partitions, longest), "lang string, words int, share long, phrases array<string>, counts array<long>")
+    # phrases travel packed by share; the rows of a share are added up as they come
+    by = ["lang", "words", "share"]
+    return materialize(counts.repartition(*by).sortWithinPartitions(*by).mapInArrow(
+        _sum_shares(threshold), "lang string, phrase string, words int, a long"))
 
 
 def score(a: str, n: str, left: str, right: str) -> Column:

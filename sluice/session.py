@@ -61,9 +61,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet under the shared checkpoint folder and
-    read it back, cutting the lineage.
+def materialize(df: DataFrame, **options: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder, with
+    ``options`` of the writer, and read it back, cutting the lineage.
 
     Used where one intermediate feeds two consumers that must see identical
     rows (ids assigned after a range sort), or where a side effect (an API
@@ -73,7 +73,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark)
-    df.write.mode("error").parquet(path)
+    df.write.mode("error").options(**options).parquet(path)
     return spark.read.parquet(path)
 
 

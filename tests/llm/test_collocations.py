@@ -3,6 +3,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from sluice.llm import collocations as c
@@ -88,6 +90,50 @@ def test_planes_round_trip(rnd):
     assert (c.from_planes(c.planes(values)) == values).all()
 
 
+def test_what_a_task_holds_is_bounded_when_all_n_grams_survive(rnd, monkeypatch):
+    for name, value in (("SLICE", 64), ("SKIP_BITS", 6), ("BATCH_PHRASES", 7), ("SUM_PHRASES", 5)):
+        monkeypatch.setattr(c, name, value)
+    rows = [(text or "", lang or "und") for text, lang in made(rnd, 60) * 2]
+    docs = [pa.record_batch({"lang": [r[1] for r in rows[k:k + 20]], "text": [r[0] for r in rows[k:k + 20]]}) for k in range(0, len(rows), 20)]
+    blocks = list(c._write_blocks(2000)(docs))
+    assert all(b["n"][0].as_py() <= 2000 or b["lang"][0].as_py() == "zz" for b in blocks)
+    schema = pa.schema({"block": pa.int64(), "keys": pa.binary(), "lang": pa.string(), "words": pa.list_(pa.string()), "numbers": pa.binary()})
+    sorted_rows, plain = [], Counter()
+    for k, b in enumerate(blocks):
+        lang, words, numbers = c._unpack_block(b.append_column("block", pa.array([k])), 0)
+        keys = np.unique(np.concatenate([x for _, _, x in c.ngram_keys(lang, words, numbers, 3, 5)]))
+        assert (keys >> np.uint64(32)).max() < 15
+        sorted_rows += [{"block": k, "keys": x.tobytes()} for x in np.array_split(keys, 3)]
+        sorted_rows.append({"block": k, "lang": lang, "words": words.to_pylist(), "numbers": c.planes(numbers + 1)})
+        names = words.to_pylist()
+        for n in range(1, 6):
+            for i in range(len(numbers) - n + 1):
+                if (numbers[i:i + n] >= 0).all():
+                    plain[lang, n, " ".join(names[w] for w in numbers[i:i + n])] += 1
+    out = list(c._count_survivors(3, 5)(pa.Table.from_pylist(sorted_rows, schema).to_batches(max_chunksize=4)))
+    assert max(len(b["phrases"].flatten()) for b in out) <= 7
+    counted = Counter()
+    for row in (r for b in out for r in b.to_pylist()):
+        for phrase, a in zip(row["phrases"], row["counts"]):
+            counted[row["lang"], row["words"], phrase] += a
+    assert counted == plain
+    together = pa.Table.from_batches(out).sort_by([(x, "ascending") for x in ("lang", "words", "share")])
+    found = [r for b in c._sum_shares(4)(together.to_batches(max_chunksize=9)) for r in b.to_pylist()]
+    assert sorted((r["lang"], r["words"], r["phrase"], r["a"]) for r in found) == sorted((*k, a) for k, a in plain.items() if a >= 4)
+
+
+def test_a_row_group_holds_few_blocks_and_keys_are_not_gathered_in_the_heap(spark, rnd, monkeypatch):
+    monkeypatch.setattr(c, "BLOCK_BYTES", 300)
+    written, write = [], c.materialize
+    monkeypatch.setattr(c, "materialize", lambda df, **options: written.append(df) or write(df, **options))
+    blocks = c.word_blocks(spark.createDataFrame(made(rnd, 250), "text string, lang string").coalesce(1))
+    c.frequent_phrases(blocks, 5)
+    groups = [f.metadata.row_group(k).num_rows for f in (pq.ParquetFile(p.removeprefix("file://")) for p in blocks.inputFiles())
+              for k in range(f.metadata.num_row_groups)]
+    assert sum(groups) > 20 and max(groups) <= 8
+    assert not any("collect_list" in df._jdf.queryExecution().optimizedPlan().toString() for df in written)
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     rnd = random.Random(4)
     rows = [(a, n, rnd.randint(a, 10**12), rnd.randint(a, 10**12))
